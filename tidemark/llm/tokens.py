@@ -51,7 +51,7 @@ class ChunkCodec:
             if len(s := self._spelled(chr(c), raw=True)) == 2:
                 self.bytes |= {high: s[0], low: s[1]}
         each = cache_chunks // 2
-        self.after_space, self.bare = _Memo(self._after_space, each), _Memo(lambda c: self._chunk(c, c, ""), each)
+        self.after_space, self.bare = Memo(self._after_space, each), Memo(lambda c: self._chunk(c, c, ""), each)
 
     def _spelled(self, text: str, raw: bool = False) -> str:
         return "".join(p for p, _ in self.split(text if raw else self.normalize(text)))
@@ -88,7 +88,7 @@ class ChunkCodec:
         return (self.bare[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
 
-class _Memo(dict):
+class Memo(dict):
     """Remembers what ``make`` gives, in two generations of bounded size: what is asked for
     again while it is in the older one is kept, the rest is forgotten with it."""
 
