@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.staging import staged
 
@@ -78,20 +79,22 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+ADDED = ["n_words", "spans", "items"]
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _search(shared, keep_text: bool):
+def _search(shared, more: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            before = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * len(texts)
-            items_before = batch.column("items").to_pylist() if "items" in batch.schema.names else [()] * len(texts)
+            texts = batch.column("_text").cast(pa.binary())
+            known = "spans" in batch.schema.names
+            before = batch.column("spans").to_pylist() if known else [()] * len(texts)
+            items_before = batch.column("items").to_pylist() if known else [()] * len(texts)
             sizes, all_spans, all_items = [], [], []
             for text, old, old_items in zip(texts, before, items_before, strict=True):
                 found = words(text.as_py())
-                spans, items = [(x["start"], x["end"]) for x in old or ()], set(old_items or ())
+                spans, items = [(x["start"], x["end"]) for x in old], set(old_items)
                 for table in tables:
                     for start, names in table.search(found):
                         spans.append((start, start + table.length))
@@ -99,41 +102,49 @@ def _search(shared, keep_text: bool):
                 sizes.append(len(found))
                 all_spans.append([{"start": s, "end": e} for s, e in _merge(spans)])
                 all_items.append(sorted(items))
-            kept = [batch.column("text")] if keep_text else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *kept, pa.array(sizes, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=["doc_id", *["text"] * keep_text, "n_words", "spans", "items"])
+            kept = [n for n in batch.schema.names if n not in (*ADDED, *["_text"] * (not more))]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(sizes, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=[*kept, *ADDED])
 
     return run
 
 
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_chars: int = PATTERN_CHARS) -> DataFrame:
-    """doc_id, n_words, spans (merged ranges of words inside occurrences, end exclusive) and
-    items (sorted ids of items with occurring windows) for every row of ``documents``.
+    """Every row of ``documents`` with n_words, spans (merged ranges of words inside
+    occurrences, end exclusive) and items (sorted ids of items with occurring windows); columns
+    of these names give way, of the others only ``text`` is looked at.
 
     The benchmark is counted first. Up to ``pattern_chars`` characters are broadcast as one
     search table; a larger benchmark is dealt by item into parts of about that size, and the
     documents pass through one part after the other. A null text has no words; items without
-    an id or words are passed over; repeated items count once. Other columns are not read.
+    an id or words are passed over; repeated items count once.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-chars // pattern_chars))
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
+    rows = documents.drop(*ADDED).withColumn("_text", F.col("text"))
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         tables = spark.sparkContext.broadcast(searchers(((r["item"], bytes(r["text"])) for r in mine.toLocalIterator()), window))
         more = part + 1 < parts
-        schema = "doc_id long, " + "text string, " * more + "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-        rows = rows.mapInArrow(_search(tables, more), schema)
+        kept = [f for f in rows.schema if f.name not in (*ADDED, *["_text"] * (not more))]
+        span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+        added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
+        rows = rows.mapInArrow(_search(tables, more), T.StructType([*kept, *added]))
         if more:
-            rows = staged(rows.drop("n_words"), "searched")
+            rows = staged(rows, "searched")
     return rows
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a document is contaminated
-    if at least a twentieth of its words, and one at least, lie in windows."""
+def with_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """:func:`find_benchmark` with n_hit and contaminated: at least a twentieth of a document's
+    words, and one at least, lie in windows."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return find_benchmark(documents, benchmark, window).select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    ).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return find_benchmark(documents, benchmark, window).withColumn("n_hit", hit).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 (of the item ids, comma-joined),
+    contaminated for every row of ``documents``."""
+    found = with_contamination(documents.select(F.col("doc_id").cast("long"), "text"), benchmark, window)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

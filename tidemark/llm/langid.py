@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.plans.staging import staged
 
@@ -186,7 +187,7 @@ def _score(shared):
                 held.clear()
 
             size = 0
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column("_text")):
                 c = _characters(text.as_py() or "")
                 if model is None or not (c != 32).any():
                     continue
@@ -195,7 +196,8 @@ def _score(shared):
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            kept = [n for n in batch.schema.names if n not in ("_text", "lang_pred", "score")]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
 
@@ -206,18 +208,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``documents`` by its whole text.
+    """Every row of ``documents`` with lang_pred and score by its whole text; columns of these
+    names give way.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    Only doc_id and text are read; rows that repeat an id are each predicted. The model is
-    broadcast: its size depends on the number of languages, never on the documents.
+    Rows that repeat an id are each predicted; no column but text enters a prediction. The
+    model is broadcast: its size depends on the number of languages, never on the documents.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), "doc_id long, lang_pred string, score double")
+    kept = [f for f in documents.schema if f.name not in ("lang_pred", "score")]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return documents.select(*[f.name for f in kept], F.col("text").alias("_text")).mapInArrow(_score(shared), schema)
 
 
 def language_id(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: :func:`train` on the documents that are not held
     out, then :func:`identify` all."""
     model = train(documents.where(~held_out()), per_language)
-    return identify(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return identify(documents.select(F.col("doc_id").cast("long"), "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

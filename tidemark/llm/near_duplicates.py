@@ -161,3 +161,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = S
     named = signed.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, name)").alias("name")).join(groups, "name", "left")
     labelled = named.join(component.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component", "set_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with one document of each component of :func:`near_duplicates`, the one
+    with the smallest doc_id. Rows without a doc_id stay."""
+    dropped = staged(near_duplicates(documents, **options).where("not kept").select("doc_id").distinct(), "dropped")
+    return documents.join(broadcast_if_small(dropped, dropped.count()), "doc_id", "left_anti").select(documents.columns)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.fixity import audit, warc_records
 from tidemark.llm.langid import language_id
+from tidemark.llm.licenses import license_report
 from tidemark.llm.near_duplicates import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import personal_data_digest
 from tidemark.llm.token_store import read_tokens, write_tokens
+from tidemark.llm.tool_calls import REPLY_SCHEMA, conversation_calls, link_tool_calls
 from tidemark.plans.staging import new_path
 
 
@@ -28,10 +32,31 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' WARC files against a replica in which known records are damaged: of
+    97 pages one has its last byte turned, one is lost, and one is stored where the first has
+    nothing."""
+    pages = _table(spark, sf_dir, "pages")
+    records = warc_records(pages)
+    turned = F.concat(F.substring("record", F.lit(1), F.length("record") - 1), F.lit(b"\x00"))
+    replica = records.where("page_id % 97 <> 1").withColumn("record", F.when(F.expr("page_id % 97 = 0"), turned).otherwise(F.col("record")))
+    replica = replica.withColumn("offset", F.expr("if(page_id % 97 = 2, offset + 1, offset)"))
+    return audit(records, replica)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +65,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, REPLY_SCHEMA).withColumn("problems", F.array_join("problems", ","))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), path)
@@ -49,9 +79,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pack": op2_pack,
+    "op3_neighbours": op3_neighbours,
+    "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
+    "op6_fixity": op6_fixity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pii": op8_pii,
+    "op9_tool_calls": op9_tool_calls,
     "op10_token_store": op10_token_store,
 }
 

@@ -32,48 +32,60 @@ CHUNK_IDS = 256 * BLOCK
 #: Ids in a word for each selector; 60 // count bits each. 0: escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0], np.int64)
 BITS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0], np.int64)
+WIDTHS = np.unique(BITS[1:-1])
+ESCAPED = 99
 SCHEMA = "part int, chunk int, first long, doc_ids array<long>, doc_lens array<long>, offsets array<int>, words binary, escapes array<long>"
 
 
+def _width(values: np.ndarray) -> np.ndarray:
+    """The number in WIDTHS of the least width that holds each value below 2**60."""
+    if len(values) and values.max() < 1 << 16:
+        return _SMALL[values]
+    return np.searchsorted(np.uint64(1) << WIDTHS.astype(np.uint64), values, side="right").astype(np.uint8)
+
+
+_SMALL = np.searchsorted(1 << WIDTHS, np.arange(1 << 16), side="right").astype(np.uint8)
+
+
 def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the word each block begins at, and escaped values of unsigned 64-bit integers."""
     values = np.asarray(values, np.uint64)
     n, pad = len(values), int(COUNTS.max())
     blocks = -(-n // BLOCK)
-    grid = np.zeros((blocks, BLOCK + pad), np.uint64)
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = values
+    escapes = flat[flat >> np.uint64(60) != 0]
+    # The number of the least width that holds each value; past the last for an escape.
+    need = np.zeros((blocks, BLOCK + pad), np.uint8)
+    if len(escapes):
+        wide = flat >> np.uint64(60) != 0
+        flat[wide] = np.arange(len(escapes), dtype=np.uint64)
+        need[:, :BLOCK] = np.where(wide, ESCAPED, _width(flat)).reshape(blocks, BLOCK)
+    else:
+        need[:, :BLOCK] = _width(flat).reshape(blocks, BLOCK)
+    grid = np.zeros((blocks, BLOCK + pad), np.uint64)
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    wide = grid >> np.uint64(60) != 0
-    escapes = grid[wide]
-    grid[wide] = np.arange(len(escapes), dtype=np.uint64)
-    need = np.zeros(grid.shape, np.uint8)  # the least width in BITS that holds each value
-    for width in np.unique(BITS[1:-1])[:-1]:
-        need += grid >> np.uint64(width) != 0
-    need[wide] = 99
-    widths = np.unique(BITS[1:-1])
     # Over growing windows: where all of the next `count` values fit, that selector is better.
-    selector = np.where(need == 99, 0, 14).astype(np.uint8)
+    selector = np.where(need == ESCAPED, 0, 14).astype(np.uint8)
     most, span = need.copy(), 1
     for s in range(13, 0, -1):
-        count, limit = int(COUNTS[s]), int(np.searchsorted(widths, BITS[s]))
+        count, limit = int(COUNTS[s]), int(np.searchsorted(WIDTHS, BITS[s]))
         while span < count:
             step = min(span, count - span)
-            most[:, :-step] = np.maximum(most[:, :-step], most[:, step:])
+            np.maximum(most[:, :-step], most[:, step:], out=most[:, :-step])
             span += step
-        selector[most <= limit] = s
+        if not (fits := most <= limit).any():
+            break  # no longer window can hold narrower values
+        np.putmask(selector, fits, s)
     # All blocks take their next word at once.
-    at, begins = np.zeros(blocks, np.int64), []
-    row = np.arange(blocks)
-    steps = COUNTS[selector]
+    at, row = np.zeros(blocks, np.int64), np.arange(blocks)
+    steps, begins = COUNTS[selector], np.zeros((blocks, BLOCK), bool)
     while len(row):
-        begins.append((row, at[row].copy()))
-        at[row] += steps[row, at[row]]
-        row = row[at[row] < BLOCK]
-    which = np.concatenate([r for r, _ in begins]) if begins else np.zeros(0, np.int64)
-    where = np.concatenate([a for _, a in begins]) if begins else np.zeros(0, np.int64)
-    order = np.lexsort((where, which))
-    which, where = which[order], where[order]
+        here = at[row]
+        begins[row, here] = True
+        at[row] = here = here + steps[row, here]
+        row = row[here < BLOCK]
+    which, where = np.nonzero(begins)
     last = n - (blocks - 1) * BLOCK
     inside = (which < blocks - 1) | (where < last)  # no words for the last block's padding
     which, where = which[inside], where[inside]

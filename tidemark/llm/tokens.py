@@ -20,7 +20,7 @@ _OTHER_SPACE = [c for c in WHITE_SPACE if c not in " \n"]
 #: Latin letters, alone or with closing marks: such a chunk is one or two pre-tokens.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
 #: Chunks remembered by one Python worker, about 200 bytes each.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -50,8 +50,8 @@ class ChunkCodec:
             low, high = chr(c).encode()[::-1]
             if len(s := self._spelled(chr(c), raw=True)) == 2:
                 self.bytes |= {high: s[0], low: s[1]}
-        each = cache_chunks // 2
-        self.after_space, self.bare = Memo(self._after_space, each), Memo(lambda c: self._chunk(c, c, ""), each)
+        self.after_space = Memo(self._after_space, cache_chunks)
+        self.bare = Memo(lambda c: self._chunk(c, c, ""), cache_chunks // 8)
 
     def _spelled(self, text: str, raw: bool = False) -> str:
         return "".join(p for p, _ in self.split(text if raw else self.normalize(text)))
