@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import blank_to_null, flexible_timestamp
 
 BOM = "﻿"
+#: Encodings that Spark's reader decodes itself.
+KNOWN_ENCODINGS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
 #: Formats that times are tried in, in order.
 TIME_FORMATS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyyMMddHHmmss"]
 
@@ -36,11 +38,18 @@ def scan_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", separator:
     """All columns of a file or flat folder as text, with source_file and source_row (from 0 in
     the order of the file): the lineage key of a row.
 
-    A byte order mark is dropped from the first header. Rows of another width than the header
+    Encodings that Spark's reader does not know are read byte by byte and decoded in Arrow
+    batches, header included; what cannot be decoded becomes a replacement character. A byte
+    order mark is dropped from the first header. Rows of another width than the header
     are kept with nulls or cut; use :func:`drop_ragged` before trusting positions.
     """
-    df = spark.read.csv(path, header=True, encoding=encoding, sep=separator, enforceSchema=False, mode="PERMISSIVE")
-    df = df.select([F.col(f"`{c}`").alias(c.lstrip(BOM).strip()) for c in df.columns])
+    known = encoding.lower() in KNOWN_ENCODINGS
+    df = spark.read.csv(path, header=True, encoding=encoding if known else "ISO-8859-1", sep=separator, escape='"', enforceSchema=False, mode="PERMISSIVE")
+    if known:
+        df = df.select([F.col(f"`{c}`").alias(c.lstrip(BOM).strip()) for c in df.columns])
+    else:
+        decoded = F.pandas_udf(lambda s: s.map(lambda v: v.encode("latin-1").decode(encoding, "replace"), na_action="ignore"), "string")
+        df = df.select([decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(encoding, "replace").strip()) for c in df.columns])
     named = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_at", F.monotonically_increasing_id())
     from pyspark.sql import Window
 
@@ -116,7 +125,8 @@ def scan_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                 head, *rows = _sheet(content) or [[]]
                 at = {(h or "").strip(): i for i, h in enumerate(head)}
                 out = [[r[at[c]] if c in at and at[c] < len(r) else None for c in columns] for r in rows]
-                yield pd.DataFrame(out, columns=columns, dtype=object).assign(source_file=file.rsplit("/", 1)[-1], source_row=range(len(out)))
+                if out:
+                    yield pd.DataFrame(out, columns=columns, dtype=object).assign(source_file=file.rsplit("/", 1)[-1], source_row=range(len(out)))
 
     schema = ", ".join(f"`{c}` string" for c in columns) + ", source_file string, source_row long"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)

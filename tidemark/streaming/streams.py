@@ -49,7 +49,8 @@ def framed(files: DataFrame, marker: bytes, length_bytes: int = 2) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 bodies = list(Framer(marker, length_bytes).feed(bytes(content)))
-                yield pd.DataFrame({"path": [path] * len(bodies), "packet": range(len(bodies)), "body": bodies})
+                if bodies:
+                    yield pd.DataFrame({"path": [path] * len(bodies), "packet": range(len(bodies)), "body": bodies})
 
     return files.select("path", "content").mapInPandas(run, "path string, packet long, body binary")
 
