@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import Memo
@@ -105,16 +105,37 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
 
 
+def _by_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (left < right) among which are all pairs of ``sets`` (id, component, items) that
+    reach the similarity and lie in different components.
+
+    With items in one order, rarest first, sets that are similar share one among their first
+    ``100 - percent`` in a hundred, and behind the first that they share enough of both is left
+    to make up the overlap. Items of one set only take the first places and are never joined.
+    """
+    items = sets.select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "item")) - 1
+    heads = items.join(common, "item").withColumn("place", place).where(F.col("place") * 100 <= (100 - percent) * F.col("n"))
+    heads = staged(heads.select("id", "component", "n", "item", "place"), "heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    enough = F.expr(f"""a.item = b.item and a.id < b.id and a.component <> b.component
+        and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+        and {100 + percent} * least(a.n - a.place, b.n - b.place) >= {percent} * (a.n + b.n)""")
+    return a.join(b, enough).select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
+
+
 def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents`` (doc_id, text).
 
     Documents are linked where ``100 * intersection >= percent * union`` of their sets of word
     shingles. component_id is the smallest doc_id reachable over links, kept tells whether it
     is the row's own. Exact copies of a set share one representative. In each bucket of each
-    band the representatives are compared to the smallest one, then those that are still in
-    other components to the bucket's last component, and at last every pair of a bucket whose
-    components still differ; pairs inside a component need no comparison. All comparisons are
-    of full sets.
+    band the representatives are compared to the one in their middle, which links most of any
+    group. Where a bucket still holds several components, all its sets go on to an exact join
+    by rare shingles, which leaves only pairs of different components that can be similar.
+    Pairs inside a component need no comparison. All comparisons are of full sets.
 
     A null, empty or wordless text has no shingles and is a component of its own. Rows that
     repeat a doc_id are one node. A null doc_id is linked with nothing, its component_id is
@@ -125,8 +146,11 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = S
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = staged(usable.groupBy("name").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "sets")
     in_bucket = sets.select(F.explode("bands").alias("bucket"), "id")
-    shared = in_bucket.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(in_bucket.join(shared, "bucket"), "buckets")
+    # The middle of a group shares the most buckets with the rest of it.
+    middle = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    first = members.join(middle, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("first"))
 
     involved = staged(members.select("id").distinct(), "involved")
     texts = rows_in.join(broadcast_if_small(involved, involved.count()), rows_in["doc_id"] == involved["id"], "left_semi")
@@ -137,25 +161,16 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = S
         full = pairs.join(b, "right").join(a, "left")
         return staged(full.select("left", "right", _linked(F.col("left_items"), F.col("right_items"), percent).alias("linked")), "verified")
 
-    pair = [F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")]
-    known = verified(members.where("id > first").select(F.col("first").alias("left"), F.col("id").alias("right")).distinct())
-    for last in (False, True):
-        links = known.where("linked")
-        component = connected_components(links)
-        labelled = members.select("bucket", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max(F.struct("component", "id")).alias("high")).where("low < high.component")
-        open_ = staged(labelled.join(split, "bucket").select("bucket", "id", "component", "high"), "open")
-        if open_.isEmpty():
-            break
-        if last:
-            a, b = (open_.select("bucket", F.col("id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("left", "right"))
-            more = a.join(b, "bucket").where("left < right and left_c <> right_c").select("left", "right")
-        else:
-            more = open_.where("component <> high.component").select(F.col("high.id").alias("left"), F.col("id").alias("right")).select(*pair)
-        found = verified(more.distinct().join(known, ["left", "right"], "left_anti"))
-        known = staged(known.unionByName(found), "verified")
-        if last:
-            component = connected_components(known.where("linked"))
+    stars = members.join(first, "bucket").where("id <> first").select(F.least("first", "id").alias("left"), F.greatest("first", "id").alias("right"))
+    known = verified(stars.distinct())
+    component = connected_components(known.where("linked"))
+    labelled = members.select("bucket", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_ = staged(labelled.join(split, "bucket").select("id", "component").distinct(), "open")
+    if not open_.isEmpty():
+        more = _by_prefixes(items.join(open_, "id"), percent).join(known, ["left", "right"], "left_anti")
+        known = known.unionByName(verified(more))
+        component = connected_components(known.where("linked"))
 
     groups = sets.select("name", F.col("id").alias("set_id"))
     named = signed.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, name)").alias("name")).join(groups, "name", "left")
