@@ -89,4 +89,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_fixity": """
+WITH r AS (SELECT page_id // 1000 AS file, page_id, strlen(E'WARC/1.0\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:page:' || page_id || E'>\\r\\nWARC-Target-URI: ' || coalesce(url, '')
+    || E'\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || strlen(coalesce(html, '')) || E'\\r\\n\\r\\n') + strlen(coalesce(html, '')) + 4 AS length FROM pages),
+ p AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS place FROM r)
+SELECT file, place AS "offset", length AS first_length, length AS second_length, 'changed' AS damage FROM p WHERE page_id % 97 = 0
+UNION ALL SELECT file, place, length, NULL, 'missing' FROM p WHERE page_id % 97 IN (1, 2)
+UNION ALL SELECT file, place + 1, NULL, length, 'extra' FROM p WHERE page_id % 97 = 2""",
+    "op9_tool_calls": """
+WITH c AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'user'),
+ d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM c)
+SELECT d.conv_id, call_id, depth, 'reply' AS name, 1::BIGINT AS n_calls, (a.conv_id IS NOT NULL)::BIGINT AS n_results, a.conv_id IS NOT NULL AS linked, '' AS problems, true AS valid,
+ '{"arguments":{"text":' || to_json(d.text) || ',"turn":' || d.turn || '},"call_id":"' || call_id || '","conv_id":' || d.conv_id || ',"depth":' || depth || ',"name":"reply","parent_id":"' || d.conv_id || ':' || (d.turn - 2) || '","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
+FROM d LEFT JOIN conversations a ON a.conv_id = d.conv_id AND a.turn = d.turn + 1 AND a.role = 'assistant'""",
+}
