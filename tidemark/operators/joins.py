@@ -29,12 +29,16 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str,
     side, at most ``most`` away; the earlier of two as near, of equal times the one with the
     smallest ``tie``; null without one.
 
-    One sort of both sides by key: the last right row up to and the first from each left row
-    are carried along by windows, so nothing is multiplied. ``t`` and ``tie`` are read from both.
+    Both sides are dealt to cells of four times ``most``, right rows also to the cell next door
+    where it is near, so a key may hold any share of the rows. In a cell windows carry the last
+    right row up to and the first from each left row. ``t`` and ``tie`` are read from both.
     """
+    size = 4 * most if most else 1
     r = right.groupBy(*keys, t).agg(F.min(tie).alias("_tie")).select(*keys, F.col(t).alias("_t"), F.lit(None).cast("long").alias("_row"), F.struct(F.col(t).alias("t"), F.col("_tie").alias("tie")).alias("_at"))
+    r = r.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("_t") - most) / size), F.floor((F.col("_t") + most) / size))))
     l = left.select(*keys, F.col(t).alias("_t"), F.col(tie).cast("long").alias("_row"), F.lit(None).cast(r.schema["_at"].dataType).alias("_at"))  # noqa: E741
-    w = Window.partitionBy(*keys).orderBy("_t")
+    l = l.withColumn("_cell", F.floor(F.col("_t") / size))  # noqa: E741
+    w = Window.partitionBy(*keys, "_cell").orderBy("_t")
     both = l.unionByName(r)
     both = both.withColumn("_b", F.last("_at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
     back, ahead = F.col("_t") - F.col("_b.t"), F.col("_f.t") - F.col("_t")

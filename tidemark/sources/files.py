@@ -8,7 +8,7 @@ from io import BytesIO
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import blank_to_null, flexible_timestamp
@@ -51,9 +51,12 @@ def scan_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", separator:
         decoded = F.pandas_udf(lambda s: s.map(lambda v: v.encode("latin-1").decode(encoding, "replace"), na_action="ignore"), "string")
         df = df.select([decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(encoding, "replace").strip()) for c in df.columns])
     named = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).withColumn("_at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
-
-    return named.withColumn("source_row", F.row_number().over(Window.partitionBy("source_file").orderBy("_at")) - 1).drop("_at")
+    # Rows are numbered inside each split at once; only the splits' sizes meet in a window.
+    split = F.shiftright("_at", 33).alias("_split")
+    sizes = named.groupBy("source_file", split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    offsets = sizes.select("source_file", "_split", (before - F.col("_first")).alias("_offset"))
+    return named.withColumn("_split", split).join(offsets, ["source_file", "_split"]).withColumn("source_row", F.col("_at") + F.col("_offset")).select(*df.columns, "source_file", "source_row")
 
 
 def scan_range(df: DataFrame, lows_highs: dict[str, tuple[float, float]]) -> DataFrame:
