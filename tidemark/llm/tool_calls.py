@@ -64,7 +64,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, lis
     one = calls.where(named).groupBy(*key).agg(F.min(F.struct("name", "arguments", "parent_id")).alias("c"), F.count("*").alias("n_calls")).select(*key, "c.*", "n_calls")
     one = staged(one, "calls")
     answer = results.where(named).groupBy(*key).agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    joined = one.join(answer, key, "left").join(_depths(one), key, "left").withColumn("args", F.try_parse_json("arguments"))
+    joined = one.join(answer.hint("shuffle_hash"), key, "left").join(_depths(one), key, "left").withColumn("args", F.try_parse_json("arguments"))
     is_object = F.coalesce(F.schema_of_variant("args").startswith("OBJECT<"), F.lit(False))
     problems = F.array(F.lit("name"))
     for name, fields in schemas.items():
