@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clusters, ranking, sessions, tracks
 from tidemark.operators.components import connected_components
 from tidemark.sources import files, sinks
+from tidemark.streaming import streams
 from tidemark.streaming.streams import Framer, framed, upsert_recent
 
 
@@ -177,6 +178,19 @@ def test_upsert_keeps_latest_of_each_key(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()} == {(1, 11), (2, 12)}
 
 
+def test_streamed_association_equals_the_batch(spark, tmp_path):
+    random = np.random.default_rng(8)
+    rows = [("ab"[i % 2], f, float(random.integers(0, 30)), 100 * f + i) for f in range(8) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, frame long, v double, id long")
+    want = {(r["id"], r["track"]) for r in tracks.associate(df, ["k"], "frame", "v", "id", 3.0, 1).collect()}
+    for part in range(2):
+        df.where(F.floor(F.col("frame") / 4) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.associated(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "k", "frame", "v", "id", 3.0, 1)
+    streams.publish(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.schema("key string, frame long, id long, track long").parquet(str(tmp_path / "out")).collect()
+    assert {(r["id"], r["track"]) for r in got} == want
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 

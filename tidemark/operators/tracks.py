@@ -72,6 +72,23 @@ def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -
     return pairs.select(*keys, "left_id", "right_id", "cost").groupBy(*keys).applyInPandas(run, _pairs(keys, pairs))
 
 
+def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, values: list[float], reach: float, missed: int) -> tuple[list[int], dict[int, tuple[int, float]], int]:
+    """One frame's tracks: their numbers for ``values`` in order, the tracks alive after it (number
+    to last frame and value) and how many there have been."""
+    live = {k: s for k, s in live.items() if at - s[0] - 1 <= missed}
+    near = sorted((abs(x - s[1]), k, i) for k, s in live.items() for i, x in enumerate(values) if abs(x - s[1]) <= reach)
+    used, got = set(), {}
+    for _, k, i in near:
+        if k not in used and i not in got:
+            used.add(k)
+            got[i] = k
+    for i, x in enumerate(values):
+        if i not in got:
+            got[i], count = count, count + 1
+        live[got[i]] = (at, x)
+    return [got[i] for i in range(len(values))], live, count
+
+
 def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """``track``: number from 0 within the key. In each frame, values go one to one to the live
     tracks whose last value is nearest, up to ``reach``, nearest pairs first; the others begin
@@ -79,22 +96,11 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
-        label, count, live = np.empty(len(pdf), np.int64), 0, {}
+        labels, count, live = [], 0, {}
         for at, rows in pdf.groupby(frame, sort=True):
-            live = {k: s for k, s in live.items() if at - s[0] - 1 <= missed}
-            values = rows[value].to_numpy(float)
-            near = sorted((abs(x - s[1]), k, i) for k, s in live.items() for i, x in enumerate(values) if abs(x - s[1]) <= reach)
-            used, got = set(), {}
-            for _, k, i in near:
-                if k not in used and i not in got:
-                    used.add(k)
-                    got[i] = k
-            for i, x in enumerate(values):
-                if i not in got:
-                    got[i], count = count, count + 1
-                live[got[i]] = (at, x)
-                label[rows.index[i]] = got[i]
-        return pdf.assign(track=label)
+            found, live, count = associate_frame(live, count, int(at), rows[value].tolist(), reach, missed)
+            labels += found
+        return pdf.assign(track=np.array(labels, np.int64))
 
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema, T.StructField("track", T.LongType())]))
 

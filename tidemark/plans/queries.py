@@ -277,7 +277,7 @@ def full_span_window(spark, d):
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, min(t) AS a FROM e GROUP BY user_id UNION ALL SELECT * FROM (SELECT r.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = r.user_id AND e.t - r.a > {6 * HOUR}) AS a FROM r) WHERE a IS NOT NULL),
- p AS (SELECT e.*, (SELECT max(a) FROM r WHERE r.user_id = e.user_id AND a <= e.t) AS anchor FROM e) SELECT user_id, anchor, count(*) AS n, sum(t)::HUGEINT // count(*) AS center FROM p GROUP BY user_id, anchor""")
+ p AS (SELECT e.*, (SELECT max(a) FROM r WHERE r.user_id = e.user_id AND a <= e.t) AS anchor FROM e) SELECT user_id, anchor, count(*) AS n, (sum(t)::HUGEINT // count(*))::BIGINT AS center FROM p GROUP BY user_id, anchor""")
 def first_anchored_windows(spark, d):
     return C.anchor_bins(events(spark, d), ["user_id"], "t", 6 * HOUR).groupBy("user_id", "anchor").agg(F.count("*").alias("n"), F.expr("cast(floor(sum(cast(t as decimal(38, 0))) / count(*)) as long)").alias("center"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.scalars import micros
+from tidemark.operators.tracks import associate_frame
 
 
 class Framer:
@@ -100,6 +101,29 @@ def gate(events: DataFrame, key: str, ts: str, value: str, threshold: float, hol
     return rows.groupBy("key").applyInPandasWithState(_gate(threshold, hold_micros), "key long, t long, value double, state string, edge boolean", "since long, confirmed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _associate(reach: float, missed: int):
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, ids, frames, values = state.get if state.exists else (0, [], [], [])
+        live = {k: (f, v) for k, f, v in zip(ids, frames, values, strict=True)}
+        rows = pd.concat(list(batches)).sort_values(["frame", "value", "id"])
+        labels: list[int] = []
+        for at, part in rows.groupby("frame", sort=True):
+            found, live, count = associate_frame(live, count, int(at), part["value"].tolist(), reach, missed)
+            labels += found
+        state.update((count, list(live), [f for f, _ in live.values()], [v for _, v in live.values()]))
+        yield pd.DataFrame({"key": key[0], "frame": rows["frame"], "id": rows["id"], "track": labels})
+
+    return run
+
+
+def associated(events: DataFrame, key: str, frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
+    """key, frame, id, track of a stream, as ``tracks.associate`` gives for its rows together;
+    a micro-batch holds whole frames and comes after those of smaller ones. The state of a key
+    is its live tracks."""
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(frame).cast("long").alias("frame"), F.col(value).cast("double").alias("value"), F.col(tie).cast("long").alias("id"))
+    return rows.groupBy("key").applyInPandasWithState(_associate(reach, missed), "key string, frame long, id long, track long", "count long, ids array<long>, frames array<long>, last array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def publish(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Batches as Parquet: a file counts once the sink's log lists it, so readers see whole
     batches only. A new checkpoint folder is a new epoch: what was in flight is left."""
