@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, staged
 
 
 def connected_components(edges: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
@@ -16,16 +16,20 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
     shared folder between rounds. Edges with a null end are left out; loops and repeats do no
     harm; no edges give an empty table.
     """
+    spark, kept, old, new = edges.sparkSession, [], [], []
     one = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null")
-    both = staged(one.union(one.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), "labels")
+    both = staged(one.union(one.select("b", "a")).distinct(), "edges", kept)
+    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")), "labels", old)
     while True:
         near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("n"))
         lower = labels.join(near, "a").select("a", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        lower = staged(lower, "labels")
+        lower = staged(lower, "labels", old)
         jump = lower.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        labels = staged(lower.join(jump, "l").select("a", "was", F.col("ll").alias("l")), "labels")
+        labels = staged(lower.join(jump, "l").select("a", "was", F.col("ll").alias("l")), "labels", new)
         moved = labels.where("l < was").limit(1).count()
         labels = labels.select("a", "l")
+        drop(spark, old)
         if not moved:
+            drop(spark, kept)
             return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
+        old, new = new, []

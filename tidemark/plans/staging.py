@@ -30,17 +30,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read from there.
 
-    Cuts the lineage without tying rows to one executor: a lost executor costs a read.
+    Cuts the lineage without tying rows to one executor: a lost executor costs a read. The
+    table stays for the session, or until :func:`drop` is called on the list ``scratch``, which
+    gets its path.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for path in scratch:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    scratch.clear()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if ``rows``, its counted size, is at most ``most``; beyond
     that a join shuffles."""
