@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import Memo
 from tidemark.operators.components import connected_components
-from tidemark.plans.staging import broadcast_if_small, staged
+from tidemark.plans.staging import broadcast_if_small, drop, staged
 
 PLACES = 1 << 20
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -105,7 +105,7 @@ def _linked(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * both >= percent * (na + nb - both))
 
 
-def _by_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def _by_prefixes(sets: DataFrame, percent: int, scratch: list[str]) -> DataFrame:
     """Pairs (left < right) among which are all pairs of ``sets`` (id, component, items) that
     reach the similarity and lie in different components.
 
@@ -118,7 +118,7 @@ def _by_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("id")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "item")) - 1
     heads = items.join(common, "item").withColumn("place", place).where(F.col("place") * 100 <= (100 - percent) * F.col("n"))
-    heads = staged(heads.select("id", "component", "n", "item", "place"), "heads")
+    heads = staged(heads.select("id", "component", "n", "item", "place"), "heads", scratch)
     a, b = heads.alias("a"), heads.alias("b")
     enough = F.expr(f"""a.item = b.item and a.id < b.id and a.component <> b.component
         and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
@@ -141,37 +141,39 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = S
     repeat a doc_id are one node. A null doc_id is linked with nothing, its component_id is
     null and it is kept. ``documents`` is read twice and other columns are not read.
     """
+    scratch: list[str] = []
     rows_in = documents.select(F.col("doc_id").cast("long"), "text")
     signed = staged(rows_in.mapInArrow(_sign(words, bands, rows), "doc_id long, n_shingles long, name binary, bands array<long>"), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     sets = staged(usable.groupBy("name").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "sets")
     in_bucket = sets.select(F.explode("bands").alias("bucket"), "id")
     shared = in_bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(in_bucket.join(shared, "bucket"), "buckets")
+    members = staged(in_bucket.join(shared, "bucket"), "buckets", scratch)
     # The middle of a group shares the most buckets with the rest of it.
     middle = members.groupBy("id").agg(F.sum("n").alias("weight"))
     first = members.join(middle, "id").groupBy("bucket").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("first"))
 
-    involved = staged(members.select("id").distinct(), "involved")
+    involved = staged(members.select("id").distinct(), "involved", scratch)
     texts = rows_in.join(broadcast_if_small(involved, involved.count()), rows_in["doc_id"] == involved["id"], "left_semi")
-    items = staged(texts.mapInArrow(_sets(words), "id long, items array<long>"), "items")
+    items = staged(texts.mapInArrow(_sets(words), "id long, items array<long>"), "items", scratch)
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (items.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items")) for c in ("left", "right"))
         full = pairs.join(b, "right").join(a, "left")
-        return staged(full.select("left", "right", _linked(F.col("left_items"), F.col("right_items"), percent).alias("linked")), "verified")
+        return staged(full.select("left", "right", _linked(F.col("left_items"), F.col("right_items"), percent).alias("linked")), "verified", scratch)
 
     stars = members.join(first, "bucket").where("id <> first").select(F.least("first", "id").alias("left"), F.greatest("first", "id").alias("right"))
     known = verified(stars.distinct())
     component = connected_components(known.where("linked"))
     labelled = members.select("bucket", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = staged(labelled.join(split, "bucket").select("id", "component").distinct(), "open")
+    open_ = staged(labelled.join(split, "bucket").select("id", "component").distinct(), "open", scratch)
     if not open_.isEmpty():
-        more = _by_prefixes(items.join(open_, "id"), percent).join(known, ["left", "right"], "left_anti")
+        more = _by_prefixes(items.join(open_, "id"), percent, scratch).join(known, ["left", "right"], "left_anti")
         known = known.unionByName(verified(more))
         component = connected_components(known.where("linked"))
 
+    drop(documents.sparkSession, scratch)  # what follows reads the signatures, sets and components
     groups = sets.select("name", F.col("id").alias("set_id"))
     named = signed.select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, name)").alias("name")).join(groups, "name", "left")
     labelled = named.join(component.select(F.col("id").alias("set_id"), "component"), "set_id", "left")
