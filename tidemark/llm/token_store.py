@@ -90,12 +90,13 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     inside = (which < blocks - 1) | (where < last)  # no words for the last block's padding
     which, where = which[inside], where[inside]
     chosen = selector[which, where]
-    words = chosen.astype(np.uint64) << np.uint64(60)
+    words, cells = chosen.astype(np.uint64) << np.uint64(60), grid.ravel()
     for s in np.unique(chosen):
         i = np.flatnonzero(chosen == s)
-        lane = np.arange(COUNTS[s])
-        part = grid[which[i, None], where[i, None] + lane] << (lane * BITS[s]).astype(np.uint64)
-        words[i] |= np.bitwise_or.reduce(part, axis=1)
+        at, filled = which[i] * grid.shape[1] + where[i], words[i]
+        for lane in range(COUNTS[s]):
+            filled |= cells[at + lane] << np.uint64(lane * BITS[s])
+        words[i] = filled
     return words, np.searchsorted(which, np.arange(blocks)).astype(np.int32), escapes
 
 

@@ -64,6 +64,8 @@ class ChunkCodec:
 
     def _after_space(self, piece: str) -> bytes:
         """Ids of what follows a space; a line feed in front stands in the space's place."""
+        if piece.isascii() and piece.isalpha():
+            return self._model([self.space + (piece.lower() if self.lower else piece)])
         if piece[:1] == "\n":
             return self.bare["\n"] + self.bare[piece[1:]] if _WORD.fullmatch(piece, 1) else self._library(piece)
         return self._chunk(piece, " " + piece, self.space)
