@@ -36,8 +36,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces in sequences."""
-    return packing.pack_documents(docs)
+    """The documents' token pieces in sequences; few words are remembered, as the executors still
+    hold what the stages before took."""
+    return packing.pack_documents(docs, cache_chunks=150_000)
 
 
 STAGES = [("language", language), ("deduplicated", deduplicated), ("decontaminated", decontaminated), ("private", private), ("packed", packed)]

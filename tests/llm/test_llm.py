@@ -312,7 +312,7 @@ def test_licenses_by_brute_force(spark):
 
 def test_audit_finds_all_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i * 37 % 900)) for i in range(300)] + [(None, None, None), (7, "again", "x")], "page_id long, url string, html string").withColumn("offset", F.lit(1))
-    a = staged(fixity.warc_records(pages, 100), "a")
+    a = staged(fixity.placed(fixity.warc_records(pages, 100)), "a")
     assert {tuple(r) for r in a.groupBy("file").agg(F.min("offset"), (F.max(F.col("offset") + F.col("length")) == F.sum("length"))).collect()} >= {(0, 0, True), (2, 0, True), (-1, 0, True)}
     first = bytes(a.where("page_id = 5").first()["record"])
     assert first.startswith(b"WARC/1.0\r\n") and first.endswith(b"\r\n\r\n") and f"Content-Length: {2 * 185}\r\n".encode() in first

@@ -134,6 +134,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
     left = asked.select(F.col("vec_id").alias("query_id"), "v", size, dealt(query_parts).alias("query_block"), every(parts).alias("block"))
     right = rows.select("vec_id", "v", size, dealt(parts).alias("block"), every(query_parts).alias("query_block"))
     keys = ["dims", "query_block", "block"]
+    # A stated number of partitions: small blocks of much work are not to be merged by their bytes.
+    left, right = (side.repartition(2 * parts * query_parts, *keys) for side in (left, right))
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search_block(nearest, options), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.tokens import claim, slices
 from tidemark.plans.staging import staged
 
 WINDOW = 13
@@ -85,8 +86,9 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _search(shared, more: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         tables = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("_text").cast(pa.binary())
             known = "spans" in batch.schema.names
             before = batch.column("spans").to_pylist() if known else [()] * len(texts)

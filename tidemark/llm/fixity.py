@@ -24,35 +24,46 @@ def _text(value: Column, length: int = 0) -> Column:
 
 
 def warc_records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """A WARC/1.0 resource record for each of ``pages`` (page_id, url, html): file, offset,
-    length, page_id, record (binary).
+    """A WARC/1.0 resource record for each of ``pages`` (page_id, url, html): file, page_id,
+    tie, length, record (binary).
 
-    ``page_id`` div ``file_pages`` names the file, in which records lie by page_id without gaps;
-    rows that repeat a page_id follow each other by their content's hash. A null url or html is
-    empty, a null page_id goes to file -1.
+    ``page_id`` div ``file_pages`` names the file. A null url or html is empty, a null page_id
+    goes to file -1. ``tie`` orders rows that repeat a page_id.
     """
     body = F.encode(_text(F.col("html")), "utf-8")
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), _text(F.col("page_id")), F.lit(">\r\nWARC-Target-URI: "), _text(F.col("url")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"),
     )
-    rows = pages.select(
+    return pages.select(
         F.coalesce(F.floor(F.col("page_id") / F.lit(file_pages)), F.lit(-1)).cast("long").alias("file"),
         F.col("page_id").cast("long").alias("page_id"),
+        F.xxhash64("url", "html").alias("tie"),
         F.concat(F.encode(head, "utf-8"), body, F.encode(F.lit("\r\n\r\n"), "utf-8")).alias("record"),
     ).withColumn("length", F.length("record").cast("long"))
-    before = Window.partitionBy("file").orderBy("page_id", F.xxhash64("record")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("file", (F.sum("length").over(before) - F.col("length")).alias("offset"), "length", "page_id", "record")
+
+
+def placed(records: DataFrame) -> DataFrame:
+    """``records`` with offset: they lie in their file by page_id and tie without gaps. Give
+    :func:`hashed` ones where their bytes are not needed: all columns are shuffled by file."""
+    before = Window.partitionBy("file").orderBy("page_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumn("offset", F.sum("length").over(before) - F.col("length"))
+
+
+def hashed(records: DataFrame) -> DataFrame:
+    """digest (SHA-256 in hexadecimal) in the place of record; a null record counts as empty."""
+    record = F.coalesce("record", F.lit(b""))
+    return records.withColumn("length", F.length(record).cast("long")).withColumn("digest", F.sha2(record, 256)).drop("record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """file, offset, length, digest (SHA-256 in hexadecimal), copies of a replica's records;
-    further columns may stand in ``records`` (file, offset, record) and are not read.
+    """file, offset, length, digest, copies of a replica's records (file, offset and record, or
+    length and digest); other columns are not read.
 
-    Equal records at one offset are one leaf with their number. A null record counts as empty.
+    Equal records at one offset are one leaf with their number.
     """
-    record = F.coalesce("record", F.lit(b""))
-    leaf = records.select(F.col("file"), F.col("offset").cast("long").alias("offset"), F.length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    known = records if "digest" in records.columns else hashed(records)
+    leaf = known.select("file", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"), "digest")
     return leaf.groupBy("file", "offset", "length", "digest").agg(F.count("*").alias("copies"))
 
 
@@ -79,7 +90,7 @@ def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame, range_bytes: int = RANGE, fan: int = FAN) -> DataFrame:
-    """The records in which two replicas (file, offset, record) differ: file, offset,
+    """The records in which two replicas (as for :func:`leaves`) differ: file, offset,
     first_length, second_length, damage (``changed``, ``missing`` in the second or ``extra``
     in it).
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.tokens import claim, slices
 from tidemark.plans.staging import staged
 
 #: Families of languages by ISO 639-1 code. Others form a family of their own.
@@ -39,8 +40,12 @@ UNDETERMINED = "und"
 PLACES, ORDERS = 1 << 15, 3
 #: At most so many labelled documents of each language are learned from.
 PER_LANGUAGE = 800
+#: Iterations of each fit.
+ROUNDS = 8
 #: Characters scored at once.
 SCORED_CHARS = 400_000
+#: A longer text is scored in parts of so many characters, whose n-grams all count.
+PART_CHARS = 1_000_000
 
 
 def family_of(language: str) -> str:
@@ -74,7 +79,7 @@ def _places(c: np.ndarray) -> list[np.ndarray]:
 
 
 def _shares(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at, shares = [], []
         for text in batch.column(1):
             where, n = np.unique(np.concatenate(_places(_characters(text.as_py()))), return_counts=True)
@@ -151,12 +156,12 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     weights, bias = np.zeros((PLACES, len(families) + len(pairs)), np.float32), np.zeros(len(families) + len(pairs))
     if len(families) > 1:
         index = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(families.index(family_of(lang))))])
-        fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=25).fit(data.withColumn("label", index[F.col("lang")]))
+        fit = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=ROUNDS, tol=1e-3).fit(data.withColumn("label", index[F.col("lang")]))
         weights[:, : len(families)] = fit.coefficientMatrix.toArray().T
         bias[: len(families)] = fit.interceptVector.toArray()
     for k, (a, b) in enumerate(pairs, len(families)):
         two = data.where(F.col("lang").isin(a, b)).withColumn("label", (F.col("lang") == a).cast("double"))
-        fit = LinearSVC(regParam=1e-3, maxIter=25).fit(two)
+        fit = LinearSVC(regParam=1e-3, maxIter=ROUNDS, tol=1e-3).fit(two)
         weights[:, k], bias[k] = fit.coefficients.toArray(), fit.intercept
     data.unpersist()
     return LanguageModel(families, members, pairs, weights, bias)
@@ -164,38 +169,45 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
 
 def _score(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(__name__)
         model: LanguageModel | None = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
             held: list[tuple[int, np.ndarray]] = []
+            sums = np.zeros((batch.num_rows, model.weights.shape[1] if model else 0))
+            sizes = np.zeros(batch.num_rows)
 
             def flush() -> None:
                 if not held:
                     return
                 c = np.concatenate([x for _, x in held])
-                ends = np.cumsum([len(x) for _, x in held])
-                begins, sums = ends - [len(x) for _, x in held], 0
+                rows, ends = [r for r, _ in held], np.cumsum([len(x) for _, x in held])
+                begins = ends - [len(x) for _, x in held]
                 for k, at in enumerate(_places(c)):
                     w = model.weights[at]
                     for end in ends:  # n-grams that would reach into the next text
                         w[max(0, end - k) : end] = 0
-                    sums = sums + np.add.reduceat(w, begins, axis=0, dtype=np.float64)
-                sizes = (ends - begins)[:, None] * ORDERS - sum(range(ORDERS))
-                found, sure = model.decide(sums / sizes + model.bias)
-                for (row, _), lang, s in zip(held, found, sure, strict=True):
-                    langs[row], scores[row] = lang, float(s)
+                    np.add.at(sums, rows, np.add.reduceat(w, begins, axis=0, dtype=np.float64))
+                np.add.at(sizes, rows, (ends - begins) * ORDERS - sum(range(ORDERS)))
                 held.clear()
 
             size = 0
             for row, text in enumerate(batch.column("_text")):
-                c = _characters(text.as_py() or "")
-                if model is None or not (c != 32).any():
-                    continue
-                held.append((row, c))
-                if (size := size + len(c)) >= SCORED_CHARS:
-                    flush()
-                    size = 0
+                text = text.as_py() or ""
+                for start in range(0, len(text) if model else 0, PART_CHARS):
+                    c = _characters(text[start : start + PART_CHARS])
+                    if (c != 32).any():
+                        held.append((row, c))
+                        size += len(c)
+                    if size >= SCORED_CHARS:
+                        flush()
+                        size = 0
             flush()
+            known = np.flatnonzero(sizes)
+            if len(known):
+                found, sure = model.decide(sums[known] / sizes[known, None] + model.bias)
+                for row, lang, s in zip(known, found, sure, strict=True):
+                    langs[row], scores[row] = lang, float(s)
             kept = [n for n in batch.schema.names if n not in ("_text", "lang_pred", "score")]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 

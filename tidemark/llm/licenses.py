@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import slices
+
 THRESHOLD = 0.8
 #: Short statements and standard notices of public licences.
 TEMPLATES = [
@@ -138,7 +140,7 @@ def license_matches(documents: DataFrame, templates: list[tuple[str, str]] | Non
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Templates(known, threshold)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scan(t.as_py(), made) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH))], names=["doc_id", "matches"])
 

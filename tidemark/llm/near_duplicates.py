@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import Memo
+from tidemark.llm.tokens import Memo, claim, slices
 from tidemark.operators.components import connected_components
 from tidemark.plans.staging import broadcast_if_small, drop, staged
 
@@ -76,7 +76,8 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim(__name__)
+        for batch in slices(batches):
             ids, sizes, names, out = batch.column(0), [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 h = shingles(text.as_py(), words)
@@ -90,7 +91,8 @@ def _sign(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim(__name__)
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary())
             for i in range(0, len(texts), 500):
                 out = [shingles(t.as_py(), words).view(np.int64) for t in texts[i : i + 500]]

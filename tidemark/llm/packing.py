@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import codec, vocabulary_path
+from tidemark.llm.tokens import CACHE_CHUNKS, codec, slices, vocabulary_path
 from tidemark.plans.staging import staged
 
 CAPACITY = 4096
@@ -85,10 +85,10 @@ def places(bins: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int):
+def _cut(vocabulary: str, end_id: int, capacity: int, cache_chunks: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = codec(vocabulary).encode, int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        encode, end = codec(vocabulary, cache_chunks).encode, int(end_id).to_bytes(4, "little")
+        for batch in slices(batches):
             docs, pieces, starts, lengths, parts = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py()) + end
@@ -111,14 +111,15 @@ def _batch(docs, pieces, starts, lengths, parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
 
-def token_pieces(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Each document's ids, closed by ``end_id`` and cut only where they exceed ``capacity``:
     doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers).
 
     A null or empty text is the end id alone. Rows sharing a doc_id are documents of their own.
+    A Python worker remembers ``cache_chunks`` words, about 200 bytes each.
     """
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, end_id, capacity), "doc_id long, piece int, start long, length long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, end_id, capacity, cache_chunks), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -153,12 +154,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def pack_documents(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """Pieces of all ``documents`` in sequences: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset.
 
     The ids are written once to the shared folder; packing moves only their checksum. Use
     :func:`token_pieces`, ``staged`` and :func:`pack` to keep the ids themselves.
     """
-    pieces = staged(token_pieces(documents, vocabulary, end_id, capacity), "pieces")
+    pieces = staged(token_pieces(documents, vocabulary, end_id, capacity, cache_chunks), "pieces")
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import claim, slices
+
 #: Kinds in the order that spans with one start are listed in. The first four are always kept.
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "key"]
 BASE = KINDS[:4]
@@ -118,7 +120,8 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    claim(__name__)
+    for batch in slices(batches):
         spans = [[dict(zip(("kind", "start", "end", "score"), x, strict=True)) for x in find_spans(t.as_py())] for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
@@ -152,7 +155,8 @@ def redacted(documents: DataFrame) -> DataFrame:
     counts the new text. A null text stays null; all other columns pass unchanged."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim(__name__)
+        for batch in slices(batches):
             texts = pa.array([redact(t.as_py()) for t in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([texts if n == "text" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ann import nearest_neighbours
 from tidemark.llm.decontaminate import contamination
-from tidemark.llm.fixity import audit, warc_records
+from tidemark.llm.fixity import audit, hashed, placed, warc_records
 from tidemark.llm.langid import language_id
 from tidemark.llm.licenses import license_report
 from tidemark.llm.near_duplicates import near_duplicates
@@ -52,9 +52,9 @@ def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     records = warc_records(pages)
     turned = F.concat(F.substring("record", F.lit(1), F.length("record") - 1), F.lit(b"\x00"))
-    replica = records.where("page_id % 97 <> 1").withColumn("record", F.when(F.expr("page_id % 97 = 0"), turned).otherwise(F.col("record")))
-    replica = replica.withColumn("offset", F.expr("if(page_id % 97 = 2, offset + 1, offset)"))
-    return audit(records, replica)
+    damaged = records.withColumn("record", F.when(F.expr("page_id % 97 = 0"), turned).otherwise(F.col("record")))
+    replica = placed(hashed(damaged)).where("page_id % 97 <> 1").withColumn("offset", F.expr("if(page_id % 97 = 2, offset + 1, offset)"))
+    return audit(placed(hashed(records)), replica)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+ b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+ s AS (SELECT item, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+ p AS (SELECT DISTINCT item, m, array_to_string(w[i + 1 : i + m], ' ') AS said FROM (SELECT *, unnest(range(0, len(w) - m + 1)) AS i FROM s)),
+ q AS (SELECT doc_id, i, m, array_to_string(w[i + 1 : i + m], ' ') AS said FROM (SELECT *, unnest(range(0, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)),
+ h AS (SELECT q.doc_id, q.i, q.m, p.item FROM q JOIN p USING (m, said)),
+ n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM h) GROUP BY doc_id),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op7_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS said FROM (SELECT *, unnest(range(0, greatest(1, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.said = b.said AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ r(id, root) AS (SELECT x, x FROM u UNION SELECT r.id, u.y FROM r JOIN u ON u.x = r.root),
+ m AS (SELECT id, min(root) AS c FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id""",
     "op6_fixity": """
 WITH r AS (SELECT page_id // 1000 AS file, page_id, strlen(E'WARC/1.0\\r\\nWARC-Type: resource\\r\\nWARC-Record-ID: <urn:page:' || page_id || E'>\\r\\nWARC-Target-URI: ' || coalesce(url, '')
     || E'\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || strlen(coalesce(html, '')) || E'\\r\\n\\r\\n') + strlen(coalesce(html, '')) + 4 AS length FROM pages),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import codec, vocabulary_path
+from tidemark.llm.tokens import codec, slices, vocabulary_path
 
 BLOCK = 1024
 #: A chunk is closed once it holds as many ids.
@@ -135,7 +135,7 @@ def _encode(vocabulary: str, end_id: int):
             row = {"part": part, "chunk": chunk, "first": first, "doc_ids": list(docs), "doc_lens": lens, "offsets": offsets.tolist(), "words": words.astype("<u8").tobytes(), "escapes": escapes.astype(np.int64).tolist()}
             return pa.RecordBatch.from_pylist([row], schema=_arrow())
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
                 ids.append(encode(text.as_py()) + end)
@@ -169,7 +169,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None,
 
 
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         for row in batch.to_pylist():
             lens = np.array(row["doc_lens"], np.int64)
             ids = simple8b_decode(np.frombuffer(row["words"], "<u8"), np.array(row["offsets"], np.int64), int(lens.sum()), np.array(row["escapes"], np.int64).astype(np.uint64)).astype("<u4")

@@ -10,9 +10,13 @@ as little-endian unsigned 32-bit bytes, which are joined for each text.
 from __future__ import annotations
 
 import re
+import weakref
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+
 #: Unicode's White_Space characters.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
@@ -96,6 +100,7 @@ class Memo(dict):
 
     def __init__(self, make, size: int):
         self.make, self.size, self.older = make, size, {}
+        _memos.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.older.get(key)
@@ -110,7 +115,41 @@ class Memo(dict):
             self.clear()
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> ChunkCodec:
-    """One codec for each vocabulary and Python worker; it outlives a task."""
-    return ChunkCodec(path)
+_memos: list[weakref.ref] = []
+_owner = ""
+
+
+def claim(owner: str) -> None:
+    """What a reused Python worker remembers for other operators is forgotten, so that their
+    bounds do not add up."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    _codec.cache_clear()
+    for ref in list(_memos):
+        if (memo := ref()) is None:
+            _memos.remove(ref)
+        else:
+            memo.older = {}
+            memo.clear()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one and not yet sent stays small;
+    at the end Arrow gives back what it holds in reserve."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
+@lru_cache(maxsize=1)
+def _codec(path: str, cache_chunks: int) -> ChunkCodec:
+    return ChunkCodec(path, cache_chunks)
+
+
+def codec(path: str, cache_chunks: int = CACHE_CHUNKS) -> ChunkCodec:
+    """One codec for a vocabulary and Python worker; it outlives a task."""
+    claim(f"tokens of {path}")
+    return _codec(path, cache_chunks)
