@@ -123,11 +123,11 @@ def test_packing_is_whole_and_gapless(spark, prose, ranked, monkeypatch):
     assert packing.pack(staged(pieces.limit(0), "pieces"), 256).count() == 0
 
 
-def brute_components(texts, ids):
+def brute_components(texts, ids, size=5):
     sets = {}
     for i, t in zip(ids, texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
     parent = {i: i for i in sets}
 
     def find(x):
@@ -143,9 +143,10 @@ def brute_components(texts, ids):
     return {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def test_near_duplicates_by_brute_force(spark, prose):
-    got = near_duplicates.near_duplicates(documents(spark, prose))
-    assert {tuple(r) for r in got.collect()} == brute_components(prose, range(len(prose)))
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_by_brute_force(spark, prose, size):
+    got = near_duplicates.near_duplicates(documents(spark, prose), words=size)
+    assert {tuple(r) for r in got.collect()} == brute_components(prose, range(len(prose)), size)
 
 
 def test_near_duplicates_of_one_large_group(spark):
@@ -165,7 +166,7 @@ def test_near_duplicates_of_one_large_group(spark):
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(5, text), (5, text), (3, text), (None, text), (9, None)], "doc_id long, text string")
-    got = sorted(map(tuple, near_duplicates.near_duplicates(df).collect()), key=str)
+    got = sorted(map(tuple, near_duplicates.near_duplicates(df, words=4).collect()), key=str)
     assert got == sorted([(5, 5, 3, False), (5, 5, 3, False), (3, 5, 3, True), (None, 5, None, True), (9, 0, 9, True)], key=str)
     kept = near_duplicates.without_near_duplicates(df).collect()
     assert sorted(r["doc_id"] is None and -1 or r["doc_id"] for r in kept) == [-1, 3, 9]

@@ -24,7 +24,7 @@ from tidemark.plans.staging import broadcast_if_small, drop, staged
 PLACES = 1 << 20
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 3e-6.
 BANDS, ROWS = 32, 5
-SHINGLE_WORDS = 4
+SHINGLE_WORDS = 5
 PERCENT = 80
 #: Words whose hashes one Python worker remembers.
 CACHE_WORDS = 400_000

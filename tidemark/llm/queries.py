@@ -58,7 +58,7 @@ def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
