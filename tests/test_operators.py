@@ -98,6 +98,24 @@ def test_sessions_do_not_depend_on_buckets(spark):
     assert few == many
 
 
+def test_stretches_do_not_depend_on_buckets(spark):
+    random = np.random.default_rng(5)
+    rows = [(None if i % 3 == 0 else i % 2, None if i == 40 else int(x), i, None if i % 7 == 0 else float(i % 4)) for i, x in enumerate(random.integers(0, 900, 120))]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v double")
+    for f in (
+        lambda b: sessions.lag_difference(df, ["k"], "t", "id", b).select("id", "gap"),
+        lambda b: sessions.run_segments(df, ["k"], "t", "id", "v", b),
+        lambda b: sessions.split_on_gap_or_jump(df, ["k"], "t", "id", "v", 15, 0.2, b).select("id", "part"),
+    ):
+        few, many = (sorted(map(tuple, f(b).collect()), key=repr) for b in (10**6, 17))
+        assert few == many
+    by_key = {}
+    for k, t, i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        by_key.setdefault(k, []).append((t, i))
+    want = {i: None if n == 0 or t is None or found[n - 1][0] is None else t - found[n - 1][0] for found in by_key.values() for n, (t, i) in enumerate(found)}
+    assert {r["id"]: r["gap"] for r in sessions.lag_difference(df, ["k"], "t", "id", 17).collect()} == want
+
+
 def test_suppression_by_brute_force(spark):
     random = np.random.default_rng(4)
     data = [(int(random.integers(3)), i, float(random.integers(50)), int(s := random.integers(100)), int(s + random.integers(1, 30))) for i in range(60)]

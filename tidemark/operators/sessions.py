@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,42 @@ def _ordered(keys: list[str], *order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def lag_difference(df: DataFrame, keys: list[str], t: str, tie: str, out: str = "gap") -> DataFrame:
+def _along(keys: list[str]) -> Window:
+    """The buckets of a key in order."""
+    return Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._bucket")
+
+
+def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], bucket: int, out: str) -> DataFrame:
+    """``out``: a struct of ``carried`` of the key's row before in the order of ``t``, ``tie``;
+    null for its first row. Also ``_part``: the key and the bucket of ``bucket`` of ``t``.
+
+    A key may hold any share of the rows: windows stay inside a bucket, and only the last row
+    of each bucket meets those of the key's other buckets. Null keys and a null ``t`` are
+    values like others, the latter before all.
+    """
+    row = F.struct(*carried)
+    dealt = df.withColumn("_part", F.struct(*keys, F.floor(F.col(t) / bucket).alias("_bucket")))
+    ends = dealt.groupBy("_part").agg(F.max_by(row, F.struct(t, tie)).alias("_last"))
+    before = ends.select("_part", F.lag("_last").over(_along(keys)).alias("_carried"))
+    here = F.lag(row).over(Window.partitionBy("_part").orderBy(t, tie))
+    return dealt.join(before, "_part").withColumn(out, F.coalesce(here, "_carried")).drop("_carried")
+
+
+def stretches(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], starts: Callable[[Column], Column], bucket: int, out: str) -> DataFrame:
+    """``out``: number from 0 of the key's stretch that a row is in. ``starts`` tells from the
+    struct of :func:`previous` whether a row begins one; null does not. Of each bucket only its
+    last row and its number of starts meet the others."""
+    flagged = previous(df, keys, t, tie, carried, bucket, "_prev").withColumn("_start", F.coalesce(starts(F.col("_prev")).cast("long"), F.lit(0)))
+    sums = flagged.groupBy("_part").agg(F.sum("_start").alias("_n"))
+    running = Window.unboundedPreceding, 0
+    before = sums.select("_part", (F.sum("_n").over(_along(keys).rowsBetween(*running)) - F.col("_n")).alias("_before"))
+    inside = F.sum("_start").over(Window.partitionBy("_part").orderBy(t, tie).rowsBetween(*running))
+    return flagged.join(before, "_part").withColumn(out, (inside + F.col("_before")).cast("long")).select(*df.columns, out)
+
+
+def lag_difference(df: DataFrame, keys: list[str], t: str, tie: str, bucket: int, out: str = "gap") -> DataFrame:
     """``out``: distance of ``t`` from the key's row before; null for its first row."""
-    return df.withColumn(out, F.col(t) - F.lag(t).over(_ordered(keys, t, tie)))
+    return previous(df, keys, t, tie, [t], bucket, "_prev").withColumn(out, F.col(t) - F.col("_prev")[t]).select(*df.columns, out)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str) -> DataFrame:
@@ -51,19 +86,21 @@ def session_summary(df: DataFrame, key: str, t: str, tie: str, value: str, gap:
     return out.withColumn("duration", F.col("end_t") - F.col("start_t")).withColumn("mean_gap", F.when(F.col("n") > 1, F.col("duration") / (F.col("n") - 1)).otherwise(0.0))
 
 
-def run_segments(df: DataFrame, keys: list[str], t: str, tie: str, value: str) -> DataFrame:
+def run_segments(df: DataFrame, keys: list[str], t: str, tie: str, value: str, bucket: int) -> DataFrame:
     """A row for each run of equal ``value``: run, value, start, end, n. Nulls form runs too."""
-    w = _ordered(keys, t, tie)
-    changed = (F.row_number().over(w) > 1) & ~F.col(value).eqNullSafe(F.lag(value).over(w))
-    return islands(df, keys, [t, tie], changed, "run").groupBy(*keys, "run", value).agg(F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("n"))
+    runs = stretches(df, keys, t, tie, [value], lambda p: p.isNotNull() & ~F.col(value).eqNullSafe(p[value]), bucket, "run")
+    return runs.groupBy(*keys, "run", value).agg(F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("n"))
 
 
-def split_on_gap_or_jump(df: DataFrame, keys: list[str], t: str, tie: str, value: str, gap: int, rate: float) -> DataFrame:
+def split_on_gap_or_jump(df: DataFrame, keys: list[str], t: str, tie: str, value: str, gap: int, rate: float, bucket: int) -> DataFrame:
     """``part``: a new one begins where ``t`` jumps by more than ``gap`` or ``value`` changes by
     more than ``rate`` for each unit of ``t`` (no rate over equal ``t``)."""
-    w = _ordered(keys, t, tie)
-    dt, dv = F.col(t) - F.lag(t).over(w), F.abs(F.col(value) - F.lag(value).over(w))
-    return islands(df, keys, [t, tie], (dt > gap) | ((dt > 0) & (dv > rate * dt)), "part")
+
+    def starts(before: Column) -> Column:
+        dt, dv = F.col(t) - before[t], F.abs(F.col(value) - before[value])
+        return (dt > gap) | ((dt > 0) & (dv > rate * dt))
+
+    return stretches(df, keys, t, tie, [t, value], starts, bucket, "part")
 
 
 def coalesce_parts(df: DataFrame, keys: list[str], t: str, part: str, gap: int) -> DataFrame:

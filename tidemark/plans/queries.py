@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+WEEK = 7 * DAY
 EVENTS = "e AS (SELECT event_id, epoch_us(ts) AS t, user_id, event_type, value FROM events)"
 
 
@@ -230,11 +231,8 @@ def mahalanobis(spark, d):
 
 @query(f"WITH {SESSIONS} SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, session) AS component FROM ss QUALIFY count(*) OVER (PARTITION BY user_id, session) > 1")
 def components(spark, d):
-    g = W.lag_difference(events(spark, d), ["user_id"], "t", "event_id")
-    from pyspark.sql import Window
-
-    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("t", "event_id"))
-    return connected_components(g.withColumn("before", before).where(f"gap <= {6 * HOUR}"), "before", "event_id")
+    near = W.previous(events(spark, d), ["user_id"], "t", "event_id", ["t", "event_id"], WEEK, "prev").where(f"t - prev.t <= {6 * HOUR}")
+    return connected_components(near.select(F.col("prev.event_id").alias("before"), "event_id"), "before", "event_id")
 
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS labels FROM events GROUP BY user_id")
@@ -251,13 +249,13 @@ def flatten_nested(spark, d):
 
 @query(f"WITH {EVENTS} SELECT event_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM e")
 def lag_differences(spark, d):
-    return W.lag_difference(events(spark, d), ["user_id"], "t", "event_id").select("event_id", "gap")
+    return W.lag_difference(events(spark, d), ["user_id"], "t", "event_id", WEEK).select("event_id", "gap")
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
  r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g) SELECT user_id, run, event_type, min(t) AS start_t, max(t) AS end_t, count(*) AS n FROM r GROUP BY user_id, run, event_type""")
 def run_segments(spark, d):
-    return W.run_segments(events(spark, d), ["user_id"], "t", "event_id", "event_type")
+    return W.run_segments(events(spark, d), ["user_id"], "t", "event_id", "event_type", WEEK)
 
 
 @query(f"WITH {EVENTS} SELECT t // {DAY} AS frame, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY ALL")
@@ -288,13 +286,13 @@ SPLIT = f"""WITH {EVENTS}, g AS (SELECT *, t - lag(t) OVER w AS dt, abs(value -
 
 @query(SPLIT + " SELECT event_id, part FROM p")
 def split_gap_or_jump(spark, d):
-    return W.split_on_gap_or_jump(events(spark, d), ["user_id"], "t", "event_id", "value", 12 * HOUR, 20 / HOUR).select("event_id", "part")
+    return W.split_on_gap_or_jump(events(spark, d), ["user_id"], "t", "event_id", "value", 12 * HOUR, 20 / HOUR, WEEK).select("event_id", "part")
 
 
 @query(SPLIT + f""", q AS (SELECT user_id, part, min(t) AS s, max(t) AS x, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT *, sum(CASE WHEN s - lx > {10 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, part ROWS UNBOUNDED PRECEDING)::BIGINT AS merged
  FROM (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY s, part) AS lx FROM q)) SELECT user_id, merged, count(*) AS parts, min(s) AS start_t, max(x) AS end_t, sum(n)::BIGINT AS n FROM m GROUP BY user_id, merged""")
 def coalesce_split_parts(spark, d):
-    parts = W.split_on_gap_or_jump(events(spark, d), ["user_id"], "t", "event_id", "value", 12 * HOUR, 20 / HOUR)
+    parts = W.split_on_gap_or_jump(events(spark, d), ["user_id"], "t", "event_id", "value", 12 * HOUR, 20 / HOUR, WEEK)
     return W.coalesce_parts(parts, ["user_id"], "t", "part", 10 * HOUR)
 
 
@@ -395,20 +393,23 @@ def smooth_velocity(spark, d):
     return C.smooth_constant_velocity(e, ["user_id"], "h", "value", "event_id", 25.0, 0.1).select("event_id", "smooth", "velocity")
 
 
-def _frame_pairs(spark, d) -> DataFrame:
-    e = W.frames(events(spark, d), "t", DAY).select("frame", "event_id", "event_type", "value")
-    a, b = (e.where(F.col("event_type") == k).select("frame", F.col("event_id").alias(i), F.col("value").alias(v)) for k, i, v in (("purchase", "left_id", "a"), ("click", "right_id", "b")))
-    return a.join(b, "frame").select("frame", "left_id", "right_id", F.abs(F.col("a") - F.col("b")).alias("cost"))
+def _frame_pairs(spark, d, most: float) -> DataFrame:
+    """Pairs of a frame's purchases and clicks with values up to ``most`` apart, by cells of that
+    width and the two next to them."""
+    e = W.frames(events(spark, d), "t", DAY).withColumn("cell", F.floor(F.col("value") / most))
+    a, b = (e.where(F.col("event_type") == k).select("frame", "cell", F.col("event_id").alias(i), F.col("value").alias(v)) for k, i, v in (("purchase", "left_id", "a"), ("click", "right_id", "b")))
+    b = b.withColumn("cell", F.explode(F.sequence(F.col("cell") - 1, F.col("cell") + 1)))
+    return a.join(b, ["frame", "cell"]).select("frame", "left_id", "right_id", F.abs(F.col("a") - F.col("b")).alias("cost")).where(F.col("cost") <= most)
 
 
 @query()
 def greedy_assignment(spark, d):
-    return K.greedy_assignment(_frame_pairs(spark, d), ["frame"], 5.0)
+    return K.greedy_assignment(_frame_pairs(spark, d, 5.0), ["frame"], 5.0)
 
 
 @query()
 def least_cost_assignment(spark, d):
-    return K.least_cost_assignment(_frame_pairs(spark, d), ["frame"], 5.0)
+    return K.least_cost_assignment(_frame_pairs(spark, d, 5.0), ["frame"], 5.0)
 
 
 @query()
