@@ -311,6 +311,41 @@ def test_licenses_by_brute_force(spark):
     assert [report[len(HARD) + k] for k in range(4)] == ["MIT", "CC-BY-NC-4.0", "Apache-2.0", "Apache-2.0"]
 
 
+GPL_NOTICE = next(text for name, text in licenses.TEMPLATES if name == "GPL-3.0-or-later")
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("A tool for maps, made by many hands. This work is licensed under the GNU\nGeneral Public License, version 3. It has a manual\nof forty pages, and more will come in spring.", "GPL-3.0"),
+        ("Maps are drawn here every day. " + GPL_NOTICE + " The manual has forty pages. It lies on the table by the door, and more will come. " * 9, "GPL-3.0-or-later"),
+        ("/*\n * Copyright 2019 somebody\n *\n * " + GPL_NOTICE.replace("under", "\n *\n * under").replace(", or", ",\n * or") + "\n *\n */\nint main() { return 0; }", "GPL-3.0-or-later"),
+        ("# Tool\n#\n# Released under\n# the MIT License.\n#\nx = 1", "MIT"),
+    ],
+)
+def test_license_wrapped_and_embedded(text, name):
+    found = licenses.scan(text, licenses.Templates(licenses.TEMPLATES))
+    assert max(found, key=lambda m: m["dice"], default={}).get("license") == name
+    assert max(m["dice"] for m in found) > 0.9
+
+
+def test_license_windows_by_brute_force():
+    """The best window of every template among all spans from break to break."""
+    random, made = np.random.default_rng(11), licenses.Templates(licenses.TEMPLATES)
+    for _ in range(40):
+        words = []
+        for _ in range(4):
+            words += list(random.choice(["alpha", "beta.", "the", "of the", "gamma.\n"], random.integers(1, 12)))
+            words += licenses.TEMPLATES[random.integers(len(licenses.TEMPLATES))][1].split()
+            words[-1] += random.choice(["", ".", "\n"])
+        text = "".join(w + random.choice([" ", " ", " ", " ", " ", "\n", "\n * ", "\n#\n# "]) for w in words)
+        ends = {m.end() for m in re.finditer(r"\n|[.!?](?=\s)", text)} | {0, len(text)}
+        spans = [licenses.bigrams(text[s:e]) for s, e in itertools.combinations(sorted(ends), 2)]
+        want = max((licenses.dice(a, b) for a in spans for _, _, b in made.made if a), default=0)
+        got = max((m["dice"] for m in licenses.scan(text, made)), default=0)
+        assert got == pytest.approx(want if want >= 0.8 else 0), text
+
+
 def test_audit_finds_all_damage(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i * 37 % 900)) for i in range(300)] + [(None, None, None), (7, "again", "x")], "page_id long, url string, html string").withColumn("offset", F.lit(1))
     a = staged(fixity.placed(fixity.warc_records(pages, 100)), "a")

@@ -1,9 +1,14 @@
 """Licence statements in documents by Dice's coefficient over word bigrams.
 
-A document's units are its lines, the sentences of lines that hold several, its paragraphs
-and the whole text. A unit with n bigrams can reach the threshold t only against templates of
-n * t / (2 - t) to n * (2 - t) / t bigrams: the templates are sorted by size and only that
-range is compared.
+A document's units are its lines, the sentences of lines that hold several, its paragraphs,
+the whole text, and windows of consecutive segments of its sequence of words. A segment ends
+with a sentence or a line, and what is no word (line breaks, comment leaders) counts for
+nothing, so that wrapped, embedded and commented notices are windows. Of the windows that reach
+the threshold with a template, those with the highest coefficient that do not overlap are units.
+
+With n bigrams, a unit can reach the threshold t only against templates of n * t / (2 - t) to
+n * (2 - t) / t bigrams, and only if it holds t / (2 - t) of the template's: a document that
+does not hold so many of any template's is done after one look at its bigrams.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ TEMPLATES = [
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n")
+#: What stands between two words where a segment ends.
+_BREAK = re.compile(r"[\n\r\x0b\f\u2028\u2029]|[.!?][\"')\]\u201d\u2019]*\s")
 
 
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
@@ -66,6 +73,7 @@ class Templates:
         t = threshold / (2 - threshold)
         self.least, self.most = (min(self.sizes) * t, max(self.sizes) / t) if made else (1, 0)
         self.ratio = t
+        self.all = frozenset().union(*[b for _, _, b in made])
 
     def best(self, unit: str) -> tuple[str, float] | None:
         """The most similar template at or over the threshold; ties to the first name."""
@@ -84,9 +92,15 @@ class Templates:
         found = max(((dice(b, t), name) for _, name, t in self.made[low:high]), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=None)
         return (found[1], found[0]) if found and found[0] >= self.threshold else None
 
+    def possible(self, held: frozenset | set) -> list[frozenset]:
+        """Templates of whose bigrams a text with the bigrams ``held`` has enough for a match of
+        any part of it."""
+        found = held & self.all
+        return [b for n, _, b in self.made if len(found) >= n * self.ratio - 1e-9 and len(b & found) >= n * self.ratio - 1e-9]
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of code points: lines, sentences in them, paragraphs, the whole text."""
+
+def _structure(text: str) -> Iterator[tuple[int, int]]:
+    """Lines, sentences in them, paragraphs, the whole text."""
     seen = set()
 
     def new(start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -117,10 +131,81 @@ def units(text: str) -> Iterator[tuple[int, int]]:
     yield from new(0, len(text))
 
 
+def _lower(text: str) -> str:
+    """Lower case at the same places."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.replace("\u0130", "I").lower()
+
+
+def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset, threshold: float) -> list[tuple[int, int]]:
+    """Ranges of words from cut to cut that reach the threshold with one template, by falling
+    coefficient and without overlaps.
+
+    A window begins and ends with a segment that has a bigram of the template, as one without
+    would only lower its coefficient, and has at most three times the template's number of
+    words and 200 more. It ends before bigrams of others make a match impossible.
+    """
+    n = len(template)
+    need, spare = n * threshold / (2 - threshold) - 1e-9, n * (2 - 2 * threshold) / threshold + 1e-9
+    hits, total = [0], 0
+    for p in pairs:
+        total += p in template
+        hits.append(total)
+    found, last = [], len(pairs)
+    for k, begin in enumerate(cuts[:-1]):
+        far = min(begin + 3 * n + 200, last)
+        if hits[min(cuts[k + 1], last)] == hits[min(begin, last)] or hits[max(far, begin)] - hits[min(begin, last)] < need:
+            continue
+        inside, others, at = set(), set(), begin
+        for j in range(k + 1, len(cuts)):
+            end = cuts[j]
+            if end - 1 > far:
+                break
+            before = at
+            while at < end - 1:
+                (inside if pairs[at] in template else others).add(pairs[at])
+                at += 1
+            if len(others) > spare:
+                break
+            if len(inside) >= need and hits[at] > hits[max(before - 1, 0)]:
+                d = 2 * len(inside) / (len(inside) + len(others) + n)
+                if d >= threshold:
+                    found.append((-d, begin, end))
+    chosen: list[tuple[int, int]] = []
+    for _, begin, end in sorted(found):
+        at = bisect_left(chosen, (begin, end))
+        if (at == 0 or chosen[at - 1][1] <= begin) and (at == len(chosen) or chosen[at][0] >= end):
+            chosen.insert(at, (begin, end))
+    return chosen
+
+
+def units(text: str, templates: Templates | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of code points: lines, sentences in them, paragraphs, the whole text, then the best
+    windows for ``templates`` with other words than these, by place."""
+    made = Templates(TEMPLATES) if templates is None else templates
+    yield from _structure(text)
+    low = _lower(text)
+    spans = [m.span() for m in _WORD.finditer(low)]
+    words = [low[s:e] for s, e in spans]
+    pairs = list(zip(words, words[1:], strict=False))
+    wanted = made.possible(set(pairs))
+    if not wanted:
+        return
+    cuts = [0, *[k for k in range(1, len(words)) if _BREAK.search(text, spans[k - 1][1], spans[k][0])], len(words)]
+    starts = [s for s, _ in spans]
+    said = {(bisect_left(starts, s), bisect_left(starts, e)) for s, e in _structure(text)}
+    for begin, end in sorted({w for b in wanted for w in _windows(pairs, cuts, b, made.threshold)} - said):
+        yield starts[begin], spans[end - 1][1]
+
+
 def scan(text: str | None, templates: Templates) -> list[dict]:
     """Units that match a template: start, end, license, dice, in the order of units."""
-    out = []
-    for start, end in units(text or ""):
+    text, out = text or "", []
+    if len(low := text.lower()) == len(text):
+        words = _WORD.findall(low)
+        if not templates.possible(set(zip(words, words[1:], strict=False))):
+            return out
+    for start, end in units(text, templates):
         if found := templates.best(text[start:end]):
             out.append({"start": start, "end": end, "license": found[0], "dice": found[1]})
     return out
