@@ -9,13 +9,18 @@ the threshold with a template, those with the highest coefficient that do not ov
 With n bigrams, a unit can reach the threshold t only against templates of n * t / (2 - t) to
 n * (2 - t) / t bigrams, and only if it holds t / (2 - t) of the template's: a document that
 does not hold so many of any template's is done after one look at its bigrams.
+
+A name is given only if the unit and the template also agree in the words that tell licences
+apart: versions, the GNU family, the parts of Creative Commons, "or later", BSD clauses.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +51,79 @@ TEMPLATES = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("MPL-2.0", "This work is licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 ]
+_OLD = "This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation; {version}."
+_NEW = "This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {title} Public License as published by the Free Software Foundation, {version}."
+_REST = " This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {title} Public License for more details."
+_COPY = " You should have received a copy of the GNU {title} Public License along with this {thing}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_SEE = " You should have received a copy of the GNU {title} Public License along with this {thing}. If not, see <http://www.gnu.org/licenses/>."
+
+
+def _gnu() -> Iterator[tuple[str, str]]:
+    """The program notices of the GNU licences, whole and without their later parts."""
+    for name, title, number, thing in (("GPL-1.0", "General", "1", "program"), ("GPL-2.0", "General", "2", "program"), ("LGPL-2.0", "Library General", "2", "library"), ("LGPL-2.1", "Lesser General", "2.1", "library"), ("GPL-3.0", "General", "3", "program"), ("LGPL-3.0", "Lesser General", "3", "program"), ("AGPL-3.0", "Affero General", "3", "program")):
+        first = (_OLD if number < "3" else _NEW).format(thing=thing, title=title, version="{version}")
+        rest = _REST.format(thing=thing, title=title)
+        for suffix, version in (("-or-later", f"either version {number} of the License, or (at your option) any later version"), ("", f"version {number} of the License"), ("", f"version {number}")):
+            said = first.format(version=version)
+            yield from ((name + suffix, x) for x in (said, said + rest, said + rest + (_COPY if number < "3" else _SEE).format(thing=thing, title=title)))
+
+
+def _creative_commons() -> Iterator[tuple[str, str]]:
+    parts = {"": "Attribution", "-SA": "Attribution-ShareAlike", "-ND": "Attribution-NoDerivatives", "-NC": "Attribution-NonCommercial", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    for version, port in (("3.0", "Unported"), ("4.0", "International")):
+        for part, title in parts.items():
+            name, code = f"CC-BY{part}-{version}", f"CC BY{part} {version}"
+            titles = [title, title.replace("NoDerivatives", "NoDerivs")] if "ND" in part else [title]
+            yield name, f"Licensed under {code}."
+            yield name, f"This work is licensed under {code}."
+            for t in titles:
+                yield name, f"This work is licensed under a Creative Commons {t} {version} {port} License."
+                yield name, f"This work is licensed under the Creative Commons {t} {version} {port} License. To view a copy of this license, visit http://creativecommons.org/licenses/{code[3:].lower()}/{version}/"
+
+
+#: Identifiers whose SPDX lines are known; those of GNU licences also have -only and -or-later.
+SPDX = "Apache-1.1 Apache-2.0 MIT MIT-0 ISC 0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 OFL-1.1 NCSA".split()
+SPDX_GNU = "GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 GFDL-1.2 GFDL-1.3".split()
+#: Licences whose whole texts are in license_texts.
+FULL = "Apache-2.0 Artistic-1.0-Perl BSD-2-Clause CC-BY-SA-4.0 CC0-1.0 GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 MIT MPL-1.1 MPL-2.0 NCSA OFL-1.1".split()
+
+
+def _standard() -> Iterator[tuple[str, str]]:
+    yield from _gnu()
+    yield from _creative_commons()
+    for name in SPDX + SPDX_GNU:
+        yield name, f"SPDX-License-Identifier: {name}"
+    for name in SPDX_GNU:
+        yield name, f"SPDX-License-Identifier: {name}-only"
+        yield f"{name}-or-later", f"SPDX-License-Identifier: {name}-or-later"
+        yield f"{name}-or-later", f"SPDX-License-Identifier: {name}+ or later"
+    texts = {name: (pkgutil.get_data(__package__, f"license_texts/{name}.txt") or b"").decode() for name in FULL}
+    yield from texts.items()
+    two = texts["BSD-2-Clause"][texts["BSD-2-Clause"].index("Redistribution and use") :]
+    conditions, disclaimer = two.split("THIS SOFTWARE IS PROVIDED")
+    for name, clauses in (
+        ("BSD-2-Clause", ""),
+        ("BSD-3-Clause", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+        ("BSD-4-Clause", "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. 4. Neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "),
+    ):
+        yield name, conditions + clauses
+        yield name, f"{conditions}{clauses}THIS SOFTWARE IS PROVIDED{disclaimer}"
+    for name, begin in (("MIT", "Permission is hereby granted"), ("ISC", "Permission to use")):
+        yield name, texts[name][texts[name].index(begin) :]
+    yield "Apache-2.0", texts["Apache-2.0"][: texts["Apache-2.0"].index("APPENDIX")]
+
+
+TEMPLATES += _standard()
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -64,11 +141,72 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+#: A template of more bigrams is a whole text, which names other licences too: its title must be in the unit.
+LONG = 400
+_NUMBER = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)\Z")
+_BEFORE = frozenset("version v gpl lgpl agpl mpl epl cc0 by sa nc nd apache attribution sharealike noncommercial noderivatives noderivs mit license licence licenses".split())
+_PARTS = {"sa": "sa", "sharealike": "sa", "nc": "nc", "noncommercial": "nc", "nd": "nd", "noderivatives": "nd", "noderivs": "nd"}
+_SAID = frozenset("endorse advertising".split())
+
+
+def marks(w: list[str]) -> list[tuple[int, str, str]]:
+    """What tells licences apart, by place: versions, GNU names, parts of Creative Commons and
+    clauses that the words name."""
+    out = []
+    for k, x in enumerate(w):
+        before = w[k - 1] if k else ""
+        if x[0] in "v0123456789" and (m := _NUMBER.match(x)):
+            if x[0] == "v" or before in _BEFORE and ("." in x or not before.startswith("licen")) or w[k + 1 : k + 2] in (["clause"], ["international"], ["unported"]):
+                out.append((k, "version", m[1].removesuffix(".0")))
+        elif x == "general" and before in ("gnu", "lesser", "library", "affero") and w[k + 1 : k + 2] == ["public"]:
+            out.append((k, "gnu", before))
+        elif x in _PARTS and ("by" in w[max(0, k - 3) : k] or "attribution" in w[max(0, k - 4) : k]):
+            out.append((k, "part", _PARTS[x]))
+        elif x == "later" and before in ("or", "any") or x in _SAID:
+            out.append((k, "said", x))
+    return out
+
+
+def _title(w: list[str]) -> tuple[str, ...]:
+    """The first words up to a version; none where it does not come soon."""
+    return next((tuple(w[: k + 1]) for k, x in enumerate(w[:8]) if _NUMBER.match(x)), ())
+
+
+class Words:
+    """The words of a text and what an agreement with templates is judged by."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.marks = marks(words)
+        self.titles: dict[tuple[str, ...], list[int]] = {}
+
+    def named(self, begin: int, end: int) -> set[tuple[str, str]]:
+        return {x[1:] for x in self.marks[bisect_left(self.marks, (begin,)) : bisect_left(self.marks, (end,))]}
+
+    def places(self, title: tuple[str, ...]) -> list[int]:
+        if title not in self.titles:
+            n, w = len(title), self.words
+            self.titles[title] = [k for k, x in enumerate(w) if x == title[0] and tuple(w[k : k + n]) == title]
+        return self.titles[title]
+
+    def agree(self, wanted: tuple, begin: int, end: int) -> bool:
+        title, named = wanted
+        if named is not None:
+            return self.named(begin, end) == named
+        at = bisect_left(self.places(title), begin) if title else 0
+        return not title or at < len(self.places(title)) and self.places(title)[at] + len(title) <= end
+
+
 class Templates:
     """Templates by their number of bigrams."""
 
     def __init__(self, templates: Iterable[tuple[str, str]], threshold: float = THRESHOLD):
-        made = sorted(((len(b), name, b) for name, text in templates if (b := bigrams(text))), key=lambda x: x[:2])
+        known = sorted(((len(b), name, b, text) for name, text in templates if (b := bigrams(text))), key=lambda x: x[:2])
+        made = [x[:3] for x in known]
+        self.marks = {}
+        for n, name, b, text in known:
+            w = _WORD.findall(text.lower())
+            self.marks[name, b] = (_title(w), None) if n > LONG else ((), Words(w).named(0, len(w)))
         self.sizes, self.made, self.threshold = [n for n, _, _ in made], made, threshold
         t = threshold / (2 - threshold)
         self.least, self.most = (min(self.sizes) * t, max(self.sizes) / t) if made else (1, 0)
@@ -76,7 +214,8 @@ class Templates:
         self.all = frozenset().union(*[b for _, _, b in made])
 
     def best(self, unit: str) -> tuple[str, float] | None:
-        """The most similar template at or over the threshold; ties to the first name."""
+        """The most similar template at or over the threshold that agrees in its marks; ties to
+        the first name."""
         if len(unit) < self.least:
             return None
         part = 2000
@@ -86,17 +225,29 @@ class Templates:
             part *= 8
         b = bigrams(unit)
         n = len(b)
-        if not self.least <= n <= self.most:
+        if not self.least <= n <= self.most or len(b & self.all) < n * self.ratio - 1e-9:
             return None
         low, high = bisect_left(self.sizes, n * self.ratio), bisect_right(self.sizes, n / self.ratio)
-        found = max(((dice(b, t), name) for _, name, t in self.made[low:high]), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=None)
-        return (found[1], found[0]) if found and found[0] >= self.threshold else None
+        near = [(-d, name, t) for _, name, t in self.made[low:high] if (d := dice(b, t)) >= self.threshold]
+        for d, name, t in sorted(near, key=lambda x: x[:2]):
+            if self.agree(unit, name, t):
+                return name, -d
+        return None
+
+    def agree(self, unit: str, name: str, template: frozenset) -> bool:
+        w = Words(_WORD.findall(unit.lower()))
+        return w.agree(self.marks[name, template], 0, len(w.words))
 
-    def possible(self, held: frozenset | set) -> list[frozenset]:
+    def possible(self, held: frozenset | set) -> list[tuple[str, frozenset]]:
         """Templates of whose bigrams a text with the bigrams ``held`` has enough for a match of
         any part of it."""
         found = held & self.all
-        return [b for n, _, b in self.made if len(found) >= n * self.ratio - 1e-9 and len(b & found) >= n * self.ratio - 1e-9]
+        return [(name, b) for n, name, b in self.made if len(found) >= n * self.ratio - 1e-9 and len(b & found) >= n * self.ratio - 1e-9]
+
+
+@lru_cache(maxsize=4)
+def standard(threshold: float = THRESHOLD) -> Templates:
+    return Templates(TEMPLATES, threshold)
 
 
 def _structure(text: str) -> Iterator[tuple[int, int]]:
@@ -137,13 +288,14 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else text.replace("\u0130", "I").lower()
 
 
-def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset, threshold: float) -> list[tuple[int, int]]:
-    """Ranges of words from cut to cut that reach the threshold with one template, by falling
-    coefficient and without overlaps.
+def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset, threshold: float, titles: list[int] | None, agree: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Ranges of words from cut to cut that reach the threshold with one template and agree with
+    it, by falling coefficient and without overlaps.
 
     A window begins and ends with a segment that has a bigram of the template, as one without
     would only lower its coefficient, and has at most three times the template's number of
-    words and 200 more. It ends before bigrams of others make a match impossible.
+    words and 200 more. It ends before bigrams of others make a match impossible. ``titles`` are
+    the places of which a window holds one, where that is asked for.
     """
     n = len(template)
     need, spare = n * threshold / (2 - threshold) - 1e-9, n * (2 - 2 * threshold) / threshold + 1e-9
@@ -154,6 +306,8 @@ def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset,
     found, last = [], len(pairs)
     for k, begin in enumerate(cuts[:-1]):
         far = min(begin + 3 * n + 200, last)
+        if titles is not None and ((at := bisect_left(titles, begin)) == len(titles) or titles[at] >= far):
+            continue
         if hits[min(cuts[k + 1], last)] == hits[min(begin, last)] or hits[max(far, begin)] - hits[min(begin, last)] < need:
             continue
         inside, others, at = set(), set(), begin
@@ -174,7 +328,7 @@ def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset,
     chosen: list[tuple[int, int]] = []
     for _, begin, end in sorted(found):
         at = bisect_left(chosen, (begin, end))
-        if (at == 0 or chosen[at - 1][1] <= begin) and (at == len(chosen) or chosen[at][0] >= end):
+        if (at == 0 or chosen[at - 1][1] <= begin) and (at == len(chosen) or chosen[at][0] >= end) and agree(begin, end):
             chosen.insert(at, (begin, end))
     return chosen
 
@@ -182,7 +336,7 @@ def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset,
 def units(text: str, templates: Templates | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of code points: lines, sentences in them, paragraphs, the whole text, then the best
     windows for ``templates`` with other words than these, by place."""
-    made = Templates(TEMPLATES) if templates is None else templates
+    made = standard() if templates is None else templates
     yield from _structure(text)
     low = _lower(text)
     spans = [m.span() for m in _WORD.finditer(low)]
@@ -194,7 +348,13 @@ def units(text: str, templates: Templates | None = None) -> Iterator[tuple[int,
     cuts = [0, *[k for k in range(1, len(words)) if _BREAK.search(text, spans[k - 1][1], spans[k][0])], len(words)]
     starts = [s for s, _ in spans]
     said = {(bisect_left(starts, s), bisect_left(starts, e)) for s, e in _structure(text)}
-    for begin, end in sorted({w for b in wanted for w in _windows(pairs, cuts, b, made.threshold)} - said):
+    known, found = Words(words), set()
+    for name, b in wanted:
+        title, named = kind = made.marks[name, b]
+        titles = known.places(title) if title else None
+        if titles != [] and (named is None or named <= known.named(0, len(words))):
+            found.update(_windows(pairs, cuts, b, made.threshold, titles, lambda i, j, kind=kind: known.agree(kind, i, j)))
+    for begin, end in sorted(found - said):
         yield starts[begin], spans[end - 1][1]
 
 
@@ -219,12 +379,10 @@ def license_matches(documents: DataFrame, templates: list[tuple[str, str]] | Non
     whole text; code points, end exclusive.
 
     A null or empty text has none. Each row stands for itself, and other columns are not read.
-    The templates are a parameter of a few texts and travel with the task.
+    Templates that are given travel with the task; the standard ones are part of the package.
     """
-    known = TEMPLATES if templates is None else templates
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Templates(known, threshold)
+        made = standard(threshold) if templates is None else Templates(templates, threshold)
         for batch in slices(batches):
             found = [scan(t.as_py(), made) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_MATCH))], names=["doc_id", "matches"])
