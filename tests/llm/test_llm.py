@@ -238,6 +238,21 @@ def test_personal_data_by_plain_patterns(spark):
     assert [x.split(":")[0] for x in got[len(HARD) + 3]["spans"].split(",")] == ["ssn", "key", "ip"]
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "ES9121000418450200051332"])
+@pytest.mark.parametrize("after", [" BIC CAIXESBB", " EUR", " 12", " BANK 5", ".", "", "\n1234", " 100 EUR", " é"])
+def test_iban_ends_where_its_country_says(iban, after):
+    text = f"to {iban}{after}"
+    assert [x[:3] for x in pii.find_spans(text) if x[0] == "iban"] == [("iban", 3, 3 + len(iban))]
+    assert pii.redact(f"to {iban} BIC CAIXESBB") == "to [IBAN] BIC CAIXESBB"
+    for bad in (f"to {iban[:-1]}{(int(iban[-1]) + 1) % 10}{after}", f"to {iban}X{after}", f"to X{iban}{after}", f"to {iban[:-1]}"):
+        assert not [x for x in pii.find_spans(bad) if x[0] == "iban"]
+
+
+def test_two_ibans_in_a_row():
+    a, b = "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874"
+    assert pii.redact(f"{a} {b}") == "[IBAN] [IBAN]"
+
+
 def test_redaction_keeps_the_rest(spark):
     df = documents(spark, ["to é a@b.co or 10.0.0.1.", None, "plain"]).withColumn("spans", F.lit("x"))
     got = [(r["text"], r["n_chars"], r["spans"]) for r in pii.redacted(df).orderBy("doc_id").collect()]

@@ -21,7 +21,17 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+#: Lengths of IBANs by country, of the registry.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _KEY = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
 _DIGIT = re.compile("[0-9]")
@@ -61,6 +71,25 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _iban_end(text: str, start: int) -> int | None:
+    """Where the IBAN at ``start`` ends: after its country's number of characters or, for a
+    country that is not in the table, after the first group from the 15th that mod-97 confirms.
+    Single spaces stand between groups of four only, and no letter or digit follows."""
+    want, said, at = IBAN_LENGTHS.get(text[start : start + 2]), "", start
+    while at < len(text) and len(said) < (want or 34):
+        if text[at] == " " and len(said) % 4 == 0:
+            at += 1
+        c = text[at : at + 1]
+        if not ("A" <= c <= "Z" or "0" <= c <= "9"):
+            return None
+        said += c
+        at += 1
+        if len(said) == want or not want and len(said) >= 15:
+            if not (text[at : at + 1].isascii() and text[at : at + 1].isalnum()) and mod97(said):
+                return at
+    return None
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the address pattern, found from each @: what stands before it is the
     longest run of local characters, so no start is tried twice."""
@@ -92,9 +121,11 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
+    done = 0
     for m in _IBAN.finditer(text):
-        if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-            yield "iban", *m.span()
+        if m.start() >= done and (end := _iban_end(text, m.start())):
+            yield "iban", m.start(), end
+            done = end
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()
