@@ -13,10 +13,13 @@ from tidemark.plans.staging import staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a letter go."""
+    """Documents whose language can be told: those without a letter go, also where no language
+    can be learned."""
     model = langid.train(docs.where(~langid.held_out()))
+    if not model:
+        return langid.with_letters(docs)
     found = langid.identify(docs, model)
-    return found.where(found["lang_pred"] != langid.UNDETERMINED).select(docs.columns) if model else docs
+    return found.where(found["lang_pred"] != langid.UNDETERMINED).select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

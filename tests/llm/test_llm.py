@@ -281,6 +281,23 @@ def test_language_families_and_held_out(spark):
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "lang_pred", "score"]
 
 
+@pytest.mark.parametrize("known", ["en", None])
+def test_letterless_texts_beyond_the_basic_plane(spark, known):
+    """Emoji, digits of mathematics and flags are no letters; Gothic and mathematical letters are."""
+    import corpus_pipeline
+
+    texts = ["\U0001f600\U0001f680", "\U0001f1e9\U0001f1ea 12 \U0001d7d9", "\U00010330\U00010331", "\U0001d400\U0001d401", "\u2603", None, "\U0001f600 a"]
+    letters = {i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))}
+    assert letters == {2, 3, 6}
+    rows = [(100 + i, "the and of to in that with for was", known, "s", 0) for i in range(12)]
+    df = spark.createDataFrame([(i, t, known, "s", 0) for i, t in enumerate(texts)] + rows, DOCS)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(df).collect()}
+    if known:
+        assert {i for i in range(len(texts)) if got[i] != ("und", 0.0)} == letters
+    kept = corpus_pipeline.language(spark, df, "")
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == letters | {r[0] for r in rows}
+
+
 def test_neighbours_reach_recall_and_exact_scores(spark):
     random = np.random.default_rng(6)
     x = random.normal(size=(1200, 24)).astype(np.float32) * random.uniform(0.5, 2, (1200, 1)).astype(np.float32)

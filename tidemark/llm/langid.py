@@ -61,7 +61,10 @@ def _letters() -> np.ndarray:
 def _characters(text: str) -> np.ndarray:
     """Lower-case letters with one space for what stands between them and at both ends."""
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    c = np.where(c < 1 << 16, _letters()[c & 0xFFFF], c)
+    beyond = c >= 1 << 16
+    c = np.where(beyond, c, _letters()[c & 0xFFFF])
+    if beyond.any():
+        c[np.isin(c, [x for x in np.unique(c[beyond]) if not chr(x).isalpha()])] = 32
     gap = c == 32
     gap[1:] &= gap[:-1].copy()
     gap[0] = False
@@ -219,6 +222,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
 
 
+def with_letters(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose text has a letter, as :func:`identify` tells it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column("text")], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     """Every row of ``documents`` with lang_pred and score by its whole text; columns of these
     names give way.
