@@ -214,3 +214,13 @@ def test_entry_and_names(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sorted_places_of_all_rows(spark):
+    rows = [(i * 7919 % 1009, i % 3, i) for i in range(3000)] + [(None, 0, 9000), (5, None, 9001)]
+    df = spark.createDataFrame(rows, "a long, b long, id long").repartition(5)
+    got = {r["id"]: r["place"] for r in ranking.sorted_places(df, F.col("b"), F.desc("a"), F.col("id")).collect()}
+    low = lambda v: -1 if v is None else v
+    want = sorted(rows, key=lambda r: (low(r[1]), -low(r[0]), r[2]))
+    assert got == {r[2]: k for k, r in enumerate(want, 1)}
+    assert ranking.sorted_places(df.limit(0), F.col("id")).count() == 0

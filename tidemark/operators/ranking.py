@@ -40,6 +40,20 @@ def rerank(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def sorted_places(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows of ``df`` and place: their number from 1 in the order of ``order``, which is total.
+
+    Rows are dealt in ranges, sorted inside each, and staged with the number of their range; the
+    sizes of the ranges before a row's own are added. Only one row a range meets the others.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = staged(dealt, "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(before), "_range").withColumn("place", (inside + F.col("_before")).cast("long")).select(*df.columns, "place")
+
+
 def uniform_sample(df: DataFrame, keys: list[str], most: int, *order: str) -> DataFrame:
     """At most ``most`` rows of each key at even steps of their order: places floor(i * n / most)."""
     w = Window.partitionBy(*keys)

@@ -345,6 +345,11 @@ def sort_multi_key(spark, d):
     return R.rerank(top, [], F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", F.col("rank").cast("long").alias("place"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
+def sort_multi_key_all(spark, d):
+    return R.sorted_places(table(spark, d, "orders"), F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "place")
+
+
 @query("""WITH a AS (SELECT event_id, value * 20 - 500 AS x, value * -13 AS y FROM events), b AS (SELECT *, ((x % 360) + 360) % 360 AS p, ((y % 360) + 360) % 360 AS q FROM a)
  SELECT event_id, round(p, 6) AS angle, round(CASE WHEN q - p > 180 THEN q - p - 360 WHEN q - p < -180 THEN q - p + 360 ELSE q - p END, 6) AS delta, round(p + CASE WHEN q - p > 180 THEN q - p - 360 WHEN q - p < -180 THEN q - p + 360 ELSE q - p END, 6) AS unwrapped FROM b""")
 def angles(spark, d):
