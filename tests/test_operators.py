@@ -216,6 +216,13 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_sessions_of_null_keys_and_times(spark):
+    rows = [(1, 5, 0), (1, None, 1), (None, 5, 2), (None, 500, 3), (None, None, 4), (1, 100, 5), (1, 8, 6)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    got = {r["id"]: r["session"] for r in sessions.sessionise(df, "k", "t", "id", 10, 50).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0}
+
+
 def test_sorted_places_of_all_rows(spark):
     rows = [(i * 7919 % 1009, i % 3, i) for i in range(3000)] + [(None, 0, 9000), (5, None, 9001)]
     df = spark.createDataFrame(rows, "a long, b long, id long").repartition(5)

@@ -62,8 +62,8 @@ def sessionise(df: DataFrame, key: str, t: str, tie: str, gap: int, bucket: int,
     """``out``: number from 0 of the key's session; a distance over ``gap`` begins a new one.
 
     A key may hold any share of the rows: it is worked on in buckets of ``bucket`` of ``t``.
-    Only the last ``t`` and the number of starts of each bucket meet across buckets, and rows
-    are shuffled once.
+    Only the last ``t`` and the number of starts of each bucket meet across buckets. Null keys and
+    a null ``t`` are values like others, the latter before all.
     """
     parts = ["_bucket", key]
     dealt = df.withColumn("_bucket", F.floor(F.col(t) / bucket))
@@ -76,7 +76,8 @@ def sessionise(df: DataFrame, key: str, t: str, tie: str, gap: int, bucket: int,
     sums = sums.withColumn("_first", first).withColumn("_all", F.col("_first") + F.coalesce("_n", F.lit(0)))
     before = F.sum("_all").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.coalesce("_n", F.lit(0))
     offsets = sums.select(*parts, before.alias("_before"))
-    return marked.join(offsets, parts).withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out)
+    marked, offsets = marked.withColumn("_part", F.struct(*parts)), offsets.select(F.struct(*parts).alias("_part"), "_before")
+    return marked.join(offsets, "_part").withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).select(*df.columns, out)
 
 
 def session_summary(df: DataFrame, key: str, t: str, tie: str, value: str, gap: int, bucket: int) -> DataFrame:
