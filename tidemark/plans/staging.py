@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,16 +37,31 @@ def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFr
 
     Cuts the lineage without tying rows to one executor: a lost executor costs a read. The
     table stays for the session, or until :func:`drop` is called on the list ``scratch``, which
-    gets its path.
+    gets its path, or else to the end of the :func:`scoped` block around it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if scratch is not None:
-        scratch.append(path)
+    kept = scratch if scratch is not None else _scopes[-1] if _scopes else None
+    if kept is not None:
+        kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """At the end of the block, tables staged in it without a list of their own are deleted:
+    what is to outlive it is staged with a list."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        drop(spark, _scopes.pop())
+
+
 def drop(spark: SparkSession, scratch: list[str]) -> None:
     """Deletes staged tables that nothing will read again."""
     for path in scratch:
