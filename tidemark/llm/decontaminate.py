@@ -2,14 +2,17 @@
 
 The searched strings are windows of consecutive words of benchmark items. For each length of
 window, a shift table tells for a block of two words how far the search may jump when the
-block ends there; blocks that end a window lead, by their hash and that of the window's first
-words, to the few windows that are compared word by word.
+block ends there; blocks that end a window lead to the windows that end so, of which those
+with the right first words are compared word by word.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +22,9 @@ from tidemark.llm.tokens import claim, slices
 from tidemark.plans.staging import staged
 
 WINDOW = 13
-#: Characters of benchmark texts that are searched for at once, in each task's memory.
-PATTERN_CHARS = 20_000_000
+#: Characters of benchmark texts that are searched for at once: they are broadcast, and each
+#: Python worker makes search tables of about 40 bytes a character of them.
+PATTERN_CHARS = 4_000_000
 #: A-Z to lower case; what is neither a digit, a-z nor beyond ASCII parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -30,47 +34,102 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Windows of one length, each with the items that hold it."""
+    """Windows of one length in items of numbered words (from 1; 0 is any other word).
 
-    def __init__(self, windows: dict[tuple, set[str]], length: int):
-        self.length, self.block = length, min(2, length)
+    A row is a window with where it lies; rows are in the order of the windows' last and first
+    blocks, so that equal windows stand together. ``jumps`` gives for a block how far the search
+    may move, or, below zero, the first row that ends with it.
+    """
+
+    def __init__(self, items: dict[int, array], length: int, base: int):
+        self.items, self.length, self.base, self.block = items, length, base, min(2, length)
         self.jump = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = {}
-        b = self.block
-        for window, items in windows.items():
-            for end in range(b, length + 1):
-                key = window[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), length - end)
-            self.buckets.setdefault(window[-b:], {}).setdefault(window[:b], []).append((window, items))
-
-    def search(self, found: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """Start of each occurrence and the items of its window."""
-        m, b, n, shift, jump, at = self.length, self.block, len(found), self.shift, self.jump, self.length
+        names, begins, blocks, whole, self.jumps = [], [], [], [], {}
+        for name, w in items.items():
+            ids = np.frombuffer(w, np.uint32).astype(np.uint64)
+            n = len(ids) - length + 1
+            ends = ids[1:] + ids[:-1] * np.uint64(base) if self.block == 2 else ids
+            for k, key in enumerate(ends[: length - self.block].tolist()):  # no window ends here
+                self.jumps[key] = min(self.jumps.get(key, self.jump), length - self.block - k)
+            mixed = np.zeros(n, np.uint64)
+            for k in range(length):
+                mixed = (mixed ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            names.append(np.full(n, name, np.int32))
+            begins.append(np.arange(n, dtype=np.int32))
+            blocks.append(np.stack([ends[length - self.block :], ends[:n]]))
+            whole.append(mixed)
+        name, begin, block, mixed = np.concatenate(names), np.concatenate(begins), np.concatenate(blocks, axis=1), np.concatenate(whole)
+        order = np.lexsort((begin, name, mixed, block[1], block[0]))
+        name, begin, block, mixed = name[order], begin[order], block[:, order], mixed[order]
+        alike = np.zeros(len(name), bool)
+        alike[1:] = (mixed[1:] == mixed[:-1]) & (block[:, 1:] == block[:, :-1]).all(axis=0)
+        for r in np.flatnonzero(alike).tolist():  # the hash only proposes
+            alike[r] = self._window(name[r], begin[r]) == self._window(name[r - 1], begin[r - 1])
+        once = ~alike
+        once[1:] |= name[1:] != name[:-1]  # an item's repeated window counts once
+        name, begin, block, alike = name[once], begin[once], block[:, once], alike[once]
+        firsts = np.flatnonzero(np.append(True, block[0][1:] != block[0][:-1]))
+        self.jumps.update(zip(block[0][firsts].tolist(), (-1 - firsts).tolist(), strict=True))
+        self.until = dict(zip(firsts.tolist(), np.append(firsts[1:], len(name)).tolist(), strict=True)) if len(firsts) else {}
+        self.name, self.begin, self.first, self.alike = (array(code, values.astype(kind).tobytes()) for code, kind, values in (("i", np.int32, name), ("i", np.int32, begin), ("Q", np.uint64, block[1]), ("b", np.int8, alike)))
+
+    def _window(self, name: int, begin: int) -> array:
+        return self.items[name][begin : begin + self.length]
+
+    def search(self, found: array) -> Iterator[tuple[int, int]]:
+        """Start of each occurrence and the number of each item that holds its window."""
+        m, n, base, jumps, jump, two = self.length, len(found), self.base, self.jumps, self.jump, self.block == 2
+        at = m
         while at <= n:
-            key = tuple(found[at - b : at])
-            if step := shift.get(key, jump):
+            step = jumps.get(found[at - 2] * base + found[at - 1] if two else found[at - 1], jump)
+            if step > 0:
                 at += step
                 continue
-            start = at - m
-            for window, items in self.buckets.get(key, {}).get(tuple(found[start : start + b]), ()):
-                if tuple(found[start:at]) == window:
-                    yield start, items
+            start, low = at - m, -1 - step
+            high, here, equal = self.until[low], found[start:at], False
+            first = found[start] * base + found[start + 1] if two else found[start]
+            for r in range(bisect_left(self.first, first, low, high), high):
+                if self.first[r] != first:
+                    break
+                if not self.alike[r]:
+                    equal = self._window(self.name[r], self.begin[r]) == here
+                if equal:
+                    yield start, self.name[r]
             at += 1
 
 
-def searchers(items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> list[WuManber]:
-    """Search tables for (item id, text); an item of fewer words than a window is one window."""
-    by_length: dict[int, dict[tuple, set[str]]] = {}
-    for item, text in items:
-        w = tuple(words(text))
-        length = min(window, len(w))
-        for i in range(len(w) - length + 1 if w else 0):
-            by_length.setdefault(length, {}).setdefault(w[i : i + length], set()).add(item)
-    return [WuManber(x, k) for k, x in sorted(by_length.items())]
+class Searcher:
+    """Items with their search tables, which each process makes for itself when first asked."""
+
+    def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW):
+        self.items, self.window, self.tables = list(items), window, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
+
+    def _make(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        by_length: dict[int, dict[int, array]] = {}
+        for k, (_, text) in enumerate(self.items):
+            if w := words(text):
+                by_length.setdefault(min(self.window, len(w)), {})[k] = array("I", [self.numbers.setdefault(x, len(self.numbers) + 1) for x in w])
+        self.tables = [WuManber(items, length, len(self.numbers) + 1) for length, items in sorted(by_length.items())]
+
+    def find(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, ranges of words in occurrences, items that occur."""
+        if self.tables is None:
+            self._make()
+        number, spans, items = self.numbers.get, set(), set()
+        found = array("I", [number(x, 0) for x in words(text)])
+        for table in self.tables:
+            for start, k in table.search(found):
+                spans.add((start, start + table.length))
+                items.add(self.items[k][0])
+        return len(found), _merge(spans), items
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
@@ -84,27 +143,21 @@ ADDED = ["n_words", "spans", "items"]
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _search(shared, more: bool):
+def _search(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(__name__)
-        tables = shared.value
         for batch in slices(batches):
-            texts = batch.column("_text").cast(pa.binary())
+            texts = batch.column("text").cast(pa.binary())
             known = "spans" in batch.schema.names
             before = batch.column("spans").to_pylist() if known else [()] * len(texts)
             items_before = batch.column("items").to_pylist() if known else [()] * len(texts)
             sizes, all_spans, all_items = [], [], []
             for text, old, old_items in zip(texts, before, items_before, strict=True):
-                found = words(text.as_py())
-                spans, items = [(x["start"], x["end"]) for x in old], set(old_items)
-                for table in tables:
-                    for start, names in table.search(found):
-                        spans.append((start, start + table.length))
-                        items |= names
-                sizes.append(len(found))
-                all_spans.append([{"start": s, "end": e} for s, e in _merge(spans)])
-                all_items.append(sorted(items))
-            kept = [n for n in batch.schema.names if n not in (*ADDED, *["_text"] * (not more))]
+                n, spans, items = shared.value.find(text.as_py())
+                sizes.append(n)
+                all_spans.append([{"start": s, "end": e} for s, e in _merge([*spans, *((x["start"], x["end"]) for x in old)])])
+                all_items.append(sorted(items.union(old_items)))
+            kept = [n for n in batch.schema.names if n not in ADDED]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(sizes, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=[*kept, *ADDED])
 
     return run
@@ -116,24 +169,24 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     of these names give way, of the others only ``text`` is looked at.
 
     The benchmark is counted first. Up to ``pattern_chars`` characters are broadcast as one
-    search table; a larger benchmark is dealt by item into parts of about that size, and the
+    list of items; a larger benchmark is dealt by item into parts of about that size, and the
     documents pass through one part after the other. A null text has no words; items without
-    an id or words are passed over; repeated items count once.
+    an id or words are passed over; repeated items count once. Rows that repeat an id, or have
+    none, stand for themselves; an empty table gives none.
     """
     spark = documents.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     parts = max(1, -(-chars // pattern_chars))
-    rows = documents.drop(*ADDED).withColumn("_text", F.col("text"))
+    rows = documents.drop(*ADDED)
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*rows.schema, *added])
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        tables = spark.sparkContext.broadcast(searchers(((r["item"], bytes(r["text"])) for r in mine.toLocalIterator()), window))
-        more = part + 1 < parts
-        kept = [f for f in rows.schema if f.name not in (*ADDED, *["_text"] * (not more))]
-        span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-        added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
-        rows = rows.mapInArrow(_search(tables, more), T.StructType([*kept, *added]))
-        if more:
+        searcher = spark.sparkContext.broadcast(Searcher(((r["item"], bytes(r["text"])) for r in mine.toLocalIterator()), window))
+        rows = rows.mapInArrow(_search(searcher), schema)
+        if part + 1 < parts:
             rows = staged(rows, "searched")
     return rows
 

@@ -44,7 +44,8 @@ PER_LANGUAGE = 800
 ROUNDS = 8
 #: Characters scored at once.
 SCORED_CHARS = 400_000
-#: A longer text is scored in parts of so many characters, whose n-grams all count.
+#: A longer text is scored in parts of so many characters that overlap, so that each of its
+#: n-grams counts once.
 PART_CHARS = 1_000_000
 
 
@@ -176,32 +177,37 @@ def _score(shared):
         model: LanguageModel | None = shared.value
         for batch in slices(batches):
             langs, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
-            held: list[tuple[int, np.ndarray]] = []
+            held: list[tuple[int, np.ndarray, int]] = []
             sums = np.zeros((batch.num_rows, model.weights.shape[1] if model else 0))
             sizes = np.zeros(batch.num_rows)
 
             def flush() -> None:
                 if not held:
                     return
-                c = np.concatenate([x for _, x in held])
-                rows, ends = [r for r, _ in held], np.cumsum([len(x) for _, x in held])
-                begins = ends - [len(x) for _, x in held]
+                c = np.concatenate([x for _, x, _ in held])
+                rows, ends = [r for r, _, _ in held], np.cumsum([len(x) for _, x, _ in held])
+                begins = ends - [len(x) for _, x, _ in held]
                 for k, at in enumerate(_places(c)):
                     w = model.weights[at]
-                    for end in ends:  # n-grams that would reach into the next text
-                        w[max(0, end - k) : end] = 0
+                    # Not counted: what would reach into the next text, and what the next part begins with.
+                    cuts = [max(k, shared) for _, _, shared in held]
+                    for end, cut in zip(ends, cuts, strict=True):
+                        w[max(0, end - cut) : end] = 0
                     np.add.at(sums, rows, np.add.reduceat(w, begins, axis=0, dtype=np.float64))
-                np.add.at(sizes, rows, (ends - begins) * ORDERS - sum(range(ORDERS)))
+                    np.add.at(sizes, rows, ends - begins - cuts)
                 held.clear()
 
             size = 0
-            for row, text in enumerate(batch.column("_text")):
-                text = text.as_py() or ""
-                for start in range(0, len(text) if model else 0, PART_CHARS):
-                    c = _characters(text[start : start + PART_CHARS])
-                    if (c != 32).any():
-                        held.append((row, c))
-                        size += len(c)
+            for row, text in enumerate(batch.column("text")):
+                c = _characters((text.as_py() or "") if model else "")
+                if not (c != 32).any():
+                    continue
+                start, last = 0, False
+                while not last:
+                    last = len(c) - start <= PART_CHARS + ORDERS
+                    part = c[start:] if last else c[start : start + PART_CHARS + ORDERS - 1]
+                    held.append((row, part, 0 if last else ORDERS - 1))
+                    start, size = start + PART_CHARS, size + len(part)
                     if size >= SCORED_CHARS:
                         flush()
                         size = 0
@@ -211,7 +217,7 @@ def _score(shared):
                 found, sure = model.decide(sums[known] / sizes[known, None] + model.bias)
                 for row, lang, s in zip(known, found, sure, strict=True):
                     langs[row], scores[row] = lang, float(s)
-            kept = [n for n in batch.schema.names if n not in ("_text", "lang_pred", "score")]
+            kept = [n for n in batch.schema.names if n not in ("lang_pred", "score")]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
@@ -243,7 +249,7 @@ def identify(documents: DataFrame, model: LanguageModel | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in documents.schema if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return documents.select(*[f.name for f in kept], F.col("text").alias("_text")).mapInArrow(_score(shared), schema)
+    return documents.select(*[f.name for f in kept]).mapInArrow(_score(shared), schema)
 
 
 def language_id(documents: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -21,7 +21,7 @@ from tidemark.llm.tokens import CACHE_CHUNKS, codec, slices, vocabulary_path
 from tidemark.plans.staging import staged
 
 CAPACITY = 4096
-#: Pieces of one length ranked by one task.
+#: Pieces of one length ranked by one task, about.
 RANKED_ROWS = 200_000
 
 
@@ -85,9 +85,9 @@ def places(bins: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int, cache_chunks: int):
+def _cut(vocabulary: str, end_id: int, capacity: int, cache_chunks: int, special_as_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = codec(vocabulary, cache_chunks).encode, int(end_id).to_bytes(4, "little")
+        encode, end = codec(vocabulary, cache_chunks, special_as_text).encode, int(end_id).to_bytes(4, "little")
         for batch in slices(batches):
             docs, pieces, starts, lengths, parts = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -111,46 +111,46 @@ def _batch(docs, pieces, starts, lengths, parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
 
-def token_pieces(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def token_pieces(documents: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, cache_chunks: int = CACHE_CHUNKS, special_as_text: bool = False) -> DataFrame:
     """Each document's ids, closed by ``end_id`` and cut only where they exceed ``capacity``:
     doc_id, piece, start, length, ids (little-endian unsigned 32-bit integers).
 
     A null or empty text is the end id alone. Rows sharing a doc_id are documents of their own.
-    A Python worker remembers ``cache_chunks`` words, about 200 bytes each.
+    A Python worker remembers ``cache_chunks`` words, about 200 bytes each. Literals of special
+    tokens become their ids, or with ``special_as_text`` those of ordinary text.
     """
     vocabulary = vocabulary or vocabulary_path("word_bpe_49k.json")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, end_id, capacity, cache_chunks), "doc_id long, piece int, start long, length long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(vocabulary, end_id, capacity, cache_chunks, special_as_text), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length from 1 to ``capacity``, any others) with sequence_id
-    and offset, gapless in each sequence.
-
-    Ties between pieces of one length are dealt by doc_id and piece. ``pieces`` is read twice:
-    give a stored table. The driver holds the histogram, at most ``capacity`` rows, and the
-    plan made from it, a bounded number of rows for each length; both are independent of the
-    number of pieces. Lengths shared by many pieces are ranked in salted parts. An empty table
-    gives none.
+    and offset, gapless in each sequence; columns of these two names give way.
+
+    Pieces of one length, also repeated ones, are dealt by a hash of doc_id and piece, then by
+    doc_id and piece; a null doc_id is a value like others. ``pieces`` is read three times: give
+    a stored table. The driver holds the histogram, at most ``capacity`` rows, and the plan made
+    from it, a bounded number of rows for each length; both are independent of the number of
+    pieces. Each length is ranked in salted parts, so that a length which many pieces share
+    is never in one task. An empty table gives none.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = places(minimum_bin_slack(histogram, capacity))
-    salts = max(1, -(-max(histogram.values(), default=0) // RANKED_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    in_part = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    if salts == 1:
-        ranked = salted.withColumn("_rank", in_part.cast("long"))
-    else:
-        sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-        before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        ranked = salted.withColumn("_in", in_part).join(sizes.select("length", "_salt", before.alias("_before")), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_in", "_before")
-    slots = spark.createDataFrame(plan, "_length long, _from long, _to long, _each long, _bin long, _at long")
-    at = F.col("_rank") - F.col("_from")
-    return (
-        ranked.join(F.broadcast(slots), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .withColumn("sequence_id", F.col("_bin") + F.floor(at / F.col("_each")).cast("long"))
-        .withColumn("offset", F.col("_at") + at % F.col("_each") * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+    salts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(histogram.values(), default=0) // RANKED_ROWS))
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    salted = pieces.select(F.struct(*kept).alias("row"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    in_part = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row.doc_id", "row.piece")) - 1
+    placed = salted.withColumn("in_part", in_part).join(sizes.select("length", "salt", before.alias("before")), ["length", "salt"])
+    ranked = placed.select("row", "length", (F.col("before") + F.col("in_part")).alias("rank"))
+    slots = spark.createDataFrame(plan, "of long, since long, until long, each long, bin long, at long")
+    nth = F.col("rank") - F.col("since")
+    return ranked.join(F.broadcast(slots), F.expr("length = of and rank >= since and rank < until")).select(
+        "row.*",
+        (F.col("bin") + F.floor(nth / F.col("each")).cast("long")).alias("sequence_id"),
+        (F.col("at") + nth % F.col("each") * F.col("length")).alias("offset"),
     )
 
 

@@ -4,6 +4,7 @@ adjust their scores."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,11 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import claim, slices
 
 #: Kinds in the order that spans with one start are listed in. The first four are always kept.
-KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "key"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "key", "tel"]
 BASE = KINDS[:4]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -34,11 +34,13 @@ IBAN_LENGTHS = {
 }
 _SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 _KEY = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])")
+#: Numbers without a country's code: too weak without words nearby that speak of a call.
+_TEL = re.compile(r"(?<![0-9A-Za-z+.(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 _DIGIT = re.compile("[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Score without context, words that raise it and words that lower it.
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "key": 0.9}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "key": 0.9, "tel": 0.3}
 RAISING = {
     "email": "mail e-mail email contact write",
     "ip": "ip address host server login",
@@ -47,8 +49,9 @@ RAISING = {
     "iban": "iban account bank konto compte cuenta",
     "ssn": "ssn social security",
     "key": "key secret access aws",
+    "tel": "phone call tel mobile fax telephone",
 }
-LOWERING = {"ip": "version release build", "card": "order invoice serial isbn", "phone": "order invoice serial", "ssn": "part serial model"}
+LOWERING = {"ip": "version release build", "card": "order invoice serial isbn", "phone": "order invoice serial", "iban": "example sample", "ssn": "part serial model", "key": "example sample", "tel": "order invoice serial part"}
 #: Characters looked at on each side, what a word adds or takes, and the least score of the
 #: kinds beyond the first four.
 CONTEXT, STEP, LEAST = 40, 0.2, 0.5
@@ -114,13 +117,16 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _IP.finditer(text):
         if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
             yield "ip", *m.span()
+    numbers = []
     for m in _CARD.finditer(text):
         if len(m[0]) >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             yield "card", *m.span()
+            numbers.append(m.span())
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 10 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
+                numbers.append(m.span())
     done = 0
     for m in _IBAN.finditer(text):
         if m.start() >= done and (end := _iban_end(text, m.start())):
@@ -129,6 +135,11 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()
+    numbers.sort()
+    for m in _TEL.finditer(text):
+        k = bisect_right(numbers, m.start(), key=lambda span: span[0])  # a phone inside a card's span may end first
+        if all(end <= m.start() for _, end in numbers[max(0, k - 2) : k]):
+            yield "tel", *m.span()
     if "AKIA" in text:
         for m in _KEY.finditer(text):
             yield "key", *m.span()
@@ -196,12 +207,12 @@ def redacted(documents: DataFrame) -> DataFrame:
 
 
 def personal_data_digest(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: :func:`personal_data` with
-    spans written ``kind:start:end`` and joined by commas."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores: :func:`personal_data`
+    with spans written ``kind:start:end`` and joined by commas, and so their scores."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     base = F.filter("spans", lambda x: x["kind"].isin(BASE))
     counts = [F.size(F.filter(F.col("spans.kind"), lambda x: x == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]  # noqa: B023  called at once
-    return personal_data(documents).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return personal_data(documents).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), F.array_join("spans.score", ",").alias("scores"))

@@ -66,7 +66,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls that the conversations imply, of which known ones are damaged: by the conversation's
+    number modulo 11, arguments of a wrong type (1), an absent one (2), broken JSON (3), an unknown
+    tool (4), doubled calls (5), calls that follow themselves (6), lost (7) and doubled results (8)."""
     calls, results = conversation_calls(_table(spark, sf_dir, "conversations"))
+    kind, turn = F.col("conv_id") % 11, F.split_part("call_id", F.lit(":"), F.lit(-1)).cast("long")
+    text = F.get_json_object("arguments", "$.text")
+    arguments = (
+        F.when(kind == 1, F.to_json(F.struct(text.alias("text"), turn.cast("string").alias("turn"))))
+        .when(kind == 2, F.to_json(F.struct(turn.alias("turn"))))
+        .when(kind == 3, F.expr("left(arguments, length(arguments) - 1)"))
+        .otherwise(F.col("arguments"))
+    )
+    calls = calls.withColumns({"arguments": arguments, "name": F.when(kind == 4, "answer").otherwise(F.col("name")), "parent_id": F.when(kind == 6, F.col("call_id")).otherwise(F.col("parent_id"))})
+    results = results.where(kind != 7)
+    calls, results = calls.unionByName(calls.where(kind == 5)), results.unionByName(results.where(kind == 8))
     return link_tool_calls(calls, results, REPLY_SCHEMA).withColumn("problems", F.array_join("problems", ","))
 
 
@@ -122,9 +136,13 @@ SELECT file, place AS "offset", length AS first_length, length AS second_length,
 UNION ALL SELECT file, place, length, NULL, 'missing' FROM p WHERE page_id % 97 IN (1, 2)
 UNION ALL SELECT file, place + 1, NULL, length, 'extra' FROM p WHERE page_id % 97 = 2""",
     "op9_tool_calls": """
-WITH c AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'user'),
- d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS depth FROM c)
-SELECT d.conv_id, call_id, depth, 'reply' AS name, 1::BIGINT AS n_calls, (a.conv_id IS NOT NULL)::BIGINT AS n_results, a.conv_id IS NOT NULL AS linked, '' AS problems, true AS valid,
- '{"arguments":{"text":' || to_json(d.text) || ',"turn":' || d.turn || '},"call_id":"' || call_id || '","conv_id":' || d.conv_id || ',"depth":' || depth || ',"name":"reply","parent_id":"' || d.conv_id || ':' || (d.turn - 2) || '","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
-FROM d LEFT JOIN conversations a ON a.conv_id = d.conv_id AND a.turn = d.turn + 1 AND a.role = 'assistant'""",
+WITH c AS (SELECT conv_id, conv_id % 11 AS kind, turn, text, conv_id || ':' || turn AS call_id, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM conversations WHERE role = 'user'),
+ d AS (SELECT *, CASE WHEN kind <> 6 THEN row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 END AS depth,
+  CASE kind WHEN 1 THEN '{"text":' || to_json(text) || ',"turn":"' || turn || '"}' WHEN 2 THEN '{"turn":' || turn || '}' WHEN 3 THEN 'null' ELSE '{"text":' || to_json(text) || ',"turn":' || turn || '}' END AS arguments,
+  CASE kind WHEN 4 THEN 'answer' ELSE 'reply' END AS name, CASE kind WHEN 6 THEN call_id ELSE conv_id || ':' || (turn - 2) END AS parent_id,
+  CASE kind WHEN 1 THEN 'turn' WHEN 2 THEN 'text' WHEN 3 THEN 'arguments' WHEN 4 THEN 'name' ELSE '' END AS problems FROM c),
+ a AS (SELECT * FROM conversations WHERE role = 'assistant' AND conv_id % 11 <> 7)
+SELECT d.conv_id, call_id, depth, name, CASE kind WHEN 5 THEN 2 ELSE 1 END::BIGINT AS n_calls, CASE WHEN a.conv_id IS NULL THEN 0 WHEN kind = 8 THEN 2 ELSE 1 END::BIGINT AS n_results, a.conv_id IS NOT NULL AS linked, problems, problems = '' AS valid,
+ '{"arguments":' || arguments || ',"call_id":"' || call_id || '","conv_id":' || d.conv_id || ',"depth":' || coalesce(depth::VARCHAR, 'null') || ',"name":"' || name || '","parent_id":"' || parent_id || '","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
+FROM d LEFT JOIN a ON a.conv_id = d.conv_id AND a.turn = d.turn + 1""",
 }

@@ -122,11 +122,11 @@ def simple8b_decode(words: np.ndarray, offsets: np.ndarray, n: int, escapes: np.
     return out
 
 
-def _encode(vocabulary: str, end_id: int):
+def _encode(vocabulary: str, end_id: int, special_as_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = codec(vocabulary).encode, int(end_id).to_bytes(4, "little")
+        encode, end = codec(vocabulary, special_as_text=special_as_text).encode, int(end_id).to_bytes(4, "little")
         part, chunk, first, docs, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -153,19 +153,20 @@ def _arrow() -> pa.Schema:
     return pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("words", pa.binary()), ("escapes", pa.list_(pa.int64()))])
 
 
-def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2) -> None:
+def write_tokens(documents: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 2, special_as_text: bool = False) -> None:
     """Write the ids of all ``documents`` (doc_id long, text string), each closed by ``end_id``,
     in ascending doc_id order.
 
     A null or empty text has the end id alone. Rows that share a doc_id all stay, ordered by
     their text's hash; a null doc_id comes first. Other columns are not read. An empty table
-    gives files without rows. ``doc_id`` ranges are dealt by Spark's range partitioning; one
+    gives files without rows. Literals of special tokens become their ids, or with
+    ``special_as_text`` those of ordinary text. ``doc_id`` ranges are dealt by Spark's range partitioning; one
     task holds one chunk and one text at a time.
     """
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
     order = ["doc_id", F.xxhash64("text")]
     rows = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(_encode(vocabulary, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_encode(vocabulary, end_id, special_as_text), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,10 @@ characters, so the ids of a text are the ids of its chunks in turn, a chunk bein
 space with the run of other characters after it. Each distinct chunk goes through the
 library (normaliser, pre-tokeniser, model) once; a dictionary of bounded size keeps its ids
 as little-endian unsigned 32-bit bytes, which are joined for each text.
+
+A text is first cut at the vocabulary's added tokens (``<|endoftext|>`` and the like), as the
+library does: their ids stand for them wherever they are written in a text. Where documents
+must not be able to write control tokens, ``special_as_text`` makes special ones plain text.
 """
 
 from __future__ import annotations
@@ -37,11 +41,16 @@ def vocabulary_path(name: str) -> str:
 class ChunkCodec:
     """Ids of texts for one vocabulary file."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = {i: t for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (special_as_text and t.special)}
+        # Only tokens that are found as they stand can be cut at here.
+        self.plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if added else None
         self.model = self.tokenizer.model
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         normalizer = self.tokenizer.normalizer
@@ -84,6 +93,15 @@ class ChunkCodec:
 
     def encode(self, text: str | None) -> bytes:
         """All ids of one text as little-endian unsigned 32-bit integers; of null, none."""
+        if not text:
+            return b""
+        if not self.plain:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.cut and self.cut.search(text):
+            return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         self.after_space.age()
@@ -145,11 +163,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 @lru_cache(maxsize=1)
-def _codec(path: str, cache_chunks: int) -> ChunkCodec:
-    return ChunkCodec(path, cache_chunks)
+def _codec(path: str, cache_chunks: int, special_as_text: bool) -> ChunkCodec:
+    return ChunkCodec(path, cache_chunks, special_as_text)
 
 
-def codec(path: str, cache_chunks: int = CACHE_CHUNKS) -> ChunkCodec:
+def codec(path: str, cache_chunks: int = CACHE_CHUNKS, special_as_text: bool = False) -> ChunkCodec:
     """One codec for a vocabulary and Python worker; it outlives a task."""
-    claim(f"tokens of {path}")
-    return _codec(path, cache_chunks)
+    claim(f"tokens of {path} {special_as_text}")
+    return _codec(path, cache_chunks, special_as_text)

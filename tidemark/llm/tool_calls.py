@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, staged
 
 #: What ``schema_of_variant`` may say for each JSON type of a schema.
 JSON_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*", "object": "^OBJECT<.*"}
@@ -34,12 +34,15 @@ def _depths(calls: DataFrame) -> DataFrame:
     key = ["conv_id", "call_id"]
     parents = calls.select("conv_id", F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
     at = calls.join(parents, ["conv_id", "parent_id"], "left").select(*key, F.expr("if(known, parent_id, null)").alias("up"), F.expr("if(known, 1L, 0L)").alias("depth"))
-    at, rounds = staged(at, "depths"), 0
-    most = calls.count()
-    while (1 << rounds) <= most and not at.where("up is not null").isEmpty():
+    spark, old = calls.sparkSession, []
+    at, left = staged(at, "depths", old), None
+    # Each round settles all calls of twice the depth, so where none was settled the rest is cyclic.
+    while (now := at.where("up is not null").count()) and now != left:
         above = at.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
-        at = staged(at.join(above, ["conv_id", "up"], "left").select(*key, F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
-        rounds += 1
+        new: list[str] = []
+        at = staged(at.join(above, ["conv_id", "up"], "left").select(*key, F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths", new)
+        drop(spark, old)
+        old, left = new, now
     return at.select(*key, F.expr("if(up is null, depth, null)").alias("depth"))
 
 
