@@ -28,8 +28,12 @@ from tidemark.plans.staging import broadcast_if_small, drop, staged
 
 HASHES, WIDTH, TABLES, PROBES = 10, 3.0, 4, 200
 NEAREST = 20
-#: Vectors of a part or block, about, on the side of the rows and on that of the queries.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
+#: Vectors of a part or block, about, on the side of the rows and on that of the queries: 32 MB of
+#: 64 double components. The fewer parts a query meets, the fewer lists of its best are merged;
+#: it meets no more parts than buckets that it visits, whatever the number of rows.
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
+#: Products held at once by a task.
+PRODUCTS = 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -130,9 +134,10 @@ def _search_part(nearest: int):
             keys, begins = np.unique(right["bucket"].to_numpy(), return_index=True)
             sizes = np.diff(np.append(begins, len(rows)))
             queries, visits = _vectors(left), left["buckets"].to_numpy()
-            for start in range(0, len(queries), 512):
-                part = queries[start : start + 512]
-                mine = [np.flatnonzero(np.isin(keys, v)) for v in visits[start : start + 512]]
+            step = max(1, PRODUCTS // len(rows))
+            for start in range(0, len(queries), step):
+                part = queries[start : start + step]
+                mine = [np.flatnonzero(np.isin(keys, v)) for v in visits[start : start + step]]
                 # With much of the part to look at, one product of all is cheaper than picking rows.
                 whole = 8 * sum(sizes[v].sum() for v in mine) > len(part) * len(rows)
                 products = part @ rows.T if whole else None
@@ -151,11 +156,14 @@ def _search_block(nearest: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            queries, rows, ids = _vectors(left), _vectors(right), right["vec_id"].to_numpy()
-            for query_id, query in zip(left["query_id"].to_numpy(), queries, strict=True):
-                at = np.flatnonzero(ids != query_id)
-                if len(at):
-                    out.append((query_id, *_top(rows[at] @ query, at, rows, ids, query, nearest)))
+            queries, rows, ids, asked = _vectors(left), _vectors(right), right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+            step = max(1, PRODUCTS // len(rows))
+            for start in range(0, len(queries), step):
+                products = queries[start : start + step] @ rows.T
+                for k, query in enumerate(queries[start : start + step]):
+                    at = np.flatnonzero(ids != asked[start + k])
+                    if len(at):
+                        out.append((asked[start + k], *_top(products[k, at], at, rows, ids, query, nearest)))
         return _frame(out)
 
     return run
