@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import keyed_join
+from tidemark.operators.sessions import running
+
 
 def circular_mean(degrees: str) -> Column:
     """Mean direction from 0 up to but not 360."""
@@ -26,22 +29,28 @@ def intercept(x: str, y: str) -> Column:
     return F.regr_intercept(F.col(y), F.col(x))
 
 
-def median(value: str) -> Column:
-    return F.percentile(F.col(value), F.lit(0.5))
+def _counted(df: DataFrame, keys: list[str], value: str, bucket: float) -> DataFrame:
+    """Each distinct value with its number of rows _n, those up to it _to and all of the key _all.
 
+    Equal values are counted first and running counts are kept in buckets of ``bucket`` of the
+    value, so a key may hold any share of the rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    return running(counts, keys, value, [], F.col("_n"), bucket, "_to", "_all")
 
-def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, upper_median: the value at place n div 2 from 0 of the sorted non-null values.
 
-    Equal values are counted first; running counts, not lists, find the place, so a group may
-    hold any number of rows.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    up_to = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("_to", up_to).withColumn("_all", F.sum("_n").over(w))
+def median(df: DataFrame, keys: list[str], value: str, bucket: float) -> DataFrame:
+    """keys, median: the middle of the sorted non-null values, or the mean of the two in the
+    middle. A null key is one like others; a key with nulls only is left out."""
+    at = lambda place: ((F.col("_to") > place) & (F.col("_to") - F.col("_n") <= place)).cast("int")
+    both = at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))
+    return _counted(df, keys, value, bucket).where(both > 0).groupBy(*keys).agg((F.sum(F.col(value) * both) / 2).alias("median"))
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, bucket: float) -> DataFrame:
+    """keys, upper_median: the value at place n div 2 from 0 of the sorted non-null values; keys as
+    in :func:`median`."""
     half = F.floor(F.col("_all") / 2)
-    return placed.where((F.col("_to") > half) & (F.col("_to") - F.col("_n") <= half)).select(*keys, F.col(value).alias("upper_median"))
+    return _counted(df, keys, value, bucket).where((F.col("_to") > half) & (F.col("_to") - F.col("_n") <= half)).select(*keys, F.col(value).alias("upper_median"))
 
 
 def mode_largest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -53,11 +62,12 @@ def mode_largest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def histogram(df: DataFrame, keys: list[str], value: str, width: int, least: int = 8, most: int = 30) -> DataFrame:
     """keys, bin, center, n of the bins that hold values: (max - min) div ``width`` + 1 bins of
-    one size, ``least`` to ``most`` of them, at least 1 wide. ``value`` is a whole number."""
+    one size, ``least`` to ``most`` of them, at least 1 wide. ``value`` is a whole number; nulls
+    do not count, a null key is one like others."""
     lo_hi = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     bins = F.least(F.lit(most), F.greatest(F.lit(least), F.floor((F.col("_hi") - F.col("_lo")) / width) + 1))
     sized = lo_hi.withColumn("_bins", bins).withColumn("_w", F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo")) / F.col("_bins")))
-    put = df.where(F.col(value).isNotNull()).join(sized, keys).withColumn("bin", F.least(F.col("_bins") - 1, F.floor((F.col(value) - F.col("_lo")) / F.col("_w"))))
+    put = keyed_join(df.where(F.col(value).isNotNull()), sized, keys).withColumn("bin", F.least(F.col("_bins") - 1, F.floor((F.col(value) - F.col("_lo")) / F.col("_w"))))
     out = put.groupBy(*keys, "bin", "_lo", "_w").agg(F.count("*").alias("n"))
     return out.select(*keys, "bin", (F.col("_lo") + F.floor((F.col("bin") + 0.5) * F.col("_w") + 0.5)).alias("center"), "n")
 
@@ -69,19 +79,21 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def retained(df: DataFrame, keys: list[str], frame: str, member: str) -> DataFrame:
-    """keys, member of the members that are in every frame of the key: counted, not collected."""
+    """keys, member of the members that are in every frame of the key: counted, not collected.
+    Null frames are none; a null key and a null member are ones like others."""
     frames = df.groupBy(*keys).agg(F.count_distinct(frame).alias("_all"))
     held = df.groupBy(*keys, member).agg(F.count_distinct(frame).alias("_in"))
-    return held.join(frames, keys).where("_in = _all").select(*keys, member)
+    return keyed_join(held, frames, keys).where("_in = _all").select(*keys, member)
 
 
 def mahalanobis(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """``df`` with distance: of (x, y) from its group's mean in the group's sample covariance;
-    null where the covariance is singular or there are fewer than two rows."""
+    null where the covariance is singular, there are fewer than two rows or x or y is null. A
+    null key is one like others."""
     m = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.var_samp(x).alias("_xx"), F.var_samp(y).alias("_yy"), F.covar_samp(x, y).alias("_xy"))
     dx, dy, det = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my"), F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
     square = (F.col("_yy") * dx * dx - 2 * F.col("_xy") * dx * dy + F.col("_xx") * dy * dy) / det
-    return df.join(m, keys).withColumn("distance", F.when(det > 0, F.sqrt(square))).select(*df.columns, "distance")
+    return keyed_join(df, m, keys).withColumn("distance", F.when(det > 0, F.sqrt(square))).select(*df.columns, "distance")
 
 
 def labels_list(label: str) -> Column:

@@ -9,40 +9,164 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.keys import keyed_join
+from tidemark.operators.sessions import stretches
+from tidemark.plans.staging import drop, staged
+
 
 def gap_clusters(df: DataFrame, keys: list[str], value: str, gap: float, out: str = "cluster") -> DataFrame:
     """``out``: number from 0 of the value's cluster; a step over ``gap`` between neighbouring
-    distinct values begins a new one. Nulls are left out."""
+    distinct values begins a new one. Null values are left out, a null key is one like others.
+
+    Distinct values are taken in buckets of CELL gaps, of which only the last value and the number
+    of steps meet the others, so a key may hold any share of them."""
     values = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    w = Window.partitionBy(*keys).orderBy(value)
-    started = values.withColumn("_s", F.coalesce((F.col(value) - F.lag(value).over(w) > gap).cast("int"), F.lit(0)))
-    numbered = started.withColumn(out, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_s")
-    return df.join(numbered, [*keys, value])
+    numbered = stretches(values, keys, value, value, [value], lambda p: F.col(value) - p[value] > gap, CELL * gap or 1, out)
+    return keyed_join(df, numbered, [*keys, value])
+
+
+#: Widths of a bin or gap in one bucket of values.
+CELL = 64
+#: Distinct values in one group of buckets, about.
+GROUP_VALUES = 200_000
+
+
+def _following(v: np.ndarray, at: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each of ``at``, the place in the sorted ``v`` of the first value over ``tolerance`` beyond."""
+    j = np.searchsorted(v, at + tolerance, side="right")
+    while (low := (j < len(v)) & (v[np.minimum(j, len(v) - 1)] - at <= tolerance)).any():  # rounding of the sum
+        j[low] += 1
+    while (high := (j > 0) & (v[np.maximum(j, 1) - 1] - at > tolerance)).any():
+        j[high] -= 1
+    return j
+
+
+def _cells(pdf: pd.DataFrame, keys: list[str], value: str) -> tuple[pd.DataFrame, np.ndarray, list[tuple[int, int]]]:
+    """A frame sorted by bucket and value, its values, and from where to where each bucket goes."""
+    code = pdf.groupby([*keys, "_cell"], sort=False, dropna=False).ngroup().to_numpy()
+    order = np.lexsort((pdf[value].to_numpy(), code))
+    code = code[order]
+    begins = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, int)
+    pdf = pdf.iloc[order].reset_index(drop=True)
+    return pdf, pdf[value].to_numpy(), list(zip(begins.tolist(), [*begins[1:].tolist(), len(code)]))
+
+
+def _openings(keys: list[str], value: str, tolerance: float):
+    """Of each bucket the values that its first anchor may be, each with the bucket's last anchor
+    if it is: the first value and those whose forerunner is within the tolerance of it. Also
+    whether the last anchor is the same for all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, values, cells = _cells(pdf, keys, value)
+        kept, ends, sure = [], [], []
+        for begin, end in cells:
+            v = values[begin:end]
+            last, step = np.arange(len(v)), _following(v, v, tolerance)
+            while (inside := step[last] < len(v)).any():
+                last = np.where(inside, step[np.where(inside, last, 0)], last)
+            n = min(int((v - v[0] <= tolerance).sum()) + 1, len(v))
+            kept.append(np.arange(begin, begin + n))
+            ends.append(last[:n] + begin)
+            sure.append(np.full(n, (last[:n] == last[0]).all()))
+        at, ends, sure = (np.concatenate([np.empty(0, kind), *x]).astype(kind) for x, kind in ((kept, int), (ends, int), (sure, bool)))
+        return pdf.iloc[at].assign(_last=values[ends], _sure=sure)
+
+    return run
+
+
+def _seek(keys: list[str], value: str, tolerance: float):
+    """For each opening of an earlier bucket (``_asks``), the first of this one's openings over the
+    tolerance beyond its last anchor, else the first of the bucket after, if there is one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, values, cells = _cells(pdf, keys, value)
+        asks, last, later, on = (pdf[c].to_numpy() for c in ("_asks", "_last", "_later", "_goes_on"))
+        to = np.full(len(pdf), None, object)
+        for begin, end in cells:
+            v, at = values[begin:end][~asks[begin:end]], np.flatnonzero(asks[begin:end]) + begin
+            for i, k in zip(at, _following(v, last[at], tolerance), strict=True):
+                to[i] = v[k] if k < len(v) else later[i] if on[i] else None
+        return pdf[[*keys, value, "_sure"]].assign(_to=to)[asks]
+
+    return run
+
+
+def _anchored(keys: list[str], value: str, tolerance: float, out: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, values, cells = _cells(pdf, keys, value)
+        opens, opening, before = (pdf[c].to_numpy() for c in ("_opens", "_opening", "_before"))
+        anchors = np.empty(len(values), values.dtype)
+        for begin, end in cells:
+            v = values[begin:end]
+            at = int(v.searchsorted(opening[begin])) if opens[begin] else len(v)
+            anchors[begin : begin + at] = before[begin]
+            while at < len(v):
+                nxt = int(v.searchsorted(v[at] + tolerance, "right"))
+                while nxt < len(v) and v[nxt] - v[at] <= tolerance:  # rounding of the sum
+                    nxt += 1
+                while v[nxt - 1] - v[at] > tolerance:
+                    nxt -= 1
+                anchors[begin + at : begin + nxt], at = v[at], nxt
+        return pdf[[*keys, value]].assign(**{out: anchors})
+
+    return run
 
 
 def anchor_bins(df: DataFrame, keys: list[str], value: str, tolerance: float, out: str = "anchor") -> DataFrame:
     """``out``: the first value of the value's bin, rising; a bin holds what is within
-    ``tolerance`` of its first value. Nulls are left out.
+    ``tolerance`` of its first value. Null values are left out, a null key is one like others.
 
-    Where neighbouring values are further apart than the tolerance, any bin ends, so stretches
-    between such steps are scanned apart; only distinct values are scanned.
+    Distinct values are taken in buckets of CELL tolerances. In a bucket each value that may be
+    its first anchor leads to one last anchor and so to an opening of a later bucket; which of
+    them are reached, from the key's first value and from those that every way leads to, is found
+    by doubling the steps. Buckets are then scanned apart, anchor by anchor, so a key may hold any
+    number of values.
     """
-    stretches = gap_clusters(df.select(*keys, value), keys, value, tolerance, "_stretch")
-    sets = stretches.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_set(value)).alias("_v"))
     kind = df.schema[value].dataType
-    start = F.array().cast(T.ArrayType(T.StructType([T.StructField("v", kind), T.StructField("a", kind)])))
-
-    def step(done, v):
-        last = F.element_at(done, -1)["a"]
-        anchor = F.when((F.size(done) > 0) & (v - last <= tolerance), last).otherwise(v)
-        return F.concat(done, F.array(F.struct(v.alias("v"), anchor.alias("a"))))
-
-    scanned = sets.select(*keys, F.explode(F.reduce("_v", start, step)).alias("_p"))
-    return df.join(scanned.select(*keys, F.col("_p.v").alias(value), F.col("_p.a").alias(out)), [*keys, value])
+    if not tolerance > 0:
+        return df.where(F.col(value).isNotNull()).withColumn(out, F.col(value))
+    scratch: list[str] = []
+    cell = F.floor(F.col(value) / (CELL * tolerance))
+    values = staged(df.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_cell", cell), "values", scratch)
+    groups = max(1, -(-values.count() // GROUP_VALUES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = F.pmod(F.xxhash64(*keys, "_cell"), F.lit(groups)).alias("_group")
+    fields = [*[df.schema[k] for k in keys], T.StructField(value, kind), T.StructField("_cell", T.LongType())]
+    opened = values.groupBy(dealt).applyInPandas(_openings(keys, value, tolerance), T.StructType([*fields, T.StructField("_last", kind), T.StructField("_sure", T.BooleanType())]))
+    openings = staged(opened, "openings", scratch)
+    along = Window.partitionBy(*keys).orderBy("_cell")
+    starts = openings.groupBy(*keys, "_cell").agg(F.min(value).alias("_start"))
+    starts = starts.withColumns({"_next": F.lead("_cell").over(along), "_later": F.lead("_start", 2).over(along), "_number": F.row_number().over(along)})
+    starts = staged(starts, "starts", scratch)
+
+    node, root = F.struct(*keys, F.col(value).alias("v")), F.struct(*keys, F.col("_start").alias("v"))
+    reached = starts.where("_number = 1").select(root.alias("node"))
+    if not starts.where("_next is not null").isEmpty():
+        asked = keyed_join(openings, starts, [*keys, "_cell"]).where("_next is not null").drop("_start", "_number")
+        asks = asked.select(*keys, value, F.col("_next").alias("_cell"), "_last", F.coalesce("_later", value).alias("_later"), F.col("_later").isNotNull().alias("_goes_on"), "_sure", F.lit(True).alias("_asks"))
+        openers = openings.select(*keys, value, "_cell", "_last", F.col(value).alias("_later"), F.lit(False).alias("_goes_on"), "_sure", F.lit(False).alias("_asks"))
+        # A later bucket begins further beyond than the tolerance.
+        found = asks.unionByName(openers).groupBy(dealt).applyInPandas(_seek(keys, value, tolerance), T.StructType([*fields[:-1], T.StructField("_sure", T.BooleanType()), T.StructField("_to", kind)]))
+        steps = staged(found.where("_to is not null").select(node.alias("node"), F.struct(*keys, F.col("_to").alias("v")).alias("to"), "_sure"), "steps", scratch)
+        reached = staged(reached.union(steps.where("_sure").select("to")).distinct(), "reached", scratch)
+        steps, known, count = steps.drop("_sure"), 0, reached.count()
+        while count > known:  # a round reaches all within twice the steps, so where it adds none there are none
+            onward = reached.join(steps, "node").select("to")
+            reached = staged(reached.union(onward).distinct(), "reached", scratch)
+            known, count = count, reached.count()
+            if count > known:
+                steps = staged(steps.join(steps.select(F.col("node").alias("to"), F.col("to").alias("then")), "to").select("node", F.col("then").alias("to")), "steps", scratch)
+    taken = openings.withColumn("node", node).join(reached, "node", "left_semi").select(*keys, "_cell", F.col(value).alias("_opening"), F.col("_last").alias("_end"))
+    known = keyed_join(starts.select(*keys, "_cell"), taken, [*keys, "_cell"], "left")
+    known = known.withColumn("_before", F.last("_end", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    known = known.select(*keys, "_cell", F.col("_opening").isNotNull().alias("_opens"), F.coalesce("_opening", "_before").alias("_opening"), F.coalesce("_before", "_opening").alias("_before"))
+    scanned = keyed_join(values, known, [*keys, "_cell"]).groupBy(dealt).applyInPandas(_anchored(keys, value, tolerance, out), T.StructType([*fields[:-1], T.StructField(out, kind)]))
+    scanned = staged(scanned, "anchors")
+    drop(df.sparkSession, scratch)
+    return keyed_join(df, scanned, [*keys, value])
 
 
 def band_count(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """keys, bands: number of bins of :func:`anchor_bins`."""
+    """keys, bands: number of bins of :func:`anchor_bins`; a key of nulls only is left out."""
     return anchor_bins(df, keys, value, tolerance).groupBy(*keys).agg(F.count_distinct("anchor").alias("bands"))
 
 
@@ -53,7 +177,8 @@ def _by_group(df: DataFrame, keys: list[str], function, added: list[tuple[str, T
 
 def dbscan(df: DataFrame, keys: list[str], x: str, y: str, tie: str, scale: tuple[float, float], radius: float, least: int) -> DataFrame:
     """``cluster``: DBSCAN over (x / scale, y / scale); noise joins the cluster of the nearest
-    clustered point, or is -1 where there is none. Numbered in the order of ``x``, ``tie``."""
+    clustered point, or is -1 where there is none. Numbered in the order of ``x``, ``tie``. A
+    null x or y is near nothing; a null key is one like others. One key meets in one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([x, tie], ignore_index=True)
@@ -87,34 +212,39 @@ def dbscan(df: DataFrame, keys: list[str], x: str, y: str, tie: str, scale: tupl
     return _by_group(df, keys, run, [("cluster", T.LongType())])
 
 
-def two_means(df: DataFrame, keys: list[str], value: str, rounds: int = 50) -> DataFrame:
+def two_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, low_mean, high_mean, cut: Lloyd's algorithm on one dimension from the least and
-    greatest value, with plain aggregates; rows above ``cut`` are in the upper half. Where all
-    values are equal both means are that value.
+    greatest value until no value changes sides; rows above ``cut`` are in the upper half. Where
+    all values are equal both means are that value. Nulls do not count, a null key is one like
+    others, and one of nulls only is left out.
 
-    Every round is one aggregation of counted distinct values joined to a row a key.
+    Every round is one aggregation of counted distinct values joined to a row a key; a cut only
+    ever moves to fit its halves better, so rounds end.
     """
-    from tidemark.plans.staging import staged
-
-    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "values")
-    means = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("low_mean"), F.max(value).cast("double").alias("high_mean"))
+    scratch: list[str] = []
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "values", scratch)
+    low, high = F.min(value).cast("double").alias("low_mean"), F.max(value).cast("double").alias("high_mean")
+    means = staged(counts.groupBy(*keys).agg(low, high, F.lit(-1).cast("long").alias("_above")), "means", scratch)
     cut = (F.col("low_mean") + F.col("high_mean")) / 2
-    for _ in range(rounds):
+    while True:
         up = F.col(value) > F.col("_cut")
-        mean = lambda side: F.sum(F.when(side, F.col(value) * F.col("_n"))) / F.sum(F.when(side, F.col("_n")))
-        old = means.withColumn("_cut", cut)
-        new = counts.join(old, keys).groupBy(*keys, "low_mean", "high_mean").agg(mean(~up).alias("_l"), mean(up).alias("_h"))
-        new = staged(new.withColumn("_h", F.coalesce("_h", "_l")).withColumn("_moved", (F.col("_l") != F.col("low_mean")) | (F.col("_h") != F.col("high_mean"))), "means")
-        means = new.select(*keys, F.col("_l").alias("low_mean"), F.col("_h").alias("high_mean"))
-        if new.where("_moved").isEmpty():
-            break
-    return means.withColumn("cut", cut)
+        mean = lambda side: F.sum(F.when(side, F.col(value) * F.col("_n"))) / F.sum(F.when(side, F.col("_n")))  # noqa: B023, E731
+        old = means.select(*keys, cut.alias("_cut"), F.col("_above").alias("_was"))
+        sides = keyed_join(counts, old, keys).groupBy(*keys, "_was").agg(mean(~up).alias("_l"), mean(up).alias("_h"), F.sum(F.when(up, F.col("_n")).otherwise(0)).alias("_above"))
+        new = staged(sides.select(*keys, F.col("_l").alias("low_mean"), F.coalesce("_h", "_l").alias("high_mean"), "_above", "_was"), "means", last := [])
+        settled = new.where("_above <> _was").isEmpty()
+        drop(df.sparkSession, scratch[1:])
+        scratch, means = [scratch[0], *last], new
+        if settled:
+            drop(df.sparkSession, scratch[:1])
+            return means.select(*keys, "low_mean", "high_mean", cut.alias("cut"))
 
 
 def ransac_line(df: DataFrame, keys: list[str], x: str, y: str, tie: str, tolerance: float, draws: int = 200, seed: int = 0) -> DataFrame:
     """keys, slope, intercept, inliers: the line through two rows that most rows lie within
     ``tolerance`` of, refitted to them by least squares. Draws depend on ``seed`` and the
-    group's size alone; the first of equally good lines wins; null with fewer than two ``x``."""
+    group's size alone; the first of equally good lines wins; null with fewer than two ``x``.
+    Rows with a null x or y are none. One key meets in one task."""
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("inliers", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

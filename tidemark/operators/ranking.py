@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.keys import keyed_join
+from tidemark.operators.sessions import running
 from tidemark.plans.staging import staged
 
 
 def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each key in ``order``, with rank from 1; rows that are equal in it come
+    in any order. A null key is one like others. Partitions cut their own rows to ``k`` first."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start: str, end: str, k: int, ratio: float) -> DataFrame:
     """Up to ``k`` intervals of each key by falling score (ties to the smaller ``tie``), passing
     over those whose overlap with a chosen one is at least ``ratio`` of the shorter: ``df``'s
-    columns and rank.
+    columns and rank. A null key is one like others; an interval with a null end overlaps nothing;
+    rows that share their key's ``tie`` are one.
 
     Each of ``k`` rounds takes the best row of every key that no chosen one suppresses, by a
     partial aggregate; a key's rows never meet in one task.
@@ -27,16 +32,17 @@ def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start
         chosen = taken if chosen is None else chosen.unionByName(taken)
         if rank == k or taken.isEmpty():
             break
-        t = taken.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tie).alias("_id"))
+        t = taken.select(*keys, F.lit(True).alias("_taken"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tie).alias("_id"))
         shorter = F.least(F.col(end) - F.col(start), F.col("_e") - F.col("_s"))
         shared = F.least(F.col(end), F.col("_e")) - F.greatest(F.col(start), F.col("_s"))
-        gone = (F.col(tie) == F.col("_id")) | ((shared >= 0) & (shared >= ratio * shorter))
-        rest = rest.join(t, keys, "left").where(F.col("_id").isNull() | ~gone).drop("_s", "_e", "_id")
+        gone = F.col(tie).eqNullSafe(F.col("_id")) | F.coalesce((shared >= 0) & (shared >= ratio * shorter), F.lit(False))
+        rest = keyed_join(rest, t, keys, "left").where(F.col("_taken").isNull() | ~gone).drop("_taken", "_s", "_e", "_id")
     return chosen
 
 
 def rerank(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Ranks from 1 anew, after rows were merged or removed."""
+    """Ranks from 1 anew, after rows were merged or removed; all rows of a key meet in one task.
+    :func:`sorted_places` ranks a whole table."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
@@ -54,19 +60,20 @@ def sorted_places(df: DataFrame, *order: Column) -> DataFrame:
     return ranged.join(F.broadcast(before), "_range").withColumn("place", (inside + F.col("_before")).cast("long")).select(*df.columns, "place")
 
 
-def uniform_sample(df: DataFrame, keys: list[str], most: int, *order: str) -> DataFrame:
-    """At most ``most`` rows of each key at even steps of their order: places floor(i * n / most)."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+def uniform_sample(df: DataFrame, keys: list[str], most: int, t: str, tie: str, bucket: int) -> DataFrame:
+    """At most ``most`` rows of each key at even steps of the order of ``t``, ``tie``: places
+    floor(i * n / most). Rows are numbered in buckets of ``t``, so a key may hold any share of
+    them; a null key is one like others."""
+    placed = running(df, keys, t, [tie], F.lit(1), bucket, "_i", "_n").withColumn("_i", F.col("_i") - 1)
     nth = F.ceil(F.col("_i") * most / F.col("_n"))
     return placed.where((F.col("_n") <= most) | ((nth < most) & (F.floor(nth * F.col("_n") / most) == F.col("_i")))).drop("_i", "_n")
 
 
-def stride_sample(df: DataFrame, keys: list[str], most: int, *order: str) -> DataFrame:
-    """Every ceil(n / most)-th row of each key, from the first."""
-    w = Window.partitionBy(*keys)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.where(F.col("_i") % F.ceil(F.col("_n") / most) == 0).drop("_i", "_n")
+def stride_sample(df: DataFrame, keys: list[str], most: int, t: str, tie: str, bucket: int) -> DataFrame:
+    """Every ceil(n / most)-th row of each key, from the first; order, buckets and null keys as in
+    :func:`uniform_sample`."""
+    placed = running(df, keys, t, [tie], F.lit(1), bucket, "_i", "_n")
+    return placed.where((F.col("_i") - 1) % F.ceil(F.col("_n") / most) == 0).drop("_i", "_n")
 
 
 def first_of_key(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:

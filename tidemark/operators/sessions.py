@@ -7,9 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _ordered(keys: list[str], *order: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order)
+from tidemark.operators.keys import keyed_join
 
 
 def _along(keys: list[str]) -> Window:
@@ -17,7 +15,7 @@ def _along(keys: list[str]) -> Window:
     return Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._bucket")
 
 
-def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], bucket: int, out: str) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], bucket: float, out: str) -> DataFrame:
     """``out``: a struct of ``carried`` of the key's row before in the order of ``t``, ``tie``;
     null for its first row. Also ``_part``: the key and the bucket of ``bucket`` of ``t``.
 
@@ -33,16 +31,34 @@ def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str
     return dealt.join(before, "_part").withColumn(out, F.coalesce(here, "_carried")).drop("_carried")
 
 
-def stretches(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], starts: Callable[[Column], Column], bucket: int, out: str) -> DataFrame:
+def number_starts(flagged: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``out``: starts (``_start``, 0 or 1) up to a row in the order of the key's ``_part`` buckets and
+    of ``order``, which is total inside one."""
+    sums = flagged.groupBy("_part").agg(F.sum("_start").alias("_n"))
+    running = Window.unboundedPreceding, 0
+    before = sums.select("_part", (F.sum("_n").over(_along(keys).rowsBetween(*running)) - F.col("_n")).alias("_before"))
+    inside = F.sum("_start").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*running))
+    return flagged.join(before, "_part").withColumn(out, (inside + F.col("_before")).cast("long")).drop("_before")
+
+
+def stretches(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str], starts: Callable[[Column], Column], bucket: float, out: str) -> DataFrame:
     """``out``: number from 0 of the key's stretch that a row is in. ``starts`` tells from the
     struct of :func:`previous` whether a row begins one; null does not. Of each bucket only its
     last row and its number of starts meet the others."""
     flagged = previous(df, keys, t, tie, carried, bucket, "_prev").withColumn("_start", F.coalesce(starts(F.col("_prev")).cast("long"), F.lit(0)))
-    sums = flagged.groupBy("_part").agg(F.sum("_start").alias("_n"))
-    running = Window.unboundedPreceding, 0
-    before = sums.select("_part", (F.sum("_n").over(_along(keys).rowsBetween(*running)) - F.col("_n")).alias("_before"))
-    inside = F.sum("_start").over(Window.partitionBy("_part").orderBy(t, tie).rowsBetween(*running))
-    return flagged.join(before, "_part").withColumn(out, (inside + F.col("_before")).cast("long")).select(*df.columns, out)
+    return number_starts(flagged, keys, [t, tie], out).select(*df.columns, out)
+
+
+def running(df: DataFrame, keys: list[str], t: str, ties: list[str], weight: Column, bucket: float, to: str, total: str) -> DataFrame:
+    """``to``: sum of ``weight`` over the key's rows up to this one in the order of ``t``, ``ties``;
+    ``total``: over all its rows. Of each bucket only its sum meets the others. Null keys and a
+    null ``t`` are values like others, the latter before all."""
+    dealt = df.withColumn("_w", weight).withColumn("_part", F.struct(*keys, F.floor(F.col(t) / bucket).alias("_bucket")))
+    sums = dealt.groupBy("_part").agg(F.sum("_w").alias("_sum"))
+    before = F.sum("_sum").over(_along(keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
+    whole = F.sum("_sum").over(Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]))
+    inside = F.sum("_w").over(Window.partitionBy("_part").orderBy(t, *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(sums.select("_part", before.alias("_before"), whole.alias(total)), "_part").withColumn(to, inside + F.col("_before")).drop("_w", "_part", "_before")
 
 
 def lag_difference(df: DataFrame, keys: list[str], t: str, tie: str, bucket: int, out: str = "gap") -> DataFrame:
@@ -50,14 +66,6 @@ def lag_difference(df: DataFrame, keys: list[str], t: str, tie: str, bucket: int
     return previous(df, keys, t, tie, [t], bucket, "_prev").withColumn(out, F.col(t) - F.col("_prev")[t]).select(*df.columns, out)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, out: str) -> DataFrame:
-    """``out``: number from 0 of the stretch that a row is in; ``starts`` tells whether a row
-    begins one and may use windows over ``keys`` in ``order``."""
-    flagged = df.withColumn("_start", F.coalesce(starts.cast("int"), F.lit(0)))
-    running = F.sum("_start").over(_ordered(keys, *order).rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn(out, running.cast("long")).drop("_start")
-
-
 def sessionise(df: DataFrame, key: str, t: str, tie: str, gap: int, bucket: int, out: str = "session") -> DataFrame:
     """``out``: number from 0 of the key's session; a distance over ``gap`` begins a new one.
 
@@ -104,16 +112,17 @@ def split_on_gap_or_jump(df: DataFrame, keys: list[str], t: str, tie: str, value
     return stretches(df, keys, t, tie, [t, value], starts, bucket, "part")
 
 
-def coalesce_parts(df: DataFrame, keys: list[str], t: str, part: str, gap: int) -> DataFrame:
+def coalesce_parts(df: DataFrame, keys: list[str], t: str, part: str, gap: int, bucket: int) -> DataFrame:
     """Parts merged again where the next begins within ``gap`` of the end of the one before:
-    group, parts, start, end, n."""
+    keys, merged (number from 0), parts, start, end, n. Null keys and parts are values like others;
+    an empty table gives none."""
     parts = df.groupBy(*keys, part).agg(F.min(t).alias("s"), F.max(t).alias("e"), F.count("*").alias("n"))
-    w = _ordered(keys, "s", part)
-    joined = islands(parts, keys, ["s", part], F.col("s") - F.lag("e").over(w) > gap, "merged")
+    joined = stretches(parts, keys, "s", part, ["e"], lambda p: F.col("s") - p["e"] > gap, bucket, "merged")
     return joined.groupBy(*keys, "merged").agg(F.count("*").alias("parts"), F.min("s").alias("start_t"), F.max("e").alias("end_t"), F.sum("n").alias("n"))
 
 
 def frames(df: DataFrame, t: str, size: int, out: str = "frame") -> DataFrame:
+    """``out``: ``t`` div ``size``, rounded down; null for a null ``t``."""
     return df.withColumn(out, F.floor(F.col(t) / size).cast("long"))
 
 
@@ -122,10 +131,11 @@ def sliding_windows(df: DataFrame, keys: list[str], t: str, length: int, step: i
     ends included, begin every ``step`` from the key's least ``t`` as long as they end no later
     than a step past its greatest.
 
-    The windows of a row are computed, not joined; a row is in at most length / step + 1.
+    The windows of a row are computed, not joined; a row is in at most length / step + 1. A null
+    key is one like others; a null ``t`` lies in no window.
     """
     spans = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    placed = df.join(spans, keys)
+    placed = keyed_join(df, spans, keys)
     last = F.least(F.floor((F.col(t) - F.col("_lo")) / step), F.floor((F.col("_hi") + step - length - F.col("_lo")) / step))
     first = F.greatest(F.ceil((F.col(t) - F.col("_lo") - length) / step), F.lit(0))
     windows = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
@@ -133,4 +143,5 @@ def sliding_windows(df: DataFrame, keys: list[str], t: str, length: int, step: i
 
 
 def full_span(df: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """keys, start, end, n of all rows of each key; a null ``t`` counts in n only."""
     return df.groupBy(*keys).agg(F.min(t).alias("start_t"), F.max(t).alias("end_t"), F.count("*").alias("n"))

@@ -3,20 +3,39 @@ work on one group or frame at a time."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.keys import keyed_join
+from tidemark.plans.staging import staged
+
 
 def _pairs(keys: list[str], df: DataFrame) -> T.StructType:
     return T.StructType([*[df.schema[k] for k in keys], T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("cost", T.DoubleType())])
 
 
+#: Pairs of a frame that one task takes at once; larger frames are assigned in rounds.
+FRAME_PAIRS = 1_000_000
+
+
 def greedy_assignment(pairs: DataFrame, keys: list[str], most: float) -> DataFrame:
     """One-to-one pairs of each frame by rising cost, up to ``most``: keys, left_id, right_id,
-    cost of ``pairs`` with these columns; ties by left_id, right_id."""
+    cost of ``pairs`` with these columns; ties by left_id, right_id. Pairs with a null id or cost
+    are none, a repeated pair is one with its least cost, a null key is one like others.
+
+    Frames of up to FRAME_PAIRS pairs are taken one to a task. In larger ones, pairs that are the
+    best left to both their sides are taken together, round by round, until none is left: the same
+    pairs, and never a frame in one task.
+    """
+    scratch: list[str] = []
+    usable = pairs.where((F.col("cost") <= most) & F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
+    once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").alias("cost")).select(*keys, "left_id", "right_id", "cost"), "pairs", scratch)
+    large = once.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FRAME_PAIRS).drop("n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, kept = set(), set(), []
@@ -27,49 +46,90 @@ def greedy_assignment(pairs: DataFrame, keys: list[str], most: float) -> DataFra
                 kept.append(i)
         return pdf.loc[kept]
 
-    columns = [*keys, "left_id", "right_id", "cost"]
-    return pairs.where(F.col("cost") <= most).select(columns).groupBy(*keys).applyInPandas(run, _pairs(keys, pairs))
+    small = keyed_join(once, large, keys, "left_anti")
+    chosen = small.groupBy(*keys).applyInPandas(run, _pairs(keys, once))
+    rest = keyed_join(once, large, keys, "left_semi")
+    while not rest.isEmpty():
+        order = F.struct("cost", "left_id", "right_id")
+        best = rest.withColumns({"_l": F.min(order).over(Window.partitionBy(*keys, "left_id")), "_r": F.min(order).over(Window.partitionBy(*keys, "right_id"))})
+        won = staged(best.where((order == F.col("_l")) & (order == F.col("_r"))).drop("_l", "_r"), "won")
+        chosen = chosen.unionByName(won)
+        for side in ("left_id", "right_id"):
+            rest = keyed_join(rest, won.select(*keys, side), [*keys, side], "left_anti")
+        rest = staged(rest, "pairs", scratch)
+    return chosen
+
+
+def _augmented(cost: np.ndarray) -> np.ndarray:
+    """For each column of a matrix with at least as many columns as rows, the row it is given
+    to, or -1, at the least total cost: shortest augmenting paths."""
+    n, m = cost.shape
+    u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for i in range(n):
+        reach, back, done, row, last = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool), i, -1
+        while True:
+            slack = cost[row] - u[row] - v + (reach[last] if last >= 0 else 0)
+            better = ~done & (slack < reach)
+            reach[better], back[better] = slack[better], last
+            last = int(np.where(done, np.inf, reach).argmin())
+            done[last] = True
+            if match[last] < 0:
+                break
+            row = match[last]
+        total = reach[last]
+        for j in np.flatnonzero(done):
+            if j != last:
+                u[match[j]] += total - reach[j]
+                v[j] -= total - reach[j]
+        u[i] += total
+        while last >= 0:
+            before = back[last]
+            match[last] = i if before < 0 else match[before]
+            last = before
+    return match
 
 
 def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -> DataFrame:
     """The one-to-one pairs of each frame with the least total cost, where every left id without
-    a pair costs ``unmatched``: keys, left_id, right_id, cost. Shortest augmenting paths."""
+    a pair costs ``unmatched``: keys, left_id, right_id, cost. Pairs with a null id or cost are
+    none, a null key is one like others.
+
+    A frame is one task; in it, ids that no chain of pairs connects are assigned apart, so the
+    matrix is as large as the largest connected group of ids: 8 bytes times its left ids times
+    all its ids (10,000 connected by 10,000: 1.6 GB).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lefts, rights = np.sort(pdf["left_id"].unique()), np.sort(pdf["right_id"].unique())
-        n, m = len(lefts), len(rights)
-        cost = np.full((n, m + n), np.inf)
-        for a, b, c in pdf[["left_id", "right_id", "cost"]].itertuples(index=False):
-            i, j = np.searchsorted(lefts, a), np.searchsorted(rights, b)
-            cost[i, j] = min(cost[i, j], c)
-        cost[np.arange(n), m + np.arange(n)] = unmatched
-        cost[np.isinf(cost)] = 1e6 * (1 + unmatched + np.abs(cost[np.isfinite(cost)]).max())
-        u, v, match = np.zeros(n), np.zeros(m + n), np.full(m + n, -1)
-        for i in range(n):
-            reach, back, done, row, last = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool), i, -1
-            while True:
-                slack = cost[row] - u[row] - v + (reach[last] if last >= 0 else 0)
-                better = ~done & (slack < reach)
-                reach[better], back[better] = slack[better], last
-                last = int(np.where(done, np.inf, reach).argmin())
-                done[last] = True
-                if match[last] < 0:
-                    break
-                row = match[last]
-            total = reach[last]
-            for j in np.flatnonzero(done):
-                if j != last:
-                    u[match[j]] += total - reach[j]
-                    v[j] -= total - reach[j]
-            u[i] += total
-            while last >= 0:
-                before = back[last]
-                match[last] = i if before < 0 else match[before]
-                last = before
-        rows = [(lefts[match[j]], rights[j], cost[match[j], j]) for j in range(m) if match[j] >= 0 and cost[match[j], j] < 1e6 * (1 + unmatched)]
+        best = pdf.groupby(["left_id", "right_id"])["cost"].min()
+        links: dict[tuple[str, int], list] = {}
+        for (a, b), c in best.items():
+            links.setdefault(("l", a), []).append((a, b, c))
+            links.setdefault(("r", b), []).append((a, b, c))
+        rows, seen = [], set()
+        for begin in sorted(links):
+            if begin in seen:
+                continue
+            group, todo = set(), [begin]
+            seen.add(begin)
+            while todo:
+                for edge in links[todo.pop()]:
+                    group.add(edge)
+                    for node in (("l", edge[0]), ("r", edge[1])):
+                        if node not in seen:
+                            seen.add(node)
+                            todo.append(node)
+            lefts, rights = sorted({a for a, _, _ in group}), sorted({b for _, b, _ in group})
+            n, m, far = len(lefts), len(rights), 1 + unmatched + max(abs(c) for _, _, c in group)
+            cost = np.full((n, m + n), 1e6 * far)
+            for a, b, c in group:
+                cost[bisect_left(lefts, a), bisect_left(rights, b)] = c
+            cost[np.arange(n), m + np.arange(n)] = unmatched
+            match = _augmented(cost)
+            rows += [(lefts[match[j]], rights[j], cost[match[j], j]) for j in range(m) if match[j] >= 0 and cost[match[j], j] < 1e6 * far]
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *r] for r in rows], columns=[*keys, "left_id", "right_id", "cost"])
 
-    return pairs.select(*keys, "left_id", "right_id", "cost").groupBy(*keys).applyInPandas(run, _pairs(keys, pairs))
+    usable = pairs.where("left_id is not null and right_id is not null and cost is not null")
+    return usable.select(*keys, "left_id", "right_id", "cost").groupBy(*keys).applyInPandas(run, _pairs(keys, pairs))
 
 
 def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, values: list[float], reach: float, missed: int) -> tuple[list[int], dict[int, tuple[int, float]], int]:
@@ -92,7 +152,11 @@ def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, val
 def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """``track``: number from 0 within the key. In each frame, values go one to one to the live
     tracks whose last value is nearest, up to ``reach``, nearest pairs first; the others begin
-    tracks. A track unseen for more than ``missed`` frames ends."""
+    tracks. A track unseen for more than ``missed`` frames ends. Rows with a null frame or value
+    are in no track; a null key is one like others. A key's rows are one task's: frame by frame
+    they are ``streams.associated``, with the live tracks as state."""
+    schema = T.StructType([*df.schema, T.StructField("track", T.LongType())])
+    known = F.col(frame).isNotNull() & F.col(value).isNotNull()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
@@ -102,39 +166,56 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
             labels += found
         return pdf.assign(track=np.array(labels, np.int64))
 
-    return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema, T.StructField("track", T.LongType())]))
+    return df.where(known).groupBy(*keys).applyInPandas(run, schema).unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
 
 
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
     """``chain`` of ``segments`` (keys, id, start_t, end_t, first_value, last_value): the earliest
     unused segment begins a chain, which goes on forward with the unused segment of least cost
     (gap in shares of ``most_gap`` plus step in shares of ``most_step``), then backward from its
-    beginning; ties to the smaller id."""
+    beginning; ties to the smaller id. Segments with a null are chains of their own, numbered
+    last; a null key is one like others. A key's segments are one task's, and each step looks at
+    those within ``most_gap`` only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_t", "id"]).to_dict("records")
-        free, chain = dict(enumerate(rows)), {}
+        whole = pdf.notna()[["id", "start_t", "end_t", "first_value", "last_value"]].all(axis=1)
+        rows = pdf[whole].sort_values(["start_t", "id"]).to_dict("records")
+        by_end = sorted(range(len(rows)), key=lambda k: (rows[k]["end_t"], k))
+        starts, ends = [r["start_t"] for r in rows], [rows[k]["end_t"] for k in by_end]
+        used, number, chain = np.zeros(len(rows), bool), 0, {}
 
         def follow(here: dict, forward: bool) -> dict | None:
+            if forward:
+                near = range(bisect_left(starts, here["end_t"]), bisect_right(starts, here["end_t"] + most_gap))
+            else:
+                near = (by_end[k] for k in range(bisect_left(ends, here["start_t"] - most_gap), bisect_right(ends, here["start_t"])))
             best = None
-            for k, other in free.items():
-                first, second = (here, other) if forward else (other, here)
+            for k in near:
+                if used[k]:
+                    continue
+                first, second = (here, rows[k]) if forward else (rows[k], here)
                 gap, step = second["start_t"] - first["end_t"], abs(second["first_value"] - first["last_value"])
-                if 0 <= gap <= most_gap and step <= most_step:
+                if step <= most_step:
                     cost = (gap / most_gap if most_gap else 0) + (step / most_step if most_step else 0)
-                    if best is None or (cost, other["id"]) < best[:2]:
-                        best = cost, other["id"], k
-            return free.pop(best[2]) if best else None
-
-        number = 0
-        while free:
-            seed = free.pop(min(free))
+                    if best is None or (cost, rows[k]["id"]) < best[:2]:
+                        best = cost, rows[k]["id"], k
+            if best:
+                used[best[2]] = True
+                return rows[best[2]]
+            return None
+
+        for k, seed in enumerate(rows):
+            if used[k]:
+                continue
+            used[k] = True
             chain[seed["id"]] = number
             for forward in (True, False):
                 here = seed
                 while here := follow(here, forward):
                     chain[here["id"]] = number
             number += 1
-        return pdf.assign(chain=pdf["id"].map(chain).astype("int64"))
+        labels = pdf["id"].map(chain).where(whole)
+        labels[labels.isna()] = np.arange(number, number + int(labels.isna().sum()))
+        return pdf.assign(chain=labels.astype("int64"))
 
     return segments.groupBy(*keys).applyInPandas(run, T.StructType([*segments.schema, T.StructField("chain", T.LongType())]))

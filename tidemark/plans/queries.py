@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable
+from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from tidemark.operators import ranking as R
 from tidemark.operators import sessions as W
 from tidemark.operators import tracks as K
 from tidemark.operators.components import connected_components
+from tidemark.operators.filters import matching
 from tidemark.plans.staging import new_path
+from tidemark.sources import files, sinks
 from tidemark.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +63,8 @@ def sessionise(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value BETWEEN 10 AND 50 GROUP BY event_type")
 def scan_range_filter(spark, d):
-    return events(spark, d).where(F.col("value").between(10, 50)).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    texts = events(spark, d).withColumn("value", F.when(F.col("event_id") >= 0, F.col("value").cast("string")))
+    return files.scan_range(texts, {"value": (10, 50)}).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -97,7 +103,7 @@ def interpolate_at_times(spark, d):
     e = events(spark, d)
     points = e.where("event_type = 'view'").groupBy("user_id", "t").agg(F.avg("value").alias("value"))
     times = e.where("event_type = 'error'").select("user_id", "t").distinct()
-    return J.interpolate_at(points, times, ["user_id"], "t", "value").withColumn("value", F.round("value", 6))
+    return J.interpolate_at(points, times, ["user_id"], "t", "value", WEEK).withColumn("value", F.round("value", 6))
 
 
 def _spans(e: DataFrame, kind: str, hours: int, names: tuple[str, str]) -> DataFrame:
@@ -123,7 +129,7 @@ def interval_overlap_half_open(spark, d):
  k AS (SELECT *, sum(CASE WHEN s > m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, x ROWS UNBOUNDED PRECEDING) AS g FROM j) SELECT user_id, min(s) AS start_t, max(x) AS end_t, count(*) AS n FROM k GROUP BY user_id, g""")
 def merge_intervals(spark, d):
     e = events(spark, d)
-    return I.merge_intervals(e.select("user_id", F.col("t").alias("start_t"), (F.col("t") + 6 * HOUR).alias("end_t")), ["user_id"], "start_t", "end_t")
+    return I.merge_intervals(e.select("user_id", F.col("t").alias("start_t"), (F.col("t") + 6 * HOUR).alias("end_t")), ["user_id"], "start_t", "end_t", WEEK)
 
 
 @query(OVERLAP + """, j AS (SELECT *, max(other_end) OVER (PARTITION BY user_id ORDER BY other_start, other_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b),
@@ -132,7 +138,7 @@ def merge_intervals(spark, d):
  SELECT a.user_id, a.start_t, a.end_t, coalesce((SELECT sum(least(a.end_t, u.x) - greatest(a.start_t, u.s)) FROM u WHERE u.user_id = a.user_id AND u.s < a.end_t AND u.x > a.start_t), 0)::BIGINT AS covered FROM a""")
 def overlap_length(spark, d):
     e = events(spark, d)
-    return I.overlap_length(_spans(e, "error", 3, ("other_start", "other_end")), _spans(e, "purchase", 2, ("start_t", "end_t")), ["user_id"], 4 * HOUR)
+    return I.overlap_length(_spans(e, "error", 3, ("other_start", "other_end")), _spans(e, "purchase", 2, ("start_t", "end_t")), ["user_id"], 4 * HOUR, WEEK)
 
 
 @query("""WITH one AS (SELECT l_orderkey AS k, min(l_shipdate) AS s FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
@@ -173,12 +179,12 @@ def group_statistics(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY user_id")
 def upper_median(spark, d):
-    return A.upper_median(events(spark, d), ["user_id"], "value")
+    return A.upper_median(events(spark, d), ["user_id"], "value", 10.0)
 
 
 @query("SELECT user_id, round(median(value), 6) AS median FROM events GROUP BY user_id")
 def true_median(spark, d):
-    return events(spark, d).groupBy("user_id").agg(F.round(A.median("value"), 6).alias("median"))
+    return A.median(events(spark, d), ["user_id"], "value", 10.0).withColumn("median", F.round("median", 6))
 
 
 @query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, (n, event_type)) AS mode, max(n) AS n FROM c GROUP BY user_id")
@@ -293,7 +299,7 @@ def split_gap_or_jump(spark, d):
  FROM (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY s, part) AS lx FROM q)) SELECT user_id, merged, count(*) AS parts, min(s) AS start_t, max(x) AS end_t, sum(n)::BIGINT AS n FROM m GROUP BY user_id, merged""")
 def coalesce_split_parts(spark, d):
     parts = W.split_on_gap_or_jump(events(spark, d), ["user_id"], "t", "event_id", "value", 12 * HOUR, 20 / HOUR, WEEK)
-    return W.coalesce_parts(parts, ["user_id"], "t", "part", 10 * HOUR)
+    return W.coalesce_parts(parts, ["user_id"], "t", "part", 10 * HOUR, WEEK)
 
 
 @query("SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 3")
@@ -318,12 +324,12 @@ def rerank_after_removal(spark, d):
 @query(f"""WITH {EVENTS}, p AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e), w AS (SELECT DISTINCT user_id, floor(k * n / 20.0)::BIGINT AS i FROM p, range(0, 20) r(k) WHERE n > 20)
  SELECT event_id FROM p WHERE n <= 20 OR EXISTS (SELECT 1 FROM w WHERE w.user_id = p.user_id AND w.i = p.i)""")
 def uniform_downsample(spark, d):
-    return R.uniform_sample(events(spark, d), ["user_id"], 20, "t", "event_id").select("event_id")
+    return R.uniform_sample(events(spark, d), ["user_id"], 20, "t", "event_id", WEEK).select("event_id")
 
 
 @query(f"WITH {EVENTS}, p AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e) SELECT event_id FROM p WHERE i % ceil(n / 25.0)::BIGINT = 0")
 def stride_downsample(spark, d):
-    return R.stride_sample(events(spark, d), ["user_id"], 25, "t", "event_id").select("event_id")
+    return R.stride_sample(events(spark, d), ["user_id"], 25, "t", "event_id", WEEK).select("event_id")
 
 
 @query("SELECT s_nationkey AS nation, 'supplier' AS kind, s_suppkey AS id FROM supplier UNION ALL SELECT c_nationkey, 'customer', c_custkey FROM customer")
@@ -339,10 +345,11 @@ def dedup_composite_key(spark, d):
     return R.first_of_key(events(spark, d), keys, ["t", "event_id"]).select("event_id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
 def sort_multi_key(spark, d):
-    top = table(spark, d, "orders").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(100)
-    return R.rerank(top, [], F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", F.col("rank").cast("long").alias("place"))
+    order = F.col("l_returnflag"), F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return R.sorted_places(items, *order).select("l_orderkey", "l_linenumber", "place")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
@@ -372,12 +379,23 @@ def scalar_functions(spark, d):
     return e.select("event_id", S.half_up(F.col("value") - 50, 1).alias("up"), S.clamp("value", 20.0, 80.0).alias("clamped"), S.iso_millis(F.floor(F.col("t") / 1000)).alias("iso"), label.alias("label"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT event_type AS k, value AS x FROM events), r AS (SELECT k, 0 AS i, min(x) AS l, max(x) AS h FROM v GROUP BY k
+ UNION ALL SELECT k, i + 1, avg(x) FILTER (x <= (l + h) / 2), coalesce(avg(x) FILTER (x > (l + h) / 2), avg(x) FILTER (x <= (l + h) / 2)) FROM r JOIN v USING (k) WHERE i < 200 GROUP BY k, i, l, h)
+ SELECT k AS event_type, round(l, 6) AS low_mean, round(h, 6) AS high_mean, round((l + h) / 2, 6) AS cut FROM r WHERE i = 200""")
 def two_means(spark, d):
-    return C.two_means(events(spark, d), ["event_type"], "value")
-
-
-@query()
+    m = C.two_means(events(spark, d), ["event_type"], "value")
+    return m.select("event_type", *[F.round(c, 6).alias(c) for c in ("low_mean", "high_mean", "cut")])
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT event_id, user_id, t / {float(DAY)} AS x, value / 10.0 AS y, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM e),
+ p AS (SELECT a.user_id, a.r AS a, b.r AS b, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d FROM n a JOIN n b ON a.user_id = b.user_id),
+ c AS (SELECT user_id, a AS r FROM p WHERE d <= 1 GROUP BY user_id, a HAVING count(*) >= 3),
+ l AS (SELECT p.user_id, p.a, p.b FROM p JOIN c x ON x.user_id = p.user_id AND x.r = p.a JOIN c y ON y.user_id = p.user_id AND y.r = p.b WHERE d <= 1),
+ w(user_id, r, root) AS (SELECT user_id, r, r FROM c UNION SELECT w.user_id, l.b, w.root FROM w JOIN l ON l.user_id = w.user_id AND l.a = w.r),
+ k AS (SELECT user_id, r, dense_rank() OVER (PARTITION BY user_id ORDER BY root) - 1 AS cluster FROM (SELECT user_id, r, min(root) AS root FROM w GROUP BY ALL)),
+ h AS (SELECT * FROM k UNION ALL SELECT p.user_id, p.a, min(k.cluster) FROM p JOIN k ON k.user_id = p.user_id AND k.r = p.b WHERE d <= 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = p.user_id AND c.r = p.a) GROUP BY ALL),
+ z AS (SELECT p.user_id, p.a AS r, arg_min(h.cluster, (p.d, p.b)) AS cluster FROM p JOIN h ON h.user_id = p.user_id AND h.r = p.b WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.user_id = p.user_id AND g.r = p.a) GROUP BY ALL)
+ SELECT event_id, coalesce(h.cluster, z.cluster, -1)::BIGINT AS cluster FROM n LEFT JOIN h ON h.user_id = n.user_id AND h.r = n.r LEFT JOIN z ON z.user_id = n.user_id AND z.r = n.r""")
 def dbscan(spark, d):
     return C.dbscan(events(spark, d), ["user_id"], "t", "value", "event_id", (float(DAY), 10.0), 1.0, 3).select("event_id", "cluster")
 
@@ -392,10 +410,16 @@ def cubic_spline(spark, d):
     return C.spline_at(events(spark, d).withColumn("x", F.col("t") / DAY), ["user_id"], "x", "value", 1.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT event_id, user_id, t / {float(HOUR)} AS h, value AS z, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM e),
+ k AS (SELECT event_id, user_id, r, h, z AS s0, 0.0::DOUBLE AS s1, 25.0::DOUBLE AS c00, 0.0::DOUBLE AS c01, 25.0::DOUBLE AS c11 FROM n WHERE r = 1
+  UNION ALL SELECT event_id, user_id, r, h, p0 + p00 / (p00 + 25) * (z - p0), s1 + p01 / (p00 + 25) * (z - p0), p00 - p00 / (p00 + 25) * p00, p01 - p00 / (p00 + 25) * p01, p11 - p01 / (p00 + 25) * p01
+  FROM (SELECT n.*, k.s1, k.s0 + (n.h - k.h) * k.s1 AS p0, k.c00 + 2 * (n.h - k.h) * k.c01 + (n.h - k.h) * (n.h - k.h) * k.c11 + 0.1::DOUBLE * (n.h - k.h) * (n.h - k.h) * (n.h - k.h) / 3 AS p00,
+   k.c01 + (n.h - k.h) * k.c11 + 0.1::DOUBLE * (n.h - k.h) * (n.h - k.h) / 2 AS p01, k.c11 + 0.1::DOUBLE * (n.h - k.h) AS p11 FROM k JOIN n ON n.user_id = k.user_id AND n.r = k.r + 1))
+ SELECT event_id, round(s0, 4) AS smooth, round(s1, 4) AS velocity FROM k""")
 def smooth_velocity(spark, d):
     e = events(spark, d).withColumn("h", F.col("t") / HOUR)
-    return C.smooth_constant_velocity(e, ["user_id"], "h", "value", "event_id", 25.0, 0.1).select("event_id", "smooth", "velocity")
+    s = C.smooth_constant_velocity(e, ["user_id"], "h", "value", "event_id", 25.0, 0.1)
+    return s.select("event_id", F.round("smooth", 4).alias("smooth"), F.round("velocity", 4).alias("velocity"))
 
 
 def _frame_pairs(spark, d, most: float) -> DataFrame:
@@ -407,7 +431,11 @@ def _frame_pairs(spark, d, most: float) -> DataFrame:
     return a.join(b, ["frame", "cell"]).select("frame", "left_id", "right_id", F.abs(F.col("a") - F.col("b")).alias("cost")).where(F.col("cost") <= most)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, f AS (SELECT *, t // {DAY} AS frame FROM e), p AS (SELECT a.frame, a.event_id AS l, b.event_id AS r, abs(a.value - b.value) AS cost FROM f a JOIN f b ON a.frame = b.frame AND a.event_type = 'purchase' AND b.event_type = 'click' AND abs(a.value - b.value) <= 5),
+ o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY cost, l, r) AS n FROM p),
+ g AS (SELECT frame, 0::BIGINT AS n, []::BIGINT[] AS ls, []::BIGINT[] AS rs FROM o WHERE n = 1
+  UNION ALL SELECT frame, n, CASE WHEN free THEN list_append(ls, l) ELSE ls END, CASE WHEN free THEN list_append(rs, r) ELSE rs END FROM (SELECT g.frame, o.n, ls, rs, l, r, NOT list_contains(ls, l) AND NOT list_contains(rs, r) AS free FROM g JOIN o ON o.frame = g.frame AND o.n = g.n + 1)),
+ u AS (SELECT frame, unnest(arg_max(ls, n)) AS l, unnest(arg_max(rs, n)) AS r FROM g GROUP BY frame) SELECT u.frame, u.l AS left_id, u.r AS right_id, p.cost FROM u JOIN p ON p.frame = u.frame AND p.l = u.l AND p.r = u.r""")
 def greedy_assignment(spark, d):
     return K.greedy_assignment(_frame_pairs(spark, d, 5.0), ["frame"], 5.0)
 
@@ -453,6 +481,162 @@ def stream_without_repeats(spark, d):
 
 
 @query(f"""WITH {EVENTS}, h AS (SELECT *, CASE WHEN value > 40 THEN 0 ELSE 1 END AS low FROM e), g AS (SELECT *, sum(low) OVER (PARTITION BY user_id ORDER BY t, value ROWS UNBOUNDED PRECEDING) AS grp FROM h),
- s AS (SELECT *, min(CASE WHEN low = 0 THEN t END) OVER (PARTITION BY user_id, grp) AS since FROM g) SELECT user_id AS "key", t, value, CASE WHEN low = 1 THEN 'stable' WHEN t - since >= {6 * HOUR} THEN 'confirmed' ELSE 'holding' END AS state FROM s""")
+ s AS (SELECT *, min(CASE WHEN low = 0 THEN t END) OVER (PARTITION BY user_id, grp) AS since FROM g), q AS (SELECT user_id AS "key", t, value, grp, CASE WHEN low = 1 THEN 'stable' WHEN t - since >= {6 * HOUR} THEN 'confirmed' ELSE 'holding' END AS state FROM s)
+ SELECT "key", t, value, state, state = 'confirmed' AND row_number() OVER (PARTITION BY "key", grp, state ORDER BY t, value) = 1 AS edge FROM q""")
 def stream_gate(spark, d):
-    return _drained(spark, streams.gate(_stream(spark, d), "user_id", "ts", "value", 40.0, 6 * HOUR), "gate").drop("edge")
+    return _drained(spark, streams.gate(_stream(spark, d), "user_id", "ts", "value", 40.0, 6 * HOUR), "gate")
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, min(t) AS a, 0::BIGINT AS batch FROM e GROUP BY user_id UNION ALL SELECT * FROM (SELECT r.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = r.user_id AND e.t - r.a >= {12 * HOUR}) AS a, batch + 1 FROM r) WHERE a IS NOT NULL)
+ SELECT e.user_id::VARCHAR AS "key", e.t, e.event_id AS id, max(r.batch) AS batch, max(r.a) AS batch_start FROM e JOIN r ON r.user_id = e.user_id AND r.a <= e.t GROUP BY ALL""")
+def stream_batches_from_first(spark, d):
+    return _drained(spark, streams.batched_from_first(_stream(spark, d), "user_id", "ts", "event_id", 12 * HOUR), "batched")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_epoch_restart(spark, d):
+    path, e = new_path(spark, "epochs"), _stream(spark, d).select("event_id", "event_type")
+    for stream in (e.where("event_type = 'click'"), e):  # what the first epoch has published is not read again
+        streams.publish_epoch(stream, path).awaitTermination()
+    return streams.read_epoch(spark, path, e.schema)
+
+
+@query(f"WITH {EVENTS}, l AS (SELECT user_id, t, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) = 1) SELECT * FROM l ORDER BY t DESC, user_id LIMIT 50")
+def stream_recent_results(spark, d):
+    path, e = new_path(spark, "recent"), _stream(spark, d).select("user_id", S.micros("ts").alias("t"), "event_id")
+    streams.upsert_recent(e, f"{path}/table", f"{path}/checkpoint", "user_id", "t", 50).awaitTermination()
+    return streams.read_recent(spark, f"{path}/table", e.schema)
+
+
+def _captured(spark, d) -> DataFrame:
+    """stream, content: packets of a hundred events each, with a stray byte before each packet."""
+    body = F.encode(F.concat_ws(":", "event_id", "event_type"), "utf-8")
+    packet = F.concat(F.lit(b"\xff\xaaE"), F.unhex(F.lpad(F.hex(F.length(body)), 4, "0")), body)
+    e = table(spark, d, "events").select(F.floor(F.col("event_id") / 100).cast("string").alias("stream"), F.struct("event_id", packet.alias("packet")).alias("p"))
+    joined = F.aggregate(F.array_sort(F.collect_list("p")), F.lit(b""), lambda a, x: F.concat(a, x["packet"]))
+    return e.groupBy("stream").agg(joined.alias("content"))
+
+
+PACKETS = "SELECT (event_id // 100)::VARCHAR AS {name}, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS packet, event_id || ':' || event_type AS body FROM events"
+
+
+@query(PACKETS.format(name="path"))
+def framed_packets(spark, d):
+    return streams.framed(_captured(spark, d).withColumnRenamed("stream", "path"), b"\xaaE").withColumn("body", F.decode("body", "utf-8"))
+
+
+@query(PACKETS.format(name="stream"))
+def stream_framed_reads(spark, d):
+    """Reads of 37 bytes, most of which end inside a packet."""
+    reads = _captured(spark, d).withColumn("seq", F.explode(F.expr("sequence(0L, cast((length(content) - 1) div 37 as long))")))
+    reads = reads.select("stream", "seq", F.expr("substring(content, cast(seq * 37 + 1 as int), 37)").alias("content"))
+    path = new_path(spark, "reads")
+    reads.write.parquet(path)
+    stream = streams.framed_stream(streams.read_events(spark, path, reads.schema, files_per_trigger=1_000_000), b"\xaaE")
+    return _drained(spark, stream, "packets").withColumn("body", F.decode("body", "utf-8"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE contains(lower(event_type), 'ic') AND value >= 20 AND user_id <= 700 AND event_type IN ('click', 'view')")
+def report_filters(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return matching(e, {"event_type": " IC "}, {"value": (20.0, None), "user_id": (None, 700)}, {"event_type": ["click", "view"], "user_id": []})
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer")
+def csv_folder_scan(spark, d):
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), path)
+    return files.scan_csv(spark, path).drop("source_file", "source_row")
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus FROM orders WHERE o_custkey % 10 = 3")
+def export_original_rows(spark, d):
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path)
+    source = files.scan_csv(spark, path)
+    chosen = source.where(F.col("o_custkey").cast("long") % 10 == 3).select("source_file", "source_row")
+    return sinks.original_rows(source, chosen).drop("source_file", "source_row")
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, '客户 ' || c_mktsegment AS label FROM customer")
+def csv_mixed_encodings(spark, d):
+    """Customers of odd number come in files of GBK, the others in UTF-8."""
+    path = new_path(spark, "csv")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("客户 "), "c_mktsegment").alias("label"))
+    gbk = F.pandas_udf(lambda s: s.map(lambda v: v.encode("gbk").decode("latin-1")), "string")
+    rows.where("c_custkey % 2 = 0").write.csv(path, header=True)
+    rows.where("c_custkey % 2 = 1").withColumn("label", gbk("label")).write.mode("append").csv(path, header=True, encoding="ISO-8859-1")
+    return files.scan_csv_guessed(spark, path).select("c_custkey", "label")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'ordered'), ('lineitem', 'ordered'), ('events', 'stream'), ('nation', 'none')) AS v(table_name, format)")
+def header_formats(spark, d):
+    rules = {"stream": [{"TS", "time"}, {"event_type"}], "ordered": [{"o_orderkey", "l_orderkey"}]}
+    found = [(n, files.detect_format(table(spark, d, n).columns, rules) or "none") for n in ("orders", "lineitem", "events", "nation")]
+    return spark.createDataFrame(found, "table_name string, format string")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_custkey END AS customer, NULL::VARCHAR AS absent FROM orders")
+def aliased_columns(spark, d):
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    rows = table(spark, d, "orders").select(F.when(k % 3 == 0, text).otherwise("  ").alias("ID "), F.when(k % 3 != 0, text).alias("old_id"), F.when(k % 5 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("cust"))
+    return files.aliased(rows, {"id": ["old_id"], "customer": ["cust"], "absent": ["nowhere"]}).withColumn("customer", files.parsed("customer", "bigint", -1))
+
+
+@query("""WITH e AS (SELECT event_id, ts, value * 4 - 200 AS lon, value * 2 - 100 AS lat FROM events WHERE event_id % 6 <> 4)
+ SELECT event_id, CASE WHEN event_id % 6 = 5 THEN date_trunc('millisecond', ts) ELSE date_trunc('second', ts) END AS seen, lon, lat FROM e WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90""")
+def typed_positions(spark, d):
+    ts, kind = F.col("ts").cast("timestamp_ntz"), F.col("event_id") % 6
+    said = F.lit("at noon")
+    for k, f in ((0, "yyyy-MM-dd HH:mm:ss"), (1, "yyyy-MM-dd'T'HH:mm:ss"), (2, "yyyy/M/d H:mm:ss"), (3, "yyyyMMddHHmmss"), (5, "yyyy-MM-dd HH:mm:ss.SSS")):
+        said = F.when(kind == k, F.date_format(ts, f)).otherwise(said)
+    rows = table(spark, d, "events").select("event_id", said.alias("seen"), (F.col("value") * 4 - 200).cast("string").alias("lon"), (F.col("value") * 2 - 100).cast("string").alias("lat"))
+    return files.located_rows(rows, "seen", "lon", "lat").withColumn("seen", F.col("seen").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0")
+def ragged_rows_dropped(spark, d):
+    """Of some rows the second field is absent, in others it is no number."""
+    path, k = new_path(spark, "ragged"), F.col("o_orderkey")
+    second = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, "x").otherwise(F.col("o_custkey").cast("string"))
+    table(spark, d, "orders").select(F.concat_ws(",", k, second).alias("k,c")).write.csv(path, header=True, sep="\t")
+    return files.drop_ragged(spark, path, "k long, c long")
+
+
+def _workbook(rows) -> bytes:
+    """A workbook whose first sheet by its own order is the last by name."""
+    main, other = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda lines: f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(f'<c r="{"AB"[i]}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for i, v in enumerate(r)) + "</row>" for n, r in enumerate(lines, 1)) + "</sheetData></worksheet>"
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{other}"><sheets><sheet name="data" sheetId="10" r:id="b"/><sheet name="notes" sheetId="2" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet2.xml"/><Relationship Id="b" Target="worksheets/sheet10.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet2.xml", sheet([["notes"]]))
+        z.writestr("xl/worksheets/sheet10.xml", sheet([["name", "key"], *rows]))
+    return out.getvalue()
+
+
+@query("SELECT n_name AS name, n_nationkey::VARCHAR AS key, 'region-' || n_regionkey || '.xlsx' AS source_file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS source_row FROM nation")
+def workbook_first_sheet(spark, d):
+    """A workbook for each region, of its nations."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("n_nationkey")[["n_name", "n_nationkey"]].to_numpy().tolist()
+        return pd.DataFrame({"path": [f"books/region-{pdf['n_regionkey'].iloc[0]}.xlsx"], "content": [_workbook(rows)]})
+
+    books = table(spark, d, "nation").select("n_name", "n_nationkey", "n_regionkey").groupBy("n_regionkey").applyInPandas(run, "path string, content binary")
+    return files.workbook_rows(books, ["name", "key"])
+
+
+@query("SELECT l_orderkey::VARCHAR AS l_orderkey, '[' || string_agg(l_linenumber, ',' ORDER BY l_linenumber) || ']' AS lines FROM lineitem GROUP BY l_orderkey")
+def csv_sink_nested(spark, d):
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines")), path)
+    return files.scan_csv(spark, path).drop("source_file", "source_row")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def json_sink(spark, d):
+    path, rows = new_path(spark, "json"), table(spark, d, "events").select("event_id", "event_type", "value")
+    sinks.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)

@@ -3,6 +3,7 @@ publication of batches."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -16,46 +17,69 @@ from tidemark.operators.tracks import associate_frame
 
 class Framer:
     """Packets from a byte stream: a marker, a length of ``length_bytes`` (big-endian, of the
-    body), the body. Bytes before a marker are skipped, an unfinished packet waits for more."""
+    body), the body. Bytes before a marker are skipped, an unfinished packet waits for more. A
+    length over ``most`` cannot be one: the marker is passed over as if it stood there by chance."""
 
-    def __init__(self, marker: bytes, length_bytes: int = 2, most: int = 65_535):
-        self.marker, self.length_bytes, self.most, self.held = marker, length_bytes, most, b""
+    def __init__(self, marker: bytes, length_bytes: int = 2, most: int = 8 << 20, held: bytes = b""):
+        self.marker, self.length_bytes, self.most, self.held = marker, length_bytes, most, held
 
     def feed(self, data: bytes) -> Iterator[bytes]:
-        self.held += data
+        held, at = self.held + data, 0
         head = len(self.marker) + self.length_bytes
         while True:
-            at = self.held.find(self.marker)
-            if at < 0:  # the marker may have begun
-                self.held = self.held[-(len(self.marker) - 1) :] if len(self.marker) > 1 else b""
-                return
-            self.held = self.held[at:]
-            if len(self.held) < head:
-                return
-            size = int.from_bytes(self.held[len(self.marker) : head], "big")
+            found = held.find(self.marker, at)
+            if found < 0:  # the marker may have begun
+                at = max(at, len(held) - len(self.marker) + 1)
+                break
+            at = found
+            if len(held) < at + head:
+                break
+            size = int.from_bytes(held[at + len(self.marker) : at + head], "big")
             if size > self.most:
-                self.held = self.held[1:]
+                at += 1
                 continue
-            if len(self.held) < head + size:
-                return
-            yield self.held[head : head + size]
-            self.held = self.held[head + size :]
+            if len(held) < at + head + size:
+                break
+            yield held[at + head : at + head + size]
+            at += head + size
+        self.held = held[at:]
 
 
-def framed(files: DataFrame, marker: bytes, length_bytes: int = 2) -> DataFrame:
+def framed(files: DataFrame, marker: bytes, length_bytes: int = 2, most: int = 8 << 20) -> DataFrame:
     """path, packet (number from 0), body of captured byte streams (path, content), streaming
-    or not; each file is a stream of its own."""
+    or not; each file is a stream of its own, and one without content has no packets. ``most``
+    is the longest body; see :class:`Framer`."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                bodies = list(Framer(marker, length_bytes).feed(bytes(content)))
+                bodies = list(Framer(marker, length_bytes, most).feed(bytes(content or b"")))
                 if bodies:
                     yield pd.DataFrame({"path": [path] * len(bodies), "packet": range(len(bodies)), "body": bodies})
 
     return files.select("path", "content").mapInPandas(run, "path string, packet long, body binary")
 
 
+def _frame(marker: bytes, length_bytes: int, most: int):
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, count = state.get if state.exists else (b"", 0)
+        framer = Framer(marker, length_bytes, most, bytes(held))
+        reads = pd.concat(list(batches)).sort_values("seq")
+        bodies = [body for content in reads["content"] if content is not None for body in framer.feed(bytes(content))]
+        state.update((framer.held, count + len(bodies)))
+        yield pd.DataFrame({"stream": [key[0]] * len(bodies), "packet": range(count, count + len(bodies)), "body": bodies})
+
+    return run
+
+
+def framed_stream(reads: DataFrame, marker: bytes, length_bytes: int = 2, most: int = 8 << 20) -> DataFrame:
+    """stream, packet (number from 0), body of a stream of reads (stream, seq, content). What a
+    read leaves unfinished is the stream's state and goes on with its next one, also in later
+    micro-batches; the reads of a micro-batch are taken by seq, and null contents are skipped."""
+    rows = reads.select(F.col("stream").cast("string"), F.col("seq").cast("long"), F.col("content").cast("binary"))
+    return rows.groupBy("stream").applyInPandasWithState(_frame(marker, length_bytes, most), "stream string, packet long, body binary", "held binary, count long", "append", GroupStateTimeout.NoTimeout)
+
+
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """Parquet files as a stream; the bound on files a trigger is the back-pressure."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -63,10 +87,37 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 def sealed_by_span(events: DataFrame, ts: str, span: str, late: str) -> DataFrame:
     """n, first_ts, last_ts of each span of event time, sealed once the watermark ``late`` has
-    passed it; later records are left out."""
+    passed it; later records and those without a time are left out. Spans stand at the epoch;
+    :func:`batched_from_first` begins them at the first record and loses none."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, span)).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")).select(F.col("window.start").alias("span_start"), "n", "first_ts", "last_ts")
 
 
+def _anchor(span: int):
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, start = state.get if state.exists else (-1, 0)
+        rows = pd.concat(list(batches)).sort_values(["t", "id"])
+        numbers, starts = [], []
+        for t in rows["t"].tolist():
+            if number < 0 or t - start >= span:
+                number, start = number + 1, t
+            numbers.append(number)
+            starts.append(start)
+        state.update((number, start))
+        yield rows[["t", "id"]].assign(key=key[0], batch=numbers, batch_start=starts)[["key", "t", "id", "batch", "batch_start"]]
+
+    return run
+
+
+def batched_from_first(events: DataFrame, key: str, ts: str, tie: str, span_micros: int) -> DataFrame:
+    """key, t, id, batch (number from 0), batch_start of a stream: a batch opens at its first record
+    and takes all until one is ``span_micros`` or more after it, which seals it and opens the
+    next. A record from before the open batch's start is written to the open batch: none is lost.
+    A micro-batch is taken in the order of time; records without a time are left out. The state
+    of a key is its open batch."""
+    rows = events.select(F.col(key).cast("string").alias("key"), micros(ts).alias("t"), F.col(tie).cast("long").alias("id")).where("t is not null")
+    return rows.groupBy("key").applyInPandasWithState(_anchor(span_micros), "key string, t long, id long, batch long, batch_start long", "number long, start long", "append", GroupStateTimeout.NoTimeout)
+
+
 def without_repeats(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
     """One event for each key while the watermark may still see its like."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
@@ -126,20 +177,68 @@ def associated(events: DataFrame, key: str, frame: str, value: str, tie: str, re
 
 def publish(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Batches as Parquet: a file counts once the sink's log lists it, so readers see whole
-    batches only. A new checkpoint folder is a new epoch: what was in flight is left."""
+    batches only."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
+def publish_epoch(stream: DataFrame, path: str, mode: str = "append"):
+    """:func:`publish` in a new epoch of ``path``: a folder and checkpoint of its own. What an
+    earlier epoch left in flight is never read again, as :func:`read_epoch` reads the last one."""
+    epoch = max(_epochs(stream.sparkSession, path), default=-1) + 1
+    return publish(stream, f"{path}/epoch={epoch}/out", f"{path}/epoch={epoch}/checkpoint", mode)
+
+
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=")]
+
+
+def read_epoch(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows that the last epoch of ``path`` has published."""
+    return spark.read.schema(schema).parquet(f"{path}/epoch={max(_epochs(spark, path))}/out")
+
+
 def upsert_recent(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, most: int):
     """Keeps the latest row of each key, of the ``most`` latest keys, in a table that each batch
-    replaces: versions alternate so that a batch never reads what it writes."""
+    replaces; :func:`read_recent` reads it.
+
+    A batch writes a new version, then an empty file whose name names it, and then deletes the
+    file that named the one before and all versions but these two, so that a reader may finish. A repeated
+    batch gives the same table, and a new checkpoint goes on with the table that is there. Of
+    rows of one key and order the greatest by their columns stays; null keys are one key.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = batch
-        if epoch:
-            old = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{epoch - 1}"))
-        latest = old.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        latest.orderBy(F.desc(order), key).limit(most).write.mode("overwrite").parquet(f"{path}/{epoch}")
+        folder, old = spark._jvm.org.apache.hadoop.fs.Path(path), batch
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if current := _current(spark, path):
+            old = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{current}"))
+        latest = old.groupBy(key).agg(F.max(F.struct(order, *[c for c in batch.columns if c != order])).alias("r")).select("r.*").select(batch.columns)
+        name = f"version-{uuid.uuid4().hex}"
+        latest.orderBy(F.desc(order), key).limit(most).write.parquet(f"{path}/{name}")
+        pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current-{name}")
+        fs.create(pointer).close()
+        for status in fs.listStatus(folder):  # the new name stands before the old one goes
+            said = status.getPath().getName()
+            if said.startswith("current-") and said != pointer.getName() or said.startswith("version-") and said not in (name, current):
+                fs.delete(status.getPath(), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The version that the latest pointer names; after a failure between its two steps the newer
+    of two pointers counts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max(((t, n.removeprefix("current-")) for t, n in found if n.startswith("current-")), default=(0, None))[1]
+
+
+def read_recent(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that :func:`upsert_recent` keeps; empty before its first batch."""
+    current = _current(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{current}") if current else spark.createDataFrame([], schema)
