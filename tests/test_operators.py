@@ -3,14 +3,16 @@
 import itertools
 import math
 import zipfile
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, ranking, sessions, tracks
+from tidemark.operators import aggregates, clusters, intervals, joins, ranking, sessions, tracks
 from tidemark.operators.components import connected_components
+from tidemark.operators.filters import matching
 from tidemark.sources import files, sinks
 from tidemark.streaming import streams
 from tidemark.streaming.streams import Framer, framed, upsert_recent
@@ -183,17 +185,55 @@ def test_framer_resyncs_and_carries(step):
 
 
 def test_framed_files(spark):
-    df = spark.createDataFrame([("f", bytearray(b"xM\x00\x01aM\x00\x02bc")), ("empty", bytearray())], "path string, content binary")
+    df = spark.createDataFrame([("f", bytearray(b"xM\x00\x01aM\x00\x02bc")), ("empty", bytearray()), ("null", None)], "path string, content binary")
     assert [(r["packet"], bytes(r["body"])) for r in framed(df, b"M").orderBy("packet").collect()] == [(0, b"a"), (1, b"bc")]
 
 
+def _in_two(spark, df, path):
+    """A folder whose two files come one after the other."""
+    for part in range(2):
+        df.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_upsert_keeps_latest_of_each_key(spark, tmp_path):
-    for i in range(2):
-        spark.createDataFrame(pd.DataFrame({"k": [1, 2, 3], "t": [10 * i + 1, 10 * i + 2, 5 - i]})).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k long, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    upsert_recent(stream, str(tmp_path / "out"), str(tmp_path / "c"), "k", "t", 2).awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()} == {(1, 11), (2, 12)}
+    out = str(tmp_path / "out")
+    assert streams.read_recent(spark, out, "k long, t long").count() == 0
+    rows = [(k, t, part) for part, more in enumerate([[(1, 1), (2, 2), (3, 5), (None, 1)], [(1, 11), (2, 12), (3, 4), (1, 3)]]) for k, t in more]
+    stream = _in_two(spark, spark.createDataFrame(rows, "k long, t long, part int"), str(tmp_path / "in"))
+    upsert_recent(stream, out, str(tmp_path / "c"), "k", "t", 2).awaitTermination()
+    assert {tuple(r) for r in streams.read_recent(spark, out, "k long, t long").collect()} == {(1, 11), (2, 12)}
+    upsert_recent(stream, out, str(tmp_path / "d"), "k", "t", 4).awaitTermination()  # a new checkpoint goes on
+    assert {tuple(r) for r in streams.read_recent(spark, out, "k long, t long").collect()} == {(1, 11), (2, 12), (3, 5), (None, 1)}
+    assert sum(p.name.startswith("version-") for p in (tmp_path / "out").iterdir()) <= 2 and sum(p.name.startswith("current-") for p in (tmp_path / "out").iterdir()) == 1
+
+
+def test_packets_go_on_in_the_next_read(spark, tmp_path):
+    packet = lambda b: b"M" + len(b).to_bytes(3, "big") + b
+    bodies = [b"one", b"", b"x" * 70_000, b"M\x00", b"last"]
+    data = b"?" + b"".join(map(packet, bodies)) + packet(b"cut")[:-1]
+    reads = [("s", i, data[i * 999 : i * 999 + 999], int(i > 40)) for i in range(len(data) // 999 + 1)] + [("t", 0, None, 0), ("t", 1, packet(b"t"), 1)]
+    stream = _in_two(spark, spark.createDataFrame(reads, "stream string, seq long, content binary, part int"), str(tmp_path / "in"))
+    streams.publish(streams.framed_stream(stream, b"M", 3), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = [(r["stream"], r["packet"], bytes(r["body"])) for r in spark.read.schema("stream string, packet long, body binary").parquet(str(tmp_path / "out")).orderBy("stream", "packet").collect()]
+    assert got == [("s", i, b) for i, b in enumerate(bodies)] + [("t", 0, b"t")]
+
+
+def test_batches_begin_at_the_first_record_and_lose_none(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [("a", at(5), 1, 0), ("a", at(14), 2, 0), ("a", at(15), 3, 0), ("b", at(0), 4, 0), (None, at(1), 5, 0), ("a", at(2), 6, 1), ("a", at(24), 7, 1), ("a", at(25), 8, 1), ("a", at(90), 9, 1), ("a", None, 10, 1)]
+    stream = _in_two(spark, spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long, part int"), str(tmp_path / "in"))
+    streams.publish(streams.batched_from_first(stream, "k", "ts", "id", 10_000_000), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {r["id"]: r["batch"] for r in spark.read.schema("key string, id long, batch long").parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1, 7: 1, 8: 2, 9: 3}
+
+
+def test_a_new_epoch_leaves_the_old_one(spark, tmp_path):
+    spark.range(6).withColumn("part", F.col("id") % 2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, part long").parquet(str(tmp_path / "in"))
+    for part in (0, 1):
+        streams.publish_epoch(stream.where(F.col("part") == part), str(tmp_path / "e")).awaitTermination()
+        assert {r["id"] for r in streams.read_epoch(spark, str(tmp_path / "e"), stream.schema).collect()} == {part, part + 2, part + 4}
 
 
 def test_streamed_association_equals_the_batch(spark, tmp_path):
@@ -231,3 +271,204 @@ def test_sorted_places_of_all_rows(spark):
     want = sorted(rows, key=lambda r: (low(r[1]), -low(r[0]), r[2]))
     assert got == {r[2]: k for k, r in enumerate(want, 1)}
     assert ranking.sorted_places(df.limit(0), F.col("id")).count() == 0
+
+
+def test_encodings_of_each_file_by_all_of_it(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,名\n1,甲\n".encode())
+    (tmp_path / "b.csv").write_bytes("k,名\n".encode() + b"2,plain\n" * 20_000 + "3,乙\n".encode("gbk"))
+    path = str(tmp_path)
+    assert {r["source_file"]: r["encoding"] for r in files.file_encodings(spark, path).collect()} == {"a.csv": "UTF-8", "b.csv": "GBK"}
+    assert files.sample_encoding(spark, path) == "GBK" and files.sample_encoding(spark, str(tmp_path / "a.csv")) == "UTF-8"
+    got = files.scan_csv_guessed(spark, path)
+    assert got.columns == ["k", "名", "source_file", "source_row"]
+    assert {tuple(r) for r in got.where("k <> 2").collect()} == {("1", "甲", "a.csv", 0), ("3", "乙", "b.csv", 20_000)}
+
+
+def test_nullable_parse(spark):
+    df = spark.createDataFrame([("1",), (" 2 ",), ("x",), (" ",), (None,)], "a string")
+    assert [tuple(r) for r in df.select(files.parsed("a", "bigint"), files.parsed("a", "bigint", -1)).collect()] == [(1, 1), (2, 2), (None, -1), (None, -1), (None, -1)]
+
+
+def test_report_filters(spark):
+    df = spark.createDataFrame([("Alpha", 1), ("beta", 5), (None, 3), ("alphabet", None)], "name string, n int")
+    found = lambda *a: sorted((tuple(r) for r in matching(df, *a).collect()), key=repr)
+    assert found({"name": " ALPHA "}) == [("Alpha", 1), ("alphabet", None)]
+    assert found({"name": "  "}, {"n": (None, None)}, {"n": []}) == sorted(map(tuple, df.collect()), key=repr)
+    assert found(None, {"n": (2, None)}) == [("beta", 5), (None, 3)] and found(None, {"n": (None, 3)}, {"name": ["Alpha", "beta"]}) == [("Alpha", 1)]
+
+
+def spans(random, n, longest, null=True):
+    rows = []
+    for i in range(n):
+        s = int(random.integers(-500, 500))
+        rows.append((None if null and i % 4 == 0 else int(i % 3), s, s + int(random.integers(0, longest if i % 9 else 30 * longest)), i))
+    return rows
+
+
+def test_merged_intervals_by_brute_force(spark):
+    rows = spans(np.random.default_rng(3), 150, 12)
+    bad = [(1, None, 5, 0), (1, 0, None, 0), (None, None, None, 0), (1, 9, 3, 0)]
+    df = spark.createDataFrame(rows + bad, "k int, s long, e long, i int")
+    want = []
+    for k in {r[0] for r in rows}:
+        mine = []
+        for _, s, e, _ in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            if mine and s <= mine[-1][2]:
+                mine[-1] = k, mine[-1][1], max(mine[-1][2], e), mine[-1][3] + 1
+            else:
+                mine.append((k, s, e, 1))
+        want += mine
+    for bucket in (7, 100, 10**6):
+        assert sorted(map(tuple, intervals.merge_intervals(df, ["k"], "s", "e", bucket).collect()), key=repr) == sorted(want, key=repr)
+    assert intervals.merge_intervals(df.limit(0), ["k"], "s", "e", 5).count() == 0
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_overlaps_of_short_and_very_long_intervals(spark, closed):
+    random = np.random.default_rng(6)
+    a, b = spans(random, 60, 10), [(k, s, e, i) for k, s, e, i in spans(random, 60, 40)] + [(1, -100_000, 100_000, 99), (0, None, 3, 98), (0, 5, 2, 97)]
+    left, right = spark.createDataFrame(a + [(2, -10**6, 10**6, 77)], "k int, start_t long, end_t long, i int"), spark.createDataFrame(b, "k int, other_start long, other_end long, j int")
+    got = sorted((r["i"], r["j"]) for r in intervals.overlap_join(left, right, ["k"], 5, closed).collect())
+    meets = (lambda s, e, x, y: s <= y and x <= e) if closed else (lambda s, e, x, y: s < y and x < e)
+    want = sorted((i, j) for k, s, e, i in a + [(2, -10**6, 10**6, 77)] for q, x, y, j in b if k is not None and k == q and x is not None and x <= y and meets(s, e, x, y))
+    assert got == want
+
+
+def test_rows_in_short_and_very_long_windows(spark):
+    random = np.random.default_rng(2)
+    rows = [(int(t), float(v), i) for i, (t, v) in enumerate(zip(random.integers(0, 3000, 200), random.integers(0, 30, 200)))] + [(None, 1.0, 900), (5, None, 901)]
+    windows = [(int(s), int(s + random.integers(0, 30)), float(random.integers(0, 30)), 2.0) for s in random.integers(0, 3000, 12)]
+    df = spark.createDataFrame(rows, "t long, v double, id long")
+    for more in ([], [(100, 2500, 3.0, 0.5)], [(50, 10, 1.0, 9.0), (None, 10, 1.0, 9.0)]):
+        w = spark.createDataFrame(windows + more, "start_t long, end_t long, center double, tolerance double")
+        want = {i for t, v, i in rows if t is not None and v is not None and any(s is not None and s <= t <= e and abs(v - c) <= x for s, e, c, x in windows + more)}
+        assert {r["id"] for r in joins.range_semi_join(df, w, "t", "v", 20).collect()} == want
+    assert joins.range_semi_join(df, w.limit(0), "t", "v", 20).count() == 0
+
+
+@pytest.mark.parametrize("cell", [2, 3, 64])
+def test_anchor_bins_by_brute_force(spark, cell, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL", cell)
+    random = np.random.default_rng(cell)
+    rows = [(None if k == 3 else k, float(np.round(x, 2))) for k in range(5) for x in (random.uniform(-50, 50, 40) if k % 2 else random.normal(0, 3, 60))]
+    rows += [(1, None), (9, 7.0), *[(7, x) for x in (0.0, 0.1, 0.2, 0.3, 100.0, 100.1, 250.0)]]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for tolerance in (0.0, 0.1, 0.3, 30.0):
+        want = {}
+        for k in {r[0] for r in rows}:
+            anchor = None
+            for v in sorted({v for q, v in rows if q == k and v is not None}):
+                anchor = v if anchor is None or v - anchor > tolerance else anchor
+                want[k, v] = anchor
+        assert {(r["k"], r["v"]): r["anchor"] for r in clusters.anchor_bins(df, ["k"], "v", tolerance).collect()} == want
+    assert clusters.anchor_bins(df.limit(0), ["k"], "v", 1.0).count() == 0
+
+
+def test_one_key_of_many_values(spark):
+    df = spark.range(64_000).select(F.lit("a").alias("k"), (F.rand(3) * 100).alias("v"), F.lit(None).cast("string").alias("none"))
+    anchors = [r["anchor"] for r in clusters.anchor_bins(df, ["k"], "v", 2.5).select("anchor").distinct().orderBy("anchor").collect()]
+    assert len(anchors) == 40 and all(b - a > 2.5 for a, b in itertools.pairwise(anchors))
+    values = np.sort([r["v"] for r in df.collect()])
+    assert aggregates.upper_median(df, ["none"], "v", 0.5).first()["upper_median"] == values[32_000]
+    assert aggregates.median(df, ["k"], "v", 0.5).first()["median"] == (values[31_999] + values[32_000]) / 2
+
+
+def test_results_do_not_depend_on_buckets(spark):
+    random = np.random.default_rng(12)
+    rows = [(None if i % 3 == 0 else i % 2, None if i % 50 == 7 else int(t), i, None if i % 11 == 0 else float(t % 13), int(t) // 40) for i, t in enumerate(random.permutation(2000)[:150])]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v double, part long")
+    points = df.where("id % 2 = 0").groupBy("k", "t").agg(F.first("v").alias("v"))
+    for f in (
+        lambda b: joins.interpolate_at(points, df.where("id % 2 = 1").select("k", "t"), ["k"], "t", "v", b),
+        lambda b: ranking.uniform_sample(df, ["k"], 7, "t", "id", b).select("id"),
+        lambda b: ranking.stride_sample(df, ["k"], 7, "t", "id", b).select("id"),
+        lambda b: aggregates.median(df, ["k"], "v", b / 100),
+        lambda b: aggregates.upper_median(df, ["k"], "v", b / 100),
+        lambda b: sessions.coalesce_parts(df, ["k"], "t", "part", 15, b),
+    ):
+        few, many = (sorted(map(tuple, f(b).collect()), key=repr) for b in (10**7, 19))
+        assert few == many and len({r[0] for r in few}) >= 1
+    got = {(r["k"], r["t"]): r["v"] for r in joins.interpolate_at(points, df.where("id % 2 = 1").select("k", "t"), ["k"], "t", "v", 19).collect()}
+    for k in {r[0] for r in rows}:
+        p = sorted((r[1], r[3]) for r in rows if r[0] == k and r[2] % 2 == 0 and r[1] is not None and r[3] is not None)
+        for q, t in got:
+            if q == k:
+                assert got[q, t] is None if t is None or not p else got[q, t] == pytest.approx(np.interp(t, *zip(*p)))
+    places = sorted(r[2] for r in sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))[:: -(-sum(r[0] == 1 for r in rows) // 7)])
+    assert sorted(r["id"] for r in ranking.stride_sample(df, ["k"], 7, "t", "id", 19).where("k = 1").collect()) == places
+
+
+@pytest.mark.parametrize("most", [1_000_000, 25, 0])
+def test_greedy_in_rounds_equals_greedy_in_a_frame(spark, most, monkeypatch):
+    monkeypatch.setattr(tracks, "FRAME_PAIRS", most)
+    random = np.random.default_rng(9)
+    data = [(None if f == 2 else f, int(a), int(b), float(c)) for f in range(3) for a, b, c in zip(random.integers(0, 12, 30 * f + 5), random.integers(20, 32, 30 * f + 5), random.integers(0, 15, 30 * f + 5))]
+    df = spark.createDataFrame(data + [(0, None, 1, 0.0), (0, 1, None, 0.0), (0, 1, 2, None)], "frame int, left_id long, right_id long, cost double")
+    want = set()
+    for f in {d[0] for d in data}:
+        left, right = set(), set()
+        for c, a, b in sorted((d[3], d[1], d[2]) for d in data if d[0] == f):
+            if c <= 11 and a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                want.add((f, a, b, c))
+    assert {tuple(r) for r in tracks.greedy_assignment(df, ["frame"], 11.0).collect()} == want
+
+
+def test_components_by_brute_force(spark):
+    random = np.random.default_rng(2)
+    for n, m in ((50, 30), (300, 280)):
+        edges, parent = [(int(a), int(b)) for a, b in random.integers(0, n, (m, 2))], {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+        assert dict(connected_components(spark.createDataFrame(edges, "left long, right long")).collect()) == {x: find(x) for x in parent}
+
+
+NULLS = [(None, 1, 0, 5.0, 2.0), (None, 4, 1, 6.0, 1.0), (None, 4, 1, 6.0, 1.0), (1, None, 2, 7.0, 3.0), (1, 3, 3, None, 4.0), (1, 9, 4, 8.0, None), (1, 3, 5, 5.5, 0.5), (2, None, 6, None, None)]
+
+
+@pytest.mark.parametrize(
+    ("name", "f", "want"),
+    [
+        ("gap_clusters", lambda d: clusters.gap_clusters(d, ["k"], "v", 0.7).groupBy("k", "cluster").count(), [(1, 0, 1), (1, 1, 1), (1, 2, 1), (None, 0, 1), (None, 1, 2)]),
+        ("anchor_bins", lambda d: clusters.anchor_bins(d, ["k"], "v", 1.0).groupBy("k", "anchor").count(), [(1, 5.5, 1), (1, 7.0, 2), (None, 5.0, 3)]),
+        ("band_count", lambda d: clusters.band_count(d, ["k"], "v", 1.0), [(1, 2), (None, 1)]),
+        ("two_means", lambda d: clusters.two_means(d, ["k"], "v").select("k", "low_mean", "high_mean"), [(1, 5.5, 7.5), (None, 5.0, 6.0)]),
+        ("median", lambda d: aggregates.median(d, ["k"], "v", 2.0), [(1, 7.0), (None, 6.0)]),
+        ("upper_median", lambda d: aggregates.upper_median(d, ["k"], "v", 2.0), [(1, 7.0), (None, 6.0)]),
+        ("mode", lambda d: aggregates.mode_largest(d, ["k"], "v"), [(1, 8.0, 1), (None, 6.0, 2)]),
+        ("histogram", lambda d: aggregates.histogram(d, ["k"], "t", 1).groupBy("k").agg(F.sum("n")), [(1, 3), (None, 3)]),
+        ("retained", lambda d: aggregates.retained(d, ["k"], "id", "k").select("k"), [(1,), (2,)] + [(None,)]),
+        ("mahalanobis", lambda d: aggregates.mahalanobis(d, ["k"], "v", "w").groupBy("k").agg(F.count("*")), [(1, 4), (2, 1), (None, 3)]),
+        ("sliding", lambda d: sessions.sliding_windows(d, ["k"], "t", 3, 3).groupBy("k").agg(F.count("*")), [(1, 4), (None, 5)]),
+        ("full_span", lambda d: sessions.full_span(d, ["k"], "t"), [(1, 3, 9, 4), (2, None, None, 1), (None, 1, 4, 3)]),
+        ("sessionise", lambda d: sessions.sessionise(d, "k", "t", "id", 4, 50).groupBy("k", "session").count(), [(1, 0, 3), (1, 1, 1), (2, 0, 1), (None, 0, 3)]),
+        ("lag", lambda d: sessions.lag_difference(d, ["k"], "t", "id", 50).groupBy("k").agg(F.sum("gap")), [(1, 6), (2, None), (None, 3)]),
+        ("top_k", lambda d: ranking.top_k(d, ["k"], 1, F.desc("w"), F.col("id")).select("k", "id"), [(1, 3), (2, 6), (None, 0)]),
+        ("suppressed", lambda d: ranking.top_k_suppressed(d.withColumn("e", F.col("t") + 1), ["k"], "w", "id", "t", "e", 2, 0.5).select("k", "id", "rank"), [(1, 3, 1), (1, 2, 2), (2, 6, 1), (None, 0, 1), (None, 1, 2)]),
+        ("stride", lambda d: ranking.stride_sample(d, ["k"], 1, "t", "id", 50).select("k", "id"), [(1, 2), (2, 6), (None, 0)]),
+        ("first_of_key", lambda d: ranking.first_of_key(d, [F.col("k"), F.col("t")], ["id"]).groupBy("k").count(), [(1, 3), (2, 1), (None, 2)]),
+        ("associate", lambda d: tracks.associate(d, ["k"], "t", "v", "id", 1.5, 5).groupBy("k", "track").count(), [(1, 0, 1), (1, 1, 1), (1, None, 2), (2, None, 1), (None, 0, 2), (None, 1, 1)]),
+        ("merge", lambda d: intervals.merge_intervals(d.withColumn("e", F.col("t") + 2), ["k"], "t", "e", 5), [(1, 3, 5, 2), (1, 9, 11, 1), (None, 1, 3, 1), (None, 4, 6, 2)]),
+        ("dbscan", lambda d: clusters.dbscan(d, ["k"], "t", "v", "id", (1.0, 1.0), 1.0, 2).groupBy("k", "cluster").count(), None),
+        ("ransac", lambda d: clusters.ransac_line(d, ["k"], "t", "v", "id", 1.0).select("k"), [(1,), (2,), (None,)]),
+        ("spline", lambda d: clusters.spline_at(d, ["k"], "t", "v", 1.0).groupBy("k").count(), None),
+        ("smooth", lambda d: clusters.smooth_constant_velocity(d, ["k"], "t", "v", "id", 1.0, 0.1).groupBy("k").count(), None),
+        ("jaccard", lambda d: d.groupBy("k").agg(F.collect_set("t").alias("a")).select("k", aggregates.jaccard(F.col("a"), F.col("a"))), [(1, 1.0), (2, 0.0), (None, 1.0)]),
+        ("chains", lambda d: tracks.chain_links(d.where("k = 1 or id = 0").select("k", "id", F.col("t").alias("start_t"), (F.col("t") + 1).alias("end_t"), F.col("v").alias("first_value"), F.col("v").alias("last_value")), ["k"], 9, 5.0).select("id", "chain"), [(0, 0), (2, 1), (3, 2), (4, 0), (5, 0)]),
+    ],
+)
+def test_null_keys_and_values_and_empty_tables(spark, name, f, want):
+    df = spark.createDataFrame(NULLS, "k int, t long, id long, v double, w double")
+    got = sorted((tuple(r) for r in f(df).collect()), key=repr)
+    if want is not None:
+        assert got == sorted(want, key=repr)
+    assert f(df.limit(0)).count() == 0

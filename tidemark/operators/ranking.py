@@ -19,7 +19,7 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start: str, end: str, k: int, ratio: float) -> DataFrame:
     """Up to ``k`` intervals of each key by falling score (ties to the smaller ``tie``), passing
     over those whose overlap with a chosen one is at least ``ratio`` of the shorter: ``df``'s
-    columns and rank. A null key is one like others; an interval with a null end overlaps nothing;
+    columns and rank. A null key is one like others, a null score is the last; an interval with a null end overlaps nothing;
     rows that share their key's ``tie`` are one.
 
     Each of ``k`` rounds takes the best row of every key that no chosen one suppresses, by a
@@ -27,15 +27,16 @@ def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start
     """
     rest, chosen = df, None
     for rank in range(1, k + 1):
-        best = rest.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(-F.col(score), F.col(tie))).alias("_b"))
+        best = rest.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))).alias("_b"))
         taken = staged(best.select(*keys, "_b.*").select(*df.columns, F.lit(rank).alias("rank")), "chosen")
         chosen = taken if chosen is None else chosen.unionByName(taken)
         if rank == k or taken.isEmpty():
             break
         t = taken.select(*keys, F.lit(True).alias("_taken"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tie).alias("_id"))
+        whole = (F.col(start) <= F.col(end)) & (F.col("_s") <= F.col("_e"))
         shorter = F.least(F.col(end) - F.col(start), F.col("_e") - F.col("_s"))
         shared = F.least(F.col(end), F.col("_e")) - F.greatest(F.col(start), F.col("_s"))
-        gone = F.col(tie).eqNullSafe(F.col("_id")) | F.coalesce((shared >= 0) & (shared >= ratio * shorter), F.lit(False))
+        gone = F.col(tie).eqNullSafe(F.col("_id")) | F.coalesce(whole & (shared >= 0) & (shared >= ratio * shorter), F.lit(False))
         rest = keyed_join(rest, t, keys, "left").where(F.col("_taken").isNull() | ~gone).drop("_taken", "_s", "_e", "_id")
     return chosen
 

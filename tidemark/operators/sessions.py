@@ -135,7 +135,7 @@ def sliding_windows(df: DataFrame, keys: list[str], t: str, length: int, step: i
     key is one like others; a null ``t`` lies in no window.
     """
     spans = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-    placed = keyed_join(df, spans, keys)
+    placed = keyed_join(df.where(F.col(t).isNotNull()), spans, keys)
     last = F.least(F.floor((F.col(t) - F.col("_lo")) / step), F.floor((F.col("_hi") + step - length - F.col("_lo")) / step))
     first = F.greatest(F.ceil((F.col(t) - F.col("_lo") - length) / step), F.lit(0))
     windows = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
