@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import scoped, staged
 
 #: Bytes of the lowest ranges, and ranges joined into one.
 RANGE, FAN = 65_536, 16
@@ -99,21 +99,22 @@ def audit(first: DataFrame, second: DataFrame, range_bytes: int = RANGE, fan: in
     with a null file or offset are left out; where several different records claim one offset,
     all of them are compared. Equal or empty replicas give no rows.
     """
-    a, b = (staged(leaves(x.where("file is not null and offset is not null")), "leaves") for x in (first, second))
-    top = a.select("offset").union(b.select("offset")).agg(F.max("offset").alias("m")).first()["m"] or 0
-    levels, span = 1, range_bytes
-    while span <= top:
-        levels, span = levels + 1, span * fan
-    trees = list(zip(tree(a, levels, range_bytes, fan), tree(b, levels, range_bytes, fan), strict=True))
-    wrong = staged(_differing(*trees[-1], ["file", "node"]), "differing")
-    for x, y in reversed(trees[:-1]):
-        parents = wrong.select("file", F.col("node").alias("parent"))
-        below = [t.withColumn("parent", F.floor(F.col("node") / fan)).join(parents, ["file", "parent"], "left_semi") for t in (x, y)]
-        wrong = staged(_differing(*below, ["file", "node"]), "differing")
-    ranges = wrong.select("file", "node")
-    x, y = (t.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(ranges, ["file", "node"], "left_semi").drop("node") for t in (a, b))
-    keys = ["file", "offset", "length", "digest", "copies"]
-    gone, new = x.join(y, keys, "left_anti"), y.join(x, keys, "left_anti")
-    gone, new = (t.select("file", "offset", F.col("length").alias(f"{n}_length")) for t, n in ((gone, "first"), (new, "second")))
-    kind = F.when(F.col("second_length").isNull(), "missing").when(F.col("first_length").isNull(), "extra").otherwise("changed")
-    return gone.join(new, ["file", "offset"], "full").withColumn("damage", kind)
+    with scoped(first.sparkSession):  # only the result outlives it
+        a, b = (staged(leaves(x.where("file is not null and offset is not null")), "leaves") for x in (first, second))
+        top = a.select("offset").union(b.select("offset")).agg(F.max("offset").alias("m")).first()["m"] or 0
+        levels, span = 1, range_bytes
+        while span <= top:
+            levels, span = levels + 1, span * fan
+        trees = list(zip(tree(a, levels, range_bytes, fan), tree(b, levels, range_bytes, fan), strict=True))
+        wrong = staged(_differing(*trees[-1], ["file", "node"]), "differing")
+        for x, y in reversed(trees[:-1]):
+            parents = wrong.select("file", F.col("node").alias("parent"))
+            below = [t.withColumn("parent", F.floor(F.col("node") / fan)).join(parents, ["file", "parent"], "left_semi") for t in (x, y)]
+            wrong = staged(_differing(*below, ["file", "node"]), "differing")
+        ranges = wrong.select("file", "node")
+        x, y = (t.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(ranges, ["file", "node"], "left_semi").drop("node") for t in (a, b))
+        keys = ["file", "offset", "length", "digest", "copies"]
+        gone, new = x.join(y, keys, "left_anti"), y.join(x, keys, "left_anti")
+        gone, new = (t.select("file", "offset", F.col("length").alias(f"{n}_length")) for t, n in ((gone, "first"), (new, "second")))
+        kind = F.when(F.col("second_length").isNull(), "missing").when(F.col("first_length").isNull(), "extra").otherwise("changed")
+        return staged(gone.join(new, ["file", "offset"], "full").withColumn("damage", kind), "damage", [])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.tokens import claim, slices
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, staged
 
 #: Families of languages by ISO 639-1 code. Others form a family of their own.
 FAMILIES = {
@@ -147,7 +147,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
     likely = usable.withColumn("draw", draw).where(F.col("draw") < wanted[F.col("lang")])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     sample = likely.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
-    rows = staged(sample.mapInArrow(_shares, "lang string, at array<int>, shares array<double>"), "languages")
+    rows = staged(sample.mapInArrow(_shares, "lang string, at array<int>, shares array<double>"), "languages", scratch := [])
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
@@ -168,6 +168,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageMode
         fit = LinearSVC(regParam=1e-3, maxIter=ROUNDS, tol=1e-3).fit(two)
         weights[:, k], bias[k] = fit.coefficients.toArray(), fit.intercept
     data.unpersist()
+    drop(labelled.sparkSession, scratch)
     return LanguageModel(families, members, pairs, weights, bias)
 
 

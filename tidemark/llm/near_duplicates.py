@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import Memo, claim, slices
 from tidemark.operators.components import connected_components
-from tidemark.plans.staging import broadcast_if_small, drop, staged
+from tidemark.plans.staging import broadcast_if_small, drop, scoped, staged
 
 PLACES = 1 << 20
 #: Bands and rows: a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -185,5 +185,6 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, words: int = S
 def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """``documents`` with one document of each component of :func:`near_duplicates`, the one
     with the smallest doc_id. Rows without a doc_id stay."""
-    dropped = staged(near_duplicates(documents, **options).where("not kept").select("doc_id").distinct(), "dropped")
+    with scoped(documents.sparkSession):  # only the ids that go outlive it
+        dropped = staged(near_duplicates(documents, **options).where("not kept").select("doc_id").distinct(), "dropped", [])
     return documents.join(broadcast_if_small(dropped, dropped.count()), "doc_id", "left_anti").select(documents.columns)
