@@ -14,6 +14,16 @@ from tidemark.llm import decontaminate, langid, near_duplicates, packing, pii
 from tidemark.plans.staging import drop, scoped, staged
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """text, and all other columns in one struct ``row``, so that no added column meets their names."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from :func:`_aside`."""
+    return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with that language as ``lang``: those without a
     letter, null and empty texts among them, go. Where no label can be learned from, ``lang``
@@ -21,9 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~langid.held_out()))
     if not model:
         return langid.with_letters(docs)
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    told = found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("row", F.col("row").withField("lang", F.col("lang_pred")))
-    return told.select("row.*")
+    found = langid.identify(_aside(docs), model).where(F.col("lang_pred") != langid.UNDETERMINED)
+    return _back(found.withColumn("row", F.col("row").withField("lang", F.col("lang_pred"))), docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +45,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that benchmark passages make less than a twentieth of; those without words
     stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.with_contamination(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark)
-    return found.where("not contaminated").select("row.*")
+    return _back(decontaminate.with_contamination(_aside(docs), benchmark).where("not contaminated"), docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
