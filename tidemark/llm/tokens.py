@@ -97,7 +97,7 @@ class ChunkCodec:
             return b""
         if not self.plain:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.cut and self.cut.search(text):
+        if any(token in text for token in self.added):
             return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(text)))
         return self._plain(text)
 
