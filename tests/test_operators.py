@@ -472,3 +472,63 @@ def test_null_keys_and_values_and_empty_tables(spark, name, f, want):
     if want is not None:
         assert got == sorted(want, key=repr)
     assert f(df.limit(0)).count() == 0
+
+
+def _reference_chains(rows, most_gap, most_step):
+    """Chains of one key by plain scans."""
+    left, chain, number = sorted(rows, key=lambda r: (r[1], r[0])), {}, 0
+
+    def follow(here, forward):
+        best = None
+        for r in left:
+            a, b = (here, r) if forward else (r, here)
+            gap, step = b[1] - a[2], abs(b[3] - a[4])
+            if r[0] not in chain and 0 <= gap <= most_gap and step <= most_step:
+                best = min(best or (math.inf,), (gap / most_gap + step / most_step, r[0], r))
+        return best and best[2]
+
+    for seed in left:
+        if seed[0] in chain:
+            continue
+        chain[seed[0]] = number
+        for forward in (True, False):
+            here = seed
+            while here := follow(here, forward):
+                chain[here[0]] = number
+        number += 1
+    return chain
+
+
+def test_chains_and_tracks_in_stretches_equal_whole_keys(spark):
+    random = np.random.default_rng(11)
+    rows = []
+    for i in range(120):
+        start = int(random.integers(0, 900))
+        rows.append((i, start, start + int(random.integers(-2, 9)), float(random.integers(0, 12)), float(random.integers(0, 12))))
+    keys = [None, "a"]
+    df = spark.createDataFrame([(k, *r) for k in keys for r in rows] + [("a", 500, None, 3, 1.0, 1.0), ("a", 501, 3, 4, None, 1.0), ("b", 7, None, 1, 1.0, 1.0)], "k string, id long, start_t long, end_t long, first_value double, last_value double")
+    want = _reference_chains(rows, 10, 6.0)
+    assert len(set(want.values())) < 100
+    got = {(r["k"], r["id"]): r["chain"] for r in tracks.chain_links(df, ["k"], 10, 6.0).collect()}
+    last = max(want.values())
+    assert got == {(k, i): c for k in keys for i, c in want.items()} | {("a", 500): last + 1, ("a", 501): last + 2, ("b", 7): 0}
+
+    seen = [(int(f), float(v), i) for i, (f, v) in enumerate(zip(random.integers(0, 300, 200), random.integers(0, 15, 200)))]
+    live, count, labels = {}, 0, {}
+    for f in sorted({s[0] for s in seen}):
+        here = sorted((v, i) for g, v, i in seen if g == f)
+        found, live, count = tracks.associate_frame(live, count, f, [v for v, _ in here], 2.0, 1)
+        labels |= {i: n for (_, i), n in zip(here, found)}
+    df = spark.createDataFrame([(k, *s) for k in keys for s in seen], "k string, f long, v double, id long")
+    got = {(r["k"], r["id"]): r["track"] for r in tracks.associate(df, ["k"], "f", "v", "id", 2.0, 1).collect()}
+    assert got == {(k, i): n for k in keys for i, n in labels.items()}
+
+
+def test_least_cost_of_large_frames_by_connected_groups(spark, monkeypatch):
+    random = np.random.default_rng(12)
+    data = [(k, int(a), int(b), float(c)) for k in (None, 1) for a, b, c in zip(random.integers(0, 40, 90), random.integers(0, 40, 90), random.random(90))]
+    df = spark.createDataFrame([*data, (2, 1, 1, 0.9), (2, 1, 2, 0.2)], "frame int, left_id long, right_id long, cost double")
+    whole = {tuple(r) for r in tracks.least_cost_assignment(df, ["frame"], 0.7).collect()}
+    monkeypatch.setattr(tracks, "FRAME_PAIRS", 5)
+    assert {tuple(r) for r in tracks.least_cost_assignment(df, ["frame"], 0.7).collect()} == whole
+    assert (2, 1, 2, 0.2) in whole and len(whole) > 20

@@ -8,22 +8,32 @@ from pyspark.sql import functions as F
 from tidemark.operators.sessions import number_starts
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, bucket: int) -> DataFrame:
-    """The key's intervals with those that overlap or touch made one: keys, start, end, n.
+def stretches_apart(df: DataFrame, keys: list[str], start: str, end: str, apart: int, bucket: int, out: str) -> DataFrame:
+    """``out``: number from 0 of the key's stretch of intervals; one begins with an interval whose
+    start is more than ``apart`` beyond all ends before it.
 
     Intervals are taken in buckets of ``bucket`` of their start; of each bucket only its furthest
     end and its number of beginnings meet the others, so a key may hold any share of them. A null
-    key is one like others; an interval with a null end or one before its start is left out.
+    key is one like others; starts and ends must not be null, nor an end be before its start.
     """
-    known = df.where(F.col(start) <= F.col(end)).groupBy(*keys, start, end).agg(F.count("*").alias("n"))
-    dealt = known.withColumn("_part", F.struct(*keys, F.floor(F.col(start) / bucket).alias("_bucket")))
+    dealt = df.withColumn("_part", F.struct(*keys, F.floor(F.col(start) / bucket).alias("_bucket")))
     tops = dealt.groupBy("_part").agg(F.max(end).alias("_top"))
     along = Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._bucket")
     carried = tops.select("_part", F.max("_top").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
     here = F.max(end).over(Window.partitionBy("_part").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    reach = F.greatest(here, "_carried")
+    reach = F.greatest(here, "_carried") + apart
     flagged = dealt.join(carried, "_part").withColumn("_start", F.coalesce((F.col(start) > reach).cast("long"), F.lit(0)))
-    island = number_starts(flagged, keys, [start, end], "_i")
+    # Of equal intervals the one that begins a stretch comes first.
+    return number_starts(flagged, keys, [start, end, F.desc("_start")], out).select(*df.columns, out)
+
+
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, bucket: int) -> DataFrame:
+    """The key's intervals with those that overlap or touch made one: keys, start, end, n. A null
+    key is one like others; an interval with a null end or one before its start is left out. See
+    :func:`stretches_apart` for ``bucket``.
+    """
+    known = df.where(F.col(start) <= F.col(end)).groupBy(*keys, start, end).agg(F.count("*").alias("n"))
+    island = stretches_apart(known, keys, start, end, 0, bucket, "_i")
     return island.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_i")
 
 

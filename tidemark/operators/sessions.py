@@ -31,7 +31,7 @@ def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str
     return dealt.join(before, "_part").withColumn(out, F.coalesce(here, "_carried")).drop("_carried")
 
 
-def number_starts(flagged: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def number_starts(flagged: DataFrame, keys: list[str], order: list[str | Column], out: str) -> DataFrame:
     """``out``: starts (``_start``, 0 or 1) up to a row in the order of the key's ``_part`` buckets and
     of ``order``, which is total inside one."""
     sums = flagged.groupBy("_part").agg(F.sum("_start").alias("_n"))

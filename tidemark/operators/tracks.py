@@ -4,6 +4,8 @@ work on one group or frame at a time."""
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.components import connected_components
+from tidemark.operators.intervals import stretches_apart
 from tidemark.operators.keys import keyed_join
+from tidemark.operators.sessions import running, stretches
 from tidemark.plans.staging import staged
 
 
@@ -92,11 +97,12 @@ def _augmented(cost: np.ndarray) -> np.ndarray:
 def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -> DataFrame:
     """The one-to-one pairs of each frame with the least total cost, where every left id without
     a pair costs ``unmatched``: keys, left_id, right_id, cost. Pairs with a null id or cost are
-    none, a null key is one like others.
+    none, a null key is one like others. A pair that costs more than ``unmatched`` is never taken.
 
-    A frame is one task; in it, ids that no chain of pairs connects are assigned apart, so the
-    matrix is as large as the largest connected group of ids: 8 bytes times its left ids times
-    all its ids (10,000 connected by 10,000: 1.6 GB).
+    Ids that no chain of the other pairs connects are assigned apart, so the matrix is as large as
+    the largest connected group of ids: 8 bytes times its left ids times all its ids (10,000
+    connected by 10,000: 1.6 GB). Frames of up to FRAME_PAIRS pairs are taken one to a task; of
+    larger ones, the connected groups.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,8 +134,17 @@ def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -
             rows += [(lefts[match[j]], rights[j], cost[match[j], j]) for j in range(m) if match[j] >= 0 and cost[match[j], j] < 1e6 * far]
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *r] for r in rows], columns=[*keys, "left_id", "right_id", "cost"])
 
-    usable = pairs.where("left_id is not null and right_id is not null and cost is not null")
-    return usable.select(*keys, "left_id", "right_id", "cost").groupBy(*keys).applyInPandas(run, _pairs(keys, pairs))
+    usable = pairs.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("cost") <= unmatched))
+    once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").alias("cost")), "pairs")
+    large = once.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FRAME_PAIRS).drop("n")
+    chosen = keyed_join(once, large, keys, "left_anti").groupBy(*keys).applyInPandas(run, _pairs(keys, once))
+    rest = keyed_join(once, large, keys, "left_semi")
+    if rest.isEmpty():
+        return chosen
+    left, right = (F.struct(*keys, F.lit(side).alias("side"), F.col(f"{side}_id").cast("long").alias("id")) for side in ("left", "right"))
+    groups = connected_components(rest.select(left.alias("left"), right.alias("right")))
+    grouped = rest.withColumn("id", left).join(groups, "id").drop("id")
+    return chosen.unionByName(grouped.groupBy("component").applyInPandas(lambda pdf: run(pdf.drop(columns="component")), _pairs(keys, once)))
 
 
 def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, values: list[float], reach: float, missed: int) -> tuple[list[int], dict[int, tuple[int, float]], int]:
@@ -149,14 +164,30 @@ def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, val
     return [got[i] for i in range(len(values))], live, count
 
 
+def _numbered(found: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
+    """``out`` and ``_total``: the numbers ``name`` of a key's stretches (``_stretch``, each
+    numbered from 0) one after another, and how many there are. Only one row a stretch meets the
+    others."""
+    tops = found.groupBy(*keys, "_stretch").agg((F.max(name) + 1).alias("_n"))
+    sums = running(tops, keys, "_stretch", [], F.col("_n"), STRETCHES, "_to", "_total")
+    return keyed_join(found, sums, [*keys, "_stretch"]).withColumn(out, F.col(name) + F.col("_to") - F.col("_n")).drop("_n", "_to")
+
+
+#: Stretches of a key that one window takes.
+STRETCHES = 100_000
+
+
 def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """``track``: number from 0 within the key. In each frame, values go one to one to the live
     tracks whose last value is nearest, up to ``reach``, nearest pairs first; the others begin
     tracks. A track unseen for more than ``missed`` frames ends. Rows with a null frame or value
-    are in no track; a null key is one like others. A key's rows are one task's: frame by frame
-    they are ``streams.associated``, with the live tracks as state."""
-    schema = T.StructType([*df.schema, T.StructField("track", T.LongType())])
+    are in no track; a null key is one like others.
+
+    Where a key is quiet for more than ``missed`` frames all its tracks end, so the stretches
+    between such pauses are taken apart, one to a task. A key without pauses is one stretch:
+    frame by frame it is ``streams.associated``, with the live tracks as state."""
     known = F.col(frame).isNotNull() & F.col(value).isNotNull()
+    parts = stretches(df.where(known), keys, frame, tie, [frame], lambda p: F.col(frame) - p[frame] > missed + 1, 16 * (missed + 1), "_stretch")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
@@ -164,9 +195,11 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
         for at, rows in pdf.groupby(frame, sort=True):
             found, live, count = associate_frame(live, count, int(at), rows[value].tolist(), reach, missed)
             labels += found
-        return pdf.assign(track=np.array(labels, np.int64))
+        return pdf.assign(_track=np.array(labels, np.int64))
 
-    return df.where(known).groupBy(*keys).applyInPandas(run, schema).unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
+    found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_track", T.LongType())]))
+    tracks = _numbered(staged(found, "tracks"), keys, "_track", "track").select(*df.columns, "track")
+    return tracks.unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
 
 
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
@@ -174,12 +207,18 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
     unused segment begins a chain, which goes on forward with the unused segment of least cost
     (gap in shares of ``most_gap`` plus step in shares of ``most_step``), then backward from its
     beginning; ties to the smaller id. Segments with a null are chains of their own, numbered
-    last; a null key is one like others. A key's segments are one task's, and each step looks at
-    those within ``most_gap`` only."""
+    last in the order of their ids; a null key is one like others.
+
+    No chain goes on over a pause of more than ``most_gap`` without segments, so the stretches
+    between such pauses are taken apart, one to a task; in it each step looks at the segments
+    within ``most_gap`` only."""
+    columns = segments.columns
+    nulls = reduce(or_, [F.col(c).isNull() for c in ("id", "start_t", "end_t", "first_value", "last_value")])
+    spans = segments.where(~nulls).withColumns({"_low": F.least("start_t", "end_t"), "_high": F.greatest("start_t", "end_t")})
+    parts = stretches_apart(spans, keys, "_low", "_high", most_gap, 16 * max(1, most_gap), "_stretch").drop("_low", "_high")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = pdf.notna()[["id", "start_t", "end_t", "first_value", "last_value"]].all(axis=1)
-        rows = pdf[whole].sort_values(["start_t", "id"]).to_dict("records")
+        rows = pdf.sort_values(["start_t", "id"]).to_dict("records")
         by_end = sorted(range(len(rows)), key=lambda k: (rows[k]["end_t"], k))
         starts, ends = [r["start_t"] for r in rows], [rows[k]["end_t"] for k in by_end]
         used, number, chain = np.zeros(len(rows), bool), 0, {}
@@ -214,8 +253,11 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
                 while here := follow(here, forward):
                     chain[here["id"]] = number
             number += 1
-        labels = pdf["id"].map(chain).where(whole)
-        labels[labels.isna()] = np.arange(number, number + int(labels.isna().sum()))
-        return pdf.assign(chain=labels.astype("int64"))
-
-    return segments.groupBy(*keys).applyInPandas(run, T.StructType([*segments.schema, T.StructField("chain", T.LongType())]))
+        return pdf.assign(_chain=pdf["id"].map(chain).astype("int64"))
+
+    found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
+    chains = staged(_numbered(staged(found, "chains"), keys, "_chain", "chain"), "chains")
+    totals = chains.groupBy(*keys).agg(F.first("_total").alias("_total"))
+    others = running(segments.where(nulls), keys, "id", ["start_t", "end_t"], F.lit(1), STRETCHES, "_rank", "_all")
+    others = keyed_join(others, totals, keys, "left").withColumn("chain", F.coalesce("_total", F.lit(0)) + F.col("_rank") - 1)
+    return chains.select(*columns, "chain").unionByName(others.select(*columns, F.col("chain").cast("long")))
