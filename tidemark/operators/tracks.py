@@ -164,13 +164,15 @@ def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, val
     return [got[i] for i in range(len(values))], live, count
 
 
-def _numbered(found: DataFrame, keys: list[str], name: str, out: str) -> DataFrame:
-    """``out`` and ``_total``: the numbers ``name`` of a key's stretches (``_stretch``, each
-    numbered from 0) one after another, and how many there are. Only one row a stretch meets the
+def _numbered(found: DataFrame, keys: list[str], name: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """``out``: the numbers ``name`` of a key's stretches (``_stretch``, each numbered from 0) one
+    after another; and keys, ``_total``: how many there are. Only one row a stretch meets the
     others."""
     tops = found.groupBy(*keys, "_stretch").agg((F.max(name) + 1).alias("_n"))
     sums = running(tops, keys, "_stretch", [], F.col("_n"), STRETCHES, "_to", "_total")
-    return keyed_join(found, sums, [*keys, "_stretch"]).withColumn(out, F.col(name) + F.col("_to") - F.col("_n")).drop("_n", "_to")
+    offsets = sums.select(*keys, "_stretch", (F.col("_to") - F.col("_n")).alias("_from"))
+    numbered = keyed_join(found, offsets, [*keys, "_stretch"]).withColumn(out, F.col(name) + F.col("_from"))
+    return numbered, tops.groupBy(*keys).agg(F.sum("_n").alias("_total"))
 
 
 #: Stretches of a key that one window takes.
@@ -187,7 +189,9 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
     between such pauses are taken apart, one to a task. A key without pauses is one stretch:
     frame by frame it is ``streams.associated``, with the live tracks as state."""
     known = F.col(frame).isNotNull() & F.col(value).isNotNull()
-    parts = stretches(df.where(known), keys, frame, tie, [frame], lambda p: F.col(frame) - p[frame] > missed + 1, 16 * (missed + 1), "_stretch")
+    frames = df.where(known).select(*keys, frame).distinct()
+    frames = stretches(frames, keys, frame, frame, [frame], lambda p: F.col(frame) - p[frame] > missed + 1, 16 * (missed + 1), "_stretch")
+    parts = keyed_join(df.where(known), frames, [*keys, frame])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
@@ -198,8 +202,8 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
         return pdf.assign(_track=np.array(labels, np.int64))
 
     found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_track", T.LongType())]))
-    tracks = _numbered(staged(found, "tracks"), keys, "_track", "track").select(*df.columns, "track")
-    return tracks.unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
+    tracks, _ = _numbered(staged(found, "tracks"), keys, "_track", "track")
+    return tracks.select(*df.columns, "track").unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
 
 
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
@@ -256,8 +260,7 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
         return pdf.assign(_chain=pdf["id"].map(chain).astype("int64"))
 
     found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
-    chains = staged(_numbered(staged(found, "chains"), keys, "_chain", "chain"), "chains")
-    totals = chains.groupBy(*keys).agg(F.first("_total").alias("_total"))
+    chains, totals = _numbered(staged(found, "chains"), keys, "_chain", "chain")
     others = running(segments.where(nulls), keys, "id", ["start_t", "end_t"], F.lit(1), STRETCHES, "_rank", "_all")
     others = keyed_join(others, totals, keys, "left").withColumn("chain", F.coalesce("_total", F.lit(0)) + F.col("_rank") - 1)
     return chains.select(*columns, "chain").unionByName(others.select(*columns, F.col("chain").cast("long")))
