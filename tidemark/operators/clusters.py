@@ -269,7 +269,8 @@ def ransac_line(df: DataFrame, keys: list[str], x: str, y: str, tie: str, tolera
 
 def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> DataFrame:
     """keys, x, y of the natural cubic spline through each key's points (mean ``y`` of equal
-    ``x``) at every ``step`` from its first; one point gives itself."""
+    ``x``) at every ``step`` from its first; one point gives itself. Rows with a null x or y are
+    none; a null key is one like others. One key meets in one task."""
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(x, T.DoubleType()), T.StructField(y, T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -297,7 +298,8 @@ def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> Da
 
 def smooth_constant_velocity(df: DataFrame, keys: list[str], t: str, value: str, tie: str, noise: float, drift: float) -> DataFrame:
     """``smooth`` and ``velocity``: a Kalman filter with a constant-velocity model over each
-    key's rows in order; a null value is predicted only."""
+    key's rows in order; a null value is predicted only; a null key is one like others. One key
+    meets in one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([t, tie], ignore_index=True)
