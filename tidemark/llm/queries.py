@@ -15,8 +15,11 @@ from tidemark.llm.licenses import license_report
 from tidemark.llm.near_duplicates import near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import personal_data_digest
+from tidemark.llm.quality import RULES, STOP_WORDS, quality
+from tidemark.llm.resampling import resampled
 from tidemark.llm.token_store import read_tokens, write_tokens
 from tidemark.llm.tool_calls import REPLY_SCHEMA, conversation_calls, link_tool_calls
+from tidemark.llm.vector_codes import vector_codes
 from tidemark.plans.staging import new_path
 
 
@@ -90,6 +93,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base columns, failed (the failed rules' names, comma-joined) and kept."""
+    told = quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return told.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.array_join("failed", ",").alias("failed"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_pack": op2_pack,
@@ -101,8 +118,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_tool_calls": op9_tool_calls,
     "op10_token_store": op10_token_store,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_resampling": op12_resampling,
+    "op13_quality": op13_quality,
 }
 
+
+
+def _failed_sql() -> str:
+    """The table of rules as SQL: the names of those that fail, comma-joined."""
+    sides = [(r.name, r.metric, [f"{r.metric} >= {r.least}"] * (r.least is not None) + [f"{r.metric} <= {r.most}"] * (r.most is not None)) for r in RULES]
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN NOT ({' AND '.join(inside)}) THEN '{name}' END" for name, _, inside in sides) + ")"
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -145,4 +173,18 @@ WITH c AS (SELECT conv_id, conv_id % 11 AS kind, turn, text, conv_id || ':' || t
 SELECT d.conv_id, call_id, depth, name, CASE kind WHEN 5 THEN 2 ELSE 1 END::BIGINT AS n_calls, CASE WHEN a.conv_id IS NULL THEN 0 WHEN kind = 8 THEN 2 ELSE 1 END::BIGINT AS n_results, a.conv_id IS NOT NULL AS linked, problems, problems = '' AS valid,
  '{"arguments":' || arguments || ',"call_id":"' || call_id || '","conv_id":' || d.conv_id || ',"depth":' || coalesce(depth::VARCHAR, 'null') || ',"name":"' || name || '","parent_id":"' || parent_id || '","result":' || coalesce(to_json(a.text)::VARCHAR, 'null') || '}' AS json
 FROM d LEFT JOIN a ON a.conv_id = d.conv_id AND a.turn = d.turn + 1""",
+    "op13_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+ g AS (SELECT doc_id, i, w[i : i + 2] AS said FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, said) > 1),
+ c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) AS o(k) GROUP BY doc_id),
+ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(n, 0)::BIGINT AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS marks, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS letters,
+  len(list_filter(w, lambda x: list_contains({STOP_WORDS!r}, lower(x)))) AS stops, len(l) AS lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•‣▪●]'))) AS bullets,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS dots FROM w LEFT JOIN c USING (doc_id)),
+ s AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio, coalesce(marks / nullif(n_words, 0), 0) AS exclamation_ratio, coalesce(letters / nullif(n_words, 0), 0) AS letter_ratio,
+  coalesce(stops / nullif(n_words, 0), 0) AS stop_ratio, coalesce(n_dup_lines / nullif(lines, 0), 0) AS dup_line_ratio, coalesce(bullets / nullif(lines, 0), 0) AS bullet_ratio, coalesce(dots / nullif(lines, 0), 0) AS ellipsis_ratio,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {_failed_sql()} AS failed, NOT base_failed AND {_failed_sql()} = '' AS kept FROM s""",
 }
