@@ -115,8 +115,7 @@ def measured(docs: DataFrame, text: str = "text", stop_words: list[str] = STOP_W
     alike = sized.select("row", "t", "w", "l", "n", "k", _alike(F.col("p")).alias("p"))
     spelled = alike.select("row", "t", "w", "l", "n", "k", _spelled(F.col("w"), F.col("p")).alias("p"))
     n, k, t, w, lines = F.col("n"), F.col("k"), F.col("t"), F.col("w"), F.col("l")
-    counted = spelled.select(
-        "row",
+    measures = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -129,6 +128,8 @@ def measured(docs: DataFrame, text: str = "text", stop_words: list[str] = STOP_W
         F.size(F.filter(lines, lambda x: x.rlike(f"^[{SPACE}]*[-*•‣▪●]"))).alias("_bullets"),
         F.size(F.filter(lines, _ends_in_dots)).alias("_dots"),
     )
+    # A generator keeps filters on measures above it, where each is made once.
+    counted = spelled.select("row", F.inline(F.array(measures)))
     words, lines_ = F.col("n_words"), F.col("_lines")
     return counted.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
