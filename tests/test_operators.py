@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, clusters, intervals, joins, ranking, sessions, tracks
+from tidemark.operators import aggregates, clusters, density, intervals, joins, lines, ranges, ranking, sessions, smoothing, tracks
 from tidemark.operators.components import connected_components
 from tidemark.operators.filters import matching
 from tidemark.sources import files, sinks
@@ -58,7 +58,7 @@ def test_dbscan_by_brute_force(spark):
     random = np.random.default_rng(5)
     p = np.vstack([random.normal(c, 0.3, (30, 2)) for c in (0, 4, 9)] + [random.uniform(-2, 12, (8, 2))])
     df = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(p)], "k string, id long, x double, y double")
-    got = {r["id"]: r["cluster"] for r in clusters.dbscan(df, ["k"], "x", "y", "id", (1.0, 1.0), 0.5, 4).collect()}
+    got = {r["id"]: r["cluster"] for r in density.dbscan(df, ["k"], "x", "y", "id", (1.0, 1.0), 0.5, 4).collect()}
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
     core = (d <= 0.5).sum(axis=1) >= 4
     for i, j in itertools.combinations(np.flatnonzero(core), 2):
@@ -77,11 +77,11 @@ def test_two_means_and_ransac_and_spline_and_filter(spark):
     assert math.isclose(got["g"]["low_mean"], 1.5) and math.isclose(got["g"]["high_mean"], 31 / 3)
     assert got["one"]["low_mean"] == got["one"]["high_mean"] == 3.0
     line = spark.createDataFrame([("g", i, float(i), 2.0 * i + 1 if i % 5 else 90.0) for i in range(40)], "k string, id long, x double, y double")
-    fit = clusters.ransac_line(line, ["k"], "x", "y", "id", 0.5).first()
+    fit = lines.ransac_line(line, ["k"], "x", "y", "id", 0.5).first()
     assert math.isclose(fit["slope"], 2, abs_tol=1e-6) and fit["inliers"] == 32
-    curve = clusters.spline_at(df.where("k = 'g'"), ["k"], "x", "y", 1.0).toPandas()
+    curve = smoothing.spline_at(df.where("k = 'g'"), ["k"], "x", "y", 1.0).toPandas()
     assert np.allclose(curve["y"], values)
-    smooth = clusters.smooth_constant_velocity(line, ["k"], "x", "y", "id", 1.0, 0.0).orderBy("x").toPandas()
+    smooth = smoothing.smooth_constant_velocity(line, ["k"], "x", "y", "id", 1.0, 0.0).orderBy("x").toPandas()
     assert np.isfinite(smooth["smooth"]).all() and len(smooth) == 40
 
 
@@ -458,10 +458,10 @@ NULLS = [(None, 1, 0, 5.0, 2.0), (None, 4, 1, 6.0, 1.0), (None, 4, 1, 6.0, 1.0),
         ("first_of_key", lambda d: ranking.first_of_key(d, [F.col("k"), F.col("t")], ["id"]).groupBy("k").count(), [(1, 3), (2, 1), (None, 2)]),
         ("associate", lambda d: tracks.associate(d, ["k"], "t", "v", "id", 1.5, 5).groupBy("k", "track").count(), [(1, 0, 1), (1, 1, 1), (1, None, 2), (2, None, 1), (None, 0, 2), (None, 1, 1)]),
         ("merge", lambda d: intervals.merge_intervals(d.withColumn("e", F.col("t") + 2), ["k"], "t", "e", 5), [(1, 3, 5, 2), (1, 9, 11, 1), (None, 1, 3, 1), (None, 4, 6, 2)]),
-        ("dbscan", lambda d: clusters.dbscan(d, ["k"], "t", "v", "id", (1.0, 1.0), 1.0, 2).groupBy("k", "cluster").count(), None),
-        ("ransac", lambda d: clusters.ransac_line(d, ["k"], "t", "v", "id", 1.0).select("k"), [(1,), (2,), (None,)]),
-        ("spline", lambda d: clusters.spline_at(d, ["k"], "t", "v", 1.0).groupBy("k").count(), None),
-        ("smooth", lambda d: clusters.smooth_constant_velocity(d, ["k"], "t", "v", "id", 1.0, 0.1).groupBy("k").count(), None),
+        ("dbscan", lambda d: density.dbscan(d, ["k"], "t", "v", "id", (1.0, 1.0), 1.0, 2).groupBy("k", "cluster").count(), None),
+        ("ransac", lambda d: lines.ransac_line(d, ["k"], "t", "v", "id", 1.0).select("k"), [(1,), (2,), (None,)]),
+        ("spline", lambda d: smoothing.spline_at(d, ["k"], "t", "v", 1.0).groupBy("k").count(), None),
+        ("smooth", lambda d: smoothing.smooth_constant_velocity(d, ["k"], "t", "v", "id", 1.0, 0.1).groupBy("k").count(), None),
         ("jaccard", lambda d: d.groupBy("k").agg(F.collect_set("t").alias("a")).select("k", aggregates.jaccard(F.col("a"), F.col("a"))), [(1, 1.0), (2, 0.0), (None, 1.0)]),
         ("chains", lambda d: tracks.chain_links(d.where("k = 1 or id = 0").select("k", "id", F.col("t").alias("start_t"), (F.col("t") + 1).alias("end_t"), F.col("v").alias("first_value"), F.col("v").alias("last_value")), ["k"], 9, 5.0).select("id", "chain"), [(0, 0), (2, 1), (3, 2), (4, 0), (5, 0)]),
     ],

@@ -75,3 +75,9 @@ def iso_millis(millis: Column | str) -> Column:
     seconds = F.floor(c / 1000)
     base = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     return F.concat(F.date_format(base, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(c, F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
+
+
+def is_number(value: Column | str) -> Column:
+    """Whether a numeric column is neither null nor NaN."""
+    c = _col(value)
+    return c.isNotNull() & ~F.isnan(c.cast("double"))

@@ -10,22 +10,24 @@ from tidemark.operators.sessions import running
 
 
 def circular_mean(degrees: str) -> Column:
-    """Mean direction from 0 up to but not 360."""
+    """Mean direction from 0 up to but not 360; nulls do not count, and nulls only give null."""
     r = F.radians(degrees)
     return F.pmod(F.degrees(F.atan2(F.sum(F.sin(r)), F.sum(F.cos(r)))), F.lit(360.0))
 
 
 def power_mean(value: str, power: int = 3) -> Column:
-    """For power 3 the cube root of the mean cube."""
+    """For power 3 the cube root of the mean cube; nulls do not count, and nulls only give null."""
     mean = F.avg(F.pow(F.col(value), F.lit(power)))
     return F.cbrt(mean) if power == 3 else F.pow(mean, F.lit(1 / power))
 
 
 def slope(x: str, y: str) -> Column:
+    """Of the least-squares line; rows with a null do not count, equal ``x`` only give null."""
     return F.regr_slope(F.col(y), F.col(x))
 
 
 def intercept(x: str, y: str) -> Column:
+    """Of the least-squares line, as :func:`slope`."""
     return F.regr_intercept(F.col(y), F.col(x))
 
 
@@ -40,7 +42,7 @@ def _counted(df: DataFrame, keys: list[str], value: str, bucket: float) -> DataF
 
 def median(df: DataFrame, keys: list[str], value: str, bucket: float) -> DataFrame:
     """keys, median: the middle of the sorted non-null values, or the mean of the two in the
-    middle. A null key is one like others; a key with nulls only is left out."""
+    middle. A null key is one like others; a key with nulls only is left out; NaN is the greatest value."""
     at = lambda place: ((F.col("_to") > place) & (F.col("_to") - F.col("_n") <= place)).cast("int")
     both = at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))
     return _counted(df, keys, value, bucket).where(both > 0).groupBy(*keys).agg((F.sum(F.col(value) * both) / 2).alias("median"))

@@ -1,5 +1,4 @@
-"""Clusters of one series or plane within a group: some by windows, the inherently sequential
-or iterative ones by grouped pandas functions over one group, which must fit one task."""
+"""Clusters of one series within a key: bins, gaps and two means."""
 
 from __future__ import annotations
 
@@ -114,7 +113,8 @@ def _anchored(keys: list[str], value: str, tolerance: float, out: str):
 
 def anchor_bins(df: DataFrame, keys: list[str], value: str, tolerance: float, out: str = "anchor") -> DataFrame:
     """``out``: the first value of the value's bin, rising; a bin holds what is within
-    ``tolerance`` of its first value. Null values are left out, a null key is one like others.
+    ``tolerance`` of its first value. Null values are left out, NaN is a bin of its own, a null key
+    is one like others.
 
     Distinct values are taken in buckets of CELL tolerances. In a bucket each value that may be
     its first anchor leads to one last anchor and so to an opening of a later bucket; which of
@@ -125,6 +125,14 @@ def anchor_bins(df: DataFrame, keys: list[str], value: str, tolerance: float, ou
     kind = df.schema[value].dataType
     if not tolerance > 0:
         return df.where(F.col(value).isNotNull()).withColumn(out, F.col(value))
+    if kind.typeName() in ("double", "float"):
+        apart = df.where(F.isnan(value)).withColumn(out, F.col(value))
+        return _anchor_bins(df.where(~F.isnan(value)), keys, value, tolerance, out).unionByName(apart)
+    return _anchor_bins(df, keys, value, tolerance, out)
+
+
+def _anchor_bins(df: DataFrame, keys: list[str], value: str, tolerance: float, out: str) -> DataFrame:
+    kind = df.schema[value].dataType
     scratch: list[str] = []
     cell = F.floor(F.col(value) / (CELL * tolerance))
     values = staged(df.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_cell", cell), "values", scratch)
@@ -170,48 +178,6 @@ def band_count(df: DataFrame, keys: list[str], value: str, tolerance: float) ->
     return anchor_bins(df, keys, value, tolerance).groupBy(*keys).agg(F.count_distinct("anchor").alias("bands"))
 
 
-def _by_group(df: DataFrame, keys: list[str], function, added: list[tuple[str, T.DataType]]) -> DataFrame:
-    schema = T.StructType([*df.schema, *[T.StructField(n, t) for n, t in added]])
-    return df.groupBy(*keys).applyInPandas(function, schema)
-
-
-def dbscan(df: DataFrame, keys: list[str], x: str, y: str, tie: str, scale: tuple[float, float], radius: float, least: int) -> DataFrame:
-    """``cluster``: DBSCAN over (x / scale, y / scale); noise joins the cluster of the nearest
-    clustered point, or is -1 where there is none. Numbered in the order of ``x``, ``tie``. A
-    null x or y is near nothing; a null key is one like others. One key meets in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, tie], ignore_index=True)
-        p, n = pdf[[x, y]].to_numpy(float) / np.array(scale), len(pdf)
-        label, next_label = np.full(n, -1), 0
-        left = np.searchsorted(p[:, 0], p[:, 0] - radius)
-        right = np.searchsorted(p[:, 0], p[:, 0] + radius, side="right")
-
-        def near(i: int) -> np.ndarray:
-            j = np.arange(left[i], right[i])
-            return j[((p[j] - p[i]) ** 2).sum(axis=1) <= radius * radius]
-
-        core = np.array([len(near(i)) >= least for i in range(n)], bool)
-        for i in np.flatnonzero(core):
-            if label[i] >= 0:
-                continue
-            label[i], stack = next_label, [i]
-            while stack:
-                for j in near(stack.pop()):
-                    if label[j] < 0:
-                        label[j] = next_label
-                        if core[j]:
-                            stack.append(j)
-            next_label += 1
-        known = np.flatnonzero(label >= 0)
-        if len(known):
-            for i in np.flatnonzero(label < 0):
-                label[i] = label[known[((p[known] - p[i]) ** 2).sum(axis=1).argmin()]]
-        return pdf.assign(cluster=label)
-
-    return _by_group(df, keys, run, [("cluster", T.LongType())])
-
-
 def two_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, low_mean, high_mean, cut: Lloyd's algorithm on one dimension from the least and
     greatest value until no value changes sides; rows above ``cut`` are in the upper half. Where
@@ -224,7 +190,7 @@ def two_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     scratch: list[str] = []
     counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "values", scratch)
     low, high = F.min(value).cast("double").alias("low_mean"), F.max(value).cast("double").alias("high_mean")
-    means = staged(counts.groupBy(*keys).agg(low, high, F.lit(-1).cast("long").alias("_above")), "means", scratch)
+    means = staged(counts.groupBy(*keys).agg(low, high, F.lit(-1).cast("long").alias("_above")), "means", before := [])
     cut = (F.col("low_mean") + F.col("high_mean")) / 2
     while True:
         up = F.col(value) > F.col("_cut")
@@ -233,91 +199,10 @@ def two_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         sides = keyed_join(counts, old, keys).groupBy(*keys, "_was").agg(mean(~up).alias("_l"), mean(up).alias("_h"), F.sum(F.when(up, F.col("_n")).otherwise(0)).alias("_above"))
         new = staged(sides.select(*keys, F.col("_l").alias("low_mean"), F.coalesce("_h", "_l").alias("high_mean"), "_above", "_was"), "means", last := [])
         settled = new.where("_above <> _was").isEmpty()
-        drop(df.sparkSession, scratch[1:])
-        scratch, means = [scratch[0], *last], new
+        drop(df.sparkSession, before)
+        before, means = last, new
         if settled:
-            drop(df.sparkSession, scratch[:1])
-            return means.select(*keys, "low_mean", "high_mean", cut.alias("cut"))
-
-
-def ransac_line(df: DataFrame, keys: list[str], x: str, y: str, tie: str, tolerance: float, draws: int = 200, seed: int = 0) -> DataFrame:
-    """keys, slope, intercept, inliers: the line through two rows that most rows lie within
-    ``tolerance`` of, refitted to them by least squares. Draws depend on ``seed`` and the
-    group's size alone; the first of equally good lines wins; null with fewer than two ``x``.
-    Rows with a null x or y are none. One key meets in one task."""
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType()), T.StructField("inliers", T.LongType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, tie])
-        a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        row = {k: pdf[k].iloc[0] for k in keys} | {"slope": None, "intercept": None, "inliers": 0}
-        if len(np.unique(a)) > 1:
-            random, best = np.random.default_rng([seed, len(a)]), np.zeros(len(a), bool)
-            for i, j in random.integers(0, len(a), (draws, 2)):
-                if a[i] != a[j]:
-                    m = (b[j] - b[i]) / (a[j] - a[i])
-                    inside = np.abs(b - b[i] - m * (a - a[i])) <= tolerance
-                    best = inside if inside.sum() > best.sum() else best
-            if len(np.unique(a[best])) > 1:
-                at = a[best].mean()
-                m = ((a[best] - at) * b[best]).sum() / ((a[best] - at) ** 2).sum()
-                row |= {"slope": m, "intercept": b[best].mean() - m * at, "inliers": int(best.sum())}
-        return pd.DataFrame([row])
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> DataFrame:
-    """keys, x, y of the natural cubic spline through each key's points (mean ``y`` of equal
-    ``x``) at every ``step`` from its first; one point gives itself. Rows with a null x or y are
-    none; a null key is one like others. One key meets in one task."""
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(x, T.DoubleType()), T.StructField(y, T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = pdf.dropna(subset=[x, y]).groupby(x)[y].mean()
-        a, b = mean.index.to_numpy(float), mean.to_numpy(float)
-        if len(a) < 2:
-            return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(a) for k in keys}, x: a, y: b})
-        h = np.diff(a)
-        bend = np.zeros(len(a))
-        if len(a) > 2:  # the tridiagonal system for the second derivatives
-            d, r = 2 * (h[:-1] + h[1:]), 6 * np.diff(np.diff(b) / h)
-            for i in range(1, len(d)):
-                d[i] -= h[i] ** 2 / d[i - 1]
-                r[i] -= h[i] * r[i - 1] / d[i - 1]
-            for i in range(len(d) - 1, -1, -1):
-                bend[i + 1] = (r[i] - h[i + 1] * bend[i + 2]) / d[i]
-        at = np.arange(a[0], a[-1] + step * 1e-9, step)
-        i = np.clip(np.searchsorted(a, at, side="right") - 1, 0, len(h) - 1)
-        u, v = at - a[i], a[i + 1] - at
-        out = (bend[i] * v**3 + bend[i + 1] * u**3) / (6 * h[i]) + (b[i] / h[i] - bend[i] * h[i] / 6) * v + (b[i + 1] / h[i] - bend[i + 1] * h[i] / 6) * u
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(at) for k in keys}, x: at, y: out})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
-def smooth_constant_velocity(df: DataFrame, keys: list[str], t: str, value: str, tie: str, noise: float, drift: float) -> DataFrame:
-    """``smooth`` and ``velocity``: a Kalman filter with a constant-velocity model over each
-    key's rows in order; a null value is predicted only; a null key is one like others. One key
-    meets in one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, tie], ignore_index=True)
-        times, seen = pdf[t].to_numpy(float), pdf[value].to_numpy(float)
-        state, cover, out = None, np.diag([noise, noise]), np.full((len(pdf), 2), np.nan)
-        for i, z in enumerate(seen):
-            if state is None:
-                if not np.isnan(z):
-                    state = np.array([z, 0.0])
-            else:
-                dt = times[i] - times[i - 1]
-                f = np.array([[1, dt], [0, 1]])
-                state, cover = f @ state, f @ cover @ f.T + drift * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-                if not np.isnan(z):
-                    gain = cover[:, 0] / (cover[0, 0] + noise)
-                    state, cover = state + gain * (z - state[0]), cover - np.outer(gain, cover[0])
-            if state is not None:
-                out[i] = state
-        return pdf.assign(smooth=out[:, 0], velocity=out[:, 1])
-
-    return _by_group(df, keys, run, [("smooth", T.DoubleType()), ("velocity", T.DoubleType())])
+            found = staged(means.select(*keys, "low_mean", "high_mean", cut.alias("cut")), "cuts")
+            drop(df.sparkSession, before)
+            drop(df.sparkSession, scratch)
+            return found

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +45,29 @@ def range_semi_join(df: DataFrame, windows: DataFrame, t: str, value: str, size:
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], t: str, tie: str, most: int) -> DataFrame:
     """``left`` with near_t and near_tie of the key's ``right`` row nearest in ``t`` on either
     side, at most ``most`` away; the earlier of two as near, of equal times the one with the
-    smallest ``tie``; null without one, and for a null key or time.
+    smallest ``tie``; null without one, and for a null key or time. Repeated left rows are rows of
+    their own.
 
     Both sides are dealt to cells of four times ``most``, right rows also to the cell next door
     where it is near, so a key may hold any share of the rows. In a cell windows carry the last
     right row up to and the first from each left row. ``t`` and ``tie`` are read from both.
     """
     size = 4 * most if most else 1
-    r = right.groupBy(*keys, t).agg(F.min(tie).alias("_tie")).select(*keys, F.col(t).alias("_t"), F.lit(None).cast("long").alias("_row"), F.struct(F.col(t).alias("t"), F.col("_tie").alias("tie")).alias("_at"))
+    known = reduce(and_, [F.col(c).isNotNull() for c in (*keys, t)])
+    at = F.struct(F.col(t).alias("t"), F.col("_tie").alias("tie"))
+    none = F.lit(None).cast(left.schema)
+    r = right.where(known).groupBy(*keys, t).agg(F.min(tie).alias("_tie")).select(*keys, F.col(t).alias("_t"), none.alias("_row"), at.alias("_at"))
     r = r.withColumn("_cell", F.explode(F.sequence(F.floor((F.col("_t") - most) / size), F.floor((F.col("_t") + most) / size))))
-    l = left.select(*keys, F.col(t).alias("_t"), F.col(tie).cast("long").alias("_row"), F.lit(None).cast(r.schema["_at"].dataType).alias("_at"))  # noqa: E741
+    l = left.where(known).select(*keys, F.col(t).alias("_t"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(r.schema["_at"].dataType).alias("_at"))  # noqa: E741
     l = l.withColumn("_cell", F.floor(F.col("_t") / size))  # noqa: E741
     w = Window.partitionBy(*keys, "_cell").orderBy("_t")
     both = l.unionByName(r)
     both = both.withColumn("_b", F.last("_at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_f", F.first("_at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
     back, ahead = F.col("_t") - F.col("_b.t"), F.col("_f.t") - F.col("_t")
     near = F.when((back <= most) & (ahead.isNull() | (back <= ahead)), F.col("_b")).when(ahead <= most, F.col("_f"))
-    found = both.where("_row is not null").select(*keys, F.col("_t").alias(t), F.col("_row").alias(tie), near["t"].alias("near_t"), near["tie"].alias("near_tie"))
-    return left.join(found, [*keys, t, tie], "left")
+    found = both.where("_row is not null").select("_row.*", near["t"].alias("near_t"), near["tie"].alias("near_tie"))
+    apart = left.where(~known).select("*", *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("near_t", "near_tie")])
+    return found.unionByName(apart)
 
 
 def interpolate_at(points: DataFrame, times: DataFrame, keys: list[str], t: str, value: str, bucket: int) -> DataFrame:
@@ -89,7 +97,7 @@ def interpolate_at(points: DataFrame, times: DataFrame, keys: list[str], t: str,
 
 def lookup_two_keys(df: DataFrame, first: DataFrame, first_keys: list[str], second: DataFrame, second_keys: list[str], label: str) -> DataFrame:
     """``df`` with ``label`` from ``first`` by its keys, else from ``second`` by its own; each
-    lookup table has at most one row for a key."""
+    lookup table has at most one row for a key. A null key finds nothing; a null label is none."""
     one = first.select(*first_keys, F.col(label).alias("_one"))
     two = second.select(*second_keys, F.col(label).alias("_two"))
     return df.join(one, first_keys, "left").join(two, second_keys, "left").select(*df.columns, F.coalesce("_one", "_two").alias(label))

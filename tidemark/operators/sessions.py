@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.operators.keys import keyed_join
 
 
+def bucket_of(df: DataFrame, t: str, bucket: float) -> Column:
+    """The number of the bucket of ``bucket`` that ``t`` is in; null for null, and for NaN, which Spark
+    sorts behind all numbers, the last one."""
+    at = F.floor(F.col(t) / bucket)
+    return F.when(F.isnan(t), F.lit(2**63 - 1)).otherwise(at) if df.schema[t].dataType.typeName() in ("double", "float") else at
+
+
 def _along(keys: list[str]) -> Window:
     """The buckets of a key in order."""
     return Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._bucket")
@@ -21,10 +28,10 @@ def previous(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[str
 
     A key may hold any share of the rows: windows stay inside a bucket, and only the last row
     of each bucket meets those of the key's other buckets. Null keys and a null ``t`` are
-    values like others, the latter before all.
+    values like others, the latter before all; NaN comes after all.
     """
     row = F.struct(*carried)
-    dealt = df.withColumn("_part", F.struct(*keys, F.floor(F.col(t) / bucket).alias("_bucket")))
+    dealt = df.withColumn("_part", F.struct(*keys, bucket_of(df, t, bucket).alias("_bucket")))
     ends = dealt.groupBy("_part").agg(F.max_by(row, F.struct(t, tie)).alias("_last"))
     before = ends.select("_part", F.lag("_last").over(_along(keys)).alias("_carried"))
     here = F.lag(row).over(Window.partitionBy("_part").orderBy(t, tie))
@@ -52,8 +59,8 @@ def stretches(df: DataFrame, keys: list[str], t: str, tie: str, carried: list[st
 def running(df: DataFrame, keys: list[str], t: str, ties: list[str], weight: Column, bucket: float, to: str, total: str) -> DataFrame:
     """``to``: sum of ``weight`` over the key's rows up to this one in the order of ``t``, ``ties``;
     ``total``: over all its rows. Of each bucket only its sum meets the others. Null keys and a
-    null ``t`` are values like others, the latter before all."""
-    dealt = df.withColumn("_w", weight).withColumn("_part", F.struct(*keys, F.floor(F.col(t) / bucket).alias("_bucket")))
+    null ``t`` are values like others, the latter before all; NaN comes after all."""
+    dealt = df.withColumn("_w", weight).withColumn("_part", F.struct(*keys, bucket_of(df, t, bucket).alias("_bucket")))
     sums = dealt.groupBy("_part").agg(F.sum("_w").alias("_sum"))
     before = F.sum("_sum").over(_along(keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
     whole = F.sum("_sum").over(Window.partitionBy(*[F.col(f"_part.{k}") for k in keys]))
@@ -74,7 +81,7 @@ def sessionise(df: DataFrame, key: str, t: str, tie: str, gap: int, bucket: int,
     a null ``t`` are values like others, the latter before all.
     """
     parts = ["_bucket", key]
-    dealt = df.withColumn("_bucket", F.floor(F.col(t) / bucket))
+    dealt = df.withColumn("_bucket", bucket_of(df, t, bucket))
     inside = Window.partitionBy(*parts).orderBy(t, tie)
     marked = dealt.withColumn("_start", (F.col(t) - F.lag(t).over(inside) > gap).cast("long"))
     marked = marked.withColumn("_in", F.coalesce(F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
@@ -103,7 +110,8 @@ def run_segments(df: DataFrame, keys: list[str], t: str, tie: str, value: str, b
 
 def split_on_gap_or_jump(df: DataFrame, keys: list[str], t: str, tie: str, value: str, gap: int, rate: float, bucket: int) -> DataFrame:
     """``part``: a new one begins where ``t`` jumps by more than ``gap`` or ``value`` changes by
-    more than ``rate`` for each unit of ``t`` (no rate over equal ``t``)."""
+    more than ``rate`` for each unit of ``t`` (no rate over equal ``t``). A null ``t`` comes first, and no
+    part begins at it, at the row after it or at a null value or the row after one by its rate."""
 
     def starts(before: Column) -> Column:
         dt, dv = F.col(t) - before[t], F.abs(F.col(value) - before[value])

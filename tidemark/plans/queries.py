@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import aggregates as A
 from tidemark.operators import clusters as C
+from tidemark.operators import density as D
 from tidemark.operators import intervals as I
 from tidemark.operators import joins as J
+from tidemark.operators import lines as L
 from tidemark.operators import ranking as R
 from tidemark.operators import sessions as W
+from tidemark.operators import smoothing as M
 from tidemark.operators import tracks as K
 from tidemark.operators.components import connected_components
 from tidemark.operators.filters import matching
@@ -397,17 +400,38 @@ def two_means(spark, d):
  z AS (SELECT p.user_id, p.a AS r, arg_min(h.cluster, (p.d, p.b)) AS cluster FROM p JOIN h ON h.user_id = p.user_id AND h.r = p.b WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.user_id = p.user_id AND g.r = p.a) GROUP BY ALL)
  SELECT event_id, coalesce(h.cluster, z.cluster, -1)::BIGINT AS cluster FROM n LEFT JOIN h ON h.user_id = n.user_id AND h.r = n.r LEFT JOIN z ON z.user_id = n.user_id AND z.r = n.r""")
 def dbscan(spark, d):
-    return C.dbscan(events(spark, d), ["user_id"], "t", "value", "event_id", (float(DAY), 10.0), 1.0, 3).select("event_id", "cluster")
-
-
-@query()
+    return D.dbscan(events(spark, d), ["user_id"], "t", "value", "event_id", (float(DAY), 10.0), 1.0, 3).select("event_id", "cluster")
+
+
+@query(f"""
+WITH {EVENTS},
+ n AS (SELECT user_id, t / {float(DAY)} AS x, value AS y, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, value) - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+ d AS (SELECT k, ('0x' || md5('0:' || k || ':0')[1:8])::BIGINT / 4294967296.0 AS u, ('0x' || md5('0:' || k || ':1')[1:8])::BIGINT / 4294967296.0 AS w FROM range(200) AS r(k)),
+ l AS (SELECT a.user_id, k, a.x, a.y, (b.y - a.y) / (b.x - a.x) AS m FROM d JOIN n a ON a.p = floor(a.n * u) JOIN n b ON b.user_id = a.user_id AND b.p = floor(b.n * w) WHERE a.x <> b.x),
+ c AS (SELECT l.user_id, k, count(*) AS c FROM l JOIN n USING (user_id) WHERE abs(n.y - l.y - l.m * (n.x - l.x)) <= 5 GROUP BY ALL),
+ w AS (SELECT user_id, arg_min(k, (-c, k)) AS k FROM c GROUP BY user_id),
+ f AS (SELECT l.user_id, regr_slope(n.y, n.x) AS slope, regr_intercept(n.y, n.x) AS intercept, count(*) AS inliers FROM w JOIN l USING (user_id, k) JOIN n USING (user_id) WHERE abs(n.y - l.y - l.m * (n.x - l.x)) <= 5 GROUP BY l.user_id)
+SELECT user_id, round(slope, 6) AS slope, round(intercept, 4) AS intercept, coalesce(inliers, 0)::BIGINT AS inliers FROM (SELECT DISTINCT user_id FROM e) LEFT JOIN (SELECT * FROM f WHERE slope IS NOT NULL) USING (user_id)""")
 def ransac_line(spark, d):
-    return C.ransac_line(events(spark, d).withColumn("x", F.col("t") / DAY), ["user_id"], "x", "value", "event_id", 5.0)
-
-
-@query()
+    lines = L.ransac_line(events(spark, d).withColumn("x", F.col("t") / DAY), ["user_id"], "x", "value", "event_id", 5.0)
+    return lines.select("user_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "inliers")
+
+
+@query(f"""
+WITH RECURSIVE {EVENTS},
+ p AS (SELECT user_id, t / {float(DAY)} AS x, avg(value) AS y FROM e GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY user_id) AS n, lead(x) OVER w - x AS h, x - lag(x) OVER w AS g, lead(y) OVER w AS ny, y - lag(y) OVER w AS dy, lead(x) OVER w AS nx, first(x) OVER w AS zero FROM p WINDOW w AS (PARTITION BY user_id ORDER BY x)),
+ f AS (SELECT user_id, r, 1.0::DOUBLE AS d, 0.0::DOUBLE AS z, n FROM k WHERE r = 1
+  UNION ALL SELECT k.user_id, k.r, 2 * (g + h) - CASE WHEN k.r = 2 THEN 0 ELSE g * g / f.d END, 6 * ((ny - y) / h - dy / g) - CASE WHEN k.r = 2 THEN 0 ELSE g * f.z / f.d END, k.n FROM f JOIN k ON k.user_id = f.user_id AND k.r = f.r + 1 WHERE k.r < k.n),
+ b AS (SELECT user_id, r, 0.0::DOUBLE AS m FROM k WHERE r = n
+  UNION ALL SELECT b.user_id, f.r, CASE WHEN f.r = 1 THEN 0 ELSE (f.z - k.h * b.m) / f.d END FROM b JOIN f ON f.user_id = b.user_id AND f.r = b.r - 1 JOIN k ON k.user_id = f.user_id AND k.r = f.r),
+ s AS (SELECT user_id, zero, max(x) AS top, zero + unnest(range(0, floor((max(x) - zero) + 1)::BIGINT + 1)) AS at FROM k GROUP BY user_id, zero),
+ o AS (SELECT s.user_id, s.at, k.x, k.h, k.y, k.ny, k.r, k.nx FROM s JOIN k ON k.user_id = s.user_id AND k.n > 1 AND k.r < k.n AND s.at >= k.x AND (s.at < k.nx OR (k.r = k.n - 1 AND s.at < k.nx + 1e-9)) WHERE s.at < s.top + 1e-9)
+SELECT o.user_id, round(o.at, 6) AS x, round((i.m * (o.nx - o.at) ** 3 + j.m * (o.at - o.x) ** 3) / (6 * o.h) + (o.y / o.h - i.m * o.h / 6) * (o.nx - o.at) + (o.ny / o.h - j.m * o.h / 6) * (o.at - o.x), 4) AS value
+FROM o JOIN b i ON i.user_id = o.user_id AND i.r = o.r JOIN b j ON j.user_id = o.user_id AND j.r = o.r + 1 UNION ALL SELECT user_id, round(x, 6), round(y, 4) FROM k WHERE n = 1""")
 def cubic_spline(spark, d):
-    return C.spline_at(events(spark, d).withColumn("x", F.col("t") / DAY), ["user_id"], "x", "value", 1.0)
+    curve = M.spline_at(events(spark, d).withColumn("x", F.col("t") / DAY), ["user_id"], "x", "value", 1.0)
+    return curve.select("user_id", F.round("x", 6).alias("x"), F.round("value", 4).alias("value"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, n AS (SELECT event_id, user_id, t / {float(HOUR)} AS h, value AS z, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS r FROM e),
@@ -418,7 +442,7 @@ def cubic_spline(spark, d):
  SELECT event_id, round(s0, 4) AS smooth, round(s1, 4) AS velocity FROM k""")
 def smooth_velocity(spark, d):
     e = events(spark, d).withColumn("h", F.col("t") / HOUR)
-    s = C.smooth_constant_velocity(e, ["user_id"], "h", "value", "event_id", 25.0, 0.1)
+    s = M.smooth_constant_velocity(e, ["user_id"], "h", "value", "event_id", 25.0, 0.1)
     return s.select("event_id", F.round("smooth", 4).alias("smooth"), F.round("velocity", 4).alias("velocity"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -42,24 +43,31 @@ def staged(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    kept = scratch if scratch is not None else _scopes[-1] if _scopes else None
+    kept = scratch if scratch is not None else _scopes()[-1] if _scopes() else None
     if kept is not None:
         kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_scopes: list[list[str]] = []
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The blocks that this thread is in."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
 
 
 @contextmanager
 def scoped(spark: SparkSession) -> Iterator[None]:
     """At the end of the block, tables staged in it without a list of their own are deleted:
-    what is to outlive it is staged with a list."""
-    _scopes.append([])
+    what is to outlive it is staged with a list. Each thread has blocks of its own."""
+    _scopes().append([])
     try:
         yield
     finally:
-        drop(spark, _scopes.pop())
+        drop(spark, _scopes().pop())
 
 
 def drop(spark: SparkSession, scratch: list[str]) -> None:

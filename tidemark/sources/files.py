@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from tidemark.functions.scalars import blank_to_null, flexible_timestamp
 
@@ -105,9 +106,13 @@ def scan_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", separator:
 
 
 def scan_range(df: DataFrame, lows_highs: dict[str, tuple[float, float]]) -> DataFrame:
-    """Rows whose columns are numbers in closed ranges; what does not parse goes with nulls."""
+    """Rows whose columns are numbers in closed ranges; what does not parse goes with nulls, and NaN
+    is in no range. Columns of numbers keep their type and are compared as they are, so that the
+    reader of the files gets the filter; texts are cast."""
     for name, (low, high) in lows_highs.items():
-        df = df.withColumn(name, F.expr(f"try_cast(`{name}` AS double)")).where(F.col(name).between(low, high))
+        if not isinstance(df.schema[name].dataType, NumericType):
+            df = df.withColumn(name, F.expr(f"try_cast(`{name}` AS double)"))
+        df = df.where(F.col(f"`{name}`").between(low, high))
     return df
 
 
@@ -142,8 +147,21 @@ def located_rows(df: DataFrame, time: str, lon: str, lat: str, formats: list[str
 
 
 def drop_ragged(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """Rows of exactly the schema's width and types; all others are left out."""
-    return spark.read.schema(schema).csv(path, header=True, encoding=encoding, mode="DROPMALFORMED")
+    """Rows of exactly the schema's width whose fields are empty or can be cast to its types; all
+    others are left out, whichever columns are asked for.
+
+    Fields are read as text with the reader's mark of rows of another width, and the filter on
+    that mark and on every cast stands in the plan, so that column pruning cannot pass it by."""
+    fields = StructType.fromDDL(schema).fields
+    bad = "_ragged"
+    while bad in {f.name for f in fields}:
+        bad += "_"
+    texts = StructType([*[StructField(f.name, StringType()) for f in fields], StructField(bad, StringType())])
+    rows = spark.read.schema(texts).option("columnPruning", False).csv(path, header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
+    name = lambda f: F.col(f"`{f.name}`")
+    for f in fields:
+        rows = rows.where(name(f).isNull() | name(f).try_cast(f.dataType).isNotNull())
+    return rows.where(F.col(bad).isNull()).select(*[name(f).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def _sheet(content: bytes) -> list[list[str | None]]:

@@ -156,22 +156,27 @@ def _associate(reach: float, missed: int):
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count, ids, frames, values = state.get if state.exists else (0, [], [], [])
         live = {k: (f, v) for k, f, v in zip(ids, frames, values, strict=True)}
-        rows = pd.concat(list(batches)).sort_values(["frame", "value", "id"])
+        every = pd.concat(list(batches))
+        rows = every[every["known"]].sort_values(["frame", "value", "id"])
         labels: list[int] = []
         for at, part in rows.groupby("frame", sort=True):
             found, live, count = associate_frame(live, count, int(at), part["value"].tolist(), reach, missed)
             labels += found
         state.update((count, list(live), [f for f, _ in live.values()], [v for _, v in live.values()]))
         yield pd.DataFrame({"key": key[0], "frame": rows["frame"], "id": rows["id"], "track": labels})
+        others = every[~every["known"]]
+        yield pd.DataFrame({"key": key[0], "frame": pd.Series(None, others.index, "Int64"), "id": others["id"], "track": pd.Series(None, others.index, "Int64")})
 
     return run
 
 
 def associated(events: DataFrame, key: str, frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """key, frame, id, track of a stream, as ``tracks.associate`` gives for its rows together;
-    a micro-batch holds whole frames and comes after those of smaller ones. The state of a key
-    is its live tracks."""
-    rows = events.select(F.col(key).cast("string").alias("key"), F.col(frame).cast("long").alias("frame"), F.col(value).cast("double").alias("value"), F.col(tie).cast("long").alias("id"))
+    a micro-batch holds whole frames and comes after those of smaller ones. Rows with a null frame
+    or value, or a NaN, are in no track and have no frame. The state of a key is its live tracks."""
+    at, said = F.col(frame).cast("long"), F.col(value).cast("double")
+    known = at.isNotNull() & said.isNotNull() & ~F.isnan(said)
+    rows = events.select(F.col(key).cast("string").alias("key"), F.when(known, at).otherwise(0).alias("frame"), F.when(known, said).otherwise(0.0).alias("value"), F.col(tie).cast("long").alias("id"), known.alias("known"))
     return rows.groupBy("key").applyInPandasWithState(_associate(reach, missed), "key string, frame long, id long, track long", "count long, ids array<long>, frames array<long>, last array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
