@@ -1,5 +1,7 @@
 """Operators over a key that no task holds, against the same rows in one task; rows that were wrong."""
 
+import itertools
+import math
 import os
 
 import numpy as np
@@ -7,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, clusters, density, joins, lines, ranges, sessions, smoothing
+from tidemark.operators import aggregates, clusters, density, joins, lines, ranges, sessions, smoothing, tracks
 from tidemark.plans import staging
 from tidemark.sources import files
 
@@ -195,3 +197,65 @@ def test_scopes_are_a_threads_own(spark):
         thread.start()
         thread.join()
         assert kept.count() == 3
+
+
+@pytest.mark.parametrize("missed", [0, 2])
+def test_association_in_parts_equals_the_whole_key(spark, monkeypatch, missed):
+    random = np.random.default_rng(missed)
+    rows = [(k, int(f), float(random.integers(0, 25)) / 2, i) for k in (None, "a") for i, f in enumerate(np.sort(random.integers(0, 90, 260)))]
+    rows += [("a", 5000 + f, 1.0, 900 + f) for f in range(3)] + [("b", None, 1.0, 1), ("a", 3, None, 990), ("a", 3, float("nan"), 991)]
+    df = spark.createDataFrame(rows, "k string, f long, v double, id long").repartition(5)
+    whole = {(r["k"], r["id"]): r["track"] for r in tracks.associate(df, ["k"], "f", "v", "id", 1.5, missed).collect()}
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 23)
+    got = {(r["k"], r["id"]): r["track"] for r in tracks.associate(df, ["k"], "f", "v", "id", 1.5, missed).collect()}
+    assert got == whole and whole["b", 1] is whole["a", 990] is whole["a", 991] is None
+    for k in (None, "a"):
+        live, count, mine = {}, 0, sorted((f, v, i) for q, f, v, i in rows if q == k and v == v and v is not None)
+        for f, here in itertools.groupby(mine, key=lambda r: r[0]):
+            here = list(here)
+            found, live, count = tracks.associate_frame(live, count, f, [v for _, v, _ in here], 1.5, missed)
+            assert [whole[k, i] for *_, i in here] == found
+    assert left_over(spark, lambda: tracks.associate(df, ["k"], "f", "v", "id", 1.5, missed)) == 0
+
+
+def test_chains_of_segments_that_share_an_id(spark):
+    rows = [("a", 1, 0, 10, 5.0, 5.0), ("a", 1, 12, 20, 5.0, 5.0), ("a", 2, 13, 20, 5.0, 5.0), ("a", 1, 100, 101, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, id long, start_t long, end_t long, first_value double, last_value double")
+    got = sorted((r["start_t"], r["chain"]) for r in tracks.chain_links(df, ["k"], 10, 2.0).collect())
+    assert got == [(0, 0), (12, 0), (13, 1), (100, 2)]
+    assert left_over(spark, lambda: tracks.chain_links(df, ["k"], 10, 2.0)) == 0
+
+
+def test_greedy_over_a_rising_chain_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tracks, "FRAME_PAIRS", 20)
+    rows = [(1, i // 2 + i % 2, i // 2, float(i)) for i in range(60)] + [(2, 1, 1, 0.5), (1, 1, 1, float("nan"))]
+    df = spark.createDataFrame(rows, "frame int, left_id long, right_id long, cost double")
+    got = {tuple(r)[:3] for r in tracks.greedy_assignment(df, ["frame"], 1e9).collect()}
+    assert got == {(1, i, i) for i in range(30)} | {(2, 1, 1)}
+    assert left_over(spark, lambda: tracks.greedy_assignment(df, ["frame"], 1e9)) == 0
+    assert left_over(spark, lambda: tracks.least_cost_assignment(df, ["frame"], 1e9)) == 0
+
+
+def test_least_cost_by_all_assignments_of_sparse_links():
+    random = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = (int(x) for x in random.integers(1, 6, 2))
+        links = [[(r, float(np.round(random.uniform(-2, 3), 1))) for r in range(m) if random.random() < 0.6] for _ in range(n)]
+        given = tracks._matched(links, m, 1.0)
+        taken = [r for r in given if r >= 0]
+        assert len(taken) == len(set(taken))
+        total = sum(1.0 if r < 0 else dict(own)[r] for r, own in zip(given, links, strict=True))
+        options = (sum(1.0 if r is None else dict(own)[r] for r, own in zip(c, links, strict=True)) for c in itertools.product(*[[None, *[r for r, _ in own]] for own in links]) if len([r for r in c if r is not None]) == len({r for r in c if r is not None}))
+        assert math.isclose(total, min(options), abs_tol=1e-9)
+
+
+def test_least_cost_of_a_large_group_in_little_memory():
+    import tracemalloc
+
+    random = np.random.default_rng(6)
+    n = 20_000
+    links = [sorted({int(r) % n: float(c) for r, c in zip(i + random.integers(-6, 7, 8), random.random(8))}.items()) for i in range(n)]
+    tracemalloc.start()
+    given = tracks._matched(links, n, 5.0)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000 and sum(r >= 0 for r in given) > 0.9 * n
+    tracemalloc.stop()

@@ -3,8 +3,10 @@ work on one group or frame at a time."""
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from functools import reduce
+from heapq import heappop, heappush
 from operator import or_
 
 import numpy as np
@@ -13,147 +15,173 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import is_number
 from tidemark.operators.components import connected_components
 from tidemark.operators.intervals import stretches_apart
 from tidemark.operators.keys import keyed_join
+from tidemark.operators.ranges import in_places, in_ranges
 from tidemark.operators.sessions import running, stretches
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, new_path, staged
 
 
 def _pairs(keys: list[str], df: DataFrame) -> T.StructType:
     return T.StructType([*[df.schema[k] for k in keys], T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType()), T.StructField("cost", T.DoubleType())])
 
 
-#: Pairs of a frame that one task takes at once; larger frames are assigned in rounds.
+#: Pairs of a frame that one task takes at once; larger frames are assigned in bands of cost.
 FRAME_PAIRS = 1_000_000
 
 
+def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    left, right, kept = set(), set(), []
+    for i, a, b in pdf.sort_values(["cost", "left_id", "right_id"])[["left_id", "right_id"]].itertuples():
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            kept.append(i)
+    return pdf.loc[kept]
+
+
 def greedy_assignment(pairs: DataFrame, keys: list[str], most: float) -> DataFrame:
     """One-to-one pairs of each frame by rising cost, up to ``most``: keys, left_id, right_id,
-    cost of ``pairs`` with these columns; ties by left_id, right_id. Pairs with a null id or cost
-    are none, a repeated pair is one with its least cost, a null key is one like others.
+    cost of ``pairs`` with these columns; ties by left_id, right_id. Pairs with a null id or cost, or a
+    cost that is NaN, are none, a repeated pair is one with its least cost, a null key is one like others.
 
-    Frames of up to FRAME_PAIRS pairs are taken one to a task. In larger ones, pairs that are the
-    best left to both their sides are taken together, round by round, until none is left: the same
-    pairs, and never a frame in one task.
+    Frames of up to FRAME_PAIRS pairs are taken one to a task. The pairs of larger ones are dealt in
+    the order of their cost into bands of about as many, and band after band, of all frames at once,
+    what is still free in it is taken one frame to a task. Rounds are the bands of the largest frame,
+    whatever its costs, and each reads only its own pairs and what was taken before.
     """
-    scratch: list[str] = []
-    usable = pairs.where((F.col("cost") <= most) & F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
+    spark, scratch = pairs.sparkSession, []
+    usable = pairs.where((F.col("cost") <= most) & ~F.isnan(F.col("cost").cast("double")) & F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
     once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").alias("cost")).select(*keys, "left_id", "right_id", "cost"), "pairs", scratch)
-    large = once.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FRAME_PAIRS).drop("n")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, kept = set(), set(), []
-        for i, a, b in pdf.sort_values(["cost", "left_id", "right_id"])[["left_id", "right_id"]].itertuples():
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                kept.append(i)
-        return pdf.loc[kept]
-
-    small = keyed_join(once, large, keys, "left_anti")
-    chosen = small.groupBy(*keys).applyInPandas(run, _pairs(keys, once))
-    rest = keyed_join(once, large, keys, "left_semi")
-    while not rest.isEmpty():
-        order = F.struct("cost", "left_id", "right_id")
-        best = rest.withColumns({"_l": F.min(order).over(Window.partitionBy(*keys, "left_id")), "_r": F.min(order).over(Window.partitionBy(*keys, "right_id"))})
-        won = staged(best.where((order == F.col("_l")) & (order == F.col("_r"))).drop("_l", "_r"), "won")
-        chosen = chosen.unionByName(won)
+    large = staged(once.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FRAME_PAIRS), "large", scratch)
+    if large.isEmpty():
+        return once.groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once))
+    chosen = keyed_join(once, large.drop("_n"), keys, "left_anti").groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once))
+    placed = in_places(keyed_join(once, large.drop("_n"), keys, "left_semi"), keys, ["cost", "left_id", "right_id"], scratch, "_place")
+    banded = placed.withColumn("_band", F.floor(F.col("_place") / max(1, FRAME_PAIRS))).drop("_place").repartition("_band")
+    path = new_path(spark, "bands")
+    scratch.append(path)
+    banded.write.partitionBy("_band").parquet(path)
+    bands, taken = spark.read.schema(T.StructType([*once.schema, T.StructField("_band", T.LongType())])).parquet(path), None
+    for band in range(int(large.agg(F.max("_n")).first()[0] - 1) // max(1, FRAME_PAIRS) + 1):
+        free = bands.where(F.col("_band") == band).drop("_band")
         for side in ("left_id", "right_id"):
-            rest = keyed_join(rest, won.select(*keys, side), [*keys, side], "left_anti")
-        rest = staged(rest, "pairs", scratch)
-    return chosen
-
-
-def _augmented(cost: np.ndarray) -> np.ndarray:
-    """For each column of a matrix with at least as many columns as rows, the row it is given
-    to, or -1, at the least total cost: shortest augmenting paths."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for i in range(n):
-        reach, back, done, row, last = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool), i, -1
+            free = free if taken is None else keyed_join(free, taken.select(*keys, side), [*keys, side], "left_anti")
+        won = free.groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once))
+        if taken is None:
+            folder = new_path(spark, "taken")
+            scratch.append(folder)
+        won.write.mode("append").parquet(folder)
+        taken = spark.read.schema(_pairs(keys, once)).parquet(folder)
+    found = staged(chosen.unionByName(taken), "assigned")
+    drop(spark, scratch)
+    return found
+
+
+def _matched(links: list[list[tuple[int, float]]], rights: int, unmatched: float) -> list[int]:
+    """For each left side the right one it is given, or -1, at the least total cost, where being given
+    none costs ``unmatched``. ``links`` has the right sides and costs of each left one.
+
+    Shortest augmenting paths over these lists, by reduced costs: memory goes with the links."""
+    price_l, price_r = [0.0] * len(links), [0.0] * rights
+    of_left, of_right = [-1] * len(links), [-1] * rights
+    for begin, own in enumerate(links):
+        price_l[begin] = min([unmatched, *[c - price_r[r] for r, c in own]])
+        reach: dict[int, float] = {}
+        back: dict[int, int] = {}
+        heap: list[tuple[float, int]] = []
+        done: set[int] = set()
+        lefts = [(begin, 0.0)]
+        total, last, alone = unmatched - price_l[begin], -1, begin
+        here, so_far = begin, 0.0
         while True:
-            slack = cost[row] - u[row] - v + (reach[last] if last >= 0 else 0)
-            better = ~done & (slack < reach)
-            reach[better], back[better] = slack[better], last
-            last = int(np.where(done, np.inf, reach).argmin())
-            done[last] = True
-            if match[last] < 0:
+            for r, c in links[here]:
+                way = so_far + c - price_l[here] - price_r[r]
+                if r not in done and way < reach.get(r, total):
+                    reach[r], back[r] = way, here
+                    heappush(heap, (way, r))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= total:
+                break
+            so_far, r = heappop(heap)
+            done.add(r)
+            if of_right[r] < 0:
+                total, last, alone = so_far, r, -1
                 break
-            row = match[last]
-        total = reach[last]
-        for j in np.flatnonzero(done):
-            if j != last:
-                u[match[j]] += total - reach[j]
-                v[j] -= total - reach[j]
-        u[i] += total
+            here = of_right[r]
+            lefts.append((here, so_far))
+            if so_far + unmatched - price_l[here] < total:
+                total, last, alone = so_far + unmatched - price_l[here], -1, here
+        for left, way in lefts:
+            price_l[left] += total - way if way < total else 0
+        for r in done:
+            price_r[r] -= total - reach[r] if reach[r] < total else 0
+        if alone >= 0:  # this left side gives its right one up, unless it is the one to be placed
+            last, of_left[alone] = of_left[alone], -1
         while last >= 0:
-            before = back[last]
-            match[last] = i if before < 0 else match[before]
-            last = before
-    return match
+            left = back[last]
+            before, of_left[left], of_right[last] = of_left[left], last, left
+            last = before if left != begin else -1
+    return of_left
 
 
 def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -> DataFrame:
     """The one-to-one pairs of each frame with the least total cost, where every left id without
-    a pair costs ``unmatched``: keys, left_id, right_id, cost. Pairs with a null id or cost are
-    none, a null key is one like others. A pair that costs more than ``unmatched`` is never taken.
+    a pair costs ``unmatched``: keys, left_id, right_id, cost. Pairs with a null id or cost, or a cost
+    that is NaN, are none, a null key is one like others. A pair that costs more than ``unmatched`` is
+    never taken; of assignments of equal cost it is any.
 
-    Ids that no chain of the other pairs connects are assigned apart, so the matrix is as large as
-    the largest connected group of ids: 8 bytes times its left ids times all its ids (10,000
-    connected by 10,000: 1.6 GB). Frames of up to FRAME_PAIRS pairs are taken one to a task; of
-    larger ones, the connected groups.
+    Frames of up to FRAME_PAIRS pairs are taken one to a task; of larger ones, each group of ids that
+    chains of pairs connect. A task holds its pairs as lists, some 200 bytes each, and no matrix:
+    20,000 ids in one group with 400,000 pairs take some 100 MB.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.groupby(["left_id", "right_id"])["cost"].min()
-        links: dict[tuple[str, int], list] = {}
-        for (a, b), c in best.items():
-            links.setdefault(("l", a), []).append((a, b, c))
-            links.setdefault(("r", b), []).append((a, b, c))
-        rows, seen = [], set()
-        for begin in sorted(links):
-            if begin in seen:
-                continue
-            group, todo = set(), [begin]
-            seen.add(begin)
-            while todo:
-                for edge in links[todo.pop()]:
-                    group.add(edge)
-                    for node in (("l", edge[0]), ("r", edge[1])):
-                        if node not in seen:
-                            seen.add(node)
-                            todo.append(node)
-            lefts, rights = sorted({a for a, _, _ in group}), sorted({b for _, b, _ in group})
-            n, m, far = len(lefts), len(rights), 1 + unmatched + max(abs(c) for _, _, c in group)
-            cost = np.full((n, m + n), 1e6 * far)
-            for a, b, c in group:
-                cost[bisect_left(lefts, a), bisect_left(rights, b)] = c
-            cost[np.arange(n), m + np.arange(n)] = unmatched
-            match = _augmented(cost)
-            rows += [(lefts[match[j]], rights[j], cost[match[j], j]) for j in range(m) if match[j] >= 0 and cost[match[j], j] < 1e6 * far]
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *r] for r in rows], columns=[*keys, "left_id", "right_id", "cost"])
-
-    usable = pairs.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("cost") <= unmatched))
-    once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").alias("cost")), "pairs")
+        pdf = pdf.sort_values(["left_id", "right_id"], ignore_index=True)
+        left, lefts = pd.factorize(pdf["left_id"], sort=True)
+        right, rights = pd.factorize(pdf["right_id"], sort=True)
+        links: list[list[tuple[int, float]]] = [[] for _ in lefts]
+        for a, b, c in zip(left.tolist(), right.tolist(), pdf["cost"].astype(float).tolist(), strict=True):
+            links[a].append((b, c))
+        given = np.array(_matched(links, len(rights), unmatched))
+        return pdf[given[left] == right]
+
+    spark, scratch = pairs.sparkSession, []
+    usable = pairs.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("cost") <= unmatched) & ~F.isnan(F.col("cost").cast("double")))
+    once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").cast("double").alias("cost")).select(*keys, "left_id", "right_id", "cost"), "pairs", scratch)
     large = once.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > FRAME_PAIRS).drop("n")
     chosen = keyed_join(once, large, keys, "left_anti").groupBy(*keys).applyInPandas(run, _pairs(keys, once))
     rest = keyed_join(once, large, keys, "left_semi")
-    if rest.isEmpty():
-        return chosen
-    left, right = (F.struct(*keys, F.lit(side).alias("side"), F.col(f"{side}_id").cast("long").alias("id")) for side in ("left", "right"))
-    groups = connected_components(rest.select(left.alias("left"), right.alias("right")))
-    grouped = rest.withColumn("id", left).join(groups, "id").drop("id")
-    return chosen.unionByName(grouped.groupBy("component").applyInPandas(lambda pdf: run(pdf.drop(columns="component")), _pairs(keys, once)))
+    if not rest.isEmpty():
+        left, right = (F.struct(*keys, F.lit(side).alias("side"), F.col(f"{side}_id").cast("long").alias("id")) for side in ("left", "right"))
+        groups = connected_components(rest.select(left.alias("left"), right.alias("right")))
+        grouped = rest.withColumn("id", left).join(groups, "id").drop("id")
+        chosen = chosen.unionByName(grouped.groupBy("component").applyInPandas(lambda pdf: run(pdf.drop(columns="component")), _pairs(keys, once)))
+    found = staged(chosen, "assigned")
+    drop(spark, scratch)
+    return found
 
 
 def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, values: list[float], reach: float, missed: int) -> tuple[list[int], dict[int, tuple[int, float]], int]:
-    """One frame's tracks: their numbers for ``values`` in order, the tracks alive after it (number
-    to last frame and value) and how many there have been."""
+    """One frame's tracks: their numbers for ``values``, which rise, the tracks alive after it (number
+    to last frame and value) and how many there have been. Of equally near pairs that of the track
+    with the smaller last value comes first, then the earlier last frame, the smaller number, the
+    earlier of ``values``."""
     live = {k: s for k, s in live.items() if at - s[0] - 1 <= missed}
-    near = sorted((abs(x - s[1]), k, i) for k, s in live.items() for i, x in enumerate(values) if abs(x - s[1]) <= reach)
+    near = []
+    for k, (frame, value) in live.items():
+        i = bisect_left(values, value - reach)
+        while i and abs(values[i - 1] - value) <= reach:  # rounding of the difference
+            i -= 1
+        while i < len(values) and (values[i] <= value or abs(values[i] - value) <= reach):
+            if abs(values[i] - value) <= reach:
+                near.append((abs(values[i] - value), value, frame, k, i))
+            i += 1
     used, got = set(), {}
-    for _, k, i in near:
+    for *_, k, i in sorted(near):
         if k not in used and i not in got:
             used.add(k)
             got[i] = k
@@ -179,85 +207,156 @@ def _numbered(found: DataFrame, keys: list[str], name: str, out: str) -> tuple[D
 STRETCHES = 100_000
 
 
+def _part_state(pdf: pd.DataFrame) -> dict[int, tuple[int, float]]:
+    """The tracks alive before a part of a stretch, numbered from 0 in the order they are told."""
+    frames, values = pdf["_frames"].iloc[0], pdf["_values"].iloc[0]
+    return {} if frames is None else {k: (int(f), float(v)) for k, (f, v) in enumerate(zip(frames, values, strict=True))}
+
+
 def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """``track``: number from 0 within the key. In each frame, values go one to one to the live
-    tracks whose last value is nearest, up to ``reach``, nearest pairs first; the others begin
-    tracks. A track unseen for more than ``missed`` frames ends. Rows with a null frame or value
-    are in no track; a null key is one like others.
-
-    Where a key is quiet for more than ``missed`` frames all its tracks end, so the stretches
-    between such pauses are taken apart, one to a task. A key without pauses is one stretch:
-    frame by frame it is ``streams.associated``, with the live tracks as state."""
-    known = F.col(frame).isNotNull() & F.col(value).isNotNull()
+    tracks whose last value is nearest, up to ``reach``, nearest pairs first (ties as in
+    :func:`associate_frame`); the others begin tracks. A track unseen for more than ``missed``
+    frames ends. Rows with a null frame or a null or NaN value are in no track; a null key is one
+    like others; repeated rows are rows of their own.
+
+    Where a key is quiet for more than ``missed`` frames all its tracks end, so it falls into
+    stretches, and these into parts of whole frames, about ranges.RANGE_ROWS rows each. All parts are
+    taken at once, each from the tracks that were alive before it; where these turn out to be others
+    than assumed (at first: none), the part is taken again, until none changes. Only last frames and
+    values of live tracks matter for that, not their numbers, so most parts settle soon; a part
+    settles at the latest when all before it have. Then numbers are handed on from part to part.
+    """
+    spark, scratch = df.sparkSession, []
+    known = F.coalesce(F.col(frame).isNotNull() & is_number(value), F.lit(False))
     frames = df.where(known).select(*keys, frame).distinct()
     frames = stretches(frames, keys, frame, frame, [frame], lambda p: F.col(frame) - p[frame] > missed + 1, 16 * (missed + 1), "_stretch")
-    parts = keyed_join(df.where(known), frames, [*keys, frame])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
-        labels, count, live = [], 0, {}
-        for at, rows in pdf.groupby(frame, sort=True):
-            found, live, count = associate_frame(live, count, int(at), rows[value].tolist(), reach, missed)
+    parts = in_ranges(keyed_join(df.where(known), frames, [*keys, frame]), [*keys, "_stretch", frame], scratch)
+    part = [*keys, "_stretch", "_range"]
+    along = Window.partitionBy(*keys, "_stretch").orderBy("_range")
+    firsts = parts.groupBy(*part).agg(F.min(frame).cast("long").alias("_first"))
+    heads = staged(firsts.select(*part, F.lead("_first").over(along).alias("_next")), "heads", scratch)
+    named = [*[df.schema[k] for k in keys], parts.schema["_stretch"], parts.schema["_range"]]
+    longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+    alive = [T.StructField("_frames", longs), T.StructField("_values", doubles)]
+
+    def rows(pdf: pd.DataFrame) -> tuple[list[int], dict[int, tuple[int, float]], int]:
+        live = _part_state(pdf)
+        labels, count = [], len(live)
+        for at, here in pdf.groupby(frame, sort=True):
+            found, live, count = associate_frame(live, count, int(at), here[value].tolist(), reach, missed)
             labels += found
-        return pdf.assign(_track=np.array(labels, np.int64))
+        return labels, live, count
 
-    found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_track", T.LongType())]))
-    tracks, _ = _numbered(staged(found, "tracks"), keys, "_track", "track")
-    return tracks.select(*df.columns, "track").unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The tracks alive at the next part's first frame, by last value, frame and number."""
+        pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
+        began, (_, live, count), following = len(_part_state(pdf)), rows(pdf), pdf["_next"].iloc[0]
+        on = sorted((v, f, k) for k, (f, v) in live.items() if not pd.isna(following) and following - f - 1 <= missed)
+        told = [*pdf[part].iloc[0].tolist(), [f for _, f, _ in on], [v for v, _, _ in on], [k for _, _, k in on], count - began]
+        return pd.DataFrame([told], columns=[*part, "_to_frames", "_to_values", "_to_numbers", "_new"])
+
+    told = [*named, T.StructField("_to_frames", longs), T.StructField("_to_values", doubles), T.StructField("_to_numbers", longs), T.StructField("_new", T.LongType())]
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in alive]
+    states, ends, last = heads.select("*", *nothing), None, []
+    open_ = heads.select(*part)
+    while not open_.isEmpty():
+        again = keyed_join(keyed_join(parts, states, part), open_, part, "left_semi")
+        found = again.groupBy(*part).applyInPandas(passed, T.StructType(told))
+        if ends is not None:
+            found = found.unionByName(keyed_join(ends, open_, part, "left_anti"))
+        ends = staged(found, "ends", ends_now := [])
+        before = ends.select(*part, F.lag(F.struct("_to_frames", "_to_values")).over(along).alias("_from"))
+        coming = keyed_join(heads, before, part).select(*part, "_next", F.col("_from._to_frames").alias("_frames"), F.col("_from._to_values").alias("_values"))
+        same = lambda c: F.coalesce(F.col(c), F.array()).eqNullSafe(F.coalesce(F.col(f"_old{c}"), F.array()))
+        old = states.select(*part, *[F.col(c).alias(f"_old{c}") for c in ("_frames", "_values")])
+        judged = staged(keyed_join(coming, old, part).withColumn("_settled", same("_frames") & same("_values")), "states", states_now := [])
+        drop(spark, last)
+        last = ends_now + states_now
+        states, open_ = judged.select(*part, "_next", "_frames", "_values"), judged.where("not _settled").select(*part)
+    if ends is None:
+        drop(spark, scratch)
+        return df.withColumn("track", F.lit(None).cast("long"))
+
+    def handed_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Numbers of the tracks alive before each part, and how many began before it."""
+        pdf, numbers, count, incoming, begun = pdf.sort_values("_range", ignore_index=True), [], 0, [], []
+        for at, new in zip(pdf["_to_numbers"], pdf["_new"], strict=True):
+            incoming.append(numbers)
+            begun.append(count)
+            numbers = [numbers[k] if k < len(numbers) else count + k - len(numbers) for k in at]
+            count += new
+        return pdf[part].assign(_numbers=incoming, _begun=begun)
+
+    numbers = ends.groupBy(*keys, "_stretch").applyInPandas(handed_on, T.StructType([*named, T.StructField("_numbers", longs), T.StructField("_begun", T.LongType())]))
+
+    def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
+        labels, _, _ = rows(pdf)
+        numbers, begun = [int(k) for k in pdf["_numbers"].iloc[0]], int(pdf["_begun"].iloc[0])
+        tracks = [numbers[k] if k < len(numbers) else begun + k - len(numbers) for k in labels]
+        return pdf[columns].assign(_track=np.array(tracks, np.int64))
+
+    columns = [*df.columns, "_stretch"]
+    told_all = keyed_join(keyed_join(parts, states, part), numbers, part)
+    schema = T.StructType([*df.schema, parts.schema["_stretch"], T.StructField("_track", T.LongType())])
+    found = staged(told_all.groupBy(*part).applyInPandas(labelled, schema), "tracks", scratch)
+    tracks, _ = _numbered(found, keys, "_track", "track")
+    tracks = staged(tracks.select(*df.columns, "track"), "tracks")
+    drop(spark, scratch)
+    drop(spark, last)
+    return tracks.unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
 
 
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
     """``chain`` of ``segments`` (keys, id, start_t, end_t, first_value, last_value): the earliest
     unused segment begins a chain, which goes on forward with the unused segment of least cost
     (gap in shares of ``most_gap`` plus step in shares of ``most_step``), then backward from its
-    beginning; ties to the smaller id. Segments with a null are chains of their own, numbered
-    last in the order of their ids; a null key is one like others.
+    beginning; ties to the smaller id. Segments that share an id are segments of their own, in the
+    order of start, id, end and values. Segments with a null are chains of their own, numbered last
+    in the order of their ids; a null key is one like others.
 
     No chain goes on over a pause of more than ``most_gap`` without segments, so the stretches
-    between such pauses are taken apart, one to a task; in it each step looks at the segments
-    within ``most_gap`` only."""
+    between such pauses are taken apart, one to a task, a key without pauses as one; in it each step
+    looks at the segments within ``most_gap`` only."""
     columns = segments.columns
     nulls = reduce(or_, [F.col(c).isNull() for c in ("id", "start_t", "end_t", "first_value", "last_value")])
     spans = segments.where(~nulls).withColumns({"_low": F.least("start_t", "end_t"), "_high": F.greatest("start_t", "end_t")})
     parts = stretches_apart(spans, keys, "_low", "_high", most_gap, 16 * max(1, most_gap), "_stretch").drop("_low", "_high")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start_t", "id"]).to_dict("records")
-        by_end = sorted(range(len(rows)), key=lambda k: (rows[k]["end_t"], k))
-        starts, ends = [r["start_t"] for r in rows], [rows[k]["end_t"] for k in by_end]
-        used, number, chain = np.zeros(len(rows), bool), 0, {}
+        pdf = pdf.sort_values(["start_t", "id", "end_t", "first_value", "last_value"], ignore_index=True)
+        start, end, first, last, ids = (pdf[c].tolist() for c in ("start_t", "end_t", "first_value", "last_value", "id"))
+        by_end = sorted(range(len(pdf)), key=lambda k: (end[k], k))
+        ends = [end[k] for k in by_end]
+        chain, number = [-1] * len(pdf), 0
 
-        def follow(here: dict, forward: bool) -> dict | None:
+        def follow(here: int, forward: bool) -> int | None:
             if forward:
-                near = range(bisect_left(starts, here["end_t"]), bisect_right(starts, here["end_t"] + most_gap))
+                near = range(bisect_left(start, end[here]), bisect_right(start, end[here] + most_gap))
             else:
-                near = (by_end[k] for k in range(bisect_left(ends, here["start_t"] - most_gap), bisect_right(ends, here["start_t"])))
+                near = (by_end[k] for k in range(bisect_left(ends, start[here] - most_gap), bisect_right(ends, start[here])))
             best = None
             for k in near:
-                if used[k]:
+                if chain[k] >= 0:
                     continue
-                first, second = (here, rows[k]) if forward else (rows[k], here)
-                gap, step = second["start_t"] - first["end_t"], abs(second["first_value"] - first["last_value"])
+                a, b = (here, k) if forward else (k, here)
+                gap, step = start[b] - end[a], abs(first[b] - last[a])
                 if step <= most_step:
                     cost = (gap / most_gap if most_gap else 0) + (step / most_step if most_step else 0)
-                    if best is None or (cost, rows[k]["id"]) < best[:2]:
-                        best = cost, rows[k]["id"], k
-            if best:
-                used[best[2]] = True
-                return rows[best[2]]
-            return None
-
-        for k, seed in enumerate(rows):
-            if used[k]:
+                    best = min(best or (math.inf,), (cost, ids[k], k))
+            return best[2] if best else None
+
+        for seed in range(len(pdf)):
+            if chain[seed] >= 0:
                 continue
-            used[k] = True
-            chain[seed["id"]] = number
+            chain[seed] = number
             for forward in (True, False):
-                here = seed
-                while here := follow(here, forward):
-                    chain[here["id"]] = number
+                here: int | None = seed
+                while (here := follow(here, forward)) is not None:
+                    chain[here] = number
             number += 1
-        return pdf.assign(_chain=pdf["id"].map(chain).astype("int64"))
+        return pdf.assign(_chain=np.array(chain, np.int64))
 
     found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
     chains, totals = _numbered(staged(found, "chains"), keys, "_chain", "chain")
