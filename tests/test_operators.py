@@ -196,16 +196,55 @@ def _in_two(spark, df, path):
     return spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_upsert_keeps_latest_of_each_key(spark, tmp_path):
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_upsert_keeps_latest_of_each_key(spark, tmp_path, buckets):
     out = str(tmp_path / "out")
-    assert streams.read_recent(spark, out, "k long, t long").count() == 0
+    read = lambda most: {tuple(r) for r in streams.read_recent(spark, out, "k long, t long", "t", most).collect()}
+    assert read(2) == set()
     rows = [(k, t, part) for part, more in enumerate([[(1, 1), (2, 2), (3, 5), (None, 1)], [(1, 11), (2, 12), (3, 4), (1, 3)]]) for k, t in more]
     stream = _in_two(spark, spark.createDataFrame(rows, "k long, t long, part int"), str(tmp_path / "in"))
-    upsert_recent(stream, out, str(tmp_path / "c"), "k", "t", 2).awaitTermination()
-    assert {tuple(r) for r in streams.read_recent(spark, out, "k long, t long").collect()} == {(1, 11), (2, 12)}
-    upsert_recent(stream, out, str(tmp_path / "d"), "k", "t", 4).awaitTermination()  # a new checkpoint goes on
-    assert {tuple(r) for r in streams.read_recent(spark, out, "k long, t long").collect()} == {(1, 11), (2, 12), (3, 5), (None, 1)}
-    assert sum(p.name.startswith("version-") for p in (tmp_path / "out").iterdir()) <= 2 and sum(p.name.startswith("current-") for p in (tmp_path / "out").iterdir()) == 1
+    upsert_recent(stream, out, str(tmp_path / "c"), "k", "t", 2, buckets).awaitTermination()
+    assert read(2) == {(1, 11), (2, 12)}
+    upsert_recent(stream, out, str(tmp_path / "d"), "k", "t", 4, buckets).awaitTermination()  # a new checkpoint goes on
+    assert read(4) == {(1, 11), (2, 12), (3, 5), (None, 1)}
+    one = _in_two(spark, spark.createDataFrame([(2, 20, 0), (2, 21, 1)], "k long, t long, part int"), str(tmp_path / "more"))
+    upsert_recent(one, out, str(tmp_path / "e"), "k", "t", 4, buckets).awaitTermination()
+    assert read(1) == {(2, 21)} and read(9) == {(1, 11), (2, 21), (3, 5), (None, 1)}
+    names = [p.name for p in (tmp_path / "out").iterdir()]
+    assert sum(n.startswith("version-") for n in names) <= 2 * buckets and sum(n.startswith("manifest-") for n in names) == 2
+    written = [p for p in (tmp_path / "out").glob("version-*/_bucket=*")]
+    assert len({p.name for p in written}) <= buckets and len(written) <= 2 * buckets + 1
+
+
+def test_gate_over_micro_batches_forgets_quiet_keys(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    rows = [(1, 0, 9.0, 0), (1, 5, 9.0, 0), (1, 12, -9.0, 0), (2, 0, 9.0, 0), (2, 4, None, 0), (1, 500, 9.0, 1), (2, 1, 9.0, 1), (3, 2000, 1.0, 1), (1, 3, 9.0, 2), (None, 3000, 9.0, 2), (2, 3001, 9.0, 2), (2, None, 9.0, 2)]
+    df = spark.createDataFrame([(k, None if t is None else at(t), v, p) for k, t, v, p in rows], "k long, ts timestamp_ntz, v double, part int")
+    for part in range(3):
+        df.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    said = streams.gate(stream, "k", "ts", "v", 5.0, 10_000_000, 100_000_000, "10 seconds")
+    query = streams.publish(said, str(tmp_path / "out"), str(tmp_path / "c"))
+    query.awaitTermination()
+    zero = int((at(0) - datetime(1970, 1, 1)).total_seconds())
+    got = {(r["key"], r["t"] // 1_000_000 - zero): (r["state"], r["edge"]) for r in spark.read.schema(said.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {
+        (1, 0): ("holding", False), (1, 5): ("holding", False), (1, 12): ("confirmed", True), (2, 0): ("holding", False), (2, 4): ("stable", False),
+        (1, 500): ("holding", False), (2, 1): ("late", False), (3, 2000): ("stable", False), (1, 3): ("late", False), (None, 3000): ("holding", False), (2, 3001): ("holding", False),
+    }
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert kept[-1] < max(kept) and sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
+
+
+def test_formats_of_files_by_their_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeff"Time",LON\n1,2\n3,4\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("A;x\n")
+    (tmp_path / "c.csv").write_text("zzz\n1\n")
+    (tmp_path / "d.csv").write_text("")
+    rules = {"track": [{"time", "ts"}, {"lon", "x"}], "other": [{"a"}]}
+    got = {r["source_file"]: (r["format"], r["rows"]) for r in files.file_formats(spark, str(tmp_path), rules).collect()}
+    assert got == {"a.csv": ("track", 2), "b.csv": (None, 0), "c.csv": (None, 1)}
+    assert {r["source_file"]: r["format"] for r in files.file_formats(spark, str(tmp_path), rules, ";").collect()}["b.csv"] == "other"
 
 
 def test_packets_go_on_in_the_next_read(spark, tmp_path):

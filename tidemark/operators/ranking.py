@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import keyed_join
+from tidemark.operators.ranges import in_places
 from tidemark.operators.sessions import running
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, staged
 
 
 def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
@@ -42,9 +43,12 @@ def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start
 
 
 def rerank(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """Ranks from 1 anew, after rows were merged or removed; all rows of a key meet in one task.
-    :func:`sorted_places` ranks a whole table."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Ranks from 1 anew within each key, after rows were merged or removed; rows that are equal in the
+    order come in any. A null key is one like others. Rows are ranked in ranges, so a key may hold any
+    share of them. :func:`sorted_places` ranks a whole table."""
+    ranked = staged(in_places(df, keys, list(order), scratch := [], "_place"), "ranked")
+    drop(df.sparkSession, scratch)
+    return ranked.withColumn("rank", F.col("_place") + 1).drop("_place")
 
 
 def sorted_places(df: DataFrame, *order: Column) -> DataFrame:

@@ -469,6 +469,23 @@ def least_cost_assignment(spark, d):
     return K.least_cost_assignment(_frame_pairs(spark, d, 5.0), ["frame"], 5.0)
 
 
+@query(f"""WITH RECURSIVE {EVENTS}, f AS (SELECT *, t // {DAY} AS frame FROM e),
+ a AS (SELECT frame, value AS x, row_number() OVER (PARTITION BY frame ORDER BY value, event_id) AS i FROM f WHERE event_type = 'purchase'),
+ b AS (SELECT frame, value AS y, row_number() OVER (PARTITION BY frame ORDER BY value, event_id) AS j FROM f WHERE event_type = 'click'),
+ n AS (SELECT frame, count(*) AS m FROM a GROUP BY frame),
+ r AS (SELECT frame, 0::BIGINT AS i, unnest(range(0, 1 + coalesce((SELECT max(j) FROM b WHERE b.frame = n.frame), 0))) AS j, 0.0::DOUBLE AS least FROM n
+  UNION ALL SELECT frame, i, j, min(here) OVER (PARTITION BY frame ORDER BY j ROWS UNBOUNDED PRECEDING) FROM
+   (SELECT r.frame, r.i + 1 AS i, r.j, least(r.least + 5, coalesce(lag(r.least) OVER (PARTITION BY r.frame ORDER BY r.j) + CASE WHEN abs(a.x - b.y) <= 5 THEN abs(a.x - b.y) END, r.least + 5)) AS here
+    FROM r JOIN a ON a.frame = r.frame AND a.i = r.i + 1 LEFT JOIN b ON b.frame = r.frame AND b.j = r.j))
+ SELECT n.frame, round(min(least), 4) AS total FROM n JOIN r ON r.frame = n.frame AND r.i = n.m GROUP BY n.frame""")
+def least_cost_totals(spark, d):
+    """Total cost of each frame, where a purchase without a click costs 5. Values lie on a line, so some
+    least assignment keeps their order, which SQL can go through."""
+    found = K.least_cost_assignment(_frame_pairs(spark, d, 5.0), ["frame"], 5.0).groupBy("frame").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    left = W.frames(events(spark, d), "t", DAY).where("event_type = 'purchase'").groupBy("frame").agg(F.count("*").alias("m"))
+    return left.join(found, "frame", "left").select("frame", F.round(F.coalesce("cost", F.lit(0.0)) + 5.0 * (F.col("m") - F.coalesce("n", F.lit(0))), 4).alias("total"))
+
+
 @query()
 def associate_frames(spark, d):
     return K.associate(W.frames(events(spark, d), "t", DAY), ["event_type"], "frame", "value", "event_id", 2.0, 1).select("event_id", "track")
@@ -504,11 +521,41 @@ def stream_without_repeats(spark, d):
     return _drained(spark, streams.without_repeats(e, "ts", ["user_id", "event_type"], "60 days"), "unique").select("user_id", "event_type")
 
 
-@query(f"""WITH {EVENTS}, h AS (SELECT *, CASE WHEN value > 40 THEN 0 ELSE 1 END AS low FROM e), g AS (SELECT *, sum(low) OVER (PARTITION BY user_id ORDER BY t, value ROWS UNBOUNDED PRECEDING) AS grp FROM h),
+#: Parts of the events' span of time that :func:`_fed` hands on one after the other, and files of each.
+PARTS, FILES = 4, 2
+
+
+def _fed(spark, d) -> DataFrame:
+    """The events as a stream of PARTS micro-batches, in the order of their time: no more than FILES files are
+    taken at once."""
+    path, e = new_path(spark, "fed"), table(spark, d, "events").withColumn("_t", S.micros("ts"))
+    low, high = e.agg(F.min("_t"), F.max("_t")).first()
+    part = F.floor((F.col("_t") - low) * PARTS / (high - low + 1))
+    for k in range(PARTS):
+        e.where(part == k).drop("_t").repartition(FILES).write.mode("append").parquet(path)
+    return streams.read_events(spark, path, e.drop("_t").schema, files_per_trigger=FILES)
+
+
+@query(f"""WITH {EVENTS}, p AS (SELECT *, floor((t - min(t) OVER ()) * {PARTS} / (max(t) OVER () - min(t) OVER () + 1))::BIGINT AS batch FROM e)
+ SELECT batch, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM p GROUP BY batch""")
+def stream_back_pressure(spark, d):
+    """What each micro-batch held, where files wait for their turn."""
+    path = new_path(spark, "pressure")
+
+    def told(batch: DataFrame, epoch: int) -> None:
+        t = S.micros("ts")
+        batch.agg(F.lit(epoch).cast("long").alias("batch"), F.count("*").alias("n"), F.min(t).alias("first_t"), F.max(t).alias("last_t")).write.mode("append").parquet(f"{path}/out")
+
+    _fed(spark, d).writeStream.foreachBatch(told).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query(f"""WITH {EVENTS}, h AS (SELECT *, CASE WHEN value > 40 THEN 0 ELSE 1 END AS low, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, value) > {2 * DAY} OR NOT value > 40 THEN 1 ELSE 0 END AS cut FROM e),
+ g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t, value ROWS UNBOUNDED PRECEDING) AS grp FROM h),
  s AS (SELECT *, min(CASE WHEN low = 0 THEN t END) OVER (PARTITION BY user_id, grp) AS since FROM g), q AS (SELECT user_id AS "key", t, value, grp, CASE WHEN low = 1 THEN 'stable' WHEN t - since >= {6 * HOUR} THEN 'confirmed' ELSE 'holding' END AS state FROM s)
  SELECT "key", t, value, state, state = 'confirmed' AND row_number() OVER (PARTITION BY "key", grp, state ORDER BY t, value) = 1 AS edge FROM q""")
 def stream_gate(spark, d):
-    return _drained(spark, streams.gate(_stream(spark, d), "user_id", "ts", "value", 40.0, 6 * HOUR), "gate")
+    return _drained(spark, streams.gate(_fed(spark, d), "user_id", "ts", "value", 40.0, 6 * HOUR, 2 * DAY), "gate")
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, min(t) AS a, 0::BIGINT AS batch FROM e GROUP BY user_id UNION ALL SELECT * FROM (SELECT r.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = r.user_id AND e.t - r.a >= {12 * HOUR}) AS a, batch + 1 FROM r) WHERE a IS NOT NULL)
@@ -527,9 +574,9 @@ def stream_epoch_restart(spark, d):
 
 @query(f"WITH {EVENTS}, l AS (SELECT user_id, t, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) = 1) SELECT * FROM l ORDER BY t DESC, user_id LIMIT 50")
 def stream_recent_results(spark, d):
-    path, e = new_path(spark, "recent"), _stream(spark, d).select("user_id", S.micros("ts").alias("t"), "event_id")
+    path, e = new_path(spark, "recent"), _fed(spark, d).select("user_id", S.micros("ts").alias("t"), "event_id")
     streams.upsert_recent(e, f"{path}/table", f"{path}/checkpoint", "user_id", "t", 50).awaitTermination()
-    return streams.read_recent(spark, f"{path}/table", e.schema)
+    return streams.read_recent(spark, f"{path}/table", e.schema, "t", 50)
 
 
 def _captured(spark, d) -> DataFrame:
@@ -593,11 +640,16 @@ def csv_mixed_encodings(spark, d):
     return files.scan_csv_guessed(spark, path).select("c_custkey", "label")
 
 
-@query("SELECT * FROM (VALUES ('orders', 'ordered'), ('lineitem', 'ordered'), ('events', 'stream'), ('nation', 'none')) AS v(table_name, format)")
+@query("""SELECT 'ordered' AS format, ((SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem))::BIGINT AS n UNION ALL SELECT 'stream', count(*) FROM events
+ UNION ALL SELECT 'none', ((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier))::BIGINT""")
 def header_formats(spark, d):
-    rules = {"stream": [{"TS", "time"}, {"event_type"}], "ordered": [{"o_orderkey", "l_orderkey"}]}
-    found = [(n, files.detect_format(table(spark, d, n).columns, rules) or "none") for n in ("orders", "lineitem", "events", "nation")]
-    return spark.createDataFrame(found, "table_name string, format string")
+    """Rows by format of a folder of files with five kinds of headers."""
+    path = new_path(spark, "mixed")
+    for name in ("orders", "lineitem", "events", "customer", "supplier"):
+        sinks.write_csv(table(spark, d, name), f"{path}/{name}")
+    rules = {"stream": [{"TS", "time"}, {"event_type"}], "ordered": [{"O_ORDERKEY", "l_orderkey"}]}
+    found = files.file_formats(spark, f"{path}/*", rules)
+    return found.groupBy(F.coalesce("format", F.lit("none")).alias("format")).agg(F.sum("rows").alias("n"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_custkey END AS customer, NULL::VARCHAR AS absent FROM orders")

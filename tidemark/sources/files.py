@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zipfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from io import BytesIO
+from operator import and_
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -122,6 +125,22 @@ def detect_format(header: Iterable[str], rules: dict[str, list[set[str]]]) -> st
     return next((name for name, groups in rules.items() if all(have & {g.lower() for g in group} for group in groups)), None)
 
 
+def file_formats(spark: SparkSession, path: str, rules: dict[str, list[set[str]]], separator: str = ",") -> DataFrame:
+    """source_file, format, rows of each file of a flat folder: the first rule that its header fits, as
+    in :func:`detect_format`, null where none does, and its number of lines after the header. Files
+    are read in splits by all tasks; a file's header is the first line of its first split. Headers are
+    taken as UTF-8, quotes around names and a byte order mark do not count; an empty file is left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_line"))
+    first = F.min_by(F.when(F.col("_at") == 0, F.col("value")), F.when(F.col("_at") == 0, F.col("_line")))
+    heads = lines.groupBy("source_file").agg(first.alias("_head"), (F.count("*") - 1).alias("rows"))
+    names = F.transform(F.split(F.translate("_head", f'{BOM}"', ""), re.escape(separator)), lambda n: F.lower(F.trim(n)))
+    said = F.lit(None).cast("string")
+    for name, groups in reversed(rules.items()):
+        fits = reduce(and_, [F.arrays_overlap("_names", F.array(*[F.lit(g.lower()) for g in sorted(group)])) for group in groups], F.lit(True))
+        said = F.when(fits, F.lit(name)).otherwise(said)
+    return heads.withColumn("_names", names).select("source_file", said.alias("format"), "rows")
+
+
 def aliased(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """A text column for each canonical name: the first non-blank of its names in order, of
     those that exist; null where none does."""

@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.scalars import micros
 from tidemark.operators.tracks import associate_frame
@@ -119,37 +121,78 @@ def batched_from_first(events: DataFrame, key: str, ts: str, tie: str, span_micr
 
 
 def without_repeats(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
-    """One event for each key while the watermark may still see its like."""
+    """One event for each key while the watermark may still see its like: a key is forgotten ``late``
+    after its event, and then one like it counts again. Events older than the watermark and those
+    without a time are left out; null keys are keys like others; of repeats any one stays."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _gate(threshold: float, hold: int):
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, confirmed = state.get if state.exists else (None, False)
-        rows = []
-        for t, value in sorted((t, v) for b in batches for t, v in zip(b["t"], b["value"], strict=True)):
+#: Fixed value: the state store that timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Gate(StatefulProcessor):
+    """The gate of one key: since when its value is over the threshold, whether that is confirmed, and
+    its last time. A timer ends it once the watermark is ``idle`` beyond that."""
+
+    def __init__(self, threshold: float, hold: int, idle: int):
+        self.threshold, self.hold, self.idle = threshold, hold, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gate", "since long, confirmed boolean, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        since, confirmed, last = self.state.get() if self.state.exists() else (None, False, None)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        out = []
+        both = [(t, v) for batch in rows for t, v in zip(batch["t"].tolist(), batch["value"].tolist(), strict=True)]
+        for t, value in sorted(both, key=lambda r: (r[0], 0.0 if r[1] is None or r[1] != r[1] else r[1])):
+            if t < passed:
+                out.append((key[0], t, value, "late", False))
+                continue
+            if last is not None and t - last > self.idle:
+                since, confirmed = None, False
+            last = t if last is None else max(t, last)
             edge = False
-            if not abs(value) > threshold:
+            if value is None or not abs(value) > self.threshold:
                 since, confirmed, said = None, False, "stable"
             else:
                 since = t if since is None else since
-                if t >= since and not confirmed and t - since >= hold:
+                if t >= since and not confirmed and t - since >= self.hold:
                     confirmed = edge = True
                 said = "confirmed" if confirmed else "holding"
-            rows.append((*key, t, value, said, edge))
-        state.update((since, confirmed))
-        yield pd.DataFrame(rows, columns=["key", "t", "value", "state", "edge"])
+            out.append((key[0], t, value, said, edge))
+        if last is not None:
+            self.state.update((since, confirmed, last))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(max((last + self.idle) // 1000, passed // 1000) + 1)
+        yield pd.DataFrame(out, columns=["key", "t", "value", "state", "edge"])
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
-def gate(events: DataFrame, key: str, ts: str, value: str, threshold: float, hold_micros: int) -> DataFrame:
+def gate(events: DataFrame, key: str, ts: str, value: str, threshold: float, hold_micros: int, idle_micros: int = 7 * 86_400_000_000, late: str = "1 day") -> DataFrame:
     """key, t, value, state, edge of a stream: ``holding`` while the size of the value is over
     the threshold, ``confirmed`` once it has been for ``hold_micros`` (edge marks that row),
-    ``stable`` otherwise. A micro-batch is taken in order of time; what comes from before the
-    start of a hold neither moves nor ends it."""
-    rows = events.select(F.col(key).cast("long").alias("key"), micros(ts).alias("t"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("key").applyInPandasWithState(_gate(threshold, hold_micros), "key long, t long, value double, state string, edge boolean", "since long, confirmed boolean", "append", GroupStateTimeout.NoTimeout)
+    ``stable`` otherwise, which a null value is too. A micro-batch is taken in order of time; what
+    comes from before the start of a hold neither moves nor ends it. A row more than ``idle_micros``
+    after its key's last one begins anew, so the state of a key that is quiet for that long is
+    deleted by a timer of event time. Rows from before the watermark, ``late`` behind the latest time
+    seen, change nothing and come out as ``late``; rows without a time are left out. A null key is one
+    like others. The session must use :data:`ROCKS` as its state store, which is set here where none is."""
+    spark = events.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    rows = rows.select(F.col(key).cast("long").alias("key"), micros(ts).alias("t"), F.col(value).cast("double").alias("value")).where("t is not null")
+    return rows.groupBy("key").transformWithStateInPandas(_Gate(threshold, hold_micros, idle_micros), "key long, t long, value double, state string, edge boolean", "Append", "EventTime")
 
 
 def _associate(reach: float, missed: int):
@@ -182,7 +225,8 @@ def associated(events: DataFrame, key: str, frame: str, value: str, tie: str, re
 
 def publish(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Batches as Parquet: a file counts once the sink's log lists it, so readers see whole
-    batches only."""
+    batches only, and a batch that is tried again counts once. Rows are written as they are, nulls and
+    repeats too; an empty batch adds nothing."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
@@ -205,45 +249,100 @@ def read_epoch(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/epoch={max(_epochs(spark, path))}/out")
 
 
-def upsert_recent(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, most: int):
-    """Keeps the latest row of each key, of the ``most`` latest keys, in a table that each batch
-    replaces; :func:`read_recent` reads it.
+def upsert_recent(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, most: int, buckets: int = 16):
+    """Keeps the latest row of each key, of the ``most`` latest keys, in a table of ``buckets`` of keys of
+    which each batch replaces those it has keys of; :func:`read_recent` reads it.
 
-    A batch writes a new version, then an empty file whose name names it, and then deletes the
-    file that named the one before and all versions but these two, so that a reader may finish. A repeated
-    batch gives the same table, and a new checkpoint goes on with the table that is there. Of
-    rows of one key and order the greatest by their columns stays; null keys are one key.
+    A bucket keeps its own ``most`` latest keys, so what a batch reads and writes follows the batch and
+    ``most``, not the keys ever seen. Its new buckets are written as a version of their own, then a
+    manifest is put in place by renaming: it names the version of every bucket. After that, versions
+    that neither it nor the manifest before it names are deleted, so that a reader may finish. A
+    repeated batch gives the same table, and a new checkpoint goes on with the table that is there. Of
+    rows of one key and order the greatest by their columns stays; null keys are one key; rows with a
+    null order are older than all others.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        folder, old = spark._jvm.org.apache.hadoop.fs.Path(path), batch
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if current := _current(spark, path):
-            old = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{current}"))
-        latest = old.groupBy(key).agg(F.max(F.struct(order, *[c for c in batch.columns if c != order])).alias("r")).select("r.*").select(batch.columns)
+        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = sorted(r["_bucket"] for r in placed.select("_bucket").distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        old = _manifest(spark, path)
+        for version, mine in _versions({b: v for b, v in old.items() if b in touched}).items():
+            placed = placed.unionByName(_read_version(spark, path, version, batch.schema).where(F.col("_bucket").isin(mine)))
+        newest = F.max(F.struct(order, *[c for c in batch.columns if c != order]))
+        latest = placed.groupBy("_bucket", key).agg(newest.alias("r")).select("_bucket", "r.*")
+        kept = latest.withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy(F.desc(order), key))).where(F.col("_place") <= most).drop("_place")
         name = f"version-{uuid.uuid4().hex}"
-        latest.orderBy(F.desc(order), key).limit(most).write.parquet(f"{path}/{name}")
-        pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current-{name}")
-        fs.create(pointer).close()
-        for status in fs.listStatus(folder):  # the new name stands before the old one goes
-            said = status.getPath().getName()
-            if said.startswith("current-") and said != pointer.getName() or said.startswith("version-") and said not in (name, current):
-                fs.delete(status.getPath(), True)
+        kept.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/{name}")
+        new = {**old, **dict.fromkeys(touched, name)}
+        _put_manifest(spark, path, new)
+        _forget(spark, path, {*old.values(), *new.values()})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
-    """The version that the latest pointer names; after a failure between its two steps the newer
-    of two pointers counts."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return max(((t, n.removeprefix("current-")) for t, n in found if n.startswith("current-")), default=(0, None))[1]
+def _versions(manifest: dict[int, str]) -> dict[str, list[int]]:
+    """The buckets that each version holds."""
+    found: dict[str, list[int]] = {}
+    for bucket, version in sorted(manifest.items()):
+        found.setdefault(version, []).append(bucket)
+    return found
+
+
+def _read_version(spark: SparkSession, path: str, version: str, schema) -> DataFrame:
+    return spark.read.schema(_with_bucket(schema)).parquet(f"{path}/{version}")
 
 
-def read_recent(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table that :func:`upsert_recent` keeps; empty before its first batch."""
-    current = _current(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/{current}") if current else spark.createDataFrame([], schema)
+def _with_bucket(schema) -> T.StructType:
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return T.StructType([*fields, T.StructField("_bucket", T.IntegerType())])
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of ``path``, the path, and the names in it with their times."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, folder, [(s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def _manifest(spark: SparkSession, path: str) -> dict[int, str]:
+    """Bucket to version, by the manifest of the highest number."""
+    _, _, names = _folder(spark, path)
+    numbers = [int(n.removeprefix("manifest-")) for _, n in names if n.startswith("manifest-")]
+    if not numbers:
+        return {}
+    rows = spark.read.schema("bucket int, version string").json(f"{path}/manifest-{max(numbers)}").collect()  # one a bucket
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def _put_manifest(spark: SparkSession, path: str, manifest: dict[int, str]) -> None:
+    """Writes the next manifest beside the table and renames it into place."""
+    fs, _, names = _folder(spark, path)
+    number = max([int(n.removeprefix("manifest-")) for _, n in names if n.startswith("manifest-")], default=-1) + 1
+    made = f"{path}/made-{uuid.uuid4().hex}"
+    spark.createDataFrame(sorted(manifest.items()), "bucket int, version string").coalesce(1).write.json(made)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    if not fs.rename(at(made), at(f"{path}/manifest-{number}")):
+        raise OSError(f"{path}/manifest-{number} could not be put in place")
+
+
+def _forget(spark: SparkSession, path: str, named: set[str]) -> None:
+    """Deletes versions that are not ``named``, and all manifests but the last two."""
+    fs, folder, names = _folder(spark, path)
+    numbers = sorted(int(n.removeprefix("manifest-")) for _, n in names if n.startswith("manifest-"))
+    for _, name in names:
+        old = name.startswith("version-") and name not in named or name.startswith("manifest-") and int(name.removeprefix("manifest-")) not in numbers[-2:]
+        if old or name.startswith("made-"):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+
+
+def read_recent(spark: SparkSession, path: str, schema, order: str, most: int) -> DataFrame:
+    """The ``most`` latest rows of the table that :func:`upsert_recent` keeps; empty before its first
+    batch."""
+    found = spark.createDataFrame([], schema)
+    for version, mine in _versions(_manifest(spark, path)).items():
+        found = found.unionByName(_read_version(spark, path, version, schema).where(F.col("_bucket").isin(mine)).drop("_bucket"))
+    key = [c for c in found.columns if c != order]
+    return found.orderBy(F.desc(order), *key).limit(most)
