@@ -240,6 +240,22 @@ def test_contamination_by_brute_force(spark, prose, chars):
     assert digest["contaminated"] and digest["items_sha256"] == hashlib.sha256(b"a0,b1").hexdigest()
 
 
+def test_long_texts_and_items_in_pieces(spark):
+    """A text of some million characters, and one benchmark item of more than a part."""
+    random = np.random.default_rng(8)
+    w = [f"w{x}" for x in random.integers(0, 90_000, 400_000)]
+    item = w[200_000:203_000]
+    df = documents(spark, [" ".join(w), " ".join(item[1500:1520]), "w1 w2"])
+    benchmark = spark.createDataFrame([("long", " ".join(item)), ("short", "w1 w2"), ("none", "zz " * 20)], "item_id string, text string")
+    found = []
+    for chars in (20_000_000, 4_000):
+        got = {r["doc_id"]: r for r in decontaminate.find_benchmark(df, benchmark, pattern_chars=chars).collect()}
+        assert {"long"} <= set(got[0]["items"]) and got[1]["items"] == ["long"] and got[2]["items"] == ["short"]
+        assert any((s["start"], s["end"]) == (200_000, 203_000) for s in got[0]["spans"])
+        found.append({i: (r["n_words"], r["spans"], r["items"]) for i, r in got.items()})
+    assert found[0] == found[1]
+
+
 def test_search_by_brute_force():
     """Short and long items, repeats, common words and windows that several items share."""
     random = np.random.default_rng(1)
@@ -615,6 +631,31 @@ def test_tool_calls_link_order_and_validate(spark):
     assert got["c", "h"]["json"].startswith('{"arguments":null,') and got["z", "a"]["problems"] == ["arguments"]
 
 
+def test_numbers_have_one_spelling(spark):
+    said = ['{"a": 1e2}', '{"a":100.0}', '{"a":100}', '{"a":[1.50,-0,-0.0,2E-3,0.1,12345678901234567890]}', '{"s":"1e2 \\\\" ,"t":"\\"3.0","u":3.0,"é":true}', '[1.0']
+    df = spark.createDataFrame([("c", str(i), None, "t", x) for i, x in enumerate(said)], "conv_id string, call_id string, parent_id string, name string, arguments string")
+    got = {r["call_id"]: r for r in tool_calls.link_tool_calls(df, df.select("conv_id", "call_id", F.lit("").alias("content")).limit(0), {"t": [("a", "integer", False)]}).collect()}
+    args = {k: r["json"].split(',"call_id"')[0].removeprefix('{"arguments":') for k, r in got.items()}
+    assert args["0"] == args["1"] == args["2"] == '{"a":100}' and all(got[k]["valid"] for k in "012")
+    assert args["3"] == '{"a":[1.5,0,0,0.002,0.1,12345678901234567890]}' and got["3"]["problems"] == ["a"]
+    assert json.loads(args["4"]) == {"s": "1e2 \\", "t": '"3.0', "u": 3, "é": True} and '"u":3,' in args["4"]
+    assert args["5"] == "null" and got["5"]["problems"] == ["arguments"]
+
+
+def test_calls_with_several_parents_and_nested_schemas(spark):
+    field = tool_calls.Field
+    schema = {"f": [field("x", "integer", least=0, most=9), field(("o", "k"), "string", choices=("a", "b")), field("l", "array", False, items="number")]}
+    good = '{"x":3,"o":{"k":"a"},"l":[1,2.5]}'
+    rows = [("a", None, good), ("b", [], '{"x":30,"o":{"k":"c"},"l":["z"]}'), ("c", ["a", "b"], '{"x":3,"o":{"k":"b"},"l":[],"more":1,"else":2}'), ("d", ["c", "a", None, "gone"], '{"x":"3","o":{}}'), ("e", ["f"], good), ("f", ["e"], good), ("g", ["d", "e"], good), ("a", None, good)]
+    df = spark.createDataFrame([("c", i, p, "f", x) for i, p, x in rows], "conv_id string, call_id string, parent_id array<string>, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id string, call_id string, content string")
+    got = {r["call_id"]: r for r in tool_calls.link_tool_calls(df, none, schema, frozenset({"f"})).collect()}
+    assert {k: r["depth"] for k, r in got.items()} == {"a": 0, "b": 0, "c": 1, "d": 2, "e": None, "f": None, "g": None}
+    assert {k: got[k]["problems"] for k in "abcd"} == {"a": [], "b": ["x", "o.k", "l"], "c": ["+else", "+more"], "d": ["x", "o.k"]}
+    assert got["a"]["n_calls"] == 2 and '"parent_id":["a","b"]' in got["c"]["json"]
+    assert not tool_calls.link_tool_calls(df.limit(0), none, schema).count()
+
+
 def test_depth_of_a_long_chain(spark):
     n = 70
     df = spark.createDataFrame([(1, i, i - 1 if i else None, "t", "{}") for i in range(n)], "conv_id int, call_id int, parent_id int, name string, arguments string")

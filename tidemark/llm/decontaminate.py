@@ -14,12 +14,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.tokens import claim, slices
-from tidemark.plans.staging import staged
+from tidemark.plans.staging import drop, staged
 
 WINDOW = 13
 #: Characters of benchmark texts that are searched for at once: they are broadcast, and each
@@ -148,16 +148,13 @@ def _search(shared):
         claim(__name__)
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary())
-            known = "spans" in batch.schema.names
-            before = batch.column("spans").to_pylist() if known else [()] * len(texts)
-            items_before = batch.column("items").to_pylist() if known else [()] * len(texts)
             sizes, all_spans, all_items = [], [], []
-            for text, old, old_items in zip(texts, before, items_before, strict=True):
+            for text in texts:
                 n, spans, items = shared.value.find(text.as_py())
                 sizes.append(n)
-                all_spans.append([{"start": s, "end": e} for s, e in _merge([*spans, *((x["start"], x["end"]) for x in old)])])
-                all_items.append(sorted(items.union(old_items)))
-            kept = [n for n in batch.schema.names if n not in ADDED]
+                all_spans.append([{"start": s, "end": e} for s, e in spans])
+                all_items.append(sorted(items))
+            kept = batch.schema.names
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(sizes, pa.int64()), pa.array(all_spans, _SPANS), pa.array(all_items, pa.list_(pa.string()))], names=[*kept, *ADDED])
 
     return run
@@ -169,26 +166,64 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     of these names give way, of the others only ``text`` is looked at.
 
     The benchmark is counted first. Up to ``pattern_chars`` characters are broadcast as one
-    list of items; a larger benchmark is dealt by item into parts of about that size, and the
-    documents pass through one part after the other. A null text has no words; items without
+    list of items. A larger one is cut into parts of about that size, items that are longer than a
+    quarter of it into pieces that share ``window - 1`` words with the next; the documents get a row
+    number once, each part is searched for in them by a task of its own that sends on rows with
+    occurrences only, and these are put together by row. A null text has no words; items without
     an id or words are passed over; repeated items count once. Rows that repeat an id, or have
     none, stand for themselves; an empty table gives none.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null").distinct()
     chars = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-chars // pattern_chars))
     rows = documents.drop(*ADDED)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     added = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
-    schema = T.StructType([*rows.schema, *added])
+    if chars <= pattern_chars:
+        return rows.mapInArrow(_search(_sent(spark, items, window)), T.StructType([*rows.schema, *added]))
+    scratch: list[str] = []
+    pieces = staged(items.mapInArrow(_pieces(window, max(1, pattern_chars // 4)), "item string, text binary"), "pieces", scratch)
+    parts = -(-(pieces.agg(F.sum(F.length("text"))).first()[0] or 0) // pattern_chars) or 1
+    numbered = staged(rows.select(F.monotonically_increasing_id().alias("row"), F.struct(*rows.columns).alias("doc"), F.col("text").alias("text")), "documents")
+    asked, found = numbered.select("row", "text"), None
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
-        searcher = spark.sparkContext.broadcast(Searcher(((r["item"], bytes(r["text"])) for r in mine.toLocalIterator()), window))
-        rows = rows.mapInArrow(_search(searcher), schema)
-        if part + 1 < parts:
-            rows = staged(rows, "searched")
-    return rows
+        mine = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+        one = asked.mapInArrow(_search(_sent(spark, mine, window)), T.StructType([*asked.schema, *added])).drop("text").where(F.lit(part == 0) | (F.size("items") > 0))
+        found = one if found is None else found.unionByName(one)
+    lists = [F.collect_list(c).alias(c) for c in ("spans", "items")]
+    merged = found.groupBy("row").agg(F.max("n_words").alias("n_words"), *lists).mapInArrow(_put_together, T.StructType([T.StructField("row", T.LongType()), *added]))
+    drop(spark, scratch)
+    return numbered.drop("text").join(merged, "row").select("doc.*", *ADDED)
+
+
+def _put_together(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What several parts found in a row, as if one had."""
+    for batch in batches:
+        spans = [[{"start": s, "end": e} for s, e in _merge((x["start"], x["end"]) for part in parts for x in part)] for parts in batch.column("spans").to_pylist()]
+        items = [sorted({x for part in parts for x in part}) for parts in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=["row", *ADDED])
+
+
+def _sent(spark: SparkSession, items: DataFrame, window: int):
+    """The items of one part, read row by row, sent to all tasks."""
+    return spark.sparkContext.broadcast(Searcher(((r["item"], bytes(r["text"])) for r in items.toLocalIterator()), window))
+
+
+def _pieces(window: int, most: int):
+    """Items of over ``most`` bytes in pieces with every window in one of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                said = words(text) if len(text) > most else []
+                step = max(1, most * len(said) // max(1, len(text)))
+                for piece in [b" ".join(said[at : at + step + window - 1]) for at in range(0, max(1, len(said) - window + 1), step)] if len(said) > window else [text]:
+                    names.append(name)
+                    texts.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["item", "text"])
+
+    return run
 
 
 def with_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
