@@ -118,19 +118,21 @@ def test_stretches_do_not_depend_on_buckets(spark):
     assert {r["id"]: r["gap"] for r in sessions.lag_difference(df, ["k"], "t", "id", 17).collect()} == want
 
 
-def test_suppression_by_brute_force(spark):
+@pytest.mark.parametrize(("head", "k"), [(20_000, 4), (3, 4), (2, 40)])
+def test_suppression_by_brute_force(spark, monkeypatch, head, k):
+    monkeypatch.setattr(ranking, "HEAD", head)
     random = np.random.default_rng(4)
     data = [(int(random.integers(3)), i, float(random.integers(50)), int(s := random.integers(100)), int(s + random.integers(1, 30))) for i in range(60)]
     df = spark.createDataFrame(data, "k long, id long, score double, s long, e long")
-    got = sorted((r["k"], r["id"], r["rank"]) for r in ranking.top_k_suppressed(df, ["k"], "score", "id", "s", "e", 4, 0.5).collect())
+    got = sorted((r["k"], r["id"], r["rank"]) for r in ranking.top_k_suppressed(df, ["k"], "score", "id", "s", "e", k, 0.5).collect())
     want = []
-    for k in {d[0] for d in data}:
+    for key in {d[0] for d in data}:
         chosen = []
-        for _, i, _, s, e in sorted((d for d in data if d[0] == k), key=lambda d: (-d[2], d[1])):
+        for _, i, _, s, e in sorted((d for d in data if d[0] == key), key=lambda d: (-d[2], d[1])):
             over = lambda c: min(e, c[2]) - max(s, c[1]) >= max(0, 0.5 * min(e - s, c[2] - c[1]))  # noqa: B023, E731
-            if len(chosen) < 4 and not any(map(over, chosen)):
+            if len(chosen) < k and not any(map(over, chosen)):
                 chosen.append((i, s, e))
-        want += [(k, c[0], r) for r, c in enumerate(chosen, 1)]
+        want += [(key, c[0], r) for r, c in enumerate(chosen, 1)]
     assert got == sorted(want)
 
 

@@ -15,6 +15,11 @@ RANGE_ROWS = 100_000
 HOT_SHARE = 0.001
 
 
+def fit_a_task(df: DataFrame, keys: list[str | Column]) -> bool:
+    """Whether no key has more rows than a range; then a task may take a key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).isEmpty()
+
+
 def in_ranges(df: DataFrame, order: list[str | Column], scratch: list[str] | None, rows: int | None = None) -> DataFrame:
     """``df`` staged with ``_range``: rising numbers of ranges of about RANGE_ROWS rows in ``order``.
     Rows that are equal in it are in one range."""
@@ -24,7 +29,10 @@ def in_ranges(df: DataFrame, order: list[str | Column], scratch: list[str] | Non
 
 def in_places(df: DataFrame, keys: list[str], order: list[str | Column], scratch: list[str], out: str = "place") -> DataFrame:
     """``df`` with ``out``: the row's number from 0 within its key in the order of ``order``, which is
-    total. Rows are numbered in ranges; only the number of a key's rows in a range meets others."""
+    total. Where a key has more rows than a range, rows are numbered in ranges, and only the number of
+    a key's rows in a range meets others."""
+    if fit_a_task(df, keys):
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
     ranged = in_ranges(df, [*keys, *order], scratch)
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
     before = sizes.select(*keys, "_range", (F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_rows")).alias("_before"))

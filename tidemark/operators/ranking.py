@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.keys import keyed_join
 from tidemark.operators.ranges import in_places
@@ -17,29 +20,69 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
+#: Rows of a key, the best left, that one task goes through in a round of suppression.
+HEAD = 20_000
+
+
+def _suppressed(k: int, ratio: float, tie: str):
+    """The best rows left of a key, in order, that none before them suppresses, up to ``k`` in all."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place", ignore_index=True)
+        have, ties = int(pdf["_have"].iloc[0]), pdf[tie].tolist()
+        start, end, whole = pdf["_start"].to_numpy(), pdf["_end"].to_numpy(), pdf["_whole"].to_numpy(bool)
+        kept, seen = np.empty(0, np.int64), set()
+        for i in range(len(pdf)):
+            if have + len(kept) == k:
+                break
+            name = None if pd.isna(ties[i]) else ties[i]
+            shared = np.minimum(end[kept], end[i]) - np.maximum(start[kept], start[i])
+            shorter = np.minimum(end[kept] - start[kept], end[i] - start[i])
+            if name in seen or whole[i] and (whole[kept] & (shared >= 0) & (shared >= ratio * shorter)).any():
+                continue
+            seen.add(name)
+            kept = np.append(kept, i)
+        return pdf.iloc[kept].assign(rank=np.arange(have + 1, have + len(kept) + 1, dtype=np.int32))
+
+    return run
+
+
 def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start: str, end: str, k: int, ratio: float) -> DataFrame:
     """Up to ``k`` intervals of each key by falling score (ties to the smaller ``tie``), passing
     over those whose overlap with a chosen one is at least ``ratio`` of the shorter: ``df``'s
-    columns and rank. A null key is one like others, a null score is the last; an interval with a null end overlaps nothing;
-    rows that share their key's ``tie`` are one.
+    columns and rank. A null key is one like others, a null or NaN score is the last; an interval with a
+    null end, or one before its start, overlaps nothing; rows that share their key's ``tie`` are one.
 
-    Each of ``k`` rounds takes the best row of every key that no chosen one suppresses, by a
-    partial aggregate; a key's rows never meet in one task.
+    In a round one task a key goes through its HEAD best rows left. A key that has fewer is done, as is
+    one with ``k`` chosen; of the others, what the round has chosen suppresses rows of the rest before
+    the next one. So rounds follow how many rows the chosen ones suppress, not ``k``.
     """
-    rest, chosen = df, None
-    for rank in range(1, k + 1):
-        best = rest.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))).alias("_b"))
-        taken = staged(best.select(*keys, "_b.*").select(*df.columns, F.lit(rank).alias("rank")), "chosen")
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-        if rank == k or taken.isEmpty():
+    spark, scratch = df.sparkSession, []
+    order = F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    whole = F.coalesce(F.col(start) <= F.col(end), F.lit(False))
+    sides = {f"_{n}": F.when(whole, F.col(c)).otherwise(F.lit(0)) for n, c in (("start", start), ("end", end))}
+    rest, chosen = df.withColumns({**sides, "_whole": whole, "_order": order, "_have": F.lit(0)}), None
+    schema = T.StructType([*df.schema, T.StructField("rank", T.IntegerType()), *[rest.schema[c] for c in ("_start", "_end", "_whole", "_order")]])
+    best = Window.partitionBy(*keys).orderBy("_order")
+    while True:
+        head = staged(rest.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= HEAD), "head", scratch)
+        found = head.groupBy(*keys).applyInPandas(lambda pdf: _suppressed(k, ratio, tie)(pdf)[schema.names], schema)
+        kept = staged(found, "kept", scratch)
+        chosen = kept if chosen is None else chosen.unionByName(kept)
+        full = head.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_order").alias("_last")).where(F.col("_n") == HEAD)
+        have = chosen.groupBy(*keys).agg(F.count("*").cast("int").alias("_have")).where(F.col("_have") < k)
+        open_ = staged(keyed_join(full.drop("_n"), have, keys), "open", scratch)
+        if open_.isEmpty():
             break
-        t = taken.select(*keys, F.lit(True).alias("_taken"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(tie).alias("_id"))
-        whole = (F.col(start) <= F.col(end)) & (F.col("_s") <= F.col("_e"))
-        shorter = F.least(F.col(end) - F.col(start), F.col("_e") - F.col("_s"))
-        shared = F.least(F.col(end), F.col("_e")) - F.greatest(F.col(start), F.col("_s"))
-        gone = F.col(tie).eqNullSafe(F.col("_id")) | F.coalesce(whole & (shared >= 0) & (shared >= ratio * shorter), F.lit(False))
-        rest = keyed_join(rest, t, keys, "left").where(F.col("_taken").isNull() | ~gone).drop("_taken", "_s", "_e", "_id")
-    return chosen
+        new = kept.groupBy(*keys).agg(F.collect_list(F.struct("_start", "_end", "_whole", F.col(tie).alias("_tie"))).alias("_by"))  # up to ``k``
+        left = keyed_join(keyed_join(rest.drop("_have"), open_, keys), new, keys, "left").where(F.col("_order") > F.col("_last"))
+        shared = lambda o: F.least(F.col("_end"), o["_end"]) - F.greatest(F.col("_start"), o["_start"])
+        shorter = lambda o: F.least(F.col("_end") - F.col("_start"), o["_end"] - o["_start"])
+        gone = lambda o: F.col(tie).eqNullSafe(o["_tie"]) | (F.col("_whole") & o["_whole"] & (shared(o) >= 0) & (shared(o) >= ratio * shorter(o)))
+        rest = staged(left.where(~F.coalesce(F.exists("_by", gone), F.lit(False))).drop("_last", "_by"), "rest", scratch)
+    told = staged(chosen.select(*df.columns, "rank"), "chosen")
+    drop(spark, scratch)
+    return told
 
 
 def rerank(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

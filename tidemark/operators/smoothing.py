@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalars import is_number
 from tidemark.operators.keys import keyed_join
-from tidemark.operators.ranges import in_ranges
+from tidemark.operators.ranges import fit_a_task, in_ranges
 from tidemark.plans.staging import drop, staged
 
 EYE = np.eye(2)
@@ -119,20 +119,31 @@ def smooth_constant_velocity(df: DataFrame, keys: list[str], t: str, value: str,
     predicted only; both are null before the first value. Rows with a null or NaN ``t`` get null and
     take no part; rows of one time follow each other without drift; a null key is one like others.
 
-    A range's rows are composed to one element of the associative scan, these are composed a key (one
-    row a range), and each range is then filtered from the state before it.
+    Keys of up to ranges.RANGE_ROWS rows are taken one to a task. Where one has more, a range's rows
+    are composed to one element of the associative scan, these are composed a key (one row a range),
+    and each range is then filtered from the state before it.
     """
     spark, scratch = df.sparkSession, []
     timed, columns = is_number(t), df.columns
     two = [T.StructField("smooth", T.DoubleType()), T.StructField("velocity", T.DoubleType())]
     apart = df.where(~timed).select("*", *[F.lit(None).cast("double").alias(f.name) for f in two])
+    null = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) for f in two]
+    sort = lambda pdf: pdf.sort_values([t, tie], ignore_index=True)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = sort(pdf)
+        out = _filtered(pdf[t].to_numpy(float), pdf[value].to_numpy(float), noise, drift, np.nan, None, np.diag([noise, noise]))
+        return pdf.assign(smooth=out[:, 0], velocity=out[:, 1])
+
+    if fit_a_task(df.where(timed), keys):
+        found = df.where(timed).groupBy(*keys).applyInPandas(whole, T.StructType([*df.schema, *two]))
+        return found.select(*df.columns, *null).unionByName(apart)
     ranged = in_ranges(df.where(timed), [*keys, t, tie], scratch)
     along = Window.partitionBy(*keys).orderBy("_range")
     ends = ranged.groupBy(*keys, "_range").agg(F.max(F.col(t).cast("double")).alias("_end"), F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("_seen"))
     known = F.coalesce(F.sum("_seen").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0
     ends = staged(ends.select(*keys, "_range", F.lag("_end").over(along).alias("_before"), known.alias("_known")), "ends", scratch)
     parts = keyed_join(ranged, ends, [*keys, "_range"])
-    sort = lambda pdf: pdf.sort_values([t, tie], ignore_index=True)
 
     def composed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = sort(pdf)
@@ -171,7 +182,6 @@ def smooth_constant_velocity(df: DataFrame, keys: list[str], t: str, value: str,
     begun = keyed_join(parts, states, [*keys, "_range"])
     found = staged(begun.groupBy(*keys, "_range").applyInPandas(run, T.StructType([*df.schema, *two])), "smooth")
     drop(spark, scratch)
-    null = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) for f in two]
     return found.select(*df.columns, *null).unionByName(apart)
 
 
@@ -194,17 +204,56 @@ def _eliminated(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return right[:, 0], right[:, 1], right[:, 2]
 
 
+def _piece(pdf: pd.DataFrame, x: str, y: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Knots of a range with the first of the next, and whether there is a next."""
+    a, b, further = pdf[x].to_numpy(float), pdf[y].to_numpy(float), pdf["_next_x"].iloc[0]
+    if np.isnan(further):
+        return a, b, False
+    return np.append(a, further), np.append(b, pdf["_next_y"].iloc[0]), True
+
+
+def _curve(keys: list[str], x: str, y: str, step: float):
+    """The curve over one piece, from the bends at its two ends."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(x, ignore_index=True)
+        a, b, further = _piece(pdf, x, y)
+        zero = a[0] if np.isnan(pdf["_zero"].iloc[0]) else pdf["_zero"].iloc[0]
+        named = lambda at, out: pdf[keys].iloc[np.zeros(len(at), int)].reset_index(drop=True).assign(**{x: at, y: out})
+        if len(a) < 2:  # the key's only knot, or the last one, which the piece before ends with
+            alone = int(a[0] == zero)
+            return named(a[:alone], b[:alone])
+        p, q, r = _eliminated(a, b)
+        m, n = pdf["_first"].iloc[0], pdf["_last"].iloc[0]
+        bend, h = np.concatenate([[m], p + q * m + r * n, [n]]), np.diff(a)
+        k = np.arange(np.floor((a[0] - zero) / step) - 1, np.ceil((a[-1] - zero) / step) + 2)
+        at = zero + k * step
+        last = not further or bool(pdf["_ends_here"].iloc[0])
+        at = at[(k >= 0) & (at >= a[0]) & ((at < a[-1] + step * 1e-9) if last else (at < a[-1]))]
+        i = np.clip(np.searchsorted(a, at, side="right") - 1, 0, len(h) - 1)
+        u, v = at - a[i], a[i + 1] - at
+        out = (bend[i] * v**3 + bend[i + 1] * u**3) / (6 * h[i]) + (b[i] / h[i] - bend[i] * h[i] / 6) * v + (b[i + 1] / h[i] - bend[i + 1] * h[i] / 6) * u
+        return named(at, out)
+
+    return run
+
+
 def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> DataFrame:
     """keys, x, y of the natural cubic spline through each key's points (mean ``y`` of equal ``x``) at
     every ``step`` from its first; one point gives itself. Rows with a null or NaN x or y are none; a
     null key is one like others.
 
-    Each range of knots, with the first of the next, solves its inner bends in terms of those at its
+    Keys of up to ranges.RANGE_ROWS knots are taken one to a task. Where one has more, each range of
+    knots, with the first of the next, solves its inner bends in terms of those at its
     two ends; a key's ends, two a range, make a small system of the same kind; with its solution
     each range gives its share of the curve.
     """
     spark, scratch = df.sparkSession, []
     knots = df.where(is_number(x) & is_number(y)).groupBy(*keys, F.col(x).cast("double").alias(x)).agg(F.avg(y).alias(y))
+    fields = [*_fields(df, keys), T.StructField(x, T.DoubleType()), T.StructField(y, T.DoubleType())]
+    alone = {"_zero": F.lit(None).cast("double"), "_next_x": F.lit(None).cast("double"), "_next_y": F.lit(None).cast("double"), "_first": F.lit(0.0), "_last": F.lit(0.0), "_ends_here": F.lit(True)}
+    if fit_a_task(knots, keys):
+        return knots.withColumns(alone).groupBy(*keys).applyInPandas(_curve(keys, x, y, step), T.StructType(fields))
     ranged = in_ranges(knots, [*keys, x], scratch)
     along = Window.partitionBy(*keys).orderBy("_range")
     ends = ranged.groupBy(*keys, "_range").agg(F.min(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_head"))
@@ -212,18 +261,11 @@ def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> Da
     ends = staged(ends.select(*keys, "_range", "_zero", F.col("_next.x").alias("_next_x"), F.col("_next.y").alias("_next_y")), "ends", scratch)
     parts = keyed_join(ranged, ends, [*keys, "_range"])
 
-    def piece(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-        """Knots of a range with the first of the next, and whether there is a next."""
-        a, b, further = pdf[x].to_numpy(float), pdf[y].to_numpy(float), pdf["_next_x"].iloc[0]
-        if np.isnan(further):
-            return a, b, False
-        return np.append(a, further), np.append(b, pdf["_next_y"].iloc[0]), True
-
     def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
         """The piece's share of the equations at its two ends: width and slope of the chord beside them, and
         the bend at the inner knot beside them as (p, q, r). Without inner knots that is the other end."""
         pdf = pdf.sort_values(x, ignore_index=True)
-        a, b, _ = piece(pdf)
+        a, b, _ = _piece(pdf, x, y)
         told = [0.0] * 10
         if len(a) > 1:
             h, chord = np.diff(a), np.diff(b) / np.diff(a)
@@ -257,28 +299,8 @@ def spline_at(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> Da
     reduced_to = staged(parts.groupBy(*keys, "_range").applyInPandas(reduced, T.StructType([*ranges, T.StructField("_ends", T.ArrayType(number)), T.StructField("_long", T.BooleanType())])), "reduced", scratch)
     bends = reduced_to.groupBy(*keys).applyInPandas(solved, T.StructType([*ranges, T.StructField("_first", number), T.StructField("_last", number)]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x, ignore_index=True)
-        a, b, further = piece(pdf)
-        zero = pdf["_zero"].iloc[0]
-        named = lambda at, out: pdf[keys].iloc[np.zeros(len(at), int)].reset_index(drop=True).assign(**{x: at, y: out})
-        if len(a) < 2:  # the key's only knot, or the last one, which the piece before ends with
-            alone = int(a[0] == zero)
-            return named(a[:alone], b[:alone])
-        p, q, r = _eliminated(a, b)
-        m, n = pdf["_first"].iloc[0], pdf["_last"].iloc[0]
-        bend, h = np.concatenate([[m], p + q * m + r * n, [n]]), np.diff(a)
-        k = np.arange(np.floor((a[0] - zero) / step) - 1, np.ceil((a[-1] - zero) / step) + 2)
-        at = zero + k * step
-        last = not further or bool(pdf["_ends_here"].iloc[0])
-        at = at[(k >= 0) & (at >= a[0]) & ((at < a[-1] + step * 1e-9) if last else (at < a[-1]))]
-        i = np.clip(np.searchsorted(a, at, side="right") - 1, 0, len(h) - 1)
-        u, v = at - a[i], a[i + 1] - at
-        out = (bend[i] * v**3 + bend[i + 1] * u**3) / (6 * h[i]) + (b[i] / h[i] - bend[i] * h[i] / 6) * v + (b[i + 1] / h[i] - bend[i + 1] * h[i] / 6) * u
-        return named(at, out)
-
-    alone = reduced_to.select(*keys, "_range", (~F.coalesce(F.lead("_long").over(along), F.lit(True))).alias("_ends_here"))
-    told = keyed_join(keyed_join(parts, bends, [*keys, "_range"]), alone, [*keys, "_range"])
-    found = staged(told.groupBy(*keys, "_range").applyInPandas(run, T.StructType([*_fields(df, keys), T.StructField(x, number), T.StructField(y, number)])), "curve")
+    last = reduced_to.select(*keys, "_range", (~F.coalesce(F.lead("_long").over(along), F.lit(True))).alias("_ends_here"))
+    told = keyed_join(keyed_join(parts, bends, [*keys, "_range"]), last, [*keys, "_range"])
+    found = staged(told.groupBy(*keys, "_range").applyInPandas(_curve(keys, x, y, step), T.StructType(fields)), "curve")
     drop(spark, scratch)
     return found

@@ -19,7 +19,7 @@ from tidemark.functions.scalars import is_number
 from tidemark.operators.components import connected_components
 from tidemark.operators.intervals import stretches_apart
 from tidemark.operators.keys import keyed_join
-from tidemark.operators.ranges import in_places, in_ranges
+from tidemark.operators.ranges import fit_a_task, in_places, in_ranges
 from tidemark.operators.sessions import running, stretches
 from tidemark.plans.staging import drop, new_path, staged
 
@@ -221,8 +221,8 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
     like others; repeated rows are rows of their own.
 
     Where a key is quiet for more than ``missed`` frames all its tracks end, so it falls into
-    stretches, and these into parts of whole frames, about ranges.RANGE_ROWS rows each. All parts are
-    taken at once, each from the tracks that were alive before it; where these turn out to be others
+    stretches. Those of up to ranges.RANGE_ROWS rows are taken one to a task; where one has more, they
+    fall into parts of whole frames of about as many. All parts are taken at once, each from the tracks that were alive before it; where these turn out to be others
     than assumed (at first: none), the part is taken again, until none changes. Only last frames and
     values of live tracks matter for that, not their numbers, so most parts settle soon; a part
     settles at the latest when all before it have. Then numbers are handed on from part to part.
@@ -231,7 +231,21 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
     known = F.coalesce(F.col(frame).isNotNull() & is_number(value), F.lit(False))
     frames = df.where(known).select(*keys, frame).distinct()
     frames = stretches(frames, keys, frame, frame, [frame], lambda p: F.col(frame) - p[frame] > missed + 1, 16 * (missed + 1), "_stretch")
-    parts = in_ranges(keyed_join(df.where(known), frames, [*keys, frame]), [*keys, "_stretch", frame], scratch)
+    rows_of = keyed_join(df.where(known), frames, [*keys, frame])
+    if fit_a_task(rows_of, [*keys, "_stretch"]):
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
+            labels, live, count = [], {}, 0
+            for at, here in pdf.groupby(frame, sort=True):
+                found, live, count = associate_frame(live, count, int(at), here[value].tolist(), reach, missed)
+                labels += found
+            return pdf.assign(_track=np.array(labels, np.int64))
+
+        found = staged(rows_of.groupBy(*keys, "_stretch").applyInPandas(whole, T.StructType([*rows_of.schema, T.StructField("_track", T.LongType())])), "tracks")
+        tracks, _ = _numbered(found, keys, "_track", "track")
+        return tracks.select(*df.columns, "track").unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
+    parts = in_ranges(rows_of, [*keys, "_stretch", frame], scratch)
     part = [*keys, "_stretch", "_range"]
     along = Window.partitionBy(*keys, "_stretch").orderBy("_range")
     firsts = parts.groupBy(*part).agg(F.min(frame).cast("long").alias("_first"))
