@@ -107,6 +107,20 @@ def test_token_files_round_trip(spark, prose):
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_token_files_of_a_very_long_text(spark):
+    """A text of over a chunk's ids between short ones."""
+    random = np.random.default_rng(4)
+    texts = ["a b", " ".join(f"w{x}" for x in random.integers(0, 10**6, 150_000)), "", "c"]
+    path = new_path(spark, "test")
+    token_store.write_tokens(documents(spark, texts), path)
+    expected, start = library("byte_bpe_50k.json"), 0
+    for r in token_store.read_tokens(spark, path).orderBy("doc_id").collect():
+        want = [*expected(texts[r["doc_id"]]), 2]
+        assert (r["start"], r["n_tokens"]) == (start, len(want)) and np.array_equal(np.frombuffer(r["ids"], "<u4"), want)
+        start += len(want)
+    assert start > 300_000
+
+
 def test_fullest_is_best_over_all_combinations():
     random = np.random.default_rng(2)
     for _ in range(60):
@@ -191,6 +205,16 @@ def test_near_duplicates_of_one_large_group(spark):
     assert {tuple(r) for r in got.collect()} == brute_components(texts, range(1000, 1240))
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Texts of a million characters, one of them a near copy, one with too many changes."""
+    random = np.random.default_rng(5)
+    base = [f"w{x}" for x in random.integers(0, 10**6, 150_000)]
+    near, far = list(base), list(base)
+    near[::100], far[::20] = ["n"] * len(near[::100]), ["f"] * len(far[::20])
+    got = near_duplicates.near_duplicates(documents(spark, [" ".join(base), "a b c d e f", " ".join(near), " ".join(far)]))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(5, text), (5, text), (3, text), (None, text), (9, None)], "doc_id long, text string")
@@ -542,9 +566,24 @@ def test_license_wrapped_and_embedded(text, name):
     assert max(m["dice"] for m in found) > 0.9
 
 
+def plain_pairs(text):
+    """Bigrams by plain means: letters and digits make words, dots only before digits."""
+    out, word, low = [], "", text.lower()
+    for i, c in enumerate(low + " "):
+        if c.isalnum() or c == "." and word and low[i + 1 : i + 2].isdigit() and low[i + 1 : i + 2].isascii():
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return {(x, y) for x, y in zip(out, out[1:])}
+
+
 def test_license_windows_by_brute_force():
     """The best window of every template among all spans from break to break."""
     random, made = np.random.default_rng(11), licenses.Templates(licenses.TEMPLATES)
+    templates = [(name, text, plain_pairs(text)) for name, text in licenses.TEMPLATES]
+    held = {(name, frozenset(b)): b for name, _, b in templates}
+    assert {(name, b) for _, name, b in made.made} <= set(held)
     for _ in range(8):
         words = []
         for _ in range(4):
@@ -554,12 +593,30 @@ def test_license_windows_by_brute_force():
         text = "".join(w + random.choice([" ", " ", " ", " ", " ", "\n", "\n * ", "\n#\n# "]) for w in words)
         ends = {m.end() for m in re.finditer(r"\n|[.!?](?=\s)", text)} | {0, len(text)}
         spans = [text[s:e] for s, e in itertools.combinations(sorted(ends), 2) if e - s < 3000]
-        near = [(d, u, name, b) for u in spans if (a := licenses.bigrams(u)) for _, name, b in made.made if len(b) < 400 and (d := licenses.dice(a, b)) >= 0.8]
+        near = []
+        for u in spans:
+            a = plain_pairs(u)
+            for name, _, b in templates:
+                if len(b) < 400 and (d := 2 * len(a & b) / (len(a) + len(b) or 1)) >= 0.8:
+                    near.append((d, u, name, frozenset(b)))
         want = max((d for d, u, name, b in near if made.agree(u, name, b)), default=0)
         got = max((m["dice"] for m in licenses.scan(text, made)), default=0)
         assert got == pytest.approx(want if want >= 0.8 else 0), text
 
 
+def test_license_window_of_any_length():
+    """A notice whose words repeat: more words than any bound on a window, no more bigrams."""
+    again = ("by the by the " * 800).split()
+    words = GPL_NOTICE.split()
+    at = words.index("published")
+    long = " ".join(words[: at + 1] + again + words[at + 1 :])
+    text = "One line here.\nTwo lines there.\n" + long.replace(" the ", " the\n", 40) + "\nThe end of it.\nNo more words." + "\nSome other line of this file" * 30
+    found = licenses.scan(text, licenses.Templates(licenses.TEMPLATES))
+    assert [m["license"] for m in found] == ["GPL-3.0-or-later"] and found[0]["dice"] > 0.95 and found[0]["end"] - found[0]["start"] > 6000
+    many = "\n".join([GPL_NOTICE] * 300)
+    assert sum(m["license"] == "GPL-3.0-or-later" for m in licenses.scan(many, licenses.Templates(licenses.TEMPLATES))) >= 300
+
+
 NOTICE = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 
 
@@ -668,7 +725,7 @@ def test_pipeline_on_planted_documents(spark, prose, tmp_path):
     import corpus_pipeline
 
     passage = " ".join(f"q{i}" for i in range(40))
-    texts = [t for t in prose if t and len(t) < 2000] + [passage, "write to me@here.org or 10.1.2.3 please " + " ".join(f"z{i}" for i in range(30)), "12 34 !!"]
+    texts = [t for t in prose if t and len(t) < 2000] + [" ".join(f"long{i}" for i in range(60_000)), passage, "write to me@here.org or 10.1.2.3 please " + " ".join(f"z{i}" for i in range(30)), "12 34 !!"]
     data = spark.createDataFrame([(i, t, ["en", "de", "fr", "es"][i % 4], "s", len(t)) for i, t in enumerate(texts)], DOCS)
     data.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([("b", passage)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

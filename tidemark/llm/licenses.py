@@ -16,9 +16,11 @@ apart: versions, the GNU family, the parts of Creative Commons, "or later", BSD
 
 from __future__ import annotations
 
+import math
 import pkgutil
 import re
 from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -288,43 +290,64 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else text.replace("\u0130", "I").lower()
 
 
-def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset, threshold: float, titles: list[int] | None, agree: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+def _windows(pairs: list[tuple[str, str]], cuts: list[int], template: frozenset, threshold: float, titles: tuple[list[int], int] | None, marks: list[tuple[int, tuple]], agree: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """Ranges of words from cut to cut that reach the threshold with one template and agree with
     it, by falling coefficient and without overlaps.
 
     A window begins and ends with a segment that has a bigram of the template, as one without
-    would only lower its coefficient, and has at most three times the template's number of
-    words and 200 more. It ends before bigrams of others make a match impossible. ``titles`` are
-    the places of which a window holds one, where that is asked for.
+    would only lower its coefficient, and may be of any length. From a beginning only those ends
+    count up to which a bigram, a mark or a title comes for the first time, as between them nothing
+    changes; they are kept in the order of their first places while the beginning moves back, and
+    come to an end where bigrams of others make a match impossible, so a beginning takes no more
+    steps than a match has different bigrams. ``titles`` are the places and the length of the title
+    of which a window holds one, where that is asked for; ``marks`` are what agreement is judged by.
     """
-    n = len(template)
+    n, last = len(template), len(pairs)
     need, spare = n * threshold / (2 - threshold) - 1e-9, n * (2 - 2 * threshold) / threshold + 1e-9
     hits, total = [0], 0
     for p in pairs:
         total += p in template
         hits.append(total)
-    found, last = [], len(pairs)
-    for k, begin in enumerate(cuts[:-1]):
-        far = min(begin + 3 * n + 200, last)
-        if titles is not None and ((at := bisect_left(titles, begin)) == len(titles) or titles[at] >= far):
+    ending = [len(cuts)] * (len(cuts) + 1)  # the first cut from here on whose segment has a bigram of the template
+    for j in range(len(cuts) - 1, 0, -1):
+        ending[j] = j if hits[min(max(cuts[j] - 1, 0), last)] > hits[min(max(cuts[j - 1] - 2, 0), last)] else ending[j + 1]
+    first: OrderedDict[tuple, int] = OrderedDict()
+    mark: OrderedDict[tuple, int] = OrderedDict()
+    found, at, mark_at = [], last, len(marks)
+    for k in range(len(cuts) - 2, -1, -1):
+        begin = cuts[k]
+        while at > begin:
+            at -= 1
+            first.pop(pairs[at], None)
+            first[pairs[at]] = at
+        while mark_at and marks[mark_at - 1][0] >= begin:
+            mark_at -= 1
+            place, value = marks[mark_at]
+            mark.pop(value, None)
+            mark[value] = place
+        if hits[min(cuts[k + 1], last)] == hits[min(begin, last)] or total - hits[min(begin, last)] < need:
             continue
-        if hits[min(cuts[k + 1], last)] == hits[min(begin, last)] or hits[max(far, begin)] - hits[min(begin, last)] < need:
+        named = bisect_left(titles[0], begin) if titles else 0
+        if titles and named == len(titles[0]):
             continue
-        inside, others, at = set(), set(), begin
-        for j in range(k + 1, len(cuts)):
-            end = cuts[j]
-            if end - 1 > far:
-                break
-            before = at
-            while at < end - 1:
-                (inside if pairs[at] in template else others).add(pairs[at])
-                at += 1
+        inside, others, limit = [], [], last
+        for pair, place in reversed(first.items()):
+            (inside if pair in template else others).append(place)
             if len(others) > spare:
+                limit = place
                 break
-            if len(inside) >= need and hits[at] > hits[max(before - 1, 0)]:
-                d = 2 * len(inside) / (len(inside) + len(others) + n)
-                if d >= threshold:
-                    found.append((-d, begin, end))
+        if len(inside) < need:
+            continue
+        least = inside[max(0, math.ceil(need) - 1)] + 2
+        ends = {p + 2 for p in inside if p + 2 >= least} | {p + 2 for p in others if p + 2 >= least} | {p + 1 for p in mark.values() if limit >= p}
+        if titles:
+            ends.add(titles[0][named] + titles[1])
+        for j in {ending[bisect_left(cuts, max(e, least))] for e in ends if e <= cuts[-1]}:
+            if j < len(cuts) and cuts[j] - 1 <= limit:
+                common, odd = bisect_left(inside, cuts[j] - 1), bisect_left(others, cuts[j] - 1)
+                d = 2 * common / (common + odd + n)
+                if common >= need and d >= threshold:
+                    found.append((-d, begin, cuts[j]))
     chosen: list[tuple[int, int]] = []
     for _, begin, end in sorted(found):
         at = bisect_left(chosen, (begin, end))
@@ -353,7 +376,8 @@ def units(text: str, templates: Templates | None = None) -> Iterator[tuple[int,
         title, named = kind = made.marks[name, b]
         titles = known.places(title) if title else None
         if titles != [] and (named is None or named <= known.named(0, len(words))):
-            found.update(_windows(pairs, cuts, b, made.threshold, titles, lambda i, j, kind=kind: known.agree(kind, i, j)))
+            marks_ = [(m[0], m[1:]) for m in known.marks] if named is not None else []
+            found.update(_windows(pairs, cuts, b, made.threshold, (titles, len(title)) if titles else None, marks_, lambda i, j, kind=kind: known.agree(kind, i, j)))
     for begin, end in sorted(found - said):
         yield starts[begin], spans[end - 1][1]
 
