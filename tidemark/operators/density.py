@@ -43,11 +43,11 @@ def dbscan(df: DataFrame, keys: list[str], x: str, y: str, tie: str, scale: tupl
     scratch: list[str] = []
     good = is_number(x) & is_number(y)
     known, apart = df.where(good), df.where(~good).withColumn("cluster", F.lit(-1).cast("long"))
-    large = staged(known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_ROWS).drop("_n"), "large", scratch)
+    large = known.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > GROUP_ROWS).drop("_n")
     schema = T.StructType([*df.schema, T.StructField("cluster", T.LongType())])
     if large.isEmpty():
-        drop(df.sparkSession, scratch)
         return known.groupBy(*keys).applyInPandas(_in_a_task(x, y, tie, scale, radius, least), schema).unionByName(apart)
+    large = staged(large, "large", scratch)
     small = keyed_join(known, large, keys, "left_anti").groupBy(*keys).applyInPandas(_in_a_task(x, y, tie, scale, radius, least), schema)
     found = staged(_over_a_grid(keyed_join(known, large, keys, "left_semi"), keys, x, y, tie, scale, radius, least, scratch).unionByName(small), "clusters")
     drop(df.sparkSession, scratch)

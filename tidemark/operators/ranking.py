@@ -53,7 +53,8 @@ def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start
     columns and rank. A null key is one like others, a null or NaN score is the last; an interval with a
     null end, or one before its start, overlaps nothing; rows that share their key's ``tie`` are one.
 
-    In a round one task a key goes through its HEAD best rows left. A key that has fewer is done, as is
+    Keys of up to HEAD rows are taken one to a task. Where one has more, one task a key goes in each round
+    through its HEAD best rows left. A key that has fewer is done, as is
     one with ``k`` chosen; of the others, what the round has chosen suppresses rows of the rest before
     the next one. So rounds follow how many rows the chosen ones suppress, not ``k``.
     """
@@ -64,10 +65,12 @@ def top_k_suppressed(df: DataFrame, keys: list[str], score: str, tie: str, start
     rest, chosen = df.withColumns({**sides, "_whole": whole, "_order": order, "_have": F.lit(0)}), None
     schema = T.StructType([*df.schema, T.StructField("rank", T.IntegerType()), *[rest.schema[c] for c in ("_start", "_end", "_whole", "_order")]])
     best = Window.partitionBy(*keys).orderBy("_order")
+    run = lambda pdf: _suppressed(k, ratio, tie)(pdf)[schema.names]
+    if df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HEAD).isEmpty():
+        return rest.withColumn("_place", F.row_number().over(best)).groupBy(*keys).applyInPandas(run, schema).select(*df.columns, "rank")
     while True:
         head = staged(rest.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= HEAD), "head", scratch)
-        found = head.groupBy(*keys).applyInPandas(lambda pdf: _suppressed(k, ratio, tie)(pdf)[schema.names], schema)
-        kept = staged(found, "kept", scratch)
+        kept = staged(head.groupBy(*keys).applyInPandas(run, schema), "kept", scratch)
         chosen = kept if chosen is None else chosen.unionByName(kept)
         full = head.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_order").alias("_last")).where(F.col("_n") == HEAD)
         have = chosen.groupBy(*keys).agg(F.count("*").cast("int").alias("_have")).where(F.col("_have") < k)

@@ -55,9 +55,12 @@ def greedy_assignment(pairs: DataFrame, keys: list[str], most: float) -> DataFra
     spark, scratch = pairs.sparkSession, []
     usable = pairs.where((F.col("cost") <= most) & ~F.isnan(F.col("cost").cast("double")) & F.col("left_id").isNotNull() & F.col("right_id").isNotNull())
     once = staged(usable.groupBy(*keys, "left_id", "right_id").agg(F.min("cost").alias("cost")).select(*keys, "left_id", "right_id", "cost"), "pairs", scratch)
-    large = staged(once.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FRAME_PAIRS), "large", scratch)
+    large = once.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FRAME_PAIRS)
     if large.isEmpty():
-        return once.groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once))
+        found = staged(once.groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once)), "assigned")
+        drop(spark, scratch)
+        return found
+    large = staged(large, "large", scratch)
     chosen = keyed_join(once, large.drop("_n"), keys, "left_anti").groupBy(*keys).applyInPandas(_greedy, _pairs(keys, once))
     placed = in_places(keyed_join(once, large.drop("_n"), keys, "left_semi"), keys, ["cost", "left_id", "right_id"], scratch, "_place")
     banded = placed.withColumn("_band", F.floor(F.col("_place") / max(1, FRAME_PAIRS))).drop("_place").repartition("_band")
