@@ -218,6 +218,25 @@ def test_association_in_parts_equals_the_whole_key(spark, monkeypatch, missed):
     assert left_over(spark, lambda: tracks.associate(df, ["k"], "f", "v", "id", 1.5, missed)) == 0
 
 
+@pytest.mark.parametrize(("gap", "step", "reach", "most"), [(10, 3.0, 900, 9), (4, 12.0, 300, 60), (0, 5.0, 40, 3), (60, 2.5, 900, 25)])
+def test_chains_in_parts_equal_the_whole_key(spark, monkeypatch, gap, step, reach, most):
+    random = np.random.default_rng(gap)
+    rows = []
+    for k in (None, "a"):
+        for i in range(260):
+            start = int(random.integers(0, reach))
+            long = 0 if random.random() < 0.3 else int(random.integers(0, most))
+            rows.append((k, i // 2, start, start + long, *(float(v) for v in random.integers(0, 9, 2))))
+    rows += [("a", 900, 5, 300, 1.0, 2.0), ("a", 900, 5, 300, 1.0, 2.0), ("b", 1, None, 3, 1.0, 1.0), ("b", 2, 1, 1, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k string, id long, start_t long, end_t long, first_value double, last_value double").repartition(5)
+    found = lambda: sorted((repr(r) for r in tracks.chain_links(df, ["k"], gap, step).collect()))
+    whole = found()
+    for size in (23, 90):
+        monkeypatch.setattr(ranges, "RANGE_ROWS", size)
+        assert found() == whole
+    assert left_over(spark, lambda: tracks.chain_links(df, ["k"], gap, step)) == 0
+
+
 def test_chains_of_segments_that_share_an_id(spark):
     rows = [("a", 1, 0, 10, 5.0, 5.0), ("a", 1, 12, 20, 5.0, 5.0), ("a", 2, 13, 20, 5.0, 5.0), ("a", 1, 100, 101, 5.0, 5.0)]
     df = spark.createDataFrame(rows, "k string, id long, start_t long, end_t long, first_value double, last_value double")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import is_number
+from tidemark.operators import ranges
 from tidemark.operators.components import connected_components
 from tidemark.operators.intervals import stretches_apart
 from tidemark.operators.keys import keyed_join
@@ -325,6 +326,170 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
     return tracks.unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
 
 
+def _cost(gap: float, step: float, most_gap: int, most_step: float) -> float:
+    """Cost of a link: gap and step in shares of the most that they may be."""
+    return (gap / most_gap if most_gap else 0) + (step / most_step if most_step else 0)
+
+
+#: Kinds of rows of a part's task: its segments, copies of those after it, chains that come to a
+#: segment of it, chains whose next segment it chooses, segments after it that a chain holds.
+SEGMENT, AHEAD, COMING, CHOOSING, HELD = range(5)
+
+
+def _walk_part(pdf: pd.DataFrame, most_gap: int, most_step: float) -> tuple[list[int], list[int], list[tuple]]:
+    """One part of a stretch, given what the parts around it tell: the places of its segments in
+    order, the ranks of their chains (the place of the segment that began it), and what it tells:
+    (range it is for, kind, rank, place, end, last value, range that claimed it)."""
+    kind = pdf["_kind"]
+    line = pdf[kind <= AHEAD].sort_values(["_kind", "_place"])
+    own = int((line["_kind"] == SEGMENT).sum())
+    start, end, first, last, ids, place, due, owner = (line[c].tolist() for c in ("start_t", "end_t", "first_value", "last_value", "id", "_place", "_due", "_owner"))
+    at = {k: i for i, k in enumerate(place)}
+    here = owner[0]
+    held = {at[k]: rank for k, rank in pdf.loc[kind == HELD, ["_place", "_rank"]].itertuples(index=False)}
+    chain, claimed, told = [-1] * len(line), [here] * own, []
+
+    def forward(rank: int, since: int, value: float) -> None:
+        """Goes on from a segment's end while the next one is this part's to follow."""
+        while True:
+            best = None
+            for k in range(bisect_left(start, since), bisect_right(start, since + most_gap)):
+                if chain[k] < 0 and held.get(k, rank) >= rank and abs(first[k] - value) <= most_step:
+                    best = min(best or (math.inf,), (_cost(start[k] - since, abs(first[k] - value), most_gap, most_step), ids[k], k))
+            if best is None:
+                return
+            k = best[2]
+            chain[k] = rank
+            if k >= own:
+                told.append((owner[k], COMING, rank, place[k], 0, 0.0, here))
+                return
+            if due[k] != here:
+                told.append((due[k], CHOOSING, rank, 0, end[k], last[k], here))
+                return
+            since, value = end[k], last[k]
+
+    def follow(k: int) -> None:
+        if due[k] != here:
+            told.append((due[k], CHOOSING, chain[k], 0, end[k], last[k], here))
+        else:
+            forward(chain[k], end[k], last[k])
+
+    coming = pdf[(kind == COMING) | (kind == CHOOSING)].sort_values(["_rank", "_kind", "_place", "end_t", "last_value"])
+    for what, rank, k, since, value, by in coming[["_kind", "_rank", "_place", "end_t", "last_value", "_by"]].itertuples(index=False):
+        if what == CHOOSING:
+            forward(rank, since, value)
+        elif chain[at[k]] < 0:
+            chain[at[k]], claimed[at[k]] = rank, by
+            follow(at[k])
+    moments: dict[int, list[int]] = {}
+    for k in range(own):
+        if start[k] == end[k]:
+            moments.setdefault(start[k], []).append(k)
+    for seed in range(own):
+        if chain[seed] >= 0:
+            continue
+        chain[seed] = place[seed]
+        follow(seed)
+        back: int | None = seed
+        while back is not None:  # only segments that end where they begin can end at an earliest one's start
+            near = [(_cost(0, abs(first[back] - last[k]), most_gap, most_step), ids[k], k) for k in moments.get(start[back], []) if chain[k] < 0 and abs(first[back] - last[k]) <= most_step]
+            back = min(near)[2] if near else None
+            if back is not None:
+                chain[back] = place[seed]
+    shown = line["_shown"].tolist()
+    told += [(here, HELD, chain[k], place[k], 0, 0.0, claimed[k]) for k in range(own) if shown[k]]
+    return place[:own], chain[:own], told
+
+
+def _chains_in_parts(spans: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
+    """``spans`` with ``_chain``, its number from 0 within the key's ``_stretch``, for stretches that
+    no task holds; no segment ends before it starts.
+
+    Segments fall by their start into parts of about ranges.RANGE_ROWS rows. A chain's next segment
+    is chosen in the part that the end of its last one falls in, which also knows the segments of
+    ``most_gap`` after the part. All parts are taken at once, from what the others told of the last
+    round: the chains that come into them and who holds the segments after them; those for which
+    that changed are taken again, until it does not change. A chain depends on chains begun before
+    it only, so the earliest is settled first, then the next, and there is one end.
+    """
+    spark, scratch, group = spans.sparkSession, [], [*keys, "_stretch"]
+    part, order = [*group, "_range"], ["start_t", "id", "end_t", "first_value", "last_value"]
+    rows = in_ranges(spans, [*group, "start_t"], scratch)
+    along = Window.partitionBy(*group).orderBy("_range")
+    heads = rows.groupBy(*part).agg(F.min("start_t").alias("_low"))
+    heads = staged(heads.select(*part, "_low", F.lag("_range").over(along).alias("_before"), F.lead("_low").over(along).alias("_next"), F.row_number().over(along).cast("long").alias("_nth")), "heads", scratch)
+    place = F.shiftleft(F.col("_range").cast("long"), 33) + F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    rows = staged(keyed_join(rows, heads, part).withColumn("_place", place), "places", scratch)
+    # The part that a segment's end falls in: as many parts of the stretch begin up to there.
+    far = F.col("end_t") >= F.col("_next")
+    marks = rows.where(far).select(*group, "_place", F.col("end_t").alias("_at"), F.lit(0).alias("_one"))
+    marks = marks.unionByName(heads.select(*group, F.lit(0).cast("long").alias("_place"), F.col("_low").alias("_at"), F.lit(1).alias("_one")))
+    marks = running(marks, group, "_at", ["_place"], F.col("_one"), 16 * max(1, most_gap), "_nth", "_of").where("_one = 0")
+    due = keyed_join(marks.select(*group, "_place", F.col("_nth").cast("long").alias("_nth")), heads.select(*group, "_nth", F.col("_range").alias("_due")), [*group, "_nth"])
+    shown = F.col("_before").isNotNull() & (F.col("start_t") <= F.col("_low") + most_gap)
+    fields = ["_range", "start_t", "end_t", "first_value", "last_value", "id", "_place", "_due", "_owner", "_shown"]
+    rows = keyed_join(rows, due.select(*group, "_place", "_due"), [*group, "_place"], "left")
+    rows = staged(rows.withColumns({"_due": F.coalesce("_due", "_range"), "_owner": F.col("_range"), "_shown": shown}), "segments", scratch)
+    # Copies for the parts before, whose ends are up to most_gap before a segment's start.
+    cell = lambda t: F.floor(F.col(t) / (most_gap + 1))
+    borders = heads.where(F.col("_before").isNotNull()).select(*group, F.col("_before").alias("_to"), F.col("_low").alias("_border"), cell("_low").alias("_cell"))
+    looking = rows.where("_shown").drop("_before", "_next", "_low", "_nth").withColumn("_cell", F.explode(F.array(cell("start_t"), cell("start_t") - 1)))
+    seen = keyed_join(looking, borders, [*group, "_cell"]).where(F.col("_border").between(F.col("start_t") - most_gap, F.col("start_t")))
+    empty = {"_rank": F.lit(0).cast("long"), "_by": F.lit(0)}
+    typed = {"start_t": "long", "end_t": "long", "first_value": "double", "last_value": "double", "id": spans.schema["id"].dataType.simpleString()}
+    plain = lambda df, kind: df.withColumns({c: F.col(c).cast(t) for c, t in typed.items()}).withColumns(empty).select(*group, *fields, *empty, F.lit(kind).alias("_kind"))
+    ahead = staged(plain(seen.withColumn("_range", F.col("_to")), AHEAD), "ahead", scratch)
+    still = plain(rows, SEGMENT).unionByName(ahead)
+    shows = ahead.select(*group, "_place", F.col("_range").alias("_to"))
+    news = ["_kind", "_rank", "_place", "end_t", "last_value", "_by"]
+    named = [still.schema[c] for c in group]
+    told_schema = T.StructType([*named, T.StructField("_source", T.IntegerType()), *[still.schema[c] for c in ("_range", *news)]])
+
+    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
+        *own, source = pdf[part].iloc[0].tolist()
+        return pd.DataFrame([(*own, source, *t) for t in _walk_part(pdf, most_gap, most_step)[2]], columns=told_schema.fieldNames())
+
+    def beside(state: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """Rows of the parts' tasks, of the parts ``of`` only where given."""
+        others = {c: F.lit(0).cast(still.schema[c].dataType) for c in still.columns if c not in (*part, *news, "id")}
+        given = still.unionByName(state.withColumns(others | {"id": F.lit(None).cast(still.schema["id"].dataType)}))
+        return keyed_join(given, of, part, "left_semi") if of is not None else given
+
+    nothing = still.select(*part, *news).limit(0)
+    state, told, open_, last = nothing, None, heads.select(*part), []
+    while not open_.isEmpty():
+        found = beside(state, open_).groupBy(*part).applyInPandas(tell, told_schema)
+        if told is not None:
+            closed = keyed_join(told, open_.withColumnRenamed("_range", "_source"), [*group, "_source"], "left_anti")
+            found = found.unionByName(closed)
+        told = staged(found, "told", now := [])
+        held = keyed_join(told.where(F.col("_kind") == HELD), shows, [*group, "_place"]).where("_by != _to").withColumn("_range", F.col("_to"))
+        held = held.withColumn("_by", F.lit(0))  # who holds it matters, not whence it came
+        fresh = told.where(F.col("_kind") != HELD).select(*part, *news).unionByName(held.select(*part, *news))
+        fresh = staged(fresh, "state", now)
+        changes = fresh.withColumn("_n", F.lit(1)).unionByName(state.withColumn("_n", F.lit(-1))).groupBy(*part, *news).agg(F.sum("_n").alias("_n"))
+        open_ = staged(changes.where("_n != 0").select(*part).distinct(), "open", now)
+        drop(spark, last)
+        state, last = fresh, now
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        places, ranks, _ = _walk_part(pdf, most_gap, most_step)
+        return pd.DataFrame([(*pdf[part].iloc[0].tolist(), k, rank) for k, rank in zip(places, ranks, strict=True)], columns=[*part, "_place", "_rank"])
+
+    chains = beside(state).groupBy(*part).applyInPandas(ranked, T.StructType([still.schema[c] for c in (*part, "_place", "_rank")]))
+    chains = staged(chains, "ranks", scratch)
+    seeds = chains.where("_place = _rank")
+    before = seeds.groupBy(*part).agg(F.count("*").alias("_seeds")).select(*part, (F.sum("_seeds").over(along) - F.col("_seeds")).alias("_begun"))
+    numbers = keyed_join(seeds, before, part).select(*group, "_rank", (F.col("_begun") + F.row_number().over(Window.partitionBy(*part).orderBy("_rank")) - 1).alias("_chain"))
+    # A chain's number goes to its parts first, so that one of many rows is not one task's.
+    met = keyed_join(chains.select(*part, "_rank").distinct(), numbers, [*group, "_rank"])
+    numbered = keyed_join(keyed_join(chains, met, [*part, "_rank"]), rows.drop("_due", "_owner", "_shown", "_low", "_before", "_next", "_nth"), [*part, "_place"])
+    result = staged(numbered.select(*spans.columns, "_chain"), "chains")
+    drop(spark, scratch)
+    drop(spark, last)
+    return result
+
+
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
     """``chain`` of ``segments`` (keys, id, start_t, end_t, first_value, last_value): the earliest
     unused segment begins a chain, which goes on forward with the unused segment of least cost
@@ -334,12 +499,19 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
     in the order of their ids; a null key is one like others.
 
     No chain goes on over a pause of more than ``most_gap`` without segments, so the stretches
-    between such pauses are taken apart, one to a task, a key without pauses as one; in it each step
-    looks at the segments within ``most_gap`` only."""
+    between such pauses are taken apart. Those of up to ranges.RANGE_ROWS segments are taken one to a
+    task, where each step looks at the segments within ``most_gap`` only, and larger ones in parts
+    (:func:`_chains_in_parts`). A task holds a part, the segments of ``most_gap`` after it and the
+    chains that come into it. Only a larger stretch in which a segment ends before it starts is one
+    task whole, as its chains go back in time."""
     columns = segments.columns
     nulls = reduce(or_, [F.col(c).isNull() for c in ("id", "start_t", "end_t", "first_value", "last_value")])
     spans = segments.where(~nulls).withColumns({"_low": F.least("start_t", "end_t"), "_high": F.greatest("start_t", "end_t")})
-    parts = stretches_apart(spans, keys, "_low", "_high", most_gap, 16 * max(1, most_gap), "_stretch").drop("_low", "_high")
+    spark, scratch, group = segments.sparkSession, [], [*keys, "_stretch"]
+    apart = staged(stretches_apart(spans, keys, "_low", "_high", most_gap, 16 * max(1, most_gap), "_stretch").drop("_low", "_high"), "apart", scratch)
+    large = apart.groupBy(*group).agg(F.count("*").alias("_n"), F.min(F.col("end_t") >= F.col("start_t")).alias("_ahead"))
+    large = staged(large.where((F.col("_n") > ranges.RANGE_ROWS) & F.col("_ahead")).select(*group), "large", scratch)
+    parts = keyed_join(apart, large, group, "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_t", "id", "end_t", "first_value", "last_value"], ignore_index=True)
@@ -360,8 +532,7 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
                 a, b = (here, k) if forward else (k, here)
                 gap, step = start[b] - end[a], abs(first[b] - last[a])
                 if step <= most_step:
-                    cost = (gap / most_gap if most_gap else 0) + (step / most_step if most_step else 0)
-                    best = min(best or (math.inf,), (cost, ids[k], k))
+                    best = min(best or (math.inf,), (_cost(gap, step, most_gap, most_step), ids[k], k))
             return best[2] if best else None
 
         for seed in range(len(pdf)):
@@ -375,8 +546,12 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
             number += 1
         return pdf.assign(_chain=np.array(chain, np.int64))
 
-    found = parts.groupBy(*keys, "_stretch").applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
-    chains, totals = _numbered(staged(found, "chains"), keys, "_chain", "chain")
+    found = parts.groupBy(*group).applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
+    if not large.isEmpty():
+        found = found.unionByName(_chains_in_parts(keyed_join(apart, large, group, "left_semi"), keys, most_gap, most_step))
+    found = staged(found, "chains")
+    drop(spark, scratch)
+    chains, totals = _numbered(found, keys, "_chain", "chain")
     others = running(segments.where(nulls), keys, "id", ["start_t", "end_t"], F.lit(1), STRETCHES, "_rank", "_all")
     others = keyed_join(others, totals, keys, "left").withColumn("chain", F.coalesce("_total", F.lit(0)) + F.col("_rank") - 1)
     return chains.select(*columns, "chain").unionByName(others.select(*columns, F.col("chain").cast("long")))
