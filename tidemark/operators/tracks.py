@@ -336,9 +336,9 @@ def _cost(gap: float, step: float, most_gap: int, most_step: float) -> float:
 SEGMENT, AHEAD, COMING, CHOOSING, HELD = range(5)
 
 
-def _walk_part(pdf: pd.DataFrame, most_gap: int, most_step: float) -> tuple[list[int], list[int], list[tuple]]:
-    """One part of a stretch, given what the parts around it tell: the places of its segments in
-    order, the ranks of their chains (the place of the segment that began it), and what it tells:
+def _walk_part(pdf: pd.DataFrame, most_gap: int, most_step: float) -> tuple[list[int], list[tuple]]:
+    """One part of a stretch, given what the parts around it tell: by place, the ranks of its
+    segments' chains (the place of the segment that began it), and what it tells:
     (range it is for, kind, rank, place, end, last value, range that claimed it)."""
     kind = pdf["_kind"]
     line = pdf[kind <= AHEAD].sort_values(["_kind", "_place"])
@@ -398,7 +398,7 @@ def _walk_part(pdf: pd.DataFrame, most_gap: int, most_step: float) -> tuple[list
                 chain[back] = place[seed]
     shown = line["_shown"].tolist()
     told += [(here, HELD, chain[k], place[k], 0, 0.0, claimed[k]) for k in range(own) if shown[k]]
-    return place[:own], chain[:own], told
+    return chain[:own], told
 
 
 def _chains_in_parts(spans: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
@@ -447,7 +447,7 @@ def _chains_in_parts(spans: DataFrame, keys: list[str], most_gap: int, most_step
 
     def tell(pdf: pd.DataFrame) -> pd.DataFrame:
         *own, source = pdf[part].iloc[0].tolist()
-        return pd.DataFrame([(*own, source, *t) for t in _walk_part(pdf, most_gap, most_step)[2]], columns=told_schema.fieldNames())
+        return pd.DataFrame([(*own, source, *t) for t in _walk_part(pdf, most_gap, most_step)[1]], columns=told_schema.fieldNames())
 
     def beside(state: DataFrame, of: DataFrame | None = None) -> DataFrame:
         """Rows of the parts' tasks, of the parts ``of`` only where given."""
@@ -473,8 +473,8 @@ def _chains_in_parts(spans: DataFrame, keys: list[str], most_gap: int, most_step
         state, last = fresh, now
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        places, ranks, _ = _walk_part(pdf, most_gap, most_step)
-        return pd.DataFrame([(*pdf[part].iloc[0].tolist(), k, rank) for k, rank in zip(places, ranks, strict=True)], columns=[*part, "_place", "_rank"])
+        own = pdf[pdf["_kind"] == SEGMENT].sort_values("_place", ignore_index=True)
+        return own[[*part, "_place"]].assign(_rank=np.array(_walk_part(pdf, most_gap, most_step)[0], np.int64))
 
     chains = beside(state).groupBy(*part).applyInPandas(ranked, T.StructType([still.schema[c] for c in (*part, "_place", "_rank")]))
     chains = staged(chains, "ranks", scratch)

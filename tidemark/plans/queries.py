@@ -491,7 +491,19 @@ def associate_frames(spark, d):
     return K.associate(W.frames(events(spark, d), "t", DAY), ["event_type"], "frame", "value", "event_id", 2.0, 1).select("event_id", "track")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, p AS (SELECT *, CASE WHEN t - lag(t) OVER w > {6 * HOUR} THEN 1 ELSE 0 END AS s FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+ n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t, event_id)::BIGINT AS id FROM p),
+ g AS (SELECT user_id, id, min(t) AS a, max(t) AS z, arg_min(value, (t, event_id)) AS x, arg_max(value, (t, event_id)) AS y FROM n GROUP BY user_id, id),
+ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, id) AS k FROM g),
+ users AS (SELECT user_id, list({{'k': k, 'id': id, 'a': a, 'z': z, 'x': x, 'y': y}} ORDER BY k) AS l FROM k GROUP BY user_id),
+ r AS (SELECT user_id, l, l AS free, l[1] AS seed, NULL::STRUCT(k BIGINT, id BIGINT, a BIGINT, z BIGINT, x DOUBLE, y DOUBLE) AS here, -1 AS chain, 2 AS way, 0::BIGINT AS took FROM users
+  UNION ALL SELECT user_id, l, CASE WHEN took IS NULL THEN free ELSE list_filter(free, lambda s: s.k <> took) END, CASE WHEN way = 2 THEN free[1] ELSE seed END,
+    CASE WHEN took IS NOT NULL THEN l[took] ELSE seed END, CASE WHEN way = 2 THEN chain + 1 ELSE chain END, CASE WHEN took IS NOT NULL THEN CASE WHEN way = 2 THEN 0 ELSE way END ELSE way + 1 END, took
+   FROM (SELECT user_id, l, free, seed, here, chain, way, CASE way WHEN 2 THEN free[1].k
+     WHEN 0 THEN list_min(list_transform(list_filter(free, lambda s: s.a - here.z BETWEEN 0 AND {3 * DAY} AND abs(s.x - here.y) <= 20), lambda s: (((s.a - here.z) / {3 * DAY}) + abs(s.x - here.y) / 20, s.id, s.k)))[3]
+     ELSE list_min(list_transform(list_filter(free, lambda s: here.a - s.z BETWEEN 0 AND {3 * DAY} AND abs(here.x - s.y) <= 20), lambda s: (((here.a - s.z) / {3 * DAY}) + abs(here.x - s.y) / 20, s.id, s.k)))[3] END AS took
+    FROM r WHERE len(free) > 0))
+ SELECT user_id, l[took].id AS id, chain::BIGINT AS chain FROM r WHERE took > 0""")
 def chain_links(spark, d):
     s = W.sessionise(events(spark, d), "user_id", "t", "event_id", 6 * HOUR, DAY)
     ends = s.groupBy("user_id", F.col("session").alias("id")).agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.min_by("value", F.struct("t", "event_id")).alias("first_value"), F.max_by("value", F.struct("t", "event_id")).alias("last_value"))
