@@ -486,7 +486,20 @@ def least_cost_totals(spark, d):
     return left.join(found, "frame", "left").select("frame", F.round(F.coalesce("cost", F.lit(0.0)) + 5.0 * (F.col("m") - F.coalesce("n", F.lit(0))), 4).alias("total"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS},
+ v AS (SELECT event_type, t // {DAY} AS frame, value AS v, event_id AS id, row_number() OVER (PARTITION BY event_type, t // {DAY} ORDER BY value, event_id) AS i FROM e),
+ f AS (SELECT event_type, frame, row_number() OVER (PARTITION BY event_type ORDER BY frame) AS nth, list({{'i': i, 'v': v, 'id': id}} ORDER BY i) AS vals FROM v GROUP BY event_type, frame),
+ r AS (SELECT event_type, 0::BIGINT AS nth, 0::BIGINT AS frame, list_filter(vals, lambda x: FALSE) AS todo, 0::BIGINT AS n, FALSE AS over, []::STRUCT(id BIGINT, n BIGINT)[] AS done,
+   []::STRUCT(n BIGINT, f BIGINT, v DOUBLE)[] AS live, []::STRUCT(d DOUBLE, lv DOUBLE, lf BIGINT, n BIGINT, i BIGINT, v DOUBLE, id BIGINT)[] AS pairs FROM f WHERE nth = 1
+  UNION ALL SELECT event_type, nth, frame, todo, n, over, done, live, CASE WHEN took THEN list_filter(pairs, lambda p: p.n <> pairs[1].n AND p.i <> pairs[1].i)
+    ELSE list_sort(flatten(list_transform(todo, lambda x: list_transform(list_filter(live, lambda l: abs(x.v - l.v) <= 2), lambda l: {{'d': abs(x.v - l.v), 'lv': l.v, 'lf': l.f, 'n': l.n, 'i': x.i, 'v': x.v, 'id': x.id}})))) END AS pairs
+   FROM (SELECT r.event_type, len(pairs) > 0 AS took, pairs, CASE WHEN len(pairs) > 0 THEN r.nth ELSE f.nth END AS nth, CASE WHEN len(pairs) > 0 THEN r.frame ELSE f.frame END AS frame,
+     CASE WHEN len(pairs) > 0 THEN list_filter(todo, lambda x: x.i <> pairs[1].i) ELSE coalesce(f.vals, todo[:0]) END AS todo, CASE WHEN len(pairs) > 0 THEN n ELSE n + len(todo) END AS n,
+     len(pairs) = 0 AND f.nth IS NULL AS over, CASE WHEN len(pairs) > 0 THEN [{{'id': pairs[1].id, 'n': pairs[1].n}}] ELSE list_transform(todo, lambda x, j: {{'id': x.id, 'n': n + j - 1}}) END AS done,
+     CASE WHEN len(pairs) > 0 THEN list_append(list_filter(live, lambda l: l.n <> pairs[1].n), {{'n': pairs[1].n, 'f': r.frame, 'v': pairs[1].v}})
+      ELSE list_filter(list_concat(live, list_transform(todo, lambda x, j: {{'n': n + j - 1, 'f': r.frame, 'v': x.v}})), lambda l: f.frame - l.f - 1 <= 1) END AS live
+    FROM r LEFT JOIN f ON f.event_type = r.event_type AND f.nth = r.nth + 1 WHERE NOT over))
+ SELECT d.id AS event_id, d.n AS track FROM (SELECT unnest(done) AS d FROM r)""")
 def associate_frames(spark, d):
     return K.associate(W.frames(events(spark, d), "t", DAY), ["event_type"], "frame", "value", "event_id", 2.0, 1).select("event_id", "track")
 
