@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import zipfile
 from datetime import datetime, timedelta
 
@@ -573,3 +574,21 @@ def test_least_cost_of_large_frames_by_connected_groups(spark, monkeypatch):
     monkeypatch.setattr(tracks, "FRAME_PAIRS", 5)
     assert {tuple(r) for r in tracks.least_cost_assignment(df, ["frame"], 0.7).collect()} == whole
     assert (2, 1, 2, 0.2) in whole and len(whole) > 20
+
+
+def test_repeats_are_forgotten_behind_the_watermark(spark, tmp_path):
+    hour = 3_600_000_000
+    batches = [[(0, "a"), (1, "a"), (2, None)], [(9, "a"), (9, None), (60, "b")], [(61, "b")], [(90, "a"), (90, None), (5, "c")]]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(t * hour, k) for t, k in rows], "t long, k string").coalesce(1)
+        df.select(F.timestamp_micros("t").alias("ts"), "k").write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("part-*"):
+            os.utime(f, (1000 + i, 1000 + i)) if f.stat().st_mtime > 1e6 else None
+    stream = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    once = streams.without_repeats(stream, "ts", ["k"], "24 hours").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    once.awaitTermination()
+    got = sorted(r["k"] or "" for r in spark.table("once").collect())
+    # Keys a and null are forgotten once 60 is seen and count again at 90; b is still known at 61; c is older
+    # than the watermark.
+    assert got == ["", "", "a", "a", "b"]
+    assert sum(op["numRowsRemoved"] for p in once.recentProgress for op in p["stateOperators"]) >= 2

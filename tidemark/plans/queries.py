@@ -597,6 +597,14 @@ def stream_epoch_restart(spark, d):
     return streams.read_epoch(spark, path, e.schema)
 
 
+@query(f"WITH {EVENTS} SELECT DISTINCT user_id, event_type, t // {DAY} AS day FROM e")
+def stream_repeats_by_day(spark, d):
+    """A user's kinds of event on each day, over several micro-batches: what is known of a day is
+    forgotten two days later."""
+    e = _fed(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.floor(S.micros("ts") / DAY).alias("day"))
+    return _drained(spark, streams.without_repeats(e, "ts", ["user_id", "event_type", "day"], "2 days"), "daily").select("user_id", "event_type", "day")
+
+
 @query(f"WITH {EVENTS}, l AS (SELECT user_id, t, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) = 1) SELECT * FROM l ORDER BY t DESC, user_id LIMIT 50")
 def stream_recent_results(spark, d):
     path, e = new_path(spark, "recent"), _fed(spark, d).select("user_id", S.micros("ts").alias("t"), "event_id")
