@@ -9,8 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, clusters, density, joins, lines, ranges, sessions, smoothing, tracks
-from tidemark.plans import staging
+from tidemark.operators import aggregates, clusters, density, joins, line_assignment, lines, ranges, sessions, smoothing, tracks
+from tidemark.plans import queries, staging
 from tidemark.sources import files
 
 
@@ -280,3 +280,31 @@ def test_least_cost_of_a_large_group_in_little_memory():
     given = tracks._matched(links, n, 5.0)
     assert tracemalloc.get_traced_memory()[1] < 50_000_000 and sum(r >= 0 for r in given) > 0.9 * n
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rows", [7, 40, 10**6])
+def test_assignment_on_a_line_lists_no_pairs(spark, monkeypatch, rows):
+    rng = np.random.default_rng(5)
+    side = lambda n: pd.DataFrame({"key": rng.choice([0.0, np.nan], n), "id": rng.permutation(n), "v": np.where(rng.random(n) < 0.05, np.nan, rng.choice([np.round(rng.random(n) * 4, 2), rng.random(n) * 30], 1)[0])})
+    a, b = side(140), side(110)
+    pairs = a.rename(columns={"id": "left_id"}).merge(b.rename(columns={"id": "right_id"}), on="key")
+    pairs["cost"] = (pairs.v_x - pairs.v_y).abs()
+    frames = [spark.createDataFrame(f.astype(object).where(f.notna(), None), "key double, id long, v double") for f in (a, b)]
+    listed = spark.createDataFrame(pairs[pairs.cost <= 2][["key", "left_id", "right_id", "cost"]].astype(object).where(lambda f: f.notna(), None), "key double, left_id long, right_id long, cost double")
+    exact, least = tracks.greedy_assignment(listed, ["key"], 2.0).collect(), tracks.least_cost_assignment(listed, ["key"], 2.0).collect()
+    monkeypatch.setattr(ranges, "RANGE_ROWS", rows)
+    assert sorted(map(tuple, line_assignment.greedy_on_line(*frames, ["key"], "id", "v", 2.0).collect()), key=repr) == sorted(map(tuple, exact), key=repr)
+    found = line_assignment.least_cost_on_line(*frames, ["key"], "id", "v", 2.0).collect()
+    total = lambda rows: sum(r.cost - 2.0 for r in rows)
+    assert total(found) == pytest.approx(total(least), abs=1e-9)
+    assert {(r.key, r.left_id, r.right_id, r.cost) for r in found} <= set(map(tuple, listed.collect()))
+    assert all(len({(r.key, r[side]) for r in found}) == len(found) for side in ("left_id", "right_id"))
+
+
+def test_queries_of_frames_list_no_pairs(spark, tmp_path):
+    n = 20_000  # two frames of one value a side: 100,000,000 pairs
+    both = spark.range(4 * n).selectExpr("id AS event_id", f"timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, int(id div {2 * n})) AS ts", "1L AS user_id", "if(id % 2 = 0, 'purchase', 'click') AS event_type", "double(id % 2) AS value")
+    both.write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("greedy_assignment",):
+        query = queries.QUERIES[name](spark, str(tmp_path))
+        assert tuple(query.selectExpr("count(*)", "count(DISTINCT left_id)", "count(DISTINCT right_id)", "max(cost)").first()) == (2 * n, 2 * n, 2 * n, 1.0)

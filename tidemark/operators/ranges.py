@@ -15,9 +15,9 @@ RANGE_ROWS = 100_000
 HOT_SHARE = 0.001
 
 
-def fit_a_task(df: DataFrame, keys: list[str | Column]) -> bool:
-    """Whether no key has more rows than a range; then a task may take a key."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).isEmpty()
+def fit_a_task(df: DataFrame, keys: list[str | Column], times: int = 1) -> bool:
+    """Whether no key has more rows than ``times`` ranges; then a task may take a key."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS * times).isEmpty()
 
 
 def in_ranges(df: DataFrame, order: list[str | Column], scratch: list[str] | None, rows: int | None = None) -> DataFrame:
