@@ -308,3 +308,17 @@ def test_queries_of_frames_list_no_pairs(spark, tmp_path):
     for name in ("greedy_assignment", "least_cost_assignment"):
         query = queries.QUERIES[name](spark, str(tmp_path))
         assert tuple(query.selectExpr("count(*)", "count(DISTINCT left_id)", "count(DISTINCT right_id)", "max(cost)").first()) == (2 * n, 2 * n, 2 * n, 1.0)
+
+
+def test_association_lists_no_pairs_of_large_frames(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        live = {k: (int(rng.integers(3, 6)), float(np.round(rng.random() * 4, 1))) for k in range(rng.integers(0, 15))}
+        values = sorted(np.round(rng.random(rng.integers(1, 15)) * 4, 1).tolist())
+        want = tracks.associate_frame(live, len(live), 6, values, 0.5, 1)
+        monkeypatch.setattr(tracks, "LISTED_PAIRS", -1)
+        assert tracks.associate_frame(live, len(live), 6, values, 0.5, 1) == want
+        monkeypatch.undo()
+    n = 30_000  # 900,000,000 pairs are near enough
+    labels, live, count = tracks.associate_frame({k: (0, 1.0) for k in range(n)}, n, 1, [1.5] * n, 1.0, 1)
+    assert labels == list(range(n)) and count == n and live[5] == (1, 1.5)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from functools import reduce
+from hashlib import sha256
 from heapq import heappop, heappush
 from operator import or_
 
@@ -20,6 +21,7 @@ from tidemark.operators import ranges
 from tidemark.operators.components import connected_components
 from tidemark.operators.intervals import stretches_apart
 from tidemark.operators.keys import keyed_join
+from tidemark.operators.line_assignment import nearest_first
 from tidemark.operators.ranges import fit_a_task, in_places, in_ranges
 from tidemark.operators.sessions import running, stretches
 from tidemark.plans.staging import drop, new_path, staged
@@ -169,26 +171,36 @@ def least_cost_assignment(pairs: DataFrame, keys: list[str], unmatched: float) -
     return found
 
 
+#: Tracks times values of a frame up to which their near pairs are listed; beyond that neighbours are kept on a heap.
+LISTED_PAIRS = 10_000
+
+
 def associate_frame(live: dict[int, tuple[int, float]], count: int, at: int, values: list[float], reach: float, missed: int) -> tuple[list[int], dict[int, tuple[int, float]], int]:
     """One frame's tracks: their numbers for ``values``, which rise, the tracks alive after it (number
     to last frame and value) and how many there have been. Of equally near pairs that of the track
     with the smaller last value comes first, then the earlier last frame, the smaller number, the
     earlier of ``values``."""
     live = {k: s for k, s in live.items() if at - s[0] - 1 <= missed}
-    near = []
-    for k, (frame, value) in live.items():
-        i = bisect_left(values, value - reach)
-        while i and abs(values[i - 1] - value) <= reach:  # rounding of the difference
-            i -= 1
-        while i < len(values) and (values[i] <= value or abs(values[i] - value) <= reach):
-            if abs(values[i] - value) <= reach:
-                near.append((abs(values[i] - value), value, frame, k, i))
-            i += 1
     used, got = set(), {}
-    for *_, k, i in sorted(near):
-        if k not in used and i not in got:
-            used.add(k)
-            got[i] = k
+    rising = np.array(values)
+    if len(live) * len(values) > LISTED_PAIRS and math.isfinite(reach) and rising.dtype.kind in "if" and np.isfinite(rising).all() and np.abs(rising).max() < 2**53:
+        order = sorted(live, key=lambda k: (live[k][1], live[k][0], k))
+        i, j, _, _ = nearest_first(np.array([live[k][1] for k in order], float), rising.astype(float), reach)
+        got = {b: order[a] for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    else:
+        near = []
+        for k, (frame, value) in live.items():
+            i = bisect_left(values, value - reach)
+            while i and abs(values[i - 1] - value) <= reach:  # rounding of the difference
+                i -= 1
+            while i < len(values) and (values[i] <= value or abs(values[i] - value) <= reach):
+                if abs(values[i] - value) <= reach:
+                    near.append((abs(values[i] - value), value, frame, k, i))
+                i += 1
+        for *_, k, i in sorted(near):
+            if k not in used and i not in got:
+                used.add(k)
+                got[i] = k
     for i, x in enumerate(values):
         if i not in got:
             got[i], count = count, count + 1
@@ -217,6 +229,11 @@ def _part_state(pdf: pd.DataFrame) -> dict[int, tuple[int, float]]:
     return {} if frames is None else {k: (int(f), float(v)) for k, (f, v) in enumerate(zip(frames, values, strict=True))}
 
 
+def _digest(frames: list[int], values: list[float]) -> str:
+    """A short name of the tracks alive before a part."""
+    return sha256(np.array(frames, np.int64).tobytes() + np.array(values, float).tobytes()).hexdigest()
+
+
 def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str, reach: float, missed: int) -> DataFrame:
     """``track``: number from 0 within the key. In each frame, values go one to one to the live
     tracks whose last value is nearest, up to ``reach``, nearest pairs first (ties as in
@@ -228,8 +245,10 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
     stretches. Those of up to ranges.RANGE_ROWS rows are taken one to a task; where one has more, they
     fall into parts of whole frames of about as many. All parts are taken at once, each from the tracks that were alive before it; where these turn out to be others
     than assumed (at first: none), the part is taken again, until none changes. Only last frames and
-    values of live tracks matter for that, not their numbers, so most parts settle soon; a part
-    settles at the latest when all before it have. Then numbers are handed on from part to part.
+    values of live tracks matter for that, not their numbers, so most parts settle soon. Where they do
+    not (a round leaves over half as many open as it took), a round takes only the first open part of each stretch, which then is
+    settled, so that a part is taken few times in all. Then numbers are handed on from part to part.
+    The tracks alive before a part go to its task once, not with its rows.
     """
     spark, scratch = df.sparkSession, []
     known = F.coalesce(F.col(frame).isNotNull() & is_number(value), F.lit(False))
@@ -250,51 +269,71 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
         tracks, _ = _numbered(found, keys, "_track", "track")
         return tracks.select(*df.columns, "track").unionByName(df.where(~known).withColumn("track", F.lit(None).cast("long")))
     parts = in_ranges(rows_of, [*keys, "_stretch", frame], scratch)
-    part = [*keys, "_stretch", "_range"]
-    along = Window.partitionBy(*keys, "_stretch").orderBy("_range")
+    group, last = [*keys, "_stretch"], []
+    part = [*group, "_range"]
+    along = Window.partitionBy(*group).orderBy("_range")
     firsts = parts.groupBy(*part).agg(F.min(frame).cast("long").alias("_first"))
-    heads = staged(firsts.select(*part, F.lead("_first").over(along).alias("_next")), "heads", scratch)
+    heads = staged(firsts.select(*part, F.lead("_first").over(along).alias("_next"), F.lag("_range").over(along).alias("_before")), "heads", scratch)
     named = [*[df.schema[k] for k in keys], parts.schema["_stretch"], parts.schema["_range"]]
     longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
-    alive = [T.StructField("_frames", longs), T.StructField("_values", doubles)]
 
-    def rows(pdf: pd.DataFrame) -> tuple[list[int], dict[int, tuple[int, float]], int]:
-        live = _part_state(pdf)
+    def rows(pdf: pd.DataFrame, state: pd.DataFrame) -> tuple[list[int], dict[int, tuple[int, float]], int]:
+        live = _part_state(state)
         labels, count = [], len(live)
         for at, here in pdf.groupby(frame, sort=True):
             found, live, count = associate_frame(live, count, int(at), here[value].tolist(), reach, missed)
             labels += found
         return labels, live, count
 
-    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+    def passed(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         """The tracks alive at the next part's first frame, by last value, frame and number."""
-        pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
-        began, (_, live, count), following = len(_part_state(pdf)), rows(pdf), pdf["_next"].iloc[0]
+        pdf, assumed, following = pdf.sort_values([frame, value], ignore_index=True), _part_state(state), state["_next"].iloc[0]
+        _, live, count = rows(pdf, state)
         on = sorted((v, f, k) for k, (f, v) in live.items() if not pd.isna(following) and following - f - 1 <= missed)
-        told = [*pdf[part].iloc[0].tolist(), [f for _, f, _ in on], [v for v, _, _ in on], [k for _, _, k in on], count - began]
-        return pd.DataFrame([told], columns=[*part, "_to_frames", "_to_values", "_to_numbers", "_new"])
-
-    told = [*named, T.StructField("_to_frames", longs), T.StructField("_to_values", doubles), T.StructField("_to_numbers", longs), T.StructField("_new", T.LongType())]
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in alive]
-    states, ends, last = heads.select("*", *nothing), None, []
-    open_ = heads.select(*part)
-    while not open_.isEmpty():
-        again = keyed_join(keyed_join(parts, states, part), open_, part, "left_semi")
-        found = again.groupBy(*part).applyInPandas(passed, T.StructType(told))
-        if ends is not None:
-            found = found.unionByName(keyed_join(ends, open_, part, "left_anti"))
-        ends = staged(found, "ends", ends_now := [])
-        before = ends.select(*part, F.lag(F.struct("_to_frames", "_to_values")).over(along).alias("_from"))
-        coming = keyed_join(heads, before, part).select(*part, "_next", F.col("_from._to_frames").alias("_frames"), F.col("_from._to_values").alias("_values"))
-        same = lambda c: F.coalesce(F.col(c), F.array()).eqNullSafe(F.coalesce(F.col(f"_old{c}"), F.array()))
-        old = states.select(*part, *[F.col(c).alias(f"_old{c}") for c in ("_frames", "_values")])
-        judged = staged(keyed_join(coming, old, part).withColumn("_settled", same("_frames") & same("_values")), "states", states_now := [])
+        used, told = (_digest([f for f, _ in t], [v for _, v in t]) for t in (list(assumed.values()), [(f, v) for v, f, _ in on]))
+        row = [*pdf[part].iloc[0].tolist(), used, told, [f for _, f, _ in on], [v for v, _, _ in on], [k for _, _, k in on], count - len(assumed)]
+        return pd.DataFrame([row], columns=passed_on.fieldNames())
+
+    passed_on = T.StructType([*named, T.StructField("_used", T.StringType()), T.StructField("_told", T.StringType()), T.StructField("_to_frames", longs), T.StructField("_to_values", doubles), T.StructField("_to_numbers", longs), T.StructField("_new", T.LongType())])
+    folder = new_path(spark, "passed")
+    scratch.append(folder)
+    nothing = {"_frames": F.lit(None).cast(longs), "_values": F.lit(None).cast(doubles)}
+
+    def of_rounds(latest: DataFrame) -> DataFrame:
+        """What the parts of ``latest`` (part, _round) passed on in these rounds."""
+        took = sorted(r["_round"] for r in latest.select("_round").distinct().collect())
+        told = reduce(DataFrame.unionByName, [spark.read.schema(passed_on).parquet(f"{folder}/{k}").withColumn("_round", F.lit(k)) for k in took])
+        return keyed_join(told, F.broadcast(latest), [*part, "_round"], "left_semi").drop("_round")
+
+    latest, open_, taken, number = None, heads.withColumn("_first", F.lit(1)), 0, 0
+    while count := open_.count():
+        few = number < 2 or 2 * count <= taken
+        take = staged(open_ if few else open_.where("_first = 1"), "take", now := [])
+        taken = count
+        if latest is None:
+            state = take.select(*part, "_next").withColumns(nothing)
+        else:
+            ahead = keyed_join(take.where("_before is not null").select(*group, F.col("_before").alias("_range"), F.col("_range").alias("_to")), latest.select(*part, "_round"), part)
+            came = keyed_join(of_rounds(staged(ahead.select(*part, "_round"), "ahead", now)), ahead.select(*part, "_to"), part)
+            came = came.select(*group, F.col("_to").alias("_range"), F.col("_to_frames").alias("_frames"), F.col("_to_values").alias("_values"))
+            state = keyed_join(take.select(*part, "_next"), came, part, "left")
+        which = [r["_range"] for r in take.select("_range").distinct().collect()]  # one for RANGE_ROWS rows
+        here = parts.where(F.col("_range").isin(which)) if not few else parts
+        here = keyed_join(here.select(*part, frame, value), F.broadcast(take.select(*part)), part, "left_semi")
+        found = here.groupBy(*part).cogroup(state.groupBy(*part)).applyInPandas(passed, passed_on)
+        found.write.option("compression", "zstd").parquet(f"{folder}/{number}")
+        told = spark.read.schema(passed_on).parquet(f"{folder}/{number}").select(*part, "_used", "_told").withColumn("_round", F.lit(number))
+        latest = staged(told if latest is None else told.unionByName(keyed_join(latest, F.broadcast(take.select(*part)), part, "left_anti")), "latest", now)
+        assumed = latest.select(*part, "_used", F.coalesce(F.lag("_told").over(along), F.lit(_digest([], []))).alias("_told"))
+        still = keyed_join(heads, assumed.where("_used != _told").select(*part), part, "left_semi")
+        open_ = staged(still.withColumn("_first", F.row_number().over(along)), "open", now)
         drop(spark, last)
-        last = ends_now + states_now
-        states, open_ = judged.select(*part, "_next", "_frames", "_values"), judged.where("not _settled").select(*part)
-    if ends is None:
+        last, number = now, number + 1
+    if latest is None:
         drop(spark, scratch)
+        drop(spark, last)
         return df.withColumn("track", F.lit(None).cast("long"))
+    ends = staged(of_rounds(latest.select(*part, "_round")), "ends", scratch)
 
     def handed_on(pdf: pd.DataFrame) -> pd.DataFrame:
         """Numbers of the tracks alive before each part, and how many began before it."""
@@ -302,23 +341,26 @@ def associate(df: DataFrame, keys: list[str], frame: str, value: str, tie: str,
         for at, new in zip(pdf["_to_numbers"], pdf["_new"], strict=True):
             incoming.append(numbers)
             begun.append(count)
-            numbers = [numbers[k] if k < len(numbers) else count + k - len(numbers) for k in at]
+            numbers = [numbers[k] if k < len(numbers) else count + k - len(numbers) for k in at.tolist()]
             count += new
         return pdf[part].assign(_numbers=incoming, _begun=begun)
 
-    numbers = ends.groupBy(*keys, "_stretch").applyInPandas(handed_on, T.StructType([*named, T.StructField("_numbers", longs), T.StructField("_begun", T.LongType())]))
+    numbers = ends.select(*part, "_to_numbers", "_new").groupBy(*group).applyInPandas(handed_on, T.StructType([*named, T.StructField("_numbers", longs), T.StructField("_begun", T.LongType())]))
+    onward = heads.where("_before is not null").select(*group, F.col("_before").alias("_range"), F.col("_range").alias("_to"))
+    came = keyed_join(ends.select(*part, "_to_frames", "_to_values"), onward, part)
+    came = came.select(*group, F.col("_to").alias("_range"), F.col("_to_frames").alias("_frames"), F.col("_to_values").alias("_values"))
+    states = staged(keyed_join(numbers, came, part, "left"), "states", scratch)
 
-    def labelled(pdf: pd.DataFrame) -> pd.DataFrame:
+    def labelled(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([frame, value, tie], ignore_index=True)
-        labels, _, _ = rows(pdf)
-        numbers, begun = [int(k) for k in pdf["_numbers"].iloc[0]], int(pdf["_begun"].iloc[0])
+        labels, _, _ = rows(pdf, state)
+        numbers, begun = [int(k) for k in state["_numbers"].iloc[0]], int(state["_begun"].iloc[0])
         tracks = [numbers[k] if k < len(numbers) else begun + k - len(numbers) for k in labels]
         return pdf[columns].assign(_track=np.array(tracks, np.int64))
 
     columns = [*df.columns, "_stretch"]
-    told_all = keyed_join(keyed_join(parts, states, part), numbers, part)
     schema = T.StructType([*df.schema, parts.schema["_stretch"], T.StructField("_track", T.LongType())])
-    found = staged(told_all.groupBy(*part).applyInPandas(labelled, schema), "tracks", scratch)
+    found = staged(parts.groupBy(*part).cogroup(states.groupBy(*part)).applyInPandas(labelled, schema), "tracks", scratch)
     tracks, _ = _numbered(found, keys, "_track", "track")
     tracks = staged(tracks.select(*df.columns, "track"), "tracks")
     drop(spark, scratch)
