@@ -322,3 +322,35 @@ def test_association_lists_no_pairs_of_large_frames(monkeypatch):
     n = 30_000  # 900,000,000 pairs are near enough
     labels, live, count = tracks.associate_frame({k: (0, 1.0) for k in range(n)}, n, 1, [1.5] * n, 1.0, 1)
     assert labels == list(range(n)) and count == n and live[5] == (1, 1.5)
+
+
+@pytest.mark.parametrize("rows", [30, 10**6])
+def test_lines_of_many_keys_need_no_row_a_draw(spark, monkeypatch, rows):
+    random = np.random.default_rng(7)
+    data = [(None if k == 3 else k, float(x), float(2 * x + k + random.normal()) if random.random() < 0.7 else float(random.random() * 90), i) for k in range(6) for i, x in enumerate(random.integers(0, 20 * (k + 1), 12 * (k + 1)))]
+    df = spark.createDataFrame([*data, (1, None, 2.0, 99), (8, 1.0, 1.0, 0)], "k long, x double, y double, id long")
+    want = {(r.k, round(r.slope, 9), round(r.intercept, 9), r.inliers) if r.slope is not None else (r.k, None, None, r.inliers) for r in _by_drawn_rows(df)}
+    monkeypatch.setattr(ranges, "RANGE_ROWS", rows)
+    made = []
+    monkeypatch.setattr(lines, "_inside_large", lambda *a, f=lines._inside_large: made.append(1) or f(*a))
+    got = lines.ransac_line(df, ["k"], "x", "y", "id", 2.0, draws=60).collect()
+    assert {(r.k, round(r.slope, 9), round(r.intercept, 9), r.inliers) if r.slope is not None else (r.k, None, None, r.inliers) for r in got} == want
+    assert len(made) == (rows == 30)
+
+
+def _by_drawn_rows(df):
+    """slope, intercept and inliers of each key, in Python."""
+    from collections import defaultdict
+    from types import SimpleNamespace
+
+    groups = defaultdict(list)
+    for r in df.collect():
+        groups[r.k] += [(r.x, r.id, r.y)] if r.x is not None else []
+    for k, held in groups.items():
+        held, best = sorted(held), []
+        for draw in range(60):
+            (x, _, y), (z, _, w) = (held[int(len(held) * lines.drawn(0, draw, side))] for side in (0, 1))
+            near = [(a, b) for a, _, b in held if x != z and abs(b - y - (w - y) / (z - x) * (a - x)) <= 2.0]
+            best = near if len(near) > len(best) else best
+        slope, intercept = np.polyfit(*zip(*best, strict=True), 1) if best else (None, None)
+        yield SimpleNamespace(k=k, slope=slope, intercept=intercept, inliers=len(best))
