@@ -354,3 +354,36 @@ def _by_drawn_rows(df):
             best = near if len(near) > len(best) else best
         slope, intercept = np.polyfit(*zip(*best, strict=True), 1) if best else (None, None)
         yield SimpleNamespace(k=k, slope=slope, intercept=intercept, inliers=len(best))
+
+
+def _plans(spark, make) -> list[str]:
+    """The plans of what ``make`` stages."""
+    from tidemark.operators import tracks as at
+
+    seen, plain = [], at.staged
+    at.staged = lambda df, *a: seen.append(df._jdf.queryExecution().toString()) or plain(df, *a)
+    try:
+        make()
+    finally:
+        at.staged = plain
+    return seen
+
+
+def test_chains_of_many_keys_share_a_batch(spark):
+    random = np.random.default_rng(11)
+    rows = [(None if k == 5 else k, i, int(t), int(t + random.integers(0, 9)), float(random.integers(0, 20)), float(random.integers(0, 20))) for k in range(40) for i, t in enumerate(random.integers(0, 300, 25))]
+    df = spark.createDataFrame(rows, "k long, id long, start_t long, end_t long, first_value double, last_value double").coalesce(1)
+    chains = lambda: sorted(map(tuple, tracks.chain_links(df, ["k"], 10, 6.0).select("k", "id", "chain").collect()), key=repr)
+    one = chains()
+    assert not [s for s in _plans(spark, lambda: tracks.chain_links(df, ["k"], 10, 6.0)) if "FlatMapGroupsInPandas" in s]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # stretches that go on over several batches
+    try:
+        assert chains() == one
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = []
+    for k in range(40):
+        own = [(k, *r[1:]) for r in rows if r[0] == (None if k == 5 else k)]
+        alone = spark.createDataFrame(own, df.schema) if k in (0, 5, 17) else None
+        wanted += [(None if k == 5 else k, r.id, r.chain) for r in tracks.chain_links(alone, ["k"], 10, 6.0).collect()] if alone else []
+    assert set(wanted) <= set(one) and len(wanted) == 75

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import sha256
 from heapq import heappop, heappush
+from itertools import pairwise
 from operator import or_
 
 import numpy as np
@@ -532,6 +534,39 @@ def _chains_in_parts(spans: DataFrame, keys: list[str], most_gap: int, most_step
     return result
 
 
+def _walk(start: list, end: list, first: list, last: list, ids: list, most_gap: int, most_step: float) -> list[int]:
+    """The chains of a stretch's segments, which come in the order of their start."""
+    by_end = sorted(range(len(end)), key=lambda k: (end[k], k))
+    ends = [end[k] for k in by_end]
+    chain, number = [-1] * len(end), 0
+
+    def follow(here: int, forward: bool) -> int | None:
+        if forward:
+            near = range(bisect_left(start, end[here]), bisect_right(start, end[here] + most_gap))
+        else:
+            near = (by_end[k] for k in range(bisect_left(ends, start[here] - most_gap), bisect_right(ends, start[here])))
+        best = None
+        for k in near:
+            if chain[k] >= 0:
+                continue
+            a, b = (here, k) if forward else (k, here)
+            gap, step = start[b] - end[a], abs(first[b] - last[a])
+            if step <= most_step:
+                best = min(best or (math.inf,), (_cost(gap, step, most_gap, most_step), ids[k], k))
+        return best[2] if best else None
+
+    for seed in range(len(end)):
+        if chain[seed] >= 0:
+            continue
+        chain[seed] = number
+        for forward in (True, False):
+            here: int | None = seed
+            while (here := follow(here, forward)) is not None:
+                chain[here] = number
+        number += 1
+    return chain
+
+
 def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step: float) -> DataFrame:
     """``chain`` of ``segments`` (keys, id, start_t, end_t, first_value, last_value): the earliest
     unused segment begins a chain, which goes on forward with the unused segment of least cost
@@ -541,8 +576,8 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
     in the order of their ids; a null key is one like others.
 
     No chain goes on over a pause of more than ``most_gap`` without segments, so the stretches
-    between such pauses are taken apart. Those of up to ranges.RANGE_ROWS segments are taken one to a
-    task, where each step looks at the segments within ``most_gap`` only, and larger ones in parts
+    between such pauses are taken apart. Those of up to ranges.RANGE_ROWS segments are taken whole, many
+    to a task, where each step looks at the segments within ``most_gap`` only, and larger ones in parts
     (:func:`_chains_in_parts`). A task holds a part, the segments of ``most_gap`` after it and the
     chains that come into it. Only a larger stretch in which a segment ends before it starts is one
     task whole, as its chains go back in time."""
@@ -555,40 +590,30 @@ def chain_links(segments: DataFrame, keys: list[str], most_gap: int, most_step:
     large = staged(large.where((F.col("_n") > ranges.RANGE_ROWS) & F.col("_ahead")).select(*group), "large", scratch)
     parts = keyed_join(apart, large, group, "left_anti")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_t", "id", "end_t", "first_value", "last_value"], ignore_index=True)
-        start, end, first, last, ids = (pdf[c].tolist() for c in ("start_t", "end_t", "first_value", "last_value", "id"))
-        by_end = sorted(range(len(pdf)), key=lambda k: (end[k], k))
-        ends = [end[k] for k in by_end]
-        chain, number = [-1] * len(pdf), 0
-
-        def follow(here: int, forward: bool) -> int | None:
-            if forward:
-                near = range(bisect_left(start, end[here]), bisect_right(start, end[here] + most_gap))
-            else:
-                near = (by_end[k] for k in range(bisect_left(ends, start[here] - most_gap), bisect_right(ends, start[here])))
-            best = None
-            for k in near:
-                if chain[k] >= 0:
-                    continue
-                a, b = (here, k) if forward else (k, here)
-                gap, step = start[b] - end[a], abs(first[b] - last[a])
-                if step <= most_step:
-                    best = min(best or (math.inf,), (_cost(gap, step, most_gap, most_step), ids[k], k))
-            return best[2] if best else None
-
-        for seed in range(len(pdf)):
-            if chain[seed] >= 0:
-                continue
-            chain[seed] = number
-            for forward in (True, False):
-                here: int | None = seed
-                while (here := follow(here, forward)) is not None:
-                    chain[here] = number
-            number += 1
-        return pdf.assign(_chain=np.array(chain, np.int64))
-
-    found = parts.groupBy(*group).applyInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        """Chains of whole stretches, each of which begins where ``_nth`` is 1."""
+        every, chains = [rows[c].tolist() for c in ("start_t", "end_t", "first_value", "last_value", "id")], []
+        bounds = [*np.flatnonzero(rows["_nth"].to_numpy() == 1).tolist(), len(rows)]
+        for i, j in pairwise(bounds):
+            chains += _walk(*[c[i:j] for c in every], most_gap, most_step)
+        return rows.drop(columns="_nth").assign(_chain=np.array(chains, np.int64))
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch["_nth"].to_numpy() == 1)
+            if len(begins):
+                ended = pd.concat([*held, batch.iloc[: begins[-1]]], ignore_index=True) if held else batch.iloc[: begins[-1]]
+                if len(ended):
+                    yield whole(ended)
+                held, batch = [], batch.iloc[begins[-1] :]
+            held.append(batch)
+        if held:
+            yield whole(pd.concat(held, ignore_index=True))
+
+    # The window leaves a stretch's rows one after the other in their order, many stretches in one batch.
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("start_t", "id", "end_t", "first_value", "last_value"))
+    found = parts.withColumn("_nth", nth).mapInPandas(run, T.StructType([*parts.schema, T.StructField("_chain", T.LongType())]))
     if not large.isEmpty():
         found = found.unionByName(_chains_in_parts(keyed_join(apart, large, group, "left_semi"), keys, most_gap, most_step))
     found = staged(found, "chains")
