@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregates, clusters, density, joins, line_assignment, lines, ranges, sessions, smoothing, tracks
 from tidemark.plans import queries, staging
 from tidemark.sources import files
+from tidemark.streaming import streams
 
 
 @pytest.fixture
@@ -387,3 +388,20 @@ def test_chains_of_many_keys_share_a_batch(spark):
         alone = spark.createDataFrame(own, df.schema) if k in (0, 5, 17) else None
         wanted += [(None if k == 5 else k, r.id, r.chain) for r in tracks.chain_links(alone, ["k"], 10, 6.0).collect()] if alone else []
     assert set(wanted) <= set(one) and len(wanted) == 75
+
+
+def test_gate_sets_a_timer_once_a_state():
+    from types import SimpleNamespace
+
+    held, timers = [None], []
+    gate = streams._Gate(5.0, 10, 1_000_000)
+    value = SimpleNamespace(get=lambda: held[0], exists=lambda: held[0] is not None, update=lambda v: held.__setitem__(0, v), clear=lambda: held.__setitem__(0, None))
+    gate.handle, gate.state = SimpleNamespace(registerTimer=timers.append, listTimers=lambda: iter(list(timers)), deleteTimer=timers.remove), value
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for t in (0, 900_000, 1_800_000):
+        list(gate.handleInputRows((1,), iter([pd.DataFrame({"t": [t], "value": [9.0]})]), at(0)))
+    assert timers == [1001]
+    list(gate.handleExpiredTimer((1,), at(1500), None))
+    assert timers == [1001, 2801] and held[0][2] == 1_800_000
+    list(gate.handleExpiredTimer((1,), at(2801), None))
+    assert held == [None] and len(timers) == 2

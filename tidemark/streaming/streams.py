@@ -133,7 +133,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 class _Gate(StatefulProcessor):
     """The gate of one key: since when its value is over the threshold, whether that is confirmed, and
-    its last time. A timer ends it once the watermark is ``idle`` beyond that."""
+    its last time. A timer ends it once the watermark is ``idle`` beyond that; it is set when the state
+    begins, and again when it goes off too early, so that rows of a key ask the state store twice a micro-batch."""
 
     def __init__(self, threshold: float, hold: int, idle: int):
         self.threshold, self.hold, self.idle = threshold, hold, idle
@@ -143,7 +144,8 @@ class _Gate(StatefulProcessor):
         self.state = handle.getValueState("gate", "since long, confirmed boolean, last long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, confirmed, last = self.state.get() if self.state.exists() else (None, False, None)
+        held = self.state.get()
+        since, confirmed, last = held or (None, False, None)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         out = []
         both = [(t, v) for batch in rows for t, v in zip(batch["t"].tolist(), batch["value"].tolist(), strict=True)]
@@ -165,13 +167,17 @@ class _Gate(StatefulProcessor):
             out.append((key[0], t, value, said, edge))
         if last is not None:
             self.state.update((since, confirmed, last))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max((last + self.idle) // 1000, passed // 1000) + 1)
+            if not held:  # a key with a state has a timer, which sees how late it has become
+                self.handle.registerTimer(max((last + self.idle) // 1000, passed // 1000) + 1)
         yield pd.DataFrame(out, columns=["key", "t", "value", "state", "edge"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        _, _, last = self.state.get() or (None, False, None)
+        ends = -1 if last is None else (last + self.idle) // 1000 + 1
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+        else:
+            self.state.clear()
         return iter([])
 
     def close(self) -> None:
